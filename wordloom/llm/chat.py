@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm._native import running_starts
+
 ASSISTANT = "assistant"
 OPEN, NEXT, CLOSE, HEAD, TAIL = "<block ", "<next>", "</block>", "<chat>", "</chat>"
 
@@ -76,25 +78,11 @@ def format_chats(turns: DataFrame, trained_role: str = ASSISTANT) -> DataFrame:
 
 
 def _spans() -> Column:
-    """Spans of the trained texts, from running lengths kept as one array of marks and texts."""
+    """Spans of the trained texts that are not empty."""
     lengths = F.transform("parts", lambda p: (F.char_length(p["mark"]) + F.char_length(p["text"])).cast("long"))
-    # running totals in blocks of 256 parts: an accumulator of an array is copied at each step, so both levels stay short
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / 256).cast("int")),
-        lambda k: F.slice(lengths, k * 256 + 1, 256),
-    )
-
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def running(xs: Column) -> Column:
-        return F.slice(F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 1, F.size(xs))
-
-    bases = running(F.transform(blocks, total))
-    starts = F.flatten(F.zip_with(blocks, bases, lambda xs, b: F.transform(running(xs), lambda s: s + b)))
     spans = F.zip_with(
         "parts",
-        starts,
+        running_starts(lengths),
         lambda p, s: F.struct((s + F.char_length(p["mark"])).alias("start"), F.char_length(p["text"]).cast("long").alias("length"), p["trained"].alias("trained")),
     )
     kept = F.filter(spans, lambda x: x["trained"] & (x["length"] > 0))

@@ -188,8 +188,8 @@ def quality_rules(
     The counts are written once and read for both the references and the verdict.
     """
     measured = spool(measure(docs), "quality")
-    # one row for each language: joined by key, so its size needs no bound
-    judged = measured.join(references(measured, guard_words), measured["lang"].eqNullSafe(F.col("ref_lang")), "left")
+    # one row for each language, of known size: Spark broadcasts it only under its threshold
+    judged = measured.join(spool(references(measured, guard_words), "quality"), measured["lang"].eqNullSafe(F.col("ref_lang")), "left")
     judged = judged.withColumn("class_divergence", divergence(F.col("classes"), F.col("ref_classes"))).withColumn(
         "word_divergence", divergence(F.col("common"), F.col("ref_common"))
     )

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import chat, packing, quality
+from wordloom.llm import chat, mixing, packing, pii, quality, secret_scan, warc
+from wordloom.llm._shared import spool
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,17 @@ def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Simulated damage of the audit query: one record in so many is altered or lost.
+WARC_ALTERED, WARC_LOST = 64, 128
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    index = spool(warc.archive(pages), "warc-index")
+    other = spool(warc.damaged(pages, index, "replica", WARC_ALTERED, WARC_LOST), "warc-index")
+    return warc.audit(index, other)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -35,13 +47,40 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target weights of the mixing query; the other sources share the default weight.
+MIX_WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 0.5}
+
+
+def op7_mix_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS).select("doc_id", "copy_id", "source", "lang", "n_chars", "text")
+
+
+def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.array_sort(F.concat("base", "found"))).alias("spans"),
+    )
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = pii.surrogate(_table(spark, sf_dir, "documents"))
+    counts = [F.element_at("pii_counts", F.lit(kind)).alias(f"n_{kind}") for kind, _ in pii.TYPES]
+    return safe.select("doc_id", *counts, "lang", "source", "text")
+
+
 def op10_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_divergence, op6_chat_format, op10_pack_online)}
+    return {f.__name__: f for f in (op3_quality_divergence, op4_warc_fixity, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online)}
 
 
 def oracle_sql() -> dict[str, str]:
