@@ -16,6 +16,7 @@ an empty result; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._bytes import text_buffers
+from wordloom.llm._bytes import LOWER, text_slices, word_bounds, word_hashes
 from wordloom.llm._shared import spool
 
 CAPACITY = 2048
@@ -33,8 +34,8 @@ OPEN_WINDOWS = 32
 MIN_CUT = 16
 #: Partitions whose leftovers one task of the second pass merges.
 MERGE_PARTITIONS = 64
-#: Chunks (runs without white space) whose ids a worker remembers.
-CACHE_CHUNKS = 300_000
+#: Pieces of words whose ids a worker remembers.
+KNOWN_PIECES = 1_500_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, leftover boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("leftover", pa.bool_())])
@@ -49,31 +50,107 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: UTF-8 of one letter that is a lower-case ASCII letter or in U+00C0-U+017F, where only U+0130
+#: changes its number of code points in lower case; U+00D7 and U+00F7 are no letters (fixed values).
+_PLAIN_WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_IS_ALNUM = np.zeros(256, bool)
+_IS_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Words that one call of the tokenizer gets, joined by spaces.
+JOINED_WORDS = 20_000
+
+
+def _cut_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, word) of pieces: marks that end a word right after a letter or digit are cut off.
+
+    They form a token of their own, whatever stands before.
+    """
+    last = np.maximum.accumulate(np.where(_IS_MARK[data], 0, np.arange(len(data))))[ends - 1]
+    lead, tail = data[np.maximum(last - 1, 0)], data[last]
+    wide = (last > starts) & (((lead == 0xC3) & (tail != 0x97) & (tail != 0xB7)) | ((lead == 0xC4) & (tail != 0xB0)) | (lead == 0xC5)) & (tail >= 0x80)
+    cut = (last >= starts) & (last + 1 < ends) & ~_IS_MARK[tail] & (_IS_ALNUM[tail] | wide)
+    count = 1 + cut
+    word = np.repeat(np.arange(len(starts)), count)
+    first, second = starts[word], ends[word]
+    tails = (np.cumsum(count) - 1)[cut]
+    first[tails] = last[cut] + 1
+    second[tails - 1] = last[cut] + 1
+    return first, second, word
+
+
 class ChunkEncoder:
-    """Ids of texts, looked up by runs of bytes without ASCII white space.
+    """Ids of texts, looked up by pieces of words.
 
-    Sound for tokenizers that drop white space and never join across it; the
-    ids are then those of the whole text (tests compare both).
+    Sound for tokenizers that fold case, drop white space, never join across it,
+    take a run of marks as one token and end each word with a token of its own
+    kind; the ids are then those of the whole text (tests compare both).  Texts
+    that may hold a special token are encoded as they are.  Pieces are known by
+    64-bit hashes.
     """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known, split = self.known, [t.split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        if fresh:
-            if len(known) + len(fresh) > CACHE_CHUNKS:
-                known.clear()
-                fresh = list({w for words in split for w in words})
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            for w, e in zip(fresh, found, strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text of a slice."""
+        rows = len(offsets) - 1
+        starts, ends, word_row = word_bounds(offsets, data)
+        if not len(starts):
+            return [b""] * rows
+        first, end, word = _cut_marks(data, starts, ends)
+        hashes, index, inverse = np.unique(word_hashes(data, first, end, lower=True), return_index=True, return_inverse=True)
+        if len(self.keys) + len(hashes) > KNOWN_PIECES:
+            self.forget()
+        at = np.searchsorted(self.keys, hashes)
+        fresh = np.ones(len(hashes), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != hashes
+        if fresh.any():
+            whole = LOWER[data].tobytes()
+            spans = zip(first[index[fresh]].tolist(), end[index[fresh]].tolist(), strict=True)
+            self._learn(hashes[fresh], at[fresh], [whole[a:b] for a, b in spans])
+            at = np.searchsorted(self.keys, hashes)
+        n = self.n[at][inverse]
+        before = np.cumsum(n) - n
+        ids = self.flat[np.repeat(self.at[at][inverse] - before, n) + np.arange(int(n.sum()))].tobytes()
+        borders = np.concatenate([[0], np.cumsum(np.bincount(word_row[word], weights=n, minlength=rows))]).astype(np.int64) * 4
+        out = [ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+        special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        for row in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
+            text = data[offsets[row] : offsets[row + 1]].tobytes().decode()
+            out[row] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+    def _learn(self, keys: np.ndarray, at: np.ndarray, words: list[bytes]) -> None:
+        plain = [k for k, w in enumerate(words) if _PLAIN_WORD.fullmatch(w)]
+        other = sorted(set(range(len(words))).difference(plain))
+        lengths, found = np.zeros(len(words), np.int64), []
+        for k in range(0, len(plain), JOINED_WORDS):
+            part = plain[k : k + JOINED_WORDS]
+            joined = b" ".join([words[i] for i in part]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            lengths[part] = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+            found.append(ids)
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([words[i].decode() for i in other], add_special_tokens=False), strict=True):
+            lengths[i] = len(e.ids)
+            found.append(np.array(e.ids, dtype="<u4"))
+        new = np.concatenate(found)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(new)] = new
+        order = np.array(plain + other)
+        place = np.empty(len(words), np.int64)
+        place[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
+        self.used += len(new)
+        self.keys, self.at, self.n = np.insert(self.keys, at, keys), np.insert(self.at, at, place), np.insert(self.n, at, lengths)
 
 
 @lru_cache(maxsize=2)
@@ -164,16 +241,10 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, open_windows: in
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            offsets, data = text_buffers(batch.column("text"))
-            whole = data.tobytes()
-            row = 0
-            while row < len(ids):
-                stop = min(len(ids), max(row + 1, int(np.searchsorted(offsets, offsets[row] + (4 << 20), "right")) - 1))
-                texts = [whole[offsets[k] : offsets[k + 1]] for k in range(row, stop)]
-                for doc_id, tokens in zip(ids[row:stop], encode(texts), strict=True):
+            for first, stop, offsets, data in text_slices(batch.column("text")):
+                for doc_id, tokens in zip(ids[first:stop], encode(offsets, data), strict=True):
                     tokens += end
                     packer.add(doc_id, 0, tokens, len(tokens) // 4)
-                row = stop
                 yield packer.take()
         packer.leave_open()
         yield packer.take()
