@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import chat, mixing, packing, pii, quality, secret_scan, warc
+from wordloom.llm import ann, chat, minhash, mixing, packing, pii, quality, secret_scan, warc
 from wordloom.llm._shared import spool
 
 
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
+def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.quality_rules(_table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -80,7 +89,7 @@ def op10_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_divergence, op4_warc_fixity, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online)}
+    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online)}
 
 
 def oracle_sql() -> dict[str, str]:
