@@ -18,13 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+def spool(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a replicated file, so later branches neither
-    recompute it nor depend on executors that may be lost.
+    recompute it nor depend on executors that may be lost.  Hashes and small
+    tables gain nothing from a codec, whose buffers outside the heap stay until
+    it is collected; tables with texts ask for one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -274,7 +274,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
     shuffled; one task merges those of ``MERGE_PARTITIONS`` partitions.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = spool(rows.mapInArrow(_pack_documents(tokenizer, end_id, capacity, open_windows, min_cut), PIECES), "packing")
+    packed = spool(rows.mapInArrow(_pack_documents(tokenizer, end_id, capacity, open_windows, min_cut), PIECES), "packing", "snappy")
     done, left = packed.where(~F.col("leftover")), packed.where("leftover")
     group = F.shiftright("sequence_id", 32)
     groups = left.agg(F.max(group)).first()[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, chat, minhash, mixing, packing, pii, quality, secret_scan, warc
+from wordloom.llm import ann, chat, minhash, mixing, packing, pii, quality, secret_scan, suffixes, warc
 from wordloom.llm._shared import spool
 
 
@@ -40,6 +40,12 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(index, other)
 
 
+def op5_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, n: s + n)
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -89,7 +95,7 @@ def op10_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online)}
+    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op5_suffix_radix, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online)}
 
 
 def oracle_sql() -> dict[str, str]:
