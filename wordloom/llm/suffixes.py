@@ -45,6 +45,8 @@ GROUP_BYTES = 2 << 20
 BUCKET_GROUPS = 8
 #: A digit that more groups have is refined at once.
 HOT_GROUPS = 512
+#: Suffixes that the passes hold at a time, on average.
+MATCHED = 500_000
 #: Suffixes in a run at most: one bit of a mask each.
 RUN = 32
 NO_ID = np.iinfo(np.int64).max
@@ -257,54 +259,68 @@ def _match(depth: int) -> Callable:
 def _match_bucket(sent: list[dict], depth: int, out: dict[str, list]) -> None:
     join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in sent])
     key, doc, runs, bit, n = join("keys", np.uint64), join("ids", np.int64), join("runs", "<u4"), join("bits", np.uint8), join("sizes", np.uint8).astype(np.int64)
-    data = np.frombuffer(b"".join(r["bytes"] for r in sent) + bytes(8), np.uint8)
+    data = np.frombuffer(b"".join(r.pop("bytes") for r in sent), np.uint8)
     size = n + depth - 1
     begin = np.cumsum(size) - size
-    run_of = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(len(run_of)) - np.repeat(np.cumsum(n) - n, n)
-    at = begin[run_of] + offset
-    repeated = radix_groups(data, at, doc[run_of], key[run_of], depth)
     masks = np.zeros(len(n), np.uint64)
-    np.bitwise_or.at(masks, run_of[repeated], np.uint64(1) << (offset[repeated].astype(np.uint64) + bit[run_of[repeated]].astype(np.uint64)))
-    row = np.repeat(np.arange(len(sent)), [len(r["ids"]) // 8 for r in sent])
-    for k in np.unique(row[masks > 0]).tolist():
-        x = np.flatnonzero((row == k) & (masks > 0)) if len(sent) < 64 else np.flatnonzero(masks[(a := int(np.searchsorted(row, k))) : int(np.searchsorted(row, k + 1))]) + a
-        out["group"].append(sent[k]["source"])
-        out["runs"].append(runs[x].astype("<u4").tobytes())
-        out["masks"].append(masks[x].astype("<u8").tobytes())
+    # digits in turn, so that the suffixes of a part of the bucket are held at a time
+    parts = -(-int(n.sum()) // MATCHED) or 1
+    part = mix(key) % np.uint64(parts)
+    for k in range(parts):
+        x = np.flatnonzero(part == np.uint64(k))
+        own = np.cumsum(size[x]) - size[x]
+        stretch = np.repeat(begin[x] - own, size[x]) + np.arange(int(size[x].sum()))
+        run_of = np.repeat(np.arange(len(x)), n[x])
+        offset = np.arange(len(run_of)) - np.repeat(np.cumsum(n[x]) - n[x], n[x])
+        repeated = radix_groups(data[stretch], own[run_of] + offset, doc[x][run_of], key[x][run_of], depth)
+        hit = run_of[repeated]
+        np.bitwise_or.at(masks, x[hit], np.uint64(1) << (offset[repeated].astype(np.uint64) + bit[x[hit]].astype(np.uint64)))
+    ends = np.cumsum([len(r["ids"]) // 8 for r in sent])
+    for r, a, b in zip(sent, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        x = np.flatnonzero(masks[a:b]) + a
+        if len(x):
+            out["group"].append(r["source"])
+            out["runs"].append(runs[x].astype("<u4").tobytes())
+            out["masks"].append(masks[x].astype("<u8").tobytes())
 
 
 def radix_groups(data: np.ndarray, at: np.ndarray, doc: np.ndarray, digit: np.ndarray, depth: int) -> np.ndarray:
     """Indices of the suffixes at ``at`` whose first ``depth`` bytes some suffix of a lesser doc has.
 
-    Passes, most significant digit first: ``digit``, a hash of the whole window,
-    then its bytes, eight at a time (the last pass overlaps the one before).
+    Passes, most significant digit first: ``digit`` with a hash of the whole
+    window, then the window's bytes, eight at a time (the last pass overlaps the
+    one before).
     """
-    eight = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
-    hashes = window_hashes(data, depth)
-    passes = [digit, hashes[at]] + [min(k, depth - 8) for k in range(0, depth, 8)]
-    alive = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
-    for digits in passes:
-        value = digits[alive] if isinstance(digits, np.ndarray) else eight[at[alive] + digits].astype(np.uint64)
-        if not len(alive):
-            return alive
-        tied = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
-        if not np.array_equal(tied, group[1:] == group[:-1]):  # somewhere tied suffixes differ: sort
-            order = np.lexsort((doc[alive], value, group))
-            alive, group, value = alive[order], group[order], value[order]
-            tied = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
-        first = np.flatnonzero(np.concatenate([[True], ~tied]))
-        count = np.diff(np.append(first, len(alive)))
-        low, high = np.minimum.reduceat(doc[alive], first), np.maximum.reduceat(doc[alive], first)
-        keep = np.repeat(low < high, count)
-        group = np.repeat(np.arange(len(first)), count)[keep]
-        alive = alive[keep]
-    if not len(alive):
-        return alive
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.repeat(np.minimum.reduceat(doc[alive], first), np.diff(np.append(first, len(alive))))
-    return alive[doc[alive] > least]
+    if not len(at):
+        return at
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    value = mix(digit ^ window_hashes(data, depth)[at])
+    alive = np.argsort(value)
+    value = value[alive]
+    tied = value[1:] == value[:-1]
+    for k in [-1, *(min(k, depth - 8) for k in range(0, depth, 8))]:
+        if k >= 0:
+            value = eight[at[alive] + k]
+            still = tied & (value[1:] == value[:-1])
+            if not np.array_equal(still, tied):  # somewhere tied suffixes differ: sort them, most significant byte first
+                group = np.cumsum(np.concatenate([[True], ~tied]))
+                order = np.lexsort((value.byteswap(), group))
+                alive, group, value = alive[order], group[order], value[order]
+                still = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
+            tied = still
+        if k in (-1, depth - 8):
+            first = np.flatnonzero(np.concatenate([[True], ~tied]))
+            count = np.diff(np.append(first, len(alive)))
+            docs = doc[alive]
+            low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+            keep = np.repeat(low < high, count)
+            if k >= 0:
+                return alive[docs > np.repeat(low, count)]
+            alive, tied = alive[keep], np.concatenate([[False], tied])[keep][1:]
+            if not len(alive):
+                return alive
+    return alive
 
 
 def _remove(depth: int, seed: int) -> Callable:
