@@ -85,7 +85,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read whole, for line order is defined within it only; files are spread over tasks.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("shard"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("shard"), "value")
     lines = files.select("shard", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     part = F.split(F.trim("line"), r"\s+")
     return lines.where(F.size(part) == 4).select("shard", "line_no", part[0].alias("filename"), part[1].try_cast("double").alias("start"), part[2].try_cast("double").alias("end"), part[3].alias("token"))

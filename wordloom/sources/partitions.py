@@ -41,4 +41,4 @@ def parse_partition(texts: DataFrame) -> DataFrame:
 
 
 def read_partition(spark: SparkSession, path: str) -> DataFrame:
-    return parse_partition(spark.read.option("wholetext", True).text(path))
+    return parse_partition(spark.read.text(path, wholetext=True))
