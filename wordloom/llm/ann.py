@@ -10,7 +10,9 @@ vector is put into one leaf of each tree; leaves are cut into parts of about
 A query searches all trees through one priority queue, ordered by the margin to
 the nearest split crossed so far, until the leaves taken hold ``search_share``
 of the index in expectation.  It is joined to the parts of these leaves; exact
-inner products rerank them in double precision.
+inner products rerank them in double precision.  A query also carries a score
+that ``PILOT`` times the wanted number of sample vectors reach, so the parts
+pass on nothing that is sure to be far from the answer.
 
 Equal vectors are one entry that carries the ``k + 1`` smallest of their ids:
 no answer can need more of them, so large groups of copies stay exact and small.
@@ -36,6 +38,7 @@ from wordloom.llm._shared import spool
 
 TREES, LEAF_ROWS, SAMPLE, SEARCH_SHARE = 10, 256, 16384, 0.8
 PART_ROWS, QUERY_BLOCK = 4096, 512
+PILOT = 4
 #: Pairs (query, neighbour) that a task holds before it passes its best ones on.
 HELD_QUERIES = 50_000
 
@@ -122,15 +125,18 @@ def _route(forest: Broadcast, norm: float) -> Callable:
     return run
 
 
-def _visit(forest: Broadcast, sizes: np.ndarray, parts: np.ndarray, wanted: float, total: int) -> Callable:
+def _visit(forest: Broadcast, pilot: Broadcast, sizes: np.ndarray, parts: np.ndarray, wanted: float, total: int, reach: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
         for b in batches:
             if not b.num_rows:
                 continue
-            points = _augment(_matrix(b.column("v")), 0.0)
+            plain = _matrix(b.column("v"))
+            points = _augment(plain, 0.0)
             for first in range(0, len(points), 256):
                 block = points[first : first + 256]
+                scores = plain[first : first + 256] @ pilot.value.T
+                floor = np.partition(scores, -reach, axis=1)[:, -reach] if scores.shape[1] >= reach else np.full(len(block), -np.inf)
                 heights = np.einsum("qd,tnd->qtn", block, f.normals) - f.limits
                 leaf, part, row = [], [], []
                 for k in range(len(block)):
@@ -140,7 +146,7 @@ def _visit(forest: Broadcast, sizes: np.ndarray, parts: np.ndarray, wanted: floa
                         part += range(n)
                         row += [first + k] * n
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int32()), b.column("id").take(take), b.column("v").take(take)], names=["leaf", "part", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int32()), b.column("id").take(take), b.column("v").take(take), pa.array(floor[np.array(row, np.int64) - first])], names=["leaf", "part", "id", "v", "floor"])
 
     return run
 
@@ -167,7 +173,7 @@ def _rerank(k: int) -> Callable:
         at, ids, vectors = None, [], []
         for b in batches:
             keys = list(zip(b.column("leaf").to_pylist(), b.column("part").to_pylist(), b.column("kind").to_pylist(), strict=True))
-            points, row_ids = _matrix(b.column("v")), b.column("id").to_numpy()
+            points, row_ids, floor = _matrix(b.column("v")), b.column("id").to_numpy(), b.column("floor").to_numpy()
             row = 0
             while row < len(keys):
                 end = row + 1
@@ -182,13 +188,13 @@ def _rerank(k: int) -> Callable:
                     all_ids, matrix = np.concatenate(ids), np.concatenate(vectors)
                     ids, vectors = [all_ids], [matrix]
                     scores = points[row:end] @ matrix.T
-                    for q, s in zip(row_ids[row:end].tolist(), scores, strict=True):
-                        if len(s) > 2 * k:  # all that tie with the k-th stay
+                    for q, s, least in zip(row_ids[row:end].tolist(), scores, floor[row:end].tolist(), strict=True):
+                        keep = np.flatnonzero(s >= least - 1e-9)
+                        if len(keep) > 2 * k:  # all that tie with the k-th stay
                             keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                            new = all_ids[keep], s[keep]
-                        else:
-                            new = all_ids, s
-                        old = held.get(q)
+                        if not len(keep):
+                            continue
+                        new, old = (all_ids[keep], s[keep]), held.get(q)
                         held[q] = best(*new) if old is None else best(np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
                 row = end
             if len(held) > HELD_QUERIES:
@@ -232,6 +238,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     norm = float(np.sqrt(points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]))
     depth = max(0, int(np.ceil(np.log2(max(1, min(total / LEAF_ROWS, len(vectors) / 8))))))
     forest = spark.sparkContext.broadcast(Forest(_augment(vectors, norm), trees, depth))
+    pilot = spark.sparkContext.broadcast(vectors)
     routed = spool(entries.select("id", "v").mapInArrow(_route(forest, norm), "leaf long, id long, v binary"), "ann")
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in routed.groupBy("leaf").count().collect():  # trees x leaves rows
@@ -239,9 +246,9 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     parts = np.maximum(-(-sizes // PART_ROWS), 1)
     counts = spark.createDataFrame([((t << 32) + x, int(parts[t, x])) for t in range(trees) for x in range(1 << depth)], "leaf long, parts int")
     routed = routed.join(F.broadcast(counts), "leaf")  # trees x leaves rows
-    stored = routed.select("leaf", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v")
-    visits = asked.mapInArrow(_visit(forest, sizes, parts, search_share, total), "leaf long, part int, id long, v binary")
-    both = stored.unionByName(visits.select("leaf", "part", F.lit(1).alias("kind"), "id", "v"))
+    stored = routed.select("leaf", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("floor"))
+    visits = asked.mapInArrow(_visit(forest, pilot, sizes, parts, search_share, total, PILOT * (k + 1)), "leaf long, part int, id long, v binary, floor double")
+    both = stored.unionByName(visits.select("leaf", "part", F.lit(1).alias("kind"), "id", "v", "floor"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scored = both.repartition(tasks, "leaf", "part").sortWithinPartitions("leaf", "part", "kind", "id").mapInArrow(_rerank(k + 1), "query_id long, id long, score double")
     nearest = scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
