@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,18 @@ def spool(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     path = f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows, for what is run inside: texts and sets are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -10,12 +10,13 @@ precise at high similarity.  Candidates whose count cannot come from similar
 sets (an error below 1e-7 for each pair) are dropped; the others are confirmed
 on the full sets.
 
-Not all pairs of a bucket are looked at by name.  First each class takes the
-most similar earlier class of its buckets; confirmed links join classes.  Then,
-in buckets that still hold several components, the members outside the largest
-one are compared with all members of other components, in blocks, and each pair
-that its sketches let through is confirmed.  So no link between components is
-left out, and pairs within a component are never made.
+Not all pairs of a bucket are made.  First each class takes the most similar
+earlier class of its buckets; confirmed links join classes.  Then, around the
+largest component of each bucket that still holds several, the members of the
+others are compared with it and with each other, in blocks; the tasks hold the
+sets, test each pair that the sketches let through until its components are
+joined, and pass on links only.  So no link between components is left out,
+pairs within a component are never made, and rows are those of members.
 
 Defined results: a document without words has an empty set and no links; a null
 text counts as empty; rows that share an id are one document with the links of
@@ -33,27 +34,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm._bytes import GOLDEN, mix, text_slices, word_bounds, word_hashes
-from wordloom.llm._shared import spool
+from wordloom.llm._shared import small_batches, spool
 from wordloom.llm.components import components
 
 BANDS, ROWS = 32, 5
-SKETCH_BITS = 512
-#: Rows of a bucket that one block holds.
-BLOCK = 1024
+#: Samples behind the odd sketch (the first BANDS * ROWS of them also make the bands) and its bits.
+SAMPLES, SKETCH_BITS = 320, 1024
+#: Rows that one block of a bucket or of a hub's stragglers holds, on average.
+BLOCK = 512
 #: A list of ids is sent to all executors only up to this many rows (8 MB of ids).
 BROADCAST_ROWS = 1_000_000
 
-_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
-_SALTS = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64) * GOLDEN)
+_FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+_SALTS = mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64) * GOLDEN)
 
 
-def sketch_limit(percent: int, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS, sigmas: float = 5.2) -> int:
-    """The largest XOR population count that sets of this similarity can be expected to show."""
+def sketch_limit(percent: int, samples: int = SAMPLES, bits: int = SKETCH_BITS, sigmas: float = 5.2) -> int:
+    """The largest XOR population count that sets of this similarity can be expected to show.
+
+    Two sources of spread: how many samples differ, and how their flips meet in the bitmap.
+    """
     differ = samples * (1 - percent / 100)
-    spread = math.sqrt(differ * percent / 100)
-    flips = 2 * (differ + sigmas * spread)
+    flips = 2 * differ
     expected = bits / 2 * (1 - (1 - 2 / bits) ** flips)
-    return math.ceil(expected + sigmas / 2 * math.sqrt(expected / 2))
+    slope = 2 * (1 - 2 / bits) ** flips
+    met = bits / 4 * (1 - (1 - 4 / bits) ** flips) + bits**2 / 4 * ((1 - 4 / bits) ** flips - (1 - 2 / bits) ** (2 * flips))
+    return math.ceil(expected + sigmas * math.sqrt(slope**2 * differ * percent / 100 + max(met, 0)))
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +110,17 @@ def _signature_batch(ids: pa.Array, rows: np.ndarray, hashes: np.ndarray) -> pa.
     counts = np.bincount(rows, minlength=n)
     some = np.flatnonzero(counts)
     starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]]).astype(np.int64) if len(some) else np.zeros(0, np.int64)
-    samples = np.zeros((len(some), BANDS * ROWS), np.uint64)
+    samples = np.zeros((len(some), SAMPLES), np.uint64)
     prints = np.zeros((n, 2), np.uint64)
     if len(some):
-        for k in range(BANDS * ROWS):
+        for k in range(SAMPLES):
             samples[:, k] = np.minimum.reduceat(hashes * _FACTORS[k], starts)
         prints[some, 0] = np.add.reduceat(hashes, starts)
         prints[some, 1] = np.add.reduceat(mix(hashes ^ _SALTS[0]), starts)
     mixed = mix(samples + _SALTS)
     keys = np.zeros((len(some), BANDS), np.uint64)
     for j in range(ROWS):
-        keys = mix(keys * GOLDEN + mixed[:, j::ROWS])
+        keys = mix(keys * GOLDEN + mixed[:, j : BANDS * ROWS : ROWS])
     bits = (mix(mixed ^ _SALTS) % np.uint64(SKETCH_BITS)).astype(np.int64)
     flat = np.bincount((np.arange(len(some))[:, None] * SKETCH_BITS + bits).ravel(), minlength=len(some) * SKETCH_BITS) & 1
     packed = np.packbits(flat.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1) if len(some) else np.zeros((0, SKETCH_BITS // 8), np.uint8)
@@ -199,30 +205,81 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(np.int64))], names=["a", "b", "differ"])
 
 
-def _across(limit: int) -> Callable:
-    """Rows sorted by (key, block, kind): a block of stragglers (kind 0), then all members of the bucket."""
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |intersection| >= percent * |union| for sorted distinct hashes."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+class _Unions:
+    """Component labels that links join."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _across(limit: int, percent: int) -> Callable:
+    """Links between components around a hub, of rows sorted by (hub, block, kind): a block of
+    stragglers (kind 0), then the hub's members (kind 1) and all its stragglers (kind 2).
+
+    Pairs are tested on their sets, the most similar sketches first, unless links found here have
+    joined their components; only links are passed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, block = None, [], None
+        at, held, block, unions = None, [], None, _Unions()
         for batch in batches:
-            for t in _runs(iter([batch]), ["key", "block", "kind"]):
-                key = (t.column("key")[0].as_py(), t.column("block")[0].as_py())
+            for t in _runs(iter([batch]), ["hub", "block", "kind"]):
+                key = (t.column("hub")[0].as_py(), t.column("block")[0].as_py())
+                kind = t.column("kind")[0].as_py()
                 if key != at:
-                    at, held, block = key, [], None
-                if t.column("kind")[0].as_py() == 0:
+                    at, held, block, unions = key, [], None, _Unions()
+                if kind == 0:
                     held.append(t)
                     continue
                 if held:
-                    block, held = pa.concat_tables(held), []
+                    block, held = unpack(pa.concat_tables(held)), []
                 if block is None:
                     continue
-                ids, comps, sketch = block.column("rep").to_numpy(), block.column("component").to_numpy(), _words(block.column("sketch").to_pylist())
                 for first in range(0, t.num_rows, BLOCK):
-                    part = t.slice(first, BLOCK)
-                    other, other_comps = part.column("rep").to_numpy(), part.column("component").to_numpy()
-                    d = _differences(sketch, _words(part.column("sketch").to_pylist()))
-                    i, j = np.nonzero((d <= limit) & (comps[:, None] != other_comps[None, :]))
-                    yield _pairs([(np.maximum(ids[i], other[j]), np.minimum(ids[i], other[j]), d[i, j])])
+                    links = between(block, unpack(t.slice(first, BLOCK)), kind == 2, unions)
+                    if links:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def unpack(t: pa.Table) -> tuple:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        return t.column("rep").to_pylist(), t.column("component").to_numpy(), _words(t.column("sketch").to_pylist()), sets
+
+    def between(own: tuple, other: tuple, both_stray: bool, unions: _Unions) -> list[tuple[int, int]]:
+        ids, comps, sketch, sets = own
+        their_ids, their_comps, their_sketch, their_sets = other
+        d = _differences(sketch, their_sketch)
+        d[comps[:, None] == their_comps[None, :]] = SKETCH_BITS + 1
+        if both_stray:  # each pair of stragglers once
+            d[np.array(ids)[:, None] < np.array(their_ids)[None, :]] = SKETCH_BITS + 1
+        i, j = np.nonzero(d <= limit)
+        order = np.argsort(d[i, j], kind="stable")
+        out = []
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            p, q = unions.root(int(comps[x])), unions.root(int(their_comps[y]))
+            if p != q and _alike(sets[x], their_sets[y], percent):
+                unions.join(p, q)
+                out.append((max(ids[x], their_ids[y]), min(ids[x], their_ids[y])))
+        return out
 
     return run
 
@@ -246,8 +303,7 @@ def _confirm(percent: int) -> Callable:
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
-                keep.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
+                keep.append(len(a) > 0 and len(b) > 0 and _alike(a, b, percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -270,12 +326,51 @@ def _block(count: Column, row: Column) -> Column:
     return F.pmod(F.xxhash64(row), F.ceil(count / BLOCK)).cast("long")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """a, b with a > b: the most similar pair of each a."""
+    best = pairs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _open_links(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, sets: DataFrame, tasks: int, limit: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket.
+
+    A bucket's hub is the largest component in it; the bucket's other members
+    are the hub's stragglers.  Each hub has its members and stragglers, from all
+    buckets, once; blocks of stragglers are compared with both.  So any two
+    members of a bucket in different components meet around a hub, and rows are
+    those of members, not of pairs.
+    """
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    labelled = buckets.join(joined.join(sizes, "component").select(F.col("node").alias("rep"), "component", "size"), "rep", "left")
+    labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    labelled = spool(labelled, "minhash")
+    hubs = labelled.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
+    hubs = hubs.where("low <> high").select("key", F.col("top.component").alias("hub"))
+    around = labelled.join(hubs, "key").select("hub", "rep", "component").distinct()
+    held = around.join(sketches, "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    held = spool(held, "minhash")
+    strays = around.where("component <> hub").groupBy("hub").agg(F.count(F.lit(1)).alias("stray"))
+    rows = held.join(strays, "hub")
+    payload = ["rep", "component", "sketch", "shingles"]
+    stray = rows.where("component <> hub").select("hub", _block(F.col("stray"), F.col("rep")).alias("block"), F.lit(0).alias("kind"), *payload)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("stray") / BLOCK) - 1)).alias("block")
+    everyone = rows.select("hub", each, F.when(F.col("component") == F.col("hub"), 1).otherwise(2).alias("kind"), *payload)
+    both = stray.union(everyone).repartition(tasks, "hub", "block").sortWithinPartitions("hub", "block", "kind")
+    return both.mapInArrow(_across(limit, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable), kept (it is that id).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of
     their sets of ``size``-word shingles.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, size, percent)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     limit = sketch_limit(percent)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -300,28 +395,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     near = blocks.repartition(tasks, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_nearest_earlier(limit), "a long, b long, differ long")
     firsts = buckets.where(F.col("n") > BLOCK).groupBy("key", "least", _block(F.col("n"), F.col("rep")).alias("block")).agg(F.min("rep").alias("a"))
     near = near.union(firsts.where("a <> least").select("a", F.col("least").alias("b"), F.lit(SKETCH_BITS).cast("long")))
-    best = near.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    tested = spool(best, "minhash")
+    tested = spool(_best(near), "minhash")
     links = spool(_confirmed(tested, sets, percent), "minhash")
-    joined = components(links)
-
-    # second pass: what still lies in different components of a bucket
-    labelled = buckets.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = spool(labelled, "minhash")
-    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    open_keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all")).where("parts > 1")
-    open_rows = labelled.join(open_keys.select("key", F.col("top.component").alias("largest"), (F.col("all") - F.col("top.m")).alias("stray")), "key").join(sketches, "rep")
-    open_rows = spool(open_rows, "minhash")
-    stray = open_rows.where("component <> largest").select("key", _block(F.col("stray"), F.col("rep")).alias("block"), F.lit(0).alias("kind"), "rep", "component", "sketch")
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("stray") / BLOCK) - 1)).alias("block")
-    everyone = open_rows.select("key", each, F.lit(1).alias("kind"), "rep", "component", "sketch")
-    across = stray.union(everyone).repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(_across(limit), "a long, b long, differ long")
-    rest = spool(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "minhash")
-    links = links.union(_confirmed(rest, sets, percent))
     joined = spool(components(links), "minhash")
 
-    found = signed.join(classes, prints, "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    # then what lies in different components of a bucket
+    found = spool(_open_links(buckets, joined, sketches, sets, tasks, limit, percent), "minhash")
+    if not found.isEmpty():
+        joined = spool(components(links.union(found)), "minhash")
+
+    out = signed.join(classes, prints, "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
 
 
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of the least document of each group of near-duplicates.
+
+    Of rows that share an id one stays.  A null id has no group; its rows stay.
+    """
+    judged = spool(near_duplicates(docs, size, percent).select("doc_id", "kept").where("doc_id is not null"), "minhash")
+    gone = _checked(judged.where("not kept").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti")
+    repeated = spool(judged.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "minhash")
+    if not repeated.isEmpty():
+        again = _checked(repeated)
+        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
