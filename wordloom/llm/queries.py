@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, chat, minhash, mixing, packing, pii, quality, secret_scan, suffixes, warc
+from wordloom.llm import ann, chat, minhash, mixing, oracles, packing, pii, quality, secret_scan, suffixes, warc
 from wordloom.llm._shared import spool
 
 
@@ -37,7 +37,9 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     index = spool(warc.archive(pages), "warc-index")
     other = spool(warc.damaged(pages, index, "replica", WARC_ALTERED, WARC_LOST), "warc-index")
-    return warc.audit(index, other)
+    found = warc.audit(index, other)
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "length", "other_n", "other_length")]
+    return found.select("file_id", "offset", "status", *numbers, F.coalesce("digest", F.lit("")).alias("digest"), F.coalesce("other_digest", F.lit("")).alias("other_digest"))
 
 
 def op5_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracles(MIX_WEIGHTS, WARC_ALTERED, WARC_LOST)
