@@ -59,6 +59,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, defau
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default_weight: float = 1.0, budget: float = 1.0, seed: int = 7) -> DataFrame:
     """All columns of ``docs`` with copy_id (from 0) and source_rate, in a shuffled order.
 
+    If ``docs`` has a column of such a name, it stays and the new one is called wordloom_mix_*.
+
     ``budget`` is the expected number of copies as a multiple of the documents.
     The rates, a row for each source, are a written table, so Spark knows their
     size: it sends them to all executors only under its broadcast threshold and
@@ -67,16 +69,17 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default
     rates = spool(source_rates(docs, weights, default_weight, budget), "mixing")
     key = F.coalesce(F.col("source"), F.lit("\\0"))
     rated = docs.withColumn(PREFIX + "key", key).join(
-        rates.select(key.alias(PREFIX + "key"), F.col("rate").alias("source_rate")), PREFIX + "key", "left"
+        rates.select(key.alias(PREFIX + "key"), F.col("rate").alias(PREFIX + "source_rate")), PREFIX + "key", "left"
     )
     mark = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    parts = F.greatest(F.ceil(F.col("source_rate") / PART_MEAN).cast("int"), F.lit(1))
-    draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(uniform(seed, F.col("doc_id"), F.col(PREFIX + "mark"), j), F.col("source_rate") / parts))
+    parts = F.greatest(F.ceil(F.col(PREFIX + "source_rate") / PART_MEAN).cast("int"), F.lit(1))
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(uniform(seed, F.col("doc_id"), F.col(PREFIX + "mark"), j), F.col(PREFIX + "source_rate") / parts))
     copies = F.aggregate(draws, F.lit(0), lambda a, k: a + k)
     counted = rated.withColumn(PREFIX + "mark", mark).withColumn(PREFIX + "copies", copies).where(F.col(PREFIX + "copies") > 0)
-    spread = counted.withColumn("copy_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col(PREFIX + "copies").cast("long") - 1)))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(PREFIX + "mark"), F.col("copy_id"))
+    spread = counted.withColumn(PREFIX + "copy_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col(PREFIX + "copies").cast("long") - 1)))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(PREFIX + "mark"), F.col(PREFIX + "copy_id"))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     shuffled = spread.withColumn(PREFIX + "place", place).repartition(tasks, PREFIX + "place").sortWithinPartitions(PREFIX + "place")
-    return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_id", "source_rate")
+    added = [F.col(PREFIX + c).alias(PREFIX + c if c in docs.columns else c) for c in ("copy_id", "source_rate")]
+    return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 

@@ -212,7 +212,10 @@ def salts(found: DataFrame, secret: str, most_rounds: int = 32) -> DataFrame:
 
 
 def surrogate(docs: DataFrame, secret: str = "wordloom") -> DataFrame:
-    """``docs`` with entities in ``text`` replaced, and pii_counts map<type, count>."""
+    """``docs`` with entities in ``text`` replaced, and pii_counts map<type, count>.
+
+    If ``docs`` has a column pii_counts, it stays and the new one is called wordloom_pii_counts.
+    """
     found = spool(entities(docs), "pii")
     exceptions = salts(found, secret)
     by_doc = spool(found.join(exceptions, "id").groupBy("doc_id").agg(F.collect_set(F.struct("id", "salt")).alias("wordloom_salts")), "pii-salts")
@@ -240,5 +243,7 @@ def surrogate(docs: DataFrame, secret: str = "wordloom") -> DataFrame:
         return F.size(F.filter(kinds, lambda k: k == name)).cast("long")
 
     counts = F.map_from_arrays(F.array(*[F.lit(n) for n, _ in TYPES]), F.array(*[count(n) for n, _ in TYPES]))
-    out = out.withColumn("pii_counts", counts)
-    return out.withColumn("text", F.when(changed, F.array_join(written, "")).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns], "pii_counts")
+    name = "wordloom_pii_counts" if "pii_counts" in docs.columns else "pii_counts"
+    text = F.when(changed, F.array_join(written, "")).otherwise(F.col("text"))
+    kept = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*kept, counts.alias(name))

@@ -15,12 +15,13 @@ by itself; extra columns are kept by ``filter_documents`` and ignored by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.llm._bytes import text_buffers, text_slices, word_bounds, word_hashes
 from wordloom.llm._shared import spool
@@ -36,6 +37,7 @@ DIMENSIONS = sorted({w for words in COMMON_WORDS.values() for w in words.split()
 #: Classes of code points: a-z, A-Z, 0-9, white space, sentence marks, other ASCII, beyond ASCII.
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "wide")
 WINDOW = 8
+PREFIX = "wordloom_quality_"
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 #: Documents with fewer words are not judged by divergence.
 GUARD_WORDS = 50
@@ -120,34 +122,42 @@ def _counts(offsets: np.ndarray, data: np.ndarray, dims: tuple[np.ndarray, np.nd
     return [n_words, word_chars, symbols, dup_lines, covered, classes, np.column_stack([common, n_words - common.sum(axis=1)])]
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _hash_of(DIMENSIONS)
-    order = np.argsort(hashes)
-    dims = (hashes[order], order)
-    for batch in batches:
-        for first, end, offsets, data in text_slices(batch.column("text")):
-            part = batch.slice(first, end - first)
-            keep = [part.column(i) for i, f in enumerate(part.schema) if f.name != "text"]
-            names = [f.name for f in part.schema if f.name != "text"]
-            found = []
-            for (_, kind), x in zip(_COUNT_FIELDS, _counts(offsets, data, dims), strict=True):
-                if pa.types.is_list(kind):
-                    found.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())))
-                else:
-                    found.append(pa.array(x, pa.int64()))
-            yield pa.RecordBatch.from_arrays(keep + found, names=names + [f for f, _ in _COUNT_FIELDS])
+def _measure(prefix: str, keep_text: bool) -> Callable:
+    """Appends the counts, their names under ``prefix``, to all columns (or all but the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _hash_of(DIMENSIONS)
+        order = np.argsort(hashes)
+        dims = (hashes[order], order)
+        for batch in batches:
+            for first, end, offsets, data in text_slices(batch.column("text")):
+                part = batch.slice(first, end - first)
+                keep = [(f.name, part.column(i)) for i, f in enumerate(part.schema) if keep_text or f.name != "text"]
+                for (name, kind), x in zip(_COUNT_FIELDS, _counts(offsets, data, dims), strict=True):
+                    if pa.types.is_list(kind):
+                        column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                    else:
+                        column = pa.array(x, pa.int64())
+                    keep.append((prefix + name, column))
+                yield pa.RecordBatch.from_arrays([c for _, c in keep], names=[n for n, _ in keep])
+
+    return run
+
+
+def _base_failed(prefix: str = "") -> Column:
+    n_words, repeated = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (n_words < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n_words)
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang and the counts of each document; no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    measured = rows.mapInArrow(_measure, f"doc_id long, lang string, {_COUNTS}")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return measured.withColumn("base_failed", failed)
+    measured = rows.mapInArrow(_measure("", False), f"doc_id long, lang string, {_COUNTS}")
+    return measured.withColumn("base_failed", _base_failed())
 
 
 def references(measured: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame:
-    """lang, ref_classes, ref_common: histograms pooled over all documents of a language that pass.
+    """wordloom_ref_lang, wordloom_ref_classes, wordloom_ref_common: histograms pooled over all documents of a language that pass.
 
     The sums are of fixed width, so partial aggregation sends one row for each
     language and task; the result has one row for each language.
@@ -157,9 +167,9 @@ def references(measured: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(DIMENSIONS) + 1)]
     pooled = clean.groupBy("lang").agg(*sums)
     return pooled.select(
-        F.col("lang").alias("ref_lang"),
-        F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"),
-        F.array(*[f"w{i}" for i in range(len(DIMENSIONS) + 1)]).alias("ref_common"),
+        F.col("lang").alias("wordloom_ref_lang"),
+        F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("wordloom_ref_classes"),
+        F.array(*[f"w{i}" for i in range(len(DIMENSIONS) + 1)]).alias("wordloom_ref_common"),
     )
 
 
@@ -168,14 +178,29 @@ def divergence(a: Column, b: Column) -> Column:
 
     def shares(x: Column) -> Column:
         total = F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-        return F.transform(x, lambda v: v / total)
+        return F.transform(x, lambda v: F.try_divide(v, total))
 
     def half(p: Column, q: Column) -> Column:
-        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
+        return F.when(p.isNull() | q.isNull(), F.lit(None)).when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
     return F.aggregate(F.zip_with(shares(a), shares(b), lambda p, q: (half(p, q) + half(q, p)) / 2), F.lit(0.0), lambda s, v: s + v)
 
 
+def _judged(measured: DataFrame, refs: DataFrame, guard_words: int, limits: tuple[float, float, float], prefix: str = "") -> DataFrame:
+    """``measured`` with base_failed, class_divergence, word_divergence and kept under ``prefix``."""
+    name = lambda c: F.col(prefix + c)
+    # a written table with one row for each language: Spark broadcasts it only under its threshold
+    joined = measured.join(refs, F.col("lang").eqNullSafe(F.col("wordloom_ref_lang")), "left")
+    joined = joined.withColumns({
+        prefix + "base_failed": _base_failed(prefix),
+        prefix + "class_divergence": divergence(name("classes"), F.col("wordloom_ref_classes")),
+        prefix + "word_divergence": divergence(name("common"), F.col("wordloom_ref_common")),
+    })
+    most_class, most_word, chance = limits
+    odd = (name("class_divergence") > most_class) | (name("word_divergence") > most_word + chance / F.greatest(name("n_words"), F.lit(1)))
+    return joined.withColumn(prefix + "kept", ~name("base_failed") & ~((name("n_words") >= guard_words) & F.coalesce(odd, F.lit(False))))
+
+
 def quality_rules(
     docs: DataFrame,
     guard_words: int = GUARD_WORDS,
@@ -188,13 +213,18 @@ def quality_rules(
     The counts are written once and read for both the references and the verdict.
     """
     measured = spool(measure(docs), "quality")
-    # one row for each language, of known size: Spark broadcasts it only under its threshold
-    judged = measured.join(spool(references(measured, guard_words), "quality"), measured["lang"].eqNullSafe(F.col("ref_lang")), "left")
-    judged = judged.withColumn("class_divergence", divergence(F.col("classes"), F.col("ref_classes"))).withColumn(
-        "word_divergence", divergence(F.col("common"), F.col("ref_common"))
-    )
-    odd = (F.col("class_divergence") > max_class_divergence) | (F.col("word_divergence") > max_word_divergence + word_chance / F.col("n_words"))
-    kept = ~F.col("base_failed") & ~((F.col("n_words") >= guard_words) & F.coalesce(odd, F.lit(False)))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", kept.alias("kept")
-    )
+    refs = spool(references(measured, guard_words), "quality")
+    judged = _judged(measured, refs, guard_words, (max_class_divergence, max_word_divergence, word_chance))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", "kept")
+
+
+def filter_documents(docs: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`quality_rules` keeps; each row is judged by itself.
+
+    The texts are read twice, for the references and for the verdict, and not shuffled.
+    """
+    refs = spool(references(spool(measure(docs), "quality"), guard_words), "quality")
+    counts = ", ".join(PREFIX + c for c in _COUNTS.split(", "))
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(counts).fields])
+    judged = _judged(docs.mapInArrow(_measure(PREFIX, True), schema), refs, guard_words, (MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE, WORD_CHANCE), PREFIX)
+    return judged.where(PREFIX + "kept").select(*[F.col(f"`{c}`") for c in docs.columns])
