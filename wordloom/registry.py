@@ -561,7 +561,8 @@ def partition_roundtrip(spark, sf_dir):
     return parse_partition(blocks.select(F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("value"))).drop("rest")
 
 
-@register()
+@register(f"""WITH RECURSIVE {COS}, {COMPONENTS}, tc AS (SELECT split_part(node, '_', 1) AS t, c, count(*) AS n FROM (SELECT a AS node_id, min(b) AS c FROM reach GROUP BY a) JOIN ids USING (node_id) GROUP BY ALL),
+  {ENT} SELECT * FROM ({PURITY.format('purity', 'c')}), ({PURITY.format('completeness_star', 't')}), ({VM}), ({COUNTS})""")
 def graph_flow_cos(spark, sf_dir):
     return flows.flagship(spark, sf_dir, COSINE)
 
