@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ SENTINEL, STAND_IN = "", ""
 BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once and not wherever a lambda mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unmarked(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SENTINEL, STAND_IN)
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._native import SENTINEL, STAND_IN, cut_at, unmarked
+from wordloom.llm._native import cut_at, let, unmarked
 from wordloom.llm._shared import spool
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -61,6 +61,22 @@ ROUNDS = 4
 _KEPT_HEAD = {"phone": r"^\+[0-9]{1,3}(?=[ .(-])", "iban": r"^[A-Z]{2}"}
 
 
+#: Every title holds one of these; every other entity holds a digit or an at sign.
+_HINTS = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Don", "Ms", "Miss", "Frau", "Sra", "Madame", "Mme", "Doña", "Dr", "Prof")
+
+
+def _cut(text: Column) -> Column:
+    """The text cut at its entities; one without any hint of them is a single piece, which saves the long pattern."""
+
+    def cut(t: Column) -> Column:
+        hint = t.rlike("[0-9@]")
+        for word in _HINTS:
+            hint = hint | t.contains(word)
+        return F.when(hint, cut_at(t, ANY)).otherwise(F.array(t))
+
+    return let(text, cut)
+
+
 def _type(piece: Column) -> Column:
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(TYPES):
@@ -69,15 +85,24 @@ def _type(piece: Column) -> Column:
 
 
 def _frame(kind: Column, piece: Column) -> Column:
-    """struct<head, body, tail>: what stays, what is replaced, what stays."""
+    """struct<kind, head, body, tail>: what stays, what is replaced, what stays."""
     head = F.lit("")
     for name, pattern in _KEPT_HEAD.items():
         head = F.when(kind == name, F.regexp_extract(piece, pattern, 0)).otherwise(head)
     titles = "|".join(t for t, _ in TITLES)
     head = F.when(kind == "person", F.regexp_extract(piece, rf"^(?:{titles}) (?:{_NAME} (?={_NAME}))?", 0)).otherwise(head)
     tail = F.when(kind == "email", F.regexp_extract(piece, r"\.[A-Za-z]{2,}$", 0)).otherwise(F.lit(""))
-    body = piece.substr(F.char_length(head) + 1, F.char_length(piece) - F.char_length(head) - F.char_length(tail))
-    return F.struct(kind.alias("kind"), head.alias("head"), body.alias("body"), tail.alias("tail"))
+
+    def split(x: Column) -> Column:
+        size = F.char_length(piece) - F.char_length(x["head"]) - F.char_length(x["tail"])
+        body = piece.substr(F.char_length(x["head"]) + 1, size)
+        return F.struct(kind.alias("kind"), x["head"].alias("head"), body.alias("body"), x["tail"].alias("tail"))
+
+    return let(F.struct(head.alias("head"), tail.alias("tail")), split)
+
+
+def _framed(piece: Column) -> Column:
+    return let(_type(piece), lambda kind: _frame(kind, piece))
 
 
 def _class(c: Column) -> Column:
@@ -104,47 +129,60 @@ def _symbols(x: Column) -> Column:
 
 def canonical(x: Column) -> Column:
     """The key of an entity: type, kept parts and symbols; case and separators do not count."""
-    values = F.array_join(F.transform(_symbols(x), lambda s: F.concat(F.when(s["k"] < 0, F.lit(".")).otherwise(F.lit("")), s["k"].cast("string"), F.lit(":"), s["v"].cast("string"))), ",")
+    return let(_symbols(x), lambda symbols: _key(x, symbols))
+
+
+def _key(x: Column, symbols: Column) -> Column:
+    values = F.array_join(F.transform(symbols, lambda s: F.concat_ws(":", s["k"].cast("string"), s["v"].cast("string"))), ",")
     kept = F.regexp_replace(F.lower(F.concat(x["head"], x["tail"])), "[^\\p{L}0-9]", "")
     return F.concat_ws("/", x["kind"], kept, values)
 
 
 def _permuted(symbols: Column, key: Column) -> Column:
-    """A keyed permutation of the symbol strings of one pattern of classes."""
+    """A keyed permutation of the symbol strings of one pattern of classes.  Both arguments are lambda variables."""
     half = F.floor(F.size(symbols) / 2).cast("int")
-    seed = F.struct(F.slice(symbols, 1, half).alias("a"), F.slice(symbols, half + 1, F.size(symbols)).alias("b"))
+    seed = F.struct(F.slice(symbols, 1, half).alias("a"), F.slice(symbols, half + 1, F.greatest(F.size(symbols), F.lit(1))).alias("b"))
 
     def one_round(s: Column, r: Column) -> Column:
-        other = F.transform(s["b"], lambda y: y["v"])
-        classes = F.transform(s["b"], lambda y: y["k"])
-        moved = F.transform(
-            s["a"],
-            lambda y, i: F.struct(F.pmod(y["v"] + F.pmod(F.xxhash64(key, r, i, other, classes), F.lit(1 << 20)), y["n"]).cast("int").alias("v"), y["n"].alias("n"), y["k"].alias("k")),
-        )
-        return F.struct(s["b"].alias("a"), moved.alias("b"))
+        """The left half moves by what a keyed hash makes of the right one; then they change places."""
+        pad = F.xxhash64(key, r, F.transform(s["b"], lambda y: y["v"]), F.transform(s["b"], lambda y: y["k"]))
+
+        def moved(p: Column) -> Column:
+            step = lambda i: F.pmod(F.xxhash64(p, i), F.lit(1 << 20))
+            shifted = lambda y, i: F.struct(F.pmod(y["v"] + step(i), y["n"]).cast("int").alias("v"), y["n"].alias("n"), y["k"].alias("k"))
+            return F.struct(s["b"].alias("a"), F.transform(s["a"], shifted).alias("b"))
+
+        return let(pad, moved)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), seed, one_round)
-    return F.concat(done["a"], done["b"])
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), seed, one_round), lambda done: F.concat(done["a"], done["b"]))
 
 
 def _luhn(digits: Column, over_check: bool) -> Column:
-    """Luhn sum modulo 10 of an array of digit values; ``over_check``: the last one is the check digit."""
+    """Luhn sum modulo 10 of an array of digit values (a lambda variable); ``over_check``: the last one is the check digit."""
     shift = 0 if over_check else 1
     n = F.size(digits)
     doubled = F.transform(digits, lambda d, i: F.when(F.pmod(n - i + shift, F.lit(2)) == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d))
     return F.pmod(F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10))
 
 
+def _values(symbols: Column) -> Column:
+    return F.transform(symbols, lambda s: s["v"])
+
+
 def _replaced(x: Column, secret: str, salt: Column) -> Column:
     """Symbols of the surrogate of a framed entity."""
     key = F.sha2(F.concat_ws("/", F.lit(secret), x["kind"], F.lower(x["head"]), salt.cast("string")), 256)
-    symbols = _symbols(x)
-    values = F.transform(symbols, lambda s: s["v"])
-    valid = (x["kind"] == "card") & (_luhn(values, True) == 0)
-    bare = _permuted(F.slice(symbols, 1, F.size(symbols) - 1), key)
-    check = F.pmod(10 - _luhn(F.transform(bare, lambda s: s["v"]), False), F.lit(10))
-    checked = F.concat(bare, F.array(F.struct(check.cast("int").alias("v"), F.lit(10).alias("n"), F.lit(0).alias("k"))))
-    return F.when(valid, checked).otherwise(_permuted(symbols, key))
+
+    def with_check(bare: Column) -> Column:
+        check = let(_values(bare), lambda v: F.pmod(10 - _luhn(v, False), F.lit(10)))
+        return F.concat(bare, F.array(F.struct(check.cast("int").alias("v"), F.lit(10).alias("n"), F.lit(0).alias("k"))))
+
+    def of(symbols: Column, k: Column) -> Column:
+        valid = (x["kind"] == "card") & (let(_values(symbols), lambda v: _luhn(v, True)) == 0)
+        checked = let(F.slice(symbols, 1, F.greatest(F.size(symbols) - 1, F.lit(0))), lambda most: let(_permuted(most, k), with_check))
+        return F.when(valid, checked).otherwise(_permuted(symbols, k))
+
+    return let(_symbols(x), lambda symbols: let(key, lambda k: of(symbols, k)))
 
 
 def _laid_out(x: Column, secret: str, salt: Column) -> Column:
@@ -152,15 +190,17 @@ def _laid_out(x: Column, secret: str, salt: Column) -> Column:
     names = F.array(*[F.lit(c) for c in CLASSES])
     written = F.transform(_replaced(x, secret, salt), lambda s: F.when(s["k"] < 0, s["v"].cast("string")).otherwise(F.get(names, s["k"]).substr(s["v"] + 1, F.lit(1))))
     places = F.transform(F.split(x["body"], ""), lambda c: F.struct(c.alias("c"), _class(F.lower(c)).isNotNull().alias("hit")))
-    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
 
-    def put(s: Column, p: Column) -> Column:
-        symbol = F.get(written, s["i"])
-        cased = F.when(p["c"] != F.lower(p["c"]), F.upper(symbol)).otherwise(symbol)
-        return F.struct((s["i"] + p["hit"].cast("int")).alias("i"), F.concat(s["out"], F.when(p["hit"], cased).otherwise(p["c"])).alias("out"))
+    def lay(w: Column) -> Column:
+        def put(s: Column, p: Column) -> Column:
+            symbol = F.get(w, s["i"])
+            cased = F.when(p["c"] != F.lower(p["c"]), F.upper(symbol)).otherwise(symbol)
+            return F.struct((s["i"] + p["hit"].cast("int")).alias("i"), F.concat(s["out"], F.when(p["hit"], cased).otherwise(p["c"])).alias("out"))
+
+        start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
+        return F.when(x["kind"] == "ip", F.array_join(w, ".")).otherwise(F.aggregate(places, start, put)["out"])
 
-    body = F.when(x["kind"] == "ip", F.array_join(written, ".")).otherwise(F.aggregate(places, start, put)["out"])
-    return F.concat(_new_head(x, secret, salt), body, x["tail"])
+    return F.concat(_new_head(x, secret, salt), let(written, lay), x["tail"])
 
 
 def _new_head(x: Column, secret: str, salt: Column) -> Column:
@@ -178,14 +218,18 @@ def _new_head(x: Column, secret: str, salt: Column) -> Column:
 
 def _frames(text: Column) -> Column:
     """array<struct<kind, head, body, tail>> of the entities of a text."""
-    pieces = F.filter(cut_at(text, ANY), lambda p, i: i % 2 == 1)
-    return F.transform(F.transform(pieces, lambda p: F.struct(p.alias("p"), _type(p).alias("kind"))), lambda x: _frame(x["kind"], x["p"]))
+    pieces = F.filter(_cut(text), lambda p, i: i % 2 == 1)
+    return F.transform(pieces, _framed)
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and one struct<kind, head, body, tail, id> for each entity found, one row each."""
-    rows = docs.select(F.col("doc_id"), _frames(unmarked(F.col(text).cast("string"))).alias("e")).select("doc_id", F.explode("e").alias("e"))
-    return rows.select("doc_id", "e", canonical(F.col("e")).alias("id"))
+    """doc_id and one struct<kind, head, body, tail, id> for each entity found, one row each.
+
+    The arrays are written before they are exploded: Spark would otherwise work
+    them out again for the filters it derives from the explosion.
+    """
+    found = spool(docs.select(F.col("doc_id"), _frames(unmarked(F.col(text).cast("string"))).alias("e")), "pii-found")
+    return found.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e", canonical(F.col("e")).alias("id"))
 
 
 def salts(found: DataFrame, secret: str, most_rounds: int = 32) -> DataFrame:
@@ -224,13 +268,13 @@ def surrogate(docs: DataFrame, secret: str = "wordloom") -> DataFrame:
     joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["wordloom_doc"]), "left").drop("wordloom_doc")
     clean = unmarked(F.col("text").cast("string"))
     known = F.coalesce(F.col("wordloom_salts"), F.array().cast("array<struct<id:string,salt:int>>"))
-    cut = joined.withColumn("wordloom_cut", cut_at(clean, ANY))
+    cut = joined.withColumn("wordloom_cut", _cut(clean))
 
     def salt_of(x: Column) -> Column:
-        hits = F.filter(known, lambda s: s["id"] == canonical(x))
-        return F.when(F.size(known) == 0, F.lit(0)).otherwise(F.coalesce(F.get(hits, F.lit(0))["salt"], F.lit(0)))
+        hit = let(canonical(x), lambda own: F.get(F.filter(known, lambda s: s["id"] == own), F.lit(0))["salt"])
+        return F.when(F.size(known) == 0, F.lit(0)).otherwise(F.coalesce(hit, F.lit(0)))
 
-    framed = F.transform("wordloom_cut", lambda p, i: F.struct(p.alias("p"), F.when(i % 2 == 1, _frame(_type(p), p)).alias("x")))
+    framed = F.transform("wordloom_cut", lambda p, i: F.struct(p.alias("p"), F.when(i % 2 == 1, _framed(p)).alias("x")))
     framed = cut.withColumn("wordloom_cut", framed)
     salted = F.transform("wordloom_cut", lambda c: F.struct(c["p"].alias("p"), c["x"].alias("x"), F.when(c["x"].isNotNull(), salt_of(c["x"])).alias("salt")))
     written = F.transform("wordloom_out", lambda c: F.when(c["x"].isNull(), c["p"]).otherwise(_laid_out(c["x"], secret, c["salt"])))
