@@ -86,6 +86,22 @@ def _units(lmbda: float, n: int) -> str:
     return ",\n  ".join(steps)
 
 
+def _dtw_sql() -> str:
+    """CTEs up to ``dp`` (i, j, dist): warping paths over at most five by five frames, cell by cell."""
+    cells = []
+    for a in range(1, 6):
+        for b in range(1, 6):
+            before = [f"t{x}{y}" for x, y in ((a - 1, b), (a, b - 1), (a - 1, b - 1)) if x and y]
+            come = "" if not before else f" + least({', '.join(before)})" if len(before) > 1 else f" + {before[0]}"
+            cells.append(f"1 - list_cosine_similarity(a[{a}], b[{b}]){come} AS t{a}{b}")
+    table = "[" + ", ".join("[" + ", ".join(f"t{a}{b}" for b in range(1, 6)) + "]" for a in range(1, 6)) + "]"
+    return WF + f""",
+  nst AS (SELECT row_number() OVER (ORDER BY node) - 1 AS id, list(vec ORDER BY frame) AS f FROM wf GROUP BY node),
+  pr AS (SELECT x.id AS i, y.id AS j, x.f AS a, y.f AS b FROM nst x JOIN nst y ON x.id < y.id),
+  cells AS (SELECT i, j, len(a) AS n, len(b) AS m, {", ".join(cells)} FROM pr),
+  dp AS (SELECT i, j, {table}[n][m] / (n + m) AS dist FROM cells)"""
+
+
 def register(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -393,12 +409,12 @@ def _dtw_words(spark, sf_dir):
     return lookup.node_ids(fx.nested(_frames(spark, sf_dir))).select("node_id", "frames")
 
 
-@register()
+@register(f"WITH {_dtw_sql()} SELECT i, j, round(dist, 6) + 0.0 AS dist FROM dp")
 def dtw_pairs(spark, sf_dir):
-    return pairwise.dtw_pairs(_dtw_words(spark, sf_dir)).select("i", "j", F.round("dist", 6).alias("dist"))
+    return pairwise.dtw_pairs(_dtw_words(spark, sf_dir)).select("i", "j", (F.round("dist", 6) + 0.0).alias("dist"))
 
 
-@register()
+@register(f"WITH {_dtw_sql()} SELECT i, j, round(1 - dist, 6) AS w FROM dp WHERE dist < {DTW}")
 def dtw_graph(spark, sf_dir):
     return pairwise.build_graph("dtw", DTW, words=_dtw_words(spark, sf_dir)).select("i", "j", F.round("w", 6).alias("w"))
 

@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); our own only if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/wordloom"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
