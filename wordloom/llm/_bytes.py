@@ -18,7 +18,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Odd base of the rolling polynomial and its inverse modulo 2**64.
 BASE = 0xD1342543DE82EF95
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
