@@ -34,17 +34,20 @@ def running_starts(lengths: Column) -> Column:
     Sums run within blocks, then over blocks, so that no step copies an array
     that grows with the whole.
     """
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / BLOCK).cast("int")),
-        lambda k: F.slice(lengths, k * BLOCK + 1, BLOCK),
-    )
 
     def total(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def running(xs: Column) -> Column:
         sums = F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-        return F.slice(sums, 1, F.size(xs))
+        return let(sums, lambda found: F.slice(found, 1, F.size(found) - 1))
 
-    bases = running(F.transform(blocks, total))
-    return F.flatten(F.zip_with(blocks, bases, lambda xs, b: F.transform(running(xs), lambda s: s + b)))
+    def cut(all_of: Column) -> Column:
+        last = F.floor((F.greatest(F.size(all_of), F.lit(1)) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_of, k * BLOCK + 1, BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        bases = running(F.transform(blocks, total))
+        return F.flatten(F.zip_with(blocks, bases, lambda xs, b: F.transform(running(xs), lambda s: s + b)))
+
+    return let(lengths, lambda all_of: let(cut(all_of), joined))

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm._native import cut_at, running_starts, unmarked
+from wordloom.llm._native import cut_at, let, running_starts, unmarked
 from wordloom.llm._shared import spool
 
 #: The base patterns in the order of kinds.
@@ -60,9 +60,14 @@ GRID, GRID_TOP = 16, 1023
 def _matches(text: Column, pattern: str, code: int, keep=None) -> Column:
     """array<struct<start,kind,end>> of the leftmost non-overlapping matches."""
     pieces = F.transform(cut_at(text, pattern), lambda p, i: F.struct(p.alias("p"), F.char_length(p).cast("long").alias("n"), (i % 2 == 1).alias("hit")))
-    starts = running_starts(F.transform(pieces, lambda x: x["n"]))
-    spans = F.zip_with(pieces, starts, lambda x, s: F.struct(s.alias("start"), F.lit(code).alias("kind"), (s + x["n"]).alias("end"), x["p"].alias("p"), x["hit"].alias("hit")))
-    return F.filter(spans, lambda x: x["hit"] & keep(x["p"]) if keep else x["hit"])
+
+    def placed(found: Column) -> Column:
+        starts = running_starts(F.transform(found, lambda x: x["n"]))
+        spans = F.zip_with(found, starts, lambda x, s: F.struct(s.alias("start"), F.lit(code).alias("kind"), (s + x["n"]).alias("end"), x["p"].alias("p"), x["hit"].alias("hit")))
+        return F.filter(spans, lambda x: x["hit"] & keep(x["p"]) if keep else x["hit"])
+
+    none = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(code).alias("kind"), F.lit(0).cast("long").alias("end"), F.lit("").alias("p"), F.lit(False).alias("hit"))), lambda x: x["hit"])
+    return let(pieces, lambda found: F.when(F.size(found) > 1, placed(found)).otherwise(none))
 
 
 def _plain(spans: Column) -> Column:
