@@ -305,3 +305,15 @@ def test_words_of_every_kind_are_hashed_alike():
     assert [text.encode()[a:b].decode() for a, b in zip(starts, ends)] == WORD.findall(text)
     h = word_hashes(data, starts, ends, lower=True)
     assert len({h[0], h[1], h[2], h[5]}) == 1 and len(set(h.tolist())) == 3
+
+
+def test_secrets_after_a_name_and_equals_sign(spark):
+    """Names that the base pattern lacks; the name itself is no padded part of the value."""
+    key = "wJalrXUtnFEMI7K3MDENGbPxRfiCYz9qLhT2vB8sD"
+    names = ["client_key", "sig", "https://host.example/x?sig", "aws_secret_access_key", "export A_LONG_NAME_OF_A_VARIABLE"]
+    texts = [f"{name}={key} end" for name in names] + [f"sig=={key}", f"x={key[:38]}=="]
+    out = secret_scan.scan(frame(spark, texts)).collect()
+    found = {r.doc_id: {texts[r.doc_id][x.start : x.end] for x in r.found} for r in out}
+    for k, text in enumerate(texts):
+        assert (key if key in text else key[:38] + "==") in found[k], text
+        assert not any(x.endswith("_key=") or x.endswith("VARIABLE=") for x in found[k])

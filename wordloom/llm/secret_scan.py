@@ -32,7 +32,8 @@ from wordloom.llm._shared import spool
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Runs are maximal, so a least length in the pattern is the same as dropping short matches.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A token may follow a name and '='; '=' belongs to it as padding at its end only.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_-]))?"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_GROUP = 6
 
