@@ -317,3 +317,12 @@ def test_secrets_after_a_name_and_equals_sign(spark):
     for k, text in enumerate(texts):
         assert (key if key in text else key[:38] + "==") in found[k], text
         assert not any(x.endswith("_key=") or x.endswith("VARIABLE=") for x in found[k])
+
+
+def test_secrets_of_every_alphabet_are_judged(spark):
+    """Short keys of base64, base64url, base32 and letters, and keys that mix the signs of both base64 alphabets."""
+    keys = ["q+7Zk2/TdWm9XbA4sLr1Ug==", "Qp-7Zk2_TdWm9XbA4sLr1U", "MZXW6YTBOI2GK4DQNR5A", "kqzvbtwmxjfhgrpdlcnsyeua", "RkqTLwzbNMXcvhGjpdSf", "dir-x/q7Zk2+TdWm9_XbA4sLr1UgHe8"]
+    out = secret_scan.scan(frame(spark, [f"see {key} now" for key in keys])).collect()
+    assert {r.doc_id: [(x.start, x.end) for x in r.found] for r in out} == {k: [(4, 4 + len(key))] for k, key in enumerate(keys)}
+    plain = ["-" * 22, "/" * 24, "_" * 20 + "/+"]
+    assert not any(r.found for r in secret_scan.scan(frame(spark, plain)).collect())

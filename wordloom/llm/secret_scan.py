@@ -10,8 +10,9 @@ Benjamini-Hochberg over all candidates of the table, within strata of length,
 decides which tokens are structured (random is rejected) with a bounded share
 of false rejections; the others are reported.  p-values are rounded up to a
 grid of ``GRID`` steps a unit of the logarithm, so the procedure needs only a
-table of counts of bounded size, and no ordering of all candidates.  Tokens of
-letters alone need more characters, for the tests lack power on them.
+table of counts of bounded size, and no ordering of all candidates.  Every
+candidate is judged; on short ones the tests have little power, so a short
+token that is not random can be reported.
 
 Runs on Spark expressions only.  Defined results: a null text counts as empty;
 rows with repeated or null ids are scanned each by itself; an empty table gives
@@ -38,20 +39,21 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_GROUP = 6
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: (pattern of the token, alphabet, least length), smallest alphabet first.
+#: (pattern of the token, alphabet), smallest alphabet first; the last one holds every candidate.
 ENCODINGS = (
-    ("[0-9]+", DIGITS, 20),
-    ("[0-9a-f]+", DIGITS + LOWER[:6], 20),
-    ("[0-9A-F]+", DIGITS + UPPER[:6], 20),
-    ("[a-z]+", LOWER, 48),
-    ("[A-Z]+", UPPER, 48),
-    ("[A-Z2-7]+", UPPER + "234567", 24),
-    ("[0-9a-z]+", DIGITS + LOWER, 20),
-    ("[0-9A-Z]+", DIGITS + UPPER, 20),
-    ("[A-Za-z]+", UPPER + LOWER, 48),
-    ("[A-Za-z0-9]+", UPPER + LOWER + DIGITS, 20),
-    ("[A-Za-z0-9+/]+", UPPER + LOWER + DIGITS + "+/", 24),
-    ("[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "_-", 24),
+    ("[0-9]+", DIGITS),
+    ("[0-9a-f]+", DIGITS + LOWER[:6]),
+    ("[0-9A-F]+", DIGITS + UPPER[:6]),
+    ("[a-z]+", LOWER),
+    ("[A-Z]+", UPPER),
+    ("[A-Z2-7]+", UPPER + "234567"),
+    ("[0-9a-z]+", DIGITS + LOWER),
+    ("[0-9A-Z]+", DIGITS + UPPER),
+    ("[A-Za-z]+", UPPER + LOWER),
+    ("[A-Za-z0-9]+", UPPER + LOWER + DIGITS),
+    ("[A-Za-z0-9+/]+", UPPER + LOWER + DIGITS + "+/"),
+    ("[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "_-"),
+    ("[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/_-"),
 )
 FALSE_DISCOVERY_RATE = 0.05
 STRATA = (20, 32, 64)
@@ -85,13 +87,12 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _inferred(token: Column) -> Column:
-    """The token without padding, the smallest alphabet that holds it and the least length to judge it."""
+    """The token without padding and the smallest alphabet that holds it."""
     bare = F.regexp_replace(token, "=+$", "")
-    alphabet, least = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for pattern, symbols, n in reversed(ENCODINGS):
-        hit = bare.rlike(f"^{pattern}$")
-        alphabet, least = F.when(hit, F.lit(symbols)).otherwise(alphabet), F.when(hit, F.lit(n)).otherwise(least)
-    return F.struct(bare.alias("bare"), alphabet.alias("alphabet"), least.alias("least"))
+    alphabet = F.lit(None).cast("string")
+    for pattern, symbols in reversed(ENCODINGS):
+        alphabet = F.when(bare.rlike(f"^{pattern}$"), F.lit(symbols)).otherwise(alphabet)
+    return F.struct(bare.alias("bare"), alphabet.alias("alphabet"))
 
 
 def _sums(x: Column) -> Column:
@@ -158,8 +159,7 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
     )
     outside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
     spans = spans.select("doc_id", "base", F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _inferred(t["p"]).alias("x"))).alias("tokens"))
-    able = F.filter("tokens", lambda t: F.char_length(t["x"]["bare"]) >= t["x"]["least"])
-    spans = spans.select("doc_id", "base", F.transform(able, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _sums(t["x"]).alias("x"))).alias("tokens"))
+    spans = spans.select("doc_id", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _sums(t["x"]).alias("x"))).alias("tokens"))
     spans = spans.select("doc_id", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _p_value(t["x"]).alias("p"))).alias("tokens"))
     step = lambda p: F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * GRID), F.lit(GRID_TOP)).cast("int")
     judged = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["p"].alias("p"), _stratum(t["end"] - t["start"]).alias("stratum"), step(t["p"]).alias("step")))
