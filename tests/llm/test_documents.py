@@ -326,3 +326,10 @@ def test_secrets_of_every_alphabet_are_judged(spark):
     assert {r.doc_id: [(x.start, x.end) for x in r.found] for r in out} == {k: [(4, 4 + len(key))] for k, key in enumerate(keys)}
     plain = ["-" * 22, "/" * 24, "_" * 20 + "/+"]
     assert not any(r.found for r in secret_scan.scan(frame(spark, plain)).collect())
+
+
+def test_pii_spellings_of_a_person_share_a_surrogate(spark):
+    texts = [f"{a} {n}; {b} {n}" for a, b, n in (("Mr.", "Mr", "Adam Smith"), ("Dr", "Dr.", "Jane Roe"), ("Mrs.", "Mrs", "Smith"), ("Mr", "Mr.", "Boris Q'Neal"))] + ["Mr. D'Arcy Smith; Mr DArcy Smith"]
+    for r in pii.surrogate(frame(spark, texts)).collect():
+        a, b = (x.split(" ", 1)[1] for x in r.text.split("; "))
+        assert a == b and r.text != texts[r.doc_id]

@@ -134,8 +134,12 @@ def canonical(x: Column) -> Column:
 
 def _key(x: Column, symbols: Column) -> Column:
     values = F.array_join(F.transform(symbols, lambda s: F.concat_ws(":", s["k"].cast("string"), s["v"].cast("string"))), ",")
-    kept = F.regexp_replace(F.lower(F.concat(x["head"], x["tail"])), "[^\\p{L}0-9]", "")
-    return F.concat_ws("/", x["kind"], kept, values)
+    return F.concat_ws("/", x["kind"], _bare(F.concat(x["head"], x["tail"])), values)
+
+
+def _bare(kept: Column) -> Column:
+    """Kept parts as keys have them: lower case, letters and digits only."""
+    return F.regexp_replace(F.lower(kept), "[^\\p{L}0-9]", "")
 
 
 def _permuted(symbols: Column, key: Column) -> Column:
@@ -171,7 +175,7 @@ def _values(symbols: Column) -> Column:
 
 def _replaced(x: Column, secret: str, salt: Column) -> Column:
     """Symbols of the surrogate of a framed entity."""
-    key = F.sha2(F.concat_ws("/", F.lit(secret), x["kind"], F.lower(x["head"]), salt.cast("string")), 256)
+    key = F.sha2(F.concat_ws("/", F.lit(secret), x["kind"], _bare(x["head"]), salt.cast("string")), 256)
 
     def with_check(bare: Column) -> Column:
         check = let(_values(bare), lambda v: F.pmod(10 - _luhn(v, False), F.lit(10)))
@@ -208,7 +212,7 @@ def _new_head(x: Column, secret: str, salt: Column) -> Column:
     titles = "|".join(t for t, _ in TITLES)
     title = F.regexp_extract(x["head"], rf"^(?:{titles}) ", 0)
     had_name = F.char_length(x["head"]) > F.char_length(title)
-    drawn = F.xxhash64(F.lit(secret), F.lower(x["head"]), salt)
+    drawn = F.xxhash64(F.lit(secret), _bare(x["head"]), salt)
     pool = F.lit("")
     for pattern, gender in reversed(TITLES):
         names = F.array(*[F.lit(n) for n in FIRST_NAMES[gender]])
