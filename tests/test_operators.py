@@ -237,3 +237,11 @@ def test_pca_keeps_inner_products(spark):
     got = {int(r.node): r.vec for r in features.project(frames, 350).collect()}
     y = np.array([got[i] for i in range(30)])
     assert np.allclose(y @ y.T, z @ z.T)
+
+
+def test_first_appearance_codes_of_a_text_of_over_a_million_tokens(spark, tmp_path):
+    from wordloom import registry
+
+    spark.createDataFrame([(0, "a " * 1_000_001 + "late"), (1, "early a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    codes = {r.token: r.code for r in registry.QUERIES["first_appearance_codes"](spark, str(tmp_path)).collect()}
+    assert codes == {"a": 0, "late": 1, "early": 2}

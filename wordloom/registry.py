@@ -233,7 +233,7 @@ def _tokens(spark, sf_dir):
 
 @register(f"WITH {TOKENS}, f AS (SELECT token, min(doc_id * 1000000 + pos) AS first FROM tokens GROUP BY token) SELECT token, row_number() OVER (ORDER BY first) - 1 AS code FROM f")
 def first_appearance_codes(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir).select("token", (F.col("doc_id") * 1000000 + F.col("pos")).alias("place"))
+    tokens = _tokens(spark, sf_dir).select("token", F.struct("doc_id", "pos").alias("place"))
     return lookup.first_appearance_codes(tokens, "token", "place")
 
 
