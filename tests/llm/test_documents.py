@@ -333,3 +333,28 @@ def test_pii_spellings_of_a_person_share_a_surrogate(spark):
     for r in pii.surrogate(frame(spark, texts)).collect():
         a, b = (x.split(" ", 1)[1] for x in r.text.split("; "))
         assert a == b and r.text != texts[r.doc_id]
+
+
+def test_pii_forms(spark):
+    forms = {
+        "phone": ["743.555.3824", "743 555 3824", "1-743-555-3824", "030 1234567", "030/1234567", "0171 123 4567", "01 23 45 67 89", "7435553825"],
+        "card": ["3782 822463 10005", "3782-822463-10005"], "email": ["ann@bücher.de", "jürgen@firma.de", "łł@łł.pl", "анна@почта.рф"],
+        "ip": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:DB8:0:0:8:800:200C:417A"],
+    }
+    texts = [(kind, f) for kind, fs in forms.items() for f in fs]
+    clean = ["01.02.2024 03/04/2021 2024-01-02 10:30:45", "std::cout a::b 1.2.3", "12345678901 0.1234567890", "写信"]
+    same = ["2001:db8::1 2001:0db8:0:0:0:0:0:1", "+1 743 555 3824 1-743-555-3824", "030 1234567 0301234567"]
+    out = {r.doc_id: r for r in pii.surrogate(frame(spark, [f"x {f} y" for _, f in texts] + clean + same)).collect()}
+    for k, (kind, f) in enumerate(texts):
+        assert {n: c for n, c in out[k].pii_counts.items() if c} == {kind: 1}, f
+        new = out[k].text[2:-2]
+        assert new != f and out[k].text == f"x {new} y" and (kind == "ip" or len(new) == len(f))
+        if kind == "email":
+            assert new.split("@")[0] != f.split("@")[0]
+    for k, t in enumerate(clean, len(texts)):
+        assert out[k].text == t
+    a, b = out[len(texts) + len(clean)].text.split(" ")
+    assert a == b and "2001:db8" not in a
+    for k in (1, 2):
+        digits = re.sub(r"\D", "", out[len(texts) + len(clean) + k].text)
+        assert digits[: len(digits) // 2] == digits[len(digits) // 2 :]

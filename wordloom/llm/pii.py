@@ -5,8 +5,9 @@ has a canonical form (lower case, without separators of numbers), so that its
 spellings share a surrogate; the surrogate is laid out in the format found:
 separators, case and length stay, each symbol is replaced within its class
 (digits, vowels, consonants of the Latin script, accented Latin letters, Greek,
-Cyrillic), a card number keeps a valid check digit, an address keeps valid
-octets, a country code and a mail suffix stay.  For people, the title stays and
+Cyrillic; other letters become Latin consonants), a card number keeps a valid check digit, an address keeps valid
+octets, an IPv6 address is written in full, a country code, a trunk 0 and a mail
+suffix stay.  For people, the title stays and
 a first name is drawn from a pool of the gender that the title tells.
 
 The symbols go through a four-round Feistel network whose round functions are
@@ -17,6 +18,12 @@ that protection.  So all distinct entities are checked against each other and
 against the corpus, and those that collide draw again with another salt until
 none is left.  Only such exceptions are joined back to the documents.
 
+Forms found: mail in Latin, Greek and Cyrillic letters; IBANs; phones with a plus
+sign, with an area code in brackets, as 3-3-4 digits (after a 1 or not), with a
+trunk 0 and groups, or as any ten digits in a row; SSNs with hyphens; IPv4, and
+IPv6 with a decimal digit in it; cards in fours, as 4-6-4 and 4-6-5 or in a row;
+people after a title.  Other forms are left as they are.
+
 Defined results: a null text stays null; texts without entities stay byte for
 byte; repeated rows get equal results; an empty table gives an empty result;
 extra columns are kept.
@@ -31,6 +38,19 @@ from wordloom.llm._native import cut_at, let, unmarked
 from wordloom.llm._shared import spool
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_H = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around '::'; one decimal digit at least, which words around '::' in code lack.
+_GROUPS = "|".join([rf"(?:{_H}:){{7}}{_H}", *(rf"(?:{_H}:){{1,{7 - k}}}(?::{_H}){{1,{k}}}" for k in range(1, 7)), rf":(?::{_H}){{1,7}}", rf"(?:{_H}:){{1,7}}:"])
+_IPV6 = rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:{_GROUPS})(?![0-9A-Za-z:]|\.[0-9])"
+#: Scripts written with spaces, so that a mail address does not run on into the words beside it.
+_LETTER = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
+_MAIL = rf"{_LETTER}\p{{M}}0-9"
+#: Without a plus sign or brackets: 3-3-4 digits, a trunk 0 and groups, or ten digits in a row.
+_LOCAL_PHONE = "|".join((
+    r"(?<![0-9.-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    r"(?<![0-9A-Za-z.+/-])0(?:[0-9]{1,4}[ /-][0-9]{5,8}|[0-9]{2,4}[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}|[0-9](?:[ .-][0-9]{2}){4})(?![0-9-])",
+    r"(?<![0-9A-Za-z.,+_-])(?:1[ .-])?[0-9]{10}(?![0-9A-Za-z_-]|[.,][0-9])",
+))
 _NAME = r"\p{Lu}[\p{L}'-]+"
 #: Titles that tell a gender, fixed values: (pattern, pool).
 TITLES = (
@@ -45,20 +65,23 @@ FIRST_NAMES = {
 }
 #: (type, pattern), in order of precedence.
 TYPES = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", rf"(?<![{_MAIL}._%+-])[{_MAIL}._%+-]+@[{_MAIL}-]+(?:\.[{_MAIL}-]+)*\.[{_LETTER}]{{2,}}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"),
+    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])|" + _LOCAL_PHONE),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])"),
+    ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|{_IPV6}"),
+    ("card", r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])"),
     ("person", rf"(?<!\p{{L}})(?:{'|'.join(t for t, _ in TITLES)}) {_NAME}(?: {_NAME})?"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in TYPES)
 #: Classes of symbols; a symbol is replaced by one of its class.
 CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøœùúûüýÿ", "çñßðþš", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь")
+#: Numbers of what has no string in CLASSES: octets, letters of other scripts (by code point), nibbles of IPv6.
+OCTET, OTHER, NIBBLE = -1, -2, -3
+HEX = "0123456789abcdef"
 ROUNDS = 4
-#: Digits of a phone number that stay: those after its plus sign, up to a separator.
-_KEPT_HEAD = {"phone": r"^\+[0-9]{1,3}(?=[ .(-])", "iban": r"^[A-Z]{2}"}
+#: Digits of a phone number that stay: those after its plus sign, up to a separator, a 1 before one, and a trunk 0.
+_KEPT_HEAD = {"phone": r"^(?:\+[0-9]{1,3}(?=[ .(-])|1(?=[ .-])|0)", "iban": r"^[A-Z]{2}"}
 
 
 #: Every title holds one of these; every other entity holds a digit or an at sign.
@@ -91,7 +114,7 @@ def _frame(kind: Column, piece: Column) -> Column:
         head = F.when(kind == name, F.regexp_extract(piece, pattern, 0)).otherwise(head)
     titles = "|".join(t for t, _ in TITLES)
     head = F.when(kind == "person", F.regexp_extract(piece, rf"^(?:{titles}) (?:{_NAME} (?={_NAME}))?", 0)).otherwise(head)
-    tail = F.when(kind == "email", F.regexp_extract(piece, r"\.[A-Za-z]{2,}$", 0)).otherwise(F.lit(""))
+    tail = F.when(kind == "email", F.regexp_extract(piece, rf"\.[{_LETTER}]{{2,}}$", 0)).otherwise(F.lit(""))
 
     def split(x: Column) -> Column:
         size = F.char_length(piece) - F.char_length(x["head"]) - F.char_length(x["tail"])
@@ -106,7 +129,7 @@ def _framed(piece: Column) -> Column:
 
 
 def _class(c: Column) -> Column:
-    found = F.lit(None).cast("int")
+    found = F.when(c.rlike(r"^\p{L}$"), F.lit(OTHER))
     for k, symbols in enumerate(CLASSES):
         found = F.when(F.position(c, F.lit(symbols)) > 0, F.lit(k)).otherwise(found)
     return found
@@ -115,16 +138,31 @@ def _class(c: Column) -> Column:
 def _symbols(x: Column) -> Column:
     """The replaceable symbols of a body: array<struct<v, n, k>>, value, size and number of the class.
 
-    An address is four symbols of size 256.
+    An IPv4 address is four symbols of size 256, an IPv6 address 32 of size 16, written out in full.
     """
     letters = F.filter(F.transform(F.split(F.lower(x["body"]), ""), lambda c: F.struct(c.alias("c"), _class(c).alias("k"))), lambda s: s["k"].isNotNull())
     names = F.array(*[F.lit(c) for c in CLASSES])
     plain = F.transform(
         letters,
-        lambda s: F.struct((F.position(s["c"], F.get(names, s["k"])) - 1).alias("v"), F.char_length(F.get(names, s["k"])).alias("n"), s["k"].alias("k")),
+        lambda s: F.struct(
+            F.when(s["k"] == OTHER, F.ascii(s["c"])).otherwise(F.position(s["c"], F.get(names, s["k"])) - 1).alias("v"),
+            F.when(s["k"] == OTHER, F.lit(0x110000)).otherwise(F.char_length(F.get(names, s["k"]))).alias("n"),
+            s["k"].alias("k"),
+        ),
     )
-    octets = F.transform(F.split(x["body"], r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("n"), F.lit(-1).alias("k")))
-    return F.when(x["kind"] == "ip", octets).otherwise(plain)
+    octets = F.transform(F.split(x["body"], r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("n"), F.lit(OCTET).alias("k")))
+    return F.when((x["kind"] == "ip") & x["body"].contains(":"), _nibbles(x["body"])).when(x["kind"] == "ip", octets).otherwise(plain)
+
+
+def _nibbles(body: Column) -> Column:
+    """The 32 symbols of an IPv6 address, whatever its spelling."""
+    groups = lambda p: F.filter(F.split(F.coalesce(p, F.lit("")), ":"), lambda g: g != "")
+    sides = F.split(F.lower(body), "::")
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    written = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
+    digits = F.filter(F.split(written, ""), lambda c: c != "")
+    return F.transform(digits, lambda c: F.struct((F.position(c, F.lit(HEX)) - 1).alias("v"), F.lit(16).alias("n"), F.lit(NIBBLE).alias("k")))
 
 
 def canonical(x: Column) -> Column:
@@ -192,7 +230,14 @@ def _replaced(x: Column, secret: str, salt: Column) -> Column:
 def _laid_out(x: Column, secret: str, salt: Column) -> Column:
     """The surrogate in the format of the entity."""
     names = F.array(*[F.lit(c) for c in CLASSES])
-    written = F.transform(_replaced(x, secret, salt), lambda s: F.when(s["k"] < 0, s["v"].cast("string")).otherwise(F.get(names, s["k"]).substr(s["v"] + 1, F.lit(1))))
+    symbol = lambda names_of, v: names_of.substr(v + 1, F.lit(1))
+    written = F.transform(
+        _replaced(x, secret, salt),
+        lambda s: F.when(s["k"] == OCTET, s["v"].cast("string"))
+        .when(s["k"] == NIBBLE, symbol(F.lit(HEX), s["v"]))
+        .when(s["k"] == OTHER, symbol(F.lit(CLASSES[2]), F.pmod(s["v"], F.lit(len(CLASSES[2])))))
+        .otherwise(symbol(F.get(names, s["k"]), s["v"])),
+    )
     places = F.transform(F.split(x["body"], ""), lambda c: F.struct(c.alias("c"), _class(F.lower(c)).isNotNull().alias("hit")))
 
     def lay(w: Column) -> Column:
@@ -202,7 +247,9 @@ def _laid_out(x: Column, secret: str, salt: Column) -> Column:
             return F.struct((s["i"] + p["hit"].cast("int")).alias("i"), F.concat(s["out"], F.when(p["hit"], cased).otherwise(p["c"])).alias("out"))
 
         start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
-        return F.when(x["kind"] == "ip", F.array_join(w, ".")).otherwise(F.aggregate(places, start, put)["out"])
+        quads = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.array_join(F.slice(w, i * 4 + 1, 4), "")), ":")
+        quads = F.when(x["body"] != F.lower(x["body"]), F.upper(quads)).otherwise(quads)
+        return F.when((x["kind"] == "ip") & x["body"].contains(":"), quads).when(x["kind"] == "ip", F.array_join(w, ".")).otherwise(F.aggregate(places, start, put)["out"])
 
     return F.concat(_new_head(x, secret, salt), let(written, lay), x["tail"])
 
