@@ -296,15 +296,49 @@ def test_pii_surrogates_are_distinct(spark):
     assert len(set(new)) == len(new) and not set(new) & {t.lower() for t in texts}
 
 
-def test_words_of_every_kind_are_hashed_alike():
-    from wordloom.llm._bytes import word_bounds, word_hashes
+def test_words_of_every_kind_are_numbered_alike():
+    from wordloom.llm._bytes import numbered, window_codes, word_bounds, words_of
 
     text = "Ab ab\tAB\x0bé É ab"
     offsets, data = np.array([0, len(text.encode())]), np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = word_bounds(offsets, data)
     assert [text.encode()[a:b].decode() for a, b in zip(starts, ends)] == WORD.findall(text)
-    h = word_hashes(data, starts, ends, lower=True)
-    assert len({h[0], h[1], h[2], h[5]}) == 1 and len(set(h.tolist())) == 3
+    ids, words = numbered(words_of(data, starts, ends, lower=True))
+    assert ids[0] == ids[1] == ids[2] == ids[5] and words.to_pylist() == [w.encode() for w in ("ab", "é", "É")]
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 3, 400)
+    for width in (1, 2, 5, 8):
+        codes, plain = window_codes(ids, width), [tuple(ids[k : k + width]) for k in range(400 - width + 1)]
+        assert len(set(zip(codes.tolist(), plain))) == len(set(codes.tolist())) == len(set(plain))
+
+
+def thue_morse(n):
+    """Two words of n letters on which every polynomial hash modulo a power of two agrees, for n large enough."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_on_which_polynomial_hashes_agree(spark, n):
+    x, y = thue_morse(n)
+    assert x != y
+    got = minhash.near_duplicates(frame(spark, [x, y, f"{x} {y}", f"{y} {x}", f"{x} {y}"]), size=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+    windows = " ".join([x] * 8 + [y] * 8)
+    rules = {r.doc_id: r for r in quality.quality_rules(frame(spark, [f"{x}\n{y}\n{x}", windows])).collect()}
+    assert rules[0].n_dup_lines == 1 and rules[1].n_repeat_words == 0
+    e = packing.ChunkEncoder("word_bpe_49k.json")
+    texts = [x, y, f"{y} {x}"]
+    got = [i for _, _, o, d in text_slices(pa.array(texts, pa.large_string())) for i in e.encode(o, d)]
+    assert got == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts():
+    e = packing.ChunkEncoder("byte_bpe_50k.json")
+    texts = ["Hello  there, world's\n\nend", "", "a<|endoftext|>b"]
+    got = [i for _, _, o, d in text_slices(pa.array(texts, pa.large_string())) for i in e.encode(o, d)]
+    assert not e.by_words and got == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.ChunkEncoder("word_bpe_49k.json").by_words
 
 
 def test_secrets_after_a_name_and_equals_sign(spark):

@@ -1,4 +1,7 @@
-"""Vectorised word and byte-window hashing over Arrow text columns.
+"""Vectorised words, numbers of words and hashes of byte windows over Arrow text columns.
+
+Hashes only deal and propose; whatever is decided is decided on bytes, on numbers
+that stand for bytes, or on cryptographic digests.
 
 Everything here works on whole texts, in slices of a few megabytes, so memory
 does not depend on the number of documents.  A single text larger than the
@@ -7,6 +10,7 @@ slice size forms a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,6 @@ BYTE_VALUE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLDEN)
 #: The same with A-Z mapped onto a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE_VALUE_LOWER = BYTE_VALUE[LOWER]
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -97,13 +100,43 @@ def word_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, rows
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash for each word; equal bytes give equal hashes in every slice."""
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((BYTE_VALUE_LOWER if lower else BYTE_VALUE)[data] * powers(BASE, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * GOLDEN)
+def binary_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``data`` of these lengths as an Arrow binary column."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of each value, distinct values); equal numbers mean equal values, byte by byte."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> pa.Array:
+    """The words between the bounds (as :func:`word_bounds` or cuts of them give), one entry each."""
+    solid = data[~IS_SPACE[data]]
+    return binary_array(LOWER[solid] if lower else solid, ends - starts)
+
+
+def window_codes(ids: np.ndarray, width: int) -> np.ndarray:
+    """A number for each run of ``width`` ids (all 0 or more); equal numbers mean equal runs.
+
+    Runs are joined two by two and numbered anew, so no hash decides.
+    """
+    codes, have = ids, 1
+    while have < width and len(codes):
+        step = min(have, width - have)
+        top = int(codes.max()) + 1
+        codes = codes[: max(len(codes) - step, 0)] * top + codes[step:]
+        codes, have = numbered(pa.array(codes))[0], have + step
+    return codes
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """128 bits of BLAKE2b of each word, as two columns of 64 bits."""
+    found = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist()])
+    return np.frombuffer(found, "<u8").reshape(-1, 2)
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:

@@ -36,16 +36,29 @@ def spool(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input (as its files or statistics tell) for one task of an explicit exchange.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks of an explicit exchange: spark.sql.shuffle.partitions, or more if the input is large.
+
+    The size is the optimizer's estimate, which costs no job; one that is unknown is ignored.
+    """
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(-(-size // task_bytes), 1 << 20)) if size < 1 << 57 else least
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows, for what is run inside: texts and sets are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if 0 < int(before) <= rows:
-        yield
-        return
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, for what is run inside: texts and sets are wide."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in most}
+    for name, value in most.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -1,22 +1,24 @@
 """Near-duplicate documents: banded MinHash, odd sketches, exact confirmation.
 
-A document's set are its distinct word shingles, as 64-bit hashes.  Documents
-with equal sets form a class; only the least document of a class goes on.
-MinHash samples are cut into bands, and classes that share a band are
-candidates.  The samples are also folded into an odd sketch: each sample flips
-one bit of a parity bitmap.  Samples in which two sets agree cancel in the XOR
-of their bitmaps, so its population count estimates how many differ, which is
-precise at high similarity.  Candidates whose count cannot come from similar
-sets (an error below 1e-7 for each pair) are dropped; the others are confirmed
-on the full sets.
+A document's set are its distinct word shingles.  Documents with equal sets form
+a class, told by a SHA-256 of the set's words (through their BLAKE2b digests);
+only the least document of a class goes on.  MinHash samples are cut into bands,
+and classes that share a band are candidates.  The samples are also folded into
+an odd sketch: each sample flips one bit of a parity bitmap.  Samples in which
+two sets agree cancel in the XOR of their bitmaps, so its population count
+estimates how many differ, which is precise at high similarity.  Candidates whose
+count cannot come from similar sets (an error below 1e-7 for each pair) are
+dropped; the others are confirmed on the texts, word by word: no hash decides.
 
 Not all pairs of a bucket are made.  First each class takes the most similar
 earlier class of its buckets; confirmed links join classes.  Then, around the
 largest component of each bucket that still holds several, the members of the
-others are compared with it and with each other, in blocks; the tasks hold the
-sets, test each pair that the sketches let through until its components are
-joined, and pass on links only.  So no link between components is left out,
-pairs within a component are never made, and rows are those of members.
+others are compared with it and with each other, in tiles of two blocks.  A tile
+first gets sketches alone and passes on the rows that some sketch of another
+component comes near; only those rows' texts are sent to the tile, whose task
+tests each pair that the sketches let through until its components are joined,
+and passes on links only.  So no link between components is left out, pairs
+within a component are never made, and rows are those of members.
 
 Defined results: a document without words has an empty set and no links; a null
 text counts as empty; rows that share an id are one document with the links of
@@ -25,6 +27,7 @@ all its texts; a null id has no component.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -33,15 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._bytes import GOLDEN, mix, text_slices, word_bounds, word_hashes
-from wordloom.llm._shared import small_batches, spool
+from wordloom.llm._bytes import GOLDEN, SLICE_BYTES, digests, mix, numbered, text_buffers, text_slices, window_codes, word_bounds, words_of
+from wordloom.llm._shared import small_batches, spool, tasks_for
 from wordloom.llm.components import components
 
 BANDS, ROWS = 32, 5
 #: Samples behind the odd sketch (the first BANDS * ROWS of them also make the bands) and its bits.
 SAMPLES, SKETCH_BITS = 320, 1024
-#: Rows that one block of a bucket or of a hub's stragglers holds, on average.
-BLOCK = 512
+#: Rows that a block of a bucket or around a hub holds, on average; blocks of large hubs grow to MOST_BLOCK.
+BLOCK, MOST_BLOCK = 512, 8192
+#: Shingles that a block around a hub holds, on average.
+BLOCK_SHINGLES = 1 << 19
 #: A list of ids is sent to all executors only up to this many rows (8 MB of ids).
 BROADCAST_ROWS = 1_000_000
 
@@ -62,37 +67,35 @@ def sketch_limit(percent: int, samples: int = SAMPLES, bits: int = SKETCH_BITS,
     return math.ceil(expected + sigmas * math.sqrt(slope**2 * differ * percent / 100 + max(met, 0)))
 
 
-def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each text, ordered by row and hash."""
-    starts, ends, rows = word_bounds(offsets, data)
-    words = word_hashes(data, starts, ends, lower=True)
-    n = len(offsets) - 1
+def shingle_codes(ids: np.ndarray, rows: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, first word) of the distinct shingles of ``n`` texts, ordered by row and code.
+
+    ``ids`` number the words, so equal codes mean equal shingles.  A text with fewer
+    words than a shingle has its whole sequence as one, with a negative code.
+    """
     counts = np.bincount(rows, minlength=n)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    begin = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+    m = max(len(ids) - size + 1, 0)
+    at = np.flatnonzero(rows[:m] == rows[len(rows) - m :])
+    row, code = rows[at], window_codes(ids, size)[at] if m else ids[:0]
     short = np.flatnonzero((counts > 0) & (counts < size))
-    found_rows, found = [], []
-    if len(words) >= size:
-        m = len(words) - size + 1
-        h = np.zeros(m, np.uint64)
-        for j in range(size):
-            h = mix(h * GOLDEN + words[j : j + m])
-        inside = rows[:m] == rows[size - 1 :]
-        found_rows.append(rows[:m][inside])
-        found.append(h[inside])
-    for row in short:  # fewer words than a shingle: the whole sequence
-        h = np.uint64(counts[row])
-        for w in words[first[row] : first[row] + counts[row]]:
-            h = mix(np.array([h * GOLDEN + w]))[0]
-        found_rows.append(np.array([row]))
-        found.append(np.array([mix(np.array([h + GOLDEN]))[0]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    r, h = np.concatenate(found_rows), np.concatenate(found)
-    order = np.lexsort((h, r))
-    r, h = r[order], h[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    return r[new], h[new]
+    if len(short):
+        known: dict[bytes, int] = {}
+        wholes = [known.setdefault(ids[begin[k] : begin[k] + counts[k]].tobytes(), -1 - len(known)) for k in short.tolist()]
+        row, code, at = np.concatenate([row, short]), np.concatenate([code, wholes]), np.concatenate([at, begin[short]])
+    order = np.lexsort((code, row))
+    row, code, at = row[order], code[order], at[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+    return row[new], code[new], at[new]
+
+
+def exact_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted shingle codes of each text; codes are comparable within one call."""
+    offsets, data = text_buffers(texts)
+    starts, ends, rows = word_bounds(offsets, data)
+    row, code, _ = shingle_codes(numbered(words_of(data, starts, ends, lower=True))[0], rows, len(texts), size)
+    return np.split(code, np.searchsorted(row, np.arange(1, len(texts)))) if len(texts) else []
 
 
 def _signatures(size: int) -> Callable:
@@ -100,44 +103,69 @@ def _signatures(size: int) -> Callable:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for first, end, offsets, data in text_slices(batch.column("text")):
-                    yield _signature_batch(batch.column("doc_id").slice(first, end - first), *shingle_sets(offsets, data, size))
+                    yield _signature_batch(batch.column("doc_id").slice(first, end - first), *_hashed_sets(offsets, data, size))
 
     return run
 
 
-def _signature_batch(ids: pa.Array, rows: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+def _hashed_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(row, hash) of the distinct shingles, ordered by both, and a digest of each row's set."""
+    n = len(offsets) - 1
+    starts, ends, rows = word_bounds(offsets, data)
+    ids, words = numbered(words_of(data, starts, ends, lower=True))
+    marks = digests(words)
+    row, code, at = shingle_codes(ids, rows, n, size)
+    length = np.where(code < 0, np.bincount(rows, minlength=n)[row], size)
+    lanes = marks[:, 0][ids] if len(ids) else np.zeros(0, np.uint64)
+    h = length.astype(np.uint64)
+    for j in range(size):
+        inside = length > j
+        h[inside] = mix(h[inside] * GOLDEN + lanes[at[inside] + j])
+    order = np.lexsort((h, row))
+    row, h, at, length = row[order], h[order], at[order], length[order]
+    cuts = np.searchsorted(row, np.arange(n + 1)).tolist()
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            found.append(b"")
+            continue
+        width = int(length[a])
+        own = marks[ids[at[a:b, None] + np.arange(width)]]
+        found.append(hashlib.sha256(width.to_bytes(8, "little") + own.tobytes()).digest())
+    return row, h, found
+
+
+def _signature_batch(ids: pa.Array, rows: np.ndarray, hashes: np.ndarray, sets: list[bytes] | None = None) -> pa.RecordBatch:
     n = len(ids)
     counts = np.bincount(rows, minlength=n)
     some = np.flatnonzero(counts)
     starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]]).astype(np.int64) if len(some) else np.zeros(0, np.int64)
     samples = np.zeros((len(some), SAMPLES), np.uint64)
-    prints = np.zeros((n, 2), np.uint64)
-    if len(some):
-        for k in range(SAMPLES):
-            samples[:, k] = np.minimum.reduceat(hashes * _FACTORS[k], starts)
-        prints[some, 0] = np.add.reduceat(hashes, starts)
-        prints[some, 1] = np.add.reduceat(mix(hashes ^ _SALTS[0]), starts)
+    for k in range(SAMPLES if len(some) else 0):
+        samples[:, k] = np.minimum.reduceat(hashes * _FACTORS[k], starts)
     mixed = mix(samples + _SALTS)
     keys = np.zeros((len(some), BANDS), np.uint64)
     for j in range(ROWS):
         keys = mix(keys * GOLDEN + mixed[:, j : BANDS * ROWS : ROWS])
     bits = (mix(mixed ^ _SALTS) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flat = np.bincount((np.arange(len(some))[:, None] * SKETCH_BITS + bits).ravel(), minlength=len(some) * SKETCH_BITS) & 1
-    packed = np.packbits(flat.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1) if len(some) else np.zeros((0, SKETCH_BITS // 8), np.uint8)
     sketches: list = [None] * n
     bands: list = [None] * n
-    for i, row in enumerate(some.tolist()):
-        sketches[row] = packed[i].tobytes()
-        bands[row] = keys[i].view(np.int64)
-    columns = [ids, pa.array(counts.astype(np.int64)), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch"])
+    for first in range(0, len(some), 128):
+        part = bits[first : first + 128]
+        flat = np.bincount((np.arange(len(part))[:, None] * SKETCH_BITS + part).ravel(), minlength=len(part) * SKETCH_BITS) & 1
+        packed = np.packbits(flat.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1)
+        for i, row in enumerate(some[first : first + 128].tolist()):
+            sketches[row] = packed[i].tobytes()
+            bands[row] = keys[first + i].view(np.int64)
+    columns = [ids, pa.array(counts.astype(np.int64)), pa.array(sets or [b""] * n, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
 
-SIGNATURES = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch binary"
+SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, band keys and odd sketch; no shuffle."""
+    """doc_id, n_shingles, digest of the set, band keys and odd sketch; no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_signatures(size), SIGNATURES)
 
@@ -154,6 +182,10 @@ def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What names a tile: its hub, members with stragglers (0) or stragglers alone (1), and its two blocks.
+TILE = ["hub", "kind", "i", "j"]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """Tables of rows with equal keys, from sorted batches; a run is held whole."""
     held: list[pa.RecordBatch] = []
@@ -206,7 +238,7 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * |intersection| >= percent * |union| for sorted distinct hashes."""
+    """Whether 100 * |intersection| >= percent * |union| for sorted distinct codes."""
     if len(a) > len(b):
         a, b = b, a
     if 100 * len(a) < percent * len(b):
@@ -232,80 +264,75 @@ class _Unions:
         self.up[self.root(x)] = self.root(y)
 
 
-def _across(limit: int, percent: int) -> Callable:
-    """Links between components around a hub, of rows sorted by (hub, block, kind): a block of
-    stragglers (kind 0), then the hub's members (kind 1) and all its stragglers (kind 2).
-
-    Pairs are tested on their sets, the most similar sketches first, unless links found here have
-    joined their components; only links are passed on.
-    """
+def _near_rows(limit: int) -> Callable:
+    """Of each tile (rows of equal hub, kind, i, j), the rows whose sketch comes near one of the
+    other side (of the tile, if it has one side) in another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, block, unions = None, [], None, _Unions()
-        for batch in batches:
-            for t in _runs(iter([batch]), ["hub", "block", "kind"]):
-                key = (t.column("hub")[0].as_py(), t.column("block")[0].as_py())
-                kind = t.column("kind")[0].as_py()
-                if key != at:
-                    at, held, block, unions = key, [], None, _Unions()
-                if kind == 0:
-                    held.append(t)
-                    continue
-                if held:
-                    block, held = unpack(pa.concat_tables(held)), []
-                if block is None:
-                    continue
-                for first in range(0, t.num_rows, BLOCK):
-                    links = between(block, unpack(t.slice(first, BLOCK)), kind == 2, unions)
-                    if links:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    def unpack(t: pa.Table) -> tuple:
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-        return t.column("rep").to_pylist(), t.column("component").to_numpy(), _words(t.column("sketch").to_pylist()), sets
-
-    def between(own: tuple, other: tuple, both_stray: bool, unions: _Unions) -> list[tuple[int, int]]:
-        ids, comps, sketch, sets = own
-        their_ids, their_comps, their_sketch, their_sets = other
-        d = _differences(sketch, their_sketch)
-        d[comps[:, None] == their_comps[None, :]] = SKETCH_BITS + 1
-        if both_stray:  # each pair of stragglers once
-            d[np.array(ids)[:, None] < np.array(their_ids)[None, :]] = SKETCH_BITS + 1
-        i, j = np.nonzero(d <= limit)
-        order = np.argsort(d[i, j], kind="stable")
-        out = []
-        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            p, q = unions.root(int(comps[x])), unions.root(int(their_comps[y]))
-            if p != q and _alike(sets[x], their_sets[y], percent):
-                unions.join(p, q)
-                out.append((max(ids[x], their_ids[y]), min(ids[x], their_ids[y])))
-        return out
+        for t in _runs(batches, TILE):
+            sides = t.column("side").to_numpy()
+            comps, sketch = t.column("component").to_numpy(), _words(t.column("sketch").to_pylist())
+            mine = np.flatnonzero(sides == 0)
+            theirs = mine if t.column("one_sided")[0].as_py() else np.flatnonzero(sides == 1)
+            near = np.zeros(len(sides), bool)
+            for first in range(0, len(mine), BLOCK):
+                own = mine[first : first + BLOCK]
+                for other in range(0, len(theirs), BLOCK):
+                    their = theirs[other : other + BLOCK]
+                    hit = _differences(sketch[own], sketch[their]) <= limit
+                    hit &= comps[own][:, None] != comps[their][None, :]
+                    near[own[hit.any(axis=1)]] = True
+                    near[their[hit.any(axis=0)]] = True
+            if near.any():
+                yield from t.filter(pa.array(near)).to_batches()
 
     return run
 
 
-def _sets(size: int) -> Callable:
+def _across(limit: int, percent: int, size: int) -> Callable:
+    """Links between components within a tile: pairs are tested on their texts, the most similar
+    sketches first, unless links found here have joined their components; only links are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for first, end, offsets, data in text_slices(batch.column("text")):
-                    rows, hashes = shingle_sets(offsets, data, size)
-                    cuts = np.searchsorted(rows, np.arange(end - first + 1))
-                    sets = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        for t in _runs(batches, TILE):
+            sides = t.column("side").to_numpy()
+            ids, comps = t.column("rep").to_numpy(), t.column("component").to_numpy()
+            sketch, sets = _words(t.column("sketch").to_pylist()), exact_sets(t.column("text").combine_chunks(), size)
+            mine = np.flatnonzero(sides == 0)
+            theirs = mine if t.column("one_sided")[0].as_py() else np.flatnonzero(sides == 1)
+            unions, links = _Unions(), []
+            for first in range(0, len(mine), BLOCK):
+                own = mine[first : first + BLOCK]
+                for other in range(0, len(theirs), BLOCK):
+                    their = theirs[other : other + BLOCK]
+                    d = _differences(sketch[own], sketch[their])
+                    d[comps[own][:, None] == comps[their][None, :]] = SKETCH_BITS + 1
+                    i, j = np.nonzero(d <= limit)
+                    order = np.argsort(d[i, j], kind="stable")
+                    for x, y in zip(own[i[order]].tolist(), their[j[order]].tolist(), strict=True):
+                        p, q = unions.root(int(comps[x])), unions.root(int(comps[y]))
+                        if p != q and _alike(sets[x], sets[y], percent):
+                            unions.join(p, q)
+                            links.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _confirm(percent: int) -> Callable:
+def _confirm(percent: int, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(len(a) > 0 and len(b) > 0 and _alike(a, b, percent))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            a, b = (batch.column(c).cast(pa.large_binary()) for c in ("text_a", "text_b"))
+            ends = np.cumsum(np.diff(text_buffers(a)[0]) + np.diff(text_buffers(b)[0]))
+            first = 0
+            while first < batch.num_rows:
+                end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE_BYTES, "right")))
+                n = end - first
+                sets = exact_sets(pa.concat_arrays([a.slice(first, n), b.slice(first, n)]), size)
+                mask = pa.array([bool(len(x) and len(y)) and _alike(x, y, percent) for x, y in zip(sets[:n], sets[n:], strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, n).filter(mask) for c in ("a", "b")], names=["a", "b"])
+                first = end
 
     return run
 
@@ -315,10 +342,10 @@ def _checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return left.join(_checked(pairs), "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return left.join(_checked(pairs), "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, size), "a long, b long")
 
 
 def _block(count: Column, row: Column) -> Column:
@@ -332,14 +359,20 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _open_links(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, sets: DataFrame, tasks: int, limit: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket.
+def _blocks(count: Column, shingles: Column) -> Column:
+    """How many blocks rows around a hub are dealt into."""
+    rows = F.least(F.greatest(F.lit(BLOCK), F.ceil(count / 16)), F.lit(MOST_BLOCK))
+    return F.greatest(F.ceil(count / rows), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _tiles(buckets: DataFrame, joined: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows around hubs, dealt into tiles: hub, kind, i, j, one_sided, side, rep, component, sketch.
 
     A bucket's hub is the largest component in it; the bucket's other members
     are the hub's stragglers.  Each hub has its members and stragglers, from all
-    buckets, once; blocks of stragglers are compared with both.  So any two
-    members of a bucket in different components meet around a hub, and rows are
-    those of members, not of pairs.
+    buckets, once; stragglers meet both.  So any two members of a bucket in
+    different components meet in a tile, and rows are those of members, with
+    sketches alone.
     """
     sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     labelled = buckets.join(joined.join(sizes, "component").select(F.col("node").alias("rep"), "component", "size"), "rep", "left")
@@ -348,16 +381,33 @@ def _open_links(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, sets
     hubs = labelled.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
     hubs = hubs.where("low <> high").select("key", F.col("top.component").alias("hub"))
     around = labelled.join(hubs, "key").select("hub", "rep", "component").distinct()
-    held = around.join(sketches, "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    held = spool(held, "minhash")
-    strays = around.where("component <> hub").groupBy("hub").agg(F.count(F.lit(1)).alias("stray"))
-    rows = held.join(strays, "hub")
-    payload = ["rep", "component", "sketch", "shingles"]
-    stray = rows.where("component <> hub").select("hub", _block(F.col("stray"), F.col("rep")).alias("block"), F.lit(0).alias("kind"), *payload)
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("stray") / BLOCK) - 1)).alias("block")
-    everyone = rows.select("hub", each, F.when(F.col("component") == F.col("hub"), 1).otherwise(2).alias("kind"), *payload)
-    both = stray.union(everyone).repartition(tasks, "hub", "block").sortWithinPartitions("hub", "block", "kind")
-    return both.mapInArrow(_across(limit, percent), "a long, b long")
+    held = spool(around.join(sketches, "rep"), "minhash")
+    member = F.col("component") == F.col("hub")
+    of = lambda mine, x: F.coalesce(F.sum(F.when(mine, x)), F.lit(0))
+    counts = held.groupBy("hub").agg(
+        _blocks(of(member, F.lit(1)), of(member, F.col("n_shingles"))).alias("member_blocks"),
+        _blocks(of(~member, F.lit(1)), of(~member, F.col("n_shingles"))).alias("stray_blocks"),
+    )
+    rows = held.join(counts, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(member, F.col("member_blocks")).otherwise(F.col("stray_blocks"))).cast("int"))
+    payload = ["rep", "component", "sketch"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    tile = lambda kind, i, j, one, side: (F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), one.alias("one_sided"), side.alias("side"))
+    own, other = F.col("own"), F.col("other")
+    no = F.lit(False)
+    members = rows.where(member).select("hub", "own", *payload, upto("stray_blocks")).select("hub", *tile(0, own, other, no, F.lit(0)), *payload)
+    strays = rows.where(~member)
+    to_members = strays.select("hub", "own", *payload, upto("member_blocks")).select("hub", *tile(0, other, own, no, F.lit(1)), *payload)
+    to_strays = strays.select("hub", "own", *payload, upto("stray_blocks"))
+    to_strays = to_strays.select("hub", *tile(1, F.least(own, other), F.greatest(own, other), own == other, (own > other).cast("int")), *payload)
+    return members.union(to_members).union(to_strays)
+
+
+def _open_links(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, texts: DataFrame, tasks: int, limit: int, percent: int, size: int) -> DataFrame:
+    """Links between components that share a bucket: sketches choose the rows of each tile, texts decide."""
+    tiles = _tiles(buckets, joined, sketches)
+    near = spool(tiles.repartition(tasks, *TILE).sortWithinPartitions(*TILE).mapInArrow(_near_rows(limit), tiles.schema), "minhash")
+    both = near.join(texts, near["rep"] == texts["doc_id"]).drop("doc_id")
+    return both.repartition(tasks, *TILE).sortWithinPartitions(*TILE).mapInArrow(_across(limit, percent, size), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -371,24 +421,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
     limit = sketch_limit(percent)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks_for(docs)
     signed = spool(signatures(docs, size), "minhash")
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    prints = ["print_a", "print_b", "n_shingles"]
     # equal sets have equal bands and sketches, so the least document's are those of the class
-    classes = spool(full.groupBy(*prints).agg(F.min("doc_id").alias("rep")), "minhash")
-    reps = full.join(classes, prints).where("doc_id = rep").dropDuplicates(["rep", "print_a"]).select("rep", "bands", "sketch")
-    reps = spool(reps, "minhash")
+    classes = spool(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "minhash")
+    own = classes.withColumnRenamed("rep", "doc_id")
+    reps = full.join(own, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    reps = spool(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"), "minhash")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "rep").distinct()
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
     buckets = spool(banded.join(shared, "key"), "minhash")
-    members = _checked(buckets.select("rep").distinct())
-    sketches = spool(reps.select("rep", "sketch").join(members, "rep"), "minhash")
+    members = _checked(spool(buckets.select("rep").distinct(), "minhash"))
+    sketches = spool(reps.select("rep", "n_shingles", "sketch").join(members, "rep"), "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary")
-    sets = spool(sets, "minhash")
+    texts = spool(texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "minhash", "snappy")
 
     # first pass: the nearest earlier class, and one link between the blocks of a large bucket
     blocks = buckets.join(sketches, "rep").select("key", _block(F.col("n"), F.col("rep")).alias("block"), "rep", "sketch")
@@ -396,21 +444,19 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     firsts = buckets.where(F.col("n") > BLOCK).groupBy("key", "least", _block(F.col("n"), F.col("rep")).alias("block")).agg(F.min("rep").alias("a"))
     near = near.union(firsts.where("a <> least").select("a", F.col("least").alias("b"), F.lit(SKETCH_BITS).cast("long")))
     tested = spool(_best(near), "minhash")
-    links = spool(_confirmed(tested, sets, percent), "minhash")
+    links = spool(_confirmed(tested, texts, percent, size), "minhash")
     joined = spool(components(links), "minhash")
 
     # then what lies in different components of a bucket
-    found = spool(_open_links(buckets, joined, sketches, sets, tasks, limit, percent), "minhash")
+    found = spool(_open_links(buckets, joined, sketches, texts, tasks, limit, percent, size), "minhash")
     if not found.isEmpty():
         joined = spool(components(links.union(found)), "minhash")
 
-    out = signed.join(classes, prints, "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    out = signed.join(classes, "digest", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-
-
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of the least document of each group of near-duplicates.
 

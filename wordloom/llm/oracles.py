@@ -45,7 +45,7 @@ def _op3() -> str:
          FROM share LEFT JOIN ref ON share.lang IS NOT DISTINCT FROM ref.lang AND share.what = ref.what AND share.dim = ref.dim GROUP BY doc_id, share.what),
   verdict AS (SELECT doc_id, max(CASE WHEN what = 'class' AND known THEN j END) AS cj, max(CASE WHEN what = 'word' AND known THEN j END) AS wj FROM js GROUP BY doc_id)
   SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND NOT (n_words >= {quality.GUARD_WORDS} AND coalesce(cj > {quality.MAX_CLASS_DIVERGENCE} OR wj > {quality.MAX_WORD_DIVERGENCE} + {quality.WORD_CHANCE} / n_words, false)) AS kept
+    NOT base_failed AND NOT (n_words >= {quality.GUARD_WORDS} AND coalesce(sqrt(greatest(cj, 0)) > {quality.MAX_CLASS_DISTANCE} OR sqrt(greatest(wj, 0)) > {quality.MAX_WORD_DISTANCE} + {quality.WORD_CHANCE} / sqrt(n_words), false)) AS kept
   FROM d LEFT JOIN verdict USING (doc_id)"""
 
 

@@ -16,6 +16,7 @@ an empty result; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._bytes import LOWER, text_slices, word_bounds, word_hashes
+from wordloom.llm._bytes import IS_SPACE, LOWER, binary_array, numbered, text_slices, word_bounds
 from wordloom.llm._shared import small_batches, spool
 
 CAPACITY = 2048
@@ -35,7 +36,7 @@ MIN_CUT = 16
 #: Partitions whose leftovers one task of the second pass merges.
 MERGE_PARTITIONS = 64
 #: Pieces of words whose ids a worker remembers.
-KNOWN_PIECES = 800_000
+KNOWN_PIECES = 400_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, leftover boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("leftover", pa.bool_())])
@@ -59,6 +60,25 @@ _IS_ALNUM = np.zeros(256, bool)
 _IS_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: Words that one call of the tokenizer gets, joined by spaces.
 JOINED_WORDS = 20_000
+#: The one way of cutting texts that pieces of words are sound for (a fixed value).
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def goes_by_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer, as its JSON tells, folds case, drops white space, never joins across it,
+    takes a run of marks by itself and ends each word with a token of its own kind."""
+    steps = lambda part, name: [x["type"] for x in (tokenizer.get(part) or {}).get(name, [])]
+    cuts = [x for x in (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    model = tokenizer["model"]
+    return (
+        steps("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and steps("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        and [(x["pattern"].get("Regex"), x["behavior"], x["invert"]) for x in cuts] == [(_CUTS, "Removed", True)]
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not (model.get("continuing_subword_prefix") or model.get("dropout") or model.get("unk_token"))
+        and all(x["content"].startswith("<|") for x in tokenizer.get("added_tokens", []))
+    )
 
 
 def _cut_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,56 +100,60 @@ def _cut_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 
 
 class ChunkEncoder:
-    """Ids of texts, looked up by pieces of words.
+    """Ids of texts, looked up by pieces of words, byte for byte.
 
-    Sound for tokenizers that fold case, drop white space, never join across it,
-    take a run of marks as one token and end each word with a token of its own
-    kind; the ids are then those of the whole text (tests compare both).  Texts
-    that may hold a special token are encoded as they are.  Pieces are known by
-    64-bit hashes.
+    Pieces are used for tokenizers that :func:`goes_by_words` approves; their ids
+    are then those of the whole text (tests compare both).  Other tokenizers, and
+    texts that may hold a special token, get whole texts.
     """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.by_words = goes_by_words(json.loads(self.tokenizer.to_str()))
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """``known`` numbers the pieces; their ids stand in ``flat`` from ``at``, ``n`` of them."""
+        self.known: dict[bytes, int] = {}
+        self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text of a slice."""
         rows = len(offsets) - 1
+        if not self.by_words:
+            return self.whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
         starts, ends, word_row = word_bounds(offsets, data)
         if not len(starts):
             return [b""] * rows
         first, end, word = _cut_marks(data, starts, ends)
-        hashes, index, inverse = np.unique(word_hashes(data, first, end, lower=True), return_index=True, return_inverse=True)
-        if len(self.keys) + len(hashes) > KNOWN_PIECES:
+        inverse, distinct = numbered(binary_array(LOWER[data[~IS_SPACE[data]]], end - first))
+        pieces = distinct.to_pylist()
+        if len(self.known) + len(pieces) > KNOWN_PIECES:
             self.forget()
-        at = np.searchsorted(self.keys, hashes)
-        fresh = np.ones(len(hashes), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != hashes
-        if fresh.any():
-            whole = LOWER[data].tobytes()
-            spans = zip(first[index[fresh]].tolist(), end[index[fresh]].tolist(), strict=True)
-            self._learn(hashes[fresh], at[fresh], [whole[a:b] for a, b in spans])
-            at = np.searchsorted(self.keys, hashes)
-        n = self.n[at][inverse]
+        number = np.array([self.known.get(p, -1) for p in pieces], np.int64)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = self._learn([pieces[k] for k in fresh.tolist()])
+        n = self.n[number][inverse]
         before = np.cumsum(n) - n
-        ids = self.flat[np.repeat(self.at[at][inverse] - before, n) + np.arange(int(n.sum()))].tobytes()
+        ids = self.flat[np.repeat(self.at[number][inverse] - before, n) + np.arange(int(n.sum()))].tobytes()
         borders = np.concatenate([[0], np.cumsum(np.bincount(word_row[word], weights=n, minlength=rows))]).astype(np.int64) * 4
         out = [ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
         special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
         for row in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
-            text = data[offsets[row] : offsets[row + 1]].tobytes().decode()
-            out[row] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out[row] = self.whole([data[offsets[row] : offsets[row + 1]].tobytes().decode()])[0]
         return out
 
-    def _learn(self, keys: np.ndarray, at: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of new pieces."""
         plain = [k for k, w in enumerate(words) if _PLAIN_WORD.fullmatch(w)]
         other = sorted(set(range(len(words))).difference(plain))
         lengths, found = np.zeros(len(words), np.int64), []
@@ -143,14 +167,24 @@ class ChunkEncoder:
             lengths[i] = len(e.ids)
             found.append(np.array(e.ids, dtype="<u4"))
         new = np.concatenate(found)
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat = _room(self.flat, self.used + len(new))
         self.flat[self.used : self.used + len(new)] = new
         order = np.array(plain + other)
         place = np.empty(len(words), np.int64)
         place[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
         self.used += len(new)
-        self.keys, self.at, self.n = np.insert(self.keys, at, keys), np.insert(self.at, at, place), np.insert(self.n, at, lengths)
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.at, self.n = _room(self.at, len(self.known)), _room(self.n, len(self.known))
+        self.at[first : len(self.known)], self.n[first : len(self.known)] = place, lengths
+        return np.arange(first, len(self.known))
+
+
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """``values`` with room for ``n`` entries; the room doubles, so growing costs little."""
+    while len(values) < n:
+        values = np.concatenate([values, np.zeros_like(values)])
+    return values
 
 
 @lru_cache(maxsize=2)

@@ -3,9 +3,12 @@
 For each language the reference is the pooled histogram of all its documents
 that pass the base rules and the length guard: of character classes, and of
 common function words.  A document's histograms are compared with those of its
-language by Jensen-Shannon divergence (base 2, so within 0..1).  A document
-under the length guard is not judged by divergence, for its histogram says
-little; nor is one whose language has no reference.
+language by Jensen-Shannon distance (the square root of the divergence in base
+2, so within 0..1).  A document under the length guard is not judged by
+distance, for its histogram says little; nor is one whose language has no
+reference.
+
+Words, lines and windows are told apart byte for byte, never by hashes.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null language is a language of its own; rows with repeated ids are judged each
@@ -19,11 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm._bytes import text_buffers, text_slices, word_bounds, word_hashes
+from wordloom.llm._bytes import IS_SPACE, LOWER, binary_array, numbered, text_slices, window_codes, word_bounds, words_of
 from wordloom.llm._shared import small_batches, spool
 
 #: Common function words of the four languages.
@@ -41,9 +45,9 @@ PREFIX = "wordloom_quality_"
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 #: Documents with fewer words are not judged by divergence.
 GUARD_WORDS = 50
-#: Largest Jensen-Shannon divergences of a clean document.  A short text's word histogram
-#: differs from any reference by chance, so its limit also has a share that falls with length.
-MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE, WORD_CHANCE = 0.08, 0.09, 4.0
+#: Largest Jensen-Shannon distances of a clean document.  A short text's word histogram differs
+#: from any reference by chance, so its limit also has a share that falls with the root of length.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_CHANCE = 0.283, 0.27, 0.9
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
 _COUNT_FIELDS = [(c.split()[0], pa.list_(pa.int64()) if "array" in c else pa.int64()) for c in _COUNTS.split(", ")]
@@ -58,12 +62,6 @@ _symbol = np.zeros(256, dtype=bool)
 _symbol[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _hash_of(words: list[str]) -> np.ndarray:
-    offsets, data = text_buffers(pa.array([" ".join(words)], pa.large_string()))
-    starts, ends, _ = word_bounds(offsets, data)
-    return word_hashes(data, starts, ends, lower=True)
-
-
 def _equal_earlier(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(has an equal earlier entry in its row, has any equal other entry in its row)."""
     order = np.lexsort((keys, rows))
@@ -76,7 +74,7 @@ def _equal_earlier(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return earlier, other
 
 
-def _counts(offsets: np.ndarray, data: np.ndarray, dims: tuple[np.ndarray, np.ndarray]) -> list:
+def _counts(offsets: np.ndarray, data: np.ndarray, dims: pa.Array) -> list:
     n = len(offsets) - 1
     lengths = np.diff(offsets)
     row_of_byte = np.repeat(np.arange(n), lengths)
@@ -87,14 +85,11 @@ def _counts(offsets: np.ndarray, data: np.ndarray, dims: tuple[np.ndarray, np.nd
     word_chars = classes.sum(axis=1) - classes[:, 3]
     symbols = np.bincount(row_of_byte[_symbol[data]], minlength=n)
     # words in windows that the text has twice
-    exact = word_hashes(data, starts, ends, lower=False)
+    exact, _ = numbered(words_of(data, starts, ends, lower=False))
     covered = np.zeros(n, np.int64)
     if len(exact) >= WINDOW:
-        m = len(exact) - WINDOW + 1
-        key = np.zeros(m, np.uint64)
-        for j in range(WINDOW):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + exact[j : j + m]
-        inside = np.flatnonzero(rows[:m] == rows[WINDOW - 1 :])
+        key = window_codes(exact, WINDOW)
+        inside = np.flatnonzero(rows[: len(key)] == rows[WINDOW - 1 :])
         _, other = _equal_earlier(key[inside], rows[inside])
         edge = np.zeros(len(exact) + 1, np.int64)
         np.add.at(edge, inside[other], 1)
@@ -107,18 +102,19 @@ def _counts(offsets: np.ndarray, data: np.ndarray, dims: tuple[np.ndarray, np.nd
     line_end = np.append(line_start[1:], len(data)) if len(line_start) else line_start
     line_row = np.searchsorted(offsets, line_start, "right") - 1
     ends_cut = cut[line_end - 1] if len(line_end) else np.zeros(0, bool)
-    line_hash = word_hashes(data, line_start, line_end - ends_cut, lower=False)
+    line, _ = numbered(binary_array(data[~cut], line_end - ends_cut - line_start))
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
-    earlier, _ = _equal_earlier(line_hash[has_word], line_row[has_word])
+    earlier, _ = _equal_earlier(line[has_word], line_row[has_word])
     dup_lines = np.bincount(line_row[has_word][earlier], minlength=n)
     # common words, without marks at the end of a word
-    trimmed = np.where(_class[data[ends - 1]] == 4, ends - 1, ends) if len(ends) else ends
-    folded = word_hashes(data, starts, trimmed, lower=True)
-    sorted_dims, order = dims
-    at = np.minimum(np.searchsorted(sorted_dims, folded), len(sorted_dims) - 1)
-    hit = sorted_dims[at] == folded
-    width = len(sorted_dims)
-    common = np.bincount(rows[hit] * width + order[at[hit]], minlength=n * width).reshape(n, width)
+    solid = ~IS_SPACE[data]
+    trimmed = np.flatnonzero(_class[data[ends - 1]] == 4) if len(ends) else ends
+    solid[ends[trimmed] - 1] = False
+    length = ends - starts
+    length[trimmed] -= 1
+    at = pc.index_in(binary_array(LOWER[data[solid]], length), value_set=dims).fill_null(-1).to_numpy().astype(np.int64)
+    hit, width = at >= 0, len(dims)
+    common = np.bincount(rows[hit] * width + at[hit], minlength=n * width).reshape(n, width)
     return [n_words, word_chars, symbols, dup_lines, covered, classes, np.column_stack([common, n_words - common.sum(axis=1)])]
 
 
@@ -126,9 +122,7 @@ def _measure(prefix: str, keep_text: bool) -> Callable:
     """Appends the counts, their names under ``prefix``, to all columns (or all but the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hash_of(DIMENSIONS)
-        order = np.argsort(hashes)
-        dims = (hashes[order], order)
+        dims = pa.array([w.encode() for w in DIMENSIONS], pa.large_binary())
         for batch in batches:
             for first, end, offsets, data in text_slices(batch.column("text")):
                 part = batch.slice(first, end - first)
@@ -157,7 +151,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def references(measured: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame:
-    """wordloom_ref_lang, wordloom_ref_classes, wordloom_ref_common: histograms pooled over all documents of a language that pass.
+    """wordloom_ref_lang, wordloom_ref_classes, wordloom_ref_common: shares pooled over all documents of a language that pass.
 
     The sums are of fixed width, so partial aggregation sends one row for each
     language and task; the result has one row for each language.
@@ -168,55 +162,61 @@ def references(measured: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame
     pooled = clean.groupBy("lang").agg(*sums)
     return pooled.select(
         F.col("lang").alias("wordloom_ref_lang"),
-        F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("wordloom_ref_classes"),
-        F.array(*[f"w{i}" for i in range(len(DIMENSIONS) + 1)]).alias("wordloom_ref_common"),
+        shares(F.array(*[f"c{i}" for i in range(len(CLASSES))])).alias("wordloom_ref_classes"),
+        shares(F.array(*[f"w{i}" for i in range(len(DIMENSIONS) + 1)])).alias("wordloom_ref_common"),
     )
 
 
-def divergence(a: Column, b: Column) -> Column:
-    """Jensen-Shannon divergence in bits of two arrays of counts; null if either sums to 0."""
+def shares(counts: Column) -> Column:
+    """Each count over their sum; nulls if that is 0."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, v: s + v)
+    return F.transform(counts, lambda v: F.try_divide(v, total))
+
+
+def distance(counts: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of an array of counts from an array of shares; null if either has no sum."""
 
-    def shares(x: Column) -> Column:
-        total = F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-        return F.transform(x, lambda v: F.try_divide(v, total))
+    def half(p: Column, m: Column) -> Column:
+        return F.when(p > 0, p * F.log2(p / m)).otherwise(p * 0)
 
-    def half(p: Column, q: Column) -> Column:
-        return F.when(p.isNull() | q.isNull(), F.lit(None)).when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
+    def term(p: Column, q: Column) -> Column:
+        return half(p, (p + q) / 2) + half(q, (p + q) / 2)
 
-    return F.aggregate(F.zip_with(shares(a), shares(b), lambda p, q: (half(p, q) + half(q, p)) / 2), F.lit(0.0), lambda s, v: s + v)
+    total = F.aggregate(F.zip_with(shares(counts), reference, term), F.lit(0.0), lambda s, v: s + v)
+    return F.sqrt(F.greatest(total / 2, total * 0))
 
 
 def _judged(measured: DataFrame, refs: DataFrame, guard_words: int, limits: tuple[float, float, float], prefix: str = "") -> DataFrame:
-    """``measured`` with base_failed, class_divergence, word_divergence and kept under ``prefix``."""
+    """``measured`` with base_failed, class_distance, word_distance and kept under ``prefix``."""
     name = lambda c: F.col(prefix + c)
     # a written table with one row for each language: Spark broadcasts it only under its threshold
     joined = measured.join(refs, F.col("lang").eqNullSafe(F.col("wordloom_ref_lang")), "left")
     joined = joined.withColumns({
         prefix + "base_failed": _base_failed(prefix),
-        prefix + "class_divergence": divergence(name("classes"), F.col("wordloom_ref_classes")),
-        prefix + "word_divergence": divergence(name("common"), F.col("wordloom_ref_common")),
+        prefix + "class_distance": distance(name("classes"), F.col("wordloom_ref_classes")),
+        prefix + "word_distance": distance(name("common"), F.col("wordloom_ref_common")),
     })
     most_class, most_word, chance = limits
-    odd = (name("class_divergence") > most_class) | (name("word_divergence") > most_word + chance / F.greatest(name("n_words"), F.lit(1)))
+    odd = (name("class_distance") > most_class) | (name("word_distance") > most_word + chance / F.sqrt(F.greatest(name("n_words"), F.lit(1))))
     return joined.withColumn(prefix + "kept", ~name("base_failed") & ~((name("n_words") >= guard_words) & F.coalesce(odd, F.lit(False))))
 
 
 def quality_rules(
     docs: DataFrame,
     guard_words: int = GUARD_WORDS,
-    max_class_divergence: float = MAX_CLASS_DIVERGENCE,
-    max_word_divergence: float = MAX_WORD_DIVERGENCE,
+    max_class_distance: float = MAX_CLASS_DISTANCE,
+    max_word_distance: float = MAX_WORD_DISTANCE,
     word_chance: float = WORD_CHANCE,
 ) -> DataFrame:
-    """doc_id, the counts, base_failed, class_divergence, word_divergence, kept.
+    """doc_id, the counts, base_failed, class_distance, word_distance, kept.
 
     The counts are written once and read for both the references and the verdict.
     """
     with small_batches(docs.sparkSession):
         measured = spool(measure(docs), "quality")
     refs = spool(references(measured, guard_words), "quality")
-    judged = _judged(measured, refs, guard_words, (max_class_divergence, max_word_divergence, word_chance))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", "kept")
+    judged = _judged(measured, refs, guard_words, (max_class_distance, max_word_distance, word_chance))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
 def filter_documents(docs: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame:
@@ -228,5 +228,5 @@ def filter_documents(docs: DataFrame, guard_words: int = GUARD_WORDS) -> DataFra
         refs = spool(references(spool(measure(docs), "quality"), guard_words), "quality")
     counts = ", ".join(PREFIX + c for c in _COUNTS.split(", "))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(counts).fields])
-    judged = _judged(docs.mapInArrow(_measure(PREFIX, True), schema), refs, guard_words, (MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE, WORD_CHANCE), PREFIX)
+    judged = _judged(docs.mapInArrow(_measure(PREFIX, True), schema), refs, guard_words, (MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_CHANCE), PREFIX)
     return judged.where(PREFIX + "kept").select(*[F.col(f"`{c}`") for c in docs.columns])
