@@ -38,13 +38,37 @@ def test_ann_odd_vectors(spark):
     rows += [(100 + k, [1.0, 0.0]) for k in range(30)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("leaf", F.lit("clash"))
     got = {}
-    for r in ann.search(table, table.where("vec_id % 20 = 0"), search_share=1.0).orderBy("query_id", "rank").collect():
+    for r in ann.search(table, table.where("vec_id % 20 = 0"), candidates=10**9).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got[0] == [(20, 2.0), (1, 1.0), *[(100 + k, 1.0) for k in range(18)]]
     assert [v for v, _ in got[20]] == [0, 1, *range(100, 118)] and 4 not in got
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_ann_calibration():
+    """Clustered vectors take few rows; vectors without structure never more than an exact search."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32))
+    clustered = centres[rng.integers(0, 60, 6000)] + 0.2 * rng.normal(size=(6000, 32))
+    for points, most in ((clustered, 0.2), (rng.normal(size=(6000, 32)), 1.0)):
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        forest = ann.Forest(ann._augment(points, 1.0), 10, 5)
+        trees, rows = ann.calibrate(forest, ann._augment(points, 1.0), points, 20, 6000, 0.95)
+        assert rows <= most * 6000
+        own = forest.first(trees)
+        leaves = own.leaves(ann._augment(points, 1.0))
+        sizes = np.stack([np.bincount(x, minlength=32) for x in leaves])
+        hits = 0
+        for q in range(7, 6000, 100):
+            taken = own.search(own.heights(ann._augment(points[q : q + 1], 0.0))[0], sizes, rows)
+            found = set(np.concatenate([np.flatnonzero(leaves[t] == x) for t, x in taken]).tolist())
+            assert sum(sizes[t, x] for t, x in taken) <= max(rows + sizes.max(), 6000)
+            scores = points @ points[q]
+            scores[q] = -9
+            hits += len(found & set(np.argsort(-scores)[:20].tolist()))
+        assert hits / (60 * 20) >= 0.9
+
+
 def test_warc_audit(spark):
     rows = [(k, f"http://h{k % 3}/p{k}", "x" * (k % 50) + f"é{k}") for k in range(300)] + [(None, None, None), (7, "http://h1/p7", "x" * 7 + "é7"), (7, "http://h1/p7", "x" * 7 + "é7")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file_id", F.lit("clash"))

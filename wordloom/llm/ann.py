@@ -8,11 +8,18 @@ vector is put into one leaf of each tree; leaves are cut into parts of about
 ``PART_ROWS`` vectors, whose number follows from the leaf's true size.
 
 A query searches all trees through one priority queue, ordered by the margin to
-the nearest split crossed so far, until the leaves taken hold ``search_share``
-of the index in expectation.  It is joined to the parts of these leaves; exact
-inner products rerank them in double precision.  A query also carries a score
-that ``PILOT`` times the wanted number of sample vectors reach, so the parts
-pass on nothing that is sure to be far from the answer.
+the nearest split crossed so far, until the leaves taken hold ``candidates``
+rows.  It is joined to the parts of these leaves; exact inner products rerank them
+in double precision.  A query also carries a score that ``PILOT`` times the wanted
+number of sample vectors reach, so the parts pass on nothing that is sure to be
+far from the answer.
+
+Unless given, the number of candidates and of trees is measured: for some vectors
+of the sample, each tree count tells how many rows a search must read until a
+share ``recall`` of the true neighbours has come up, and the cheapest is taken.
+One tree read whole is an exact search, so no query ever reads more rows than
+that: clustered vectors get many trees and few leaves, vectors without structure
+few trees and most of the leaves.
 
 Equal vectors are one entry that carries the ``k + 1`` smallest of their ids:
 no answer can need more of them, so large groups of copies stay exact and small.
@@ -25,6 +32,7 @@ to the smaller id; a query without candidates has no rows.
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections.abc import Callable, Iterator
 
@@ -34,9 +42,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm._shared import spool
+from wordloom.llm._shared import spool, tasks_for
 
-TREES, LEAF_ROWS, SAMPLE, SEARCH_SHARE = 10, 256, 16384, 0.8
+TREES, LEAF_ROWS, SAMPLE, RECALL = 10, 256, 16384, 0.95
+#: Sample vectors that a calibration searches for, at most.
+CALIBRATION = 200
 PART_ROWS, QUERY_BLOCK = 4096, 512
 PILOT = 4
 #: Pairs (query, neighbour) that a task holds before it passes its best ones on.
@@ -76,15 +86,14 @@ class Forest:
             out[t] = node - ((1 << self.depth) - 1)
         return out
 
-    def search(self, heights: np.ndarray, sizes: np.ndarray, wanted: float, total: int) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs for one query, nearest first, until they hold ``wanted`` of ``total`` vectors.
+    def search(self, heights: np.ndarray, sizes: np.ndarray, wanted: float) -> list[tuple[int, int]]:
+        """(tree, leaf) pairs for one query, nearest first, until they hold ``wanted`` rows.
 
-        ``heights``: the query's signed distance to each split.  Leaves of other
-        trees overlap as if by chance, which gives the expected share.
+        ``heights``: the query's signed distance to each split.
         """
-        first_leaf, queue, taken, missed = (1 << self.depth) - 1, [(0.0, t, 0) for t in range(self.trees)], [], np.ones(self.trees)
+        first_leaf, queue, taken, rows = (1 << self.depth) - 1, [(0.0, t, 0) for t in range(self.trees)], [], 0
         heapq.heapify(queue)
-        while queue and 1 - np.prod(missed) < wanted:
+        while queue and rows < wanted:
             margin, t, node = heapq.heappop(queue)
             while node < first_leaf:
                 height = heights[t, node]
@@ -94,9 +103,55 @@ class Forest:
             leaf = node - first_leaf
             if sizes[t, leaf]:
                 taken.append((t, leaf))
-                missed[t] -= sizes[t, leaf] / total
+                rows += int(sizes[t, leaf])
         return taken
 
+    def first(self, trees: int) -> Forest:
+        """The forest of the first ``trees`` trees."""
+        out = copy.copy(self)
+        out.trees, out.normals, out.limits = trees, self.normals[:trees], self.limits[:trees]
+        return out
+
+    def heights(self, points: np.ndarray) -> np.ndarray:
+        """Signed distances of points to all splits, points x trees x splits."""
+        return np.einsum("qd,tnd->qtn", points, self.normals) - self.limits
+
+    def cost(self, sample: np.ndarray, leaves: np.ndarray, chosen: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Rows that a search for each chosen sample vector reads until each of its neighbours ``near`` comes up."""
+        sizes = np.stack([np.bincount(x, minlength=1 << self.depth) for x in leaves[: self.trees]])
+        out = np.zeros(near.shape)
+        for q in range(len(chosen)):
+            order = self.search(self.heights(chosen[q : q + 1])[0], sizes, np.inf)
+            place = np.full(sizes.shape, np.inf)
+            read = np.cumsum([sizes[t, x] for t, x in order])
+            place[tuple(np.array(order).T)] = read
+            out[q] = place[np.arange(self.trees)[:, None], leaves[: self.trees][:, near[q]]].min(axis=0)
+        return out
+
+
+def calibrate(forest: Forest, sample: np.ndarray, plain: np.ndarray, k: int, total: int, recall: float) -> tuple[int, int]:
+    """(trees, rows to read of ``total``) that find a share ``recall`` of the ``k`` nearest, as measured on the sample.
+
+    ``sample`` are the forest's points, ``plain`` their vectors.  The sample stands
+    for the table, so of the k nearest as many are looked for as the sample holds.
+    """
+    if len(sample) < 3:
+        return 1, total
+    step = -(-len(sample) // CALIBRATION)
+    chosen = np.arange(0, len(sample), step)
+    near_count = int(np.clip(np.ceil(k * len(sample) / total), 1, len(sample) - 1))
+    scores = plain[chosen] @ plain.T
+    scores[np.arange(len(chosen)), chosen] = -np.inf
+    near = np.argpartition(-scores, near_count - 1, axis=1)[:, :near_count]
+    leaves = forest.leaves(sample)
+    best = (1, float(len(sample)))
+    for trees in sorted({1, 2, max(forest.trees // 2, 1), forest.trees}):
+        if trees <= forest.trees:
+            rows = float(np.quantile(forest.first(trees).cost(sample, leaves, sample[chosen], near), recall, method="higher"))
+            if rows < best[1]:
+                best = (trees, rows)
+    return best[0], min(int(np.ceil(best[1] / len(sample) * total)), total)
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()]) if len(column) else np.zeros((0, 0))
@@ -125,7 +180,7 @@ def _route(forest: Broadcast, norm: float) -> Callable:
     return run
 
 
-def _visit(forest: Broadcast, pilot: Broadcast, sizes: np.ndarray, parts: np.ndarray, wanted: float, total: int, reach: int) -> Callable:
+def _visit(forest: Broadcast, pilot: Broadcast, sizes: np.ndarray, parts: np.ndarray, wanted: int, reach: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
         for b in batches:
@@ -137,10 +192,10 @@ def _visit(forest: Broadcast, pilot: Broadcast, sizes: np.ndarray, parts: np.nda
                 block = points[first : first + 256]
                 scores = plain[first : first + 256] @ pilot.value.T
                 floor = np.partition(scores, -reach, axis=1)[:, -reach] if scores.shape[1] >= reach else np.full(len(block), -np.inf)
-                heights = np.einsum("qd,tnd->qtn", block, f.normals) - f.limits
+                heights = f.heights(block)
                 leaf, part, row = [], [], []
                 for k in range(len(block)):
-                    for t, x in f.search(heights[k], sizes, wanted, total):
+                    for t, x in f.search(heights[k], sizes, wanted):
                         n = int(parts[t, x])
                         leaf += [(t << 32) + x] * n
                         part += range(n)
@@ -215,10 +270,11 @@ def valid_vectors(table: DataFrame, id_column: str, vector_column: str) -> DataF
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, search_share: float = SEARCH_SHARE, sample: int = SAMPLE) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, candidates: int | None = None, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found in ``table`` for each row of ``queries``.
 
-    A query's own id is no candidate.  The sample, the forest (trees x sample /
+    ``candidates`` are the rows that a query reads; without it, those that
+    :func:`calibrate` finds for ``recall``.  A query's own id is no candidate.  The sample, the forest (trees x sample /
     8 splits at most) and the leaf sizes are bounded by the parameters, whatever
     the table's size; nothing else reaches the driver or is broadcast.
     """
@@ -237,7 +293,12 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     vectors = np.stack([np.frombuffer(x, np.float64) for x in drawn["v"]])
     norm = float(np.sqrt(points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]))
     depth = max(0, int(np.ceil(np.log2(max(1, min(total / LEAF_ROWS, len(vectors) / 8))))))
-    forest = spark.sparkContext.broadcast(Forest(_augment(vectors, norm), trees, depth))
+    fitted = Forest(_augment(vectors, norm), trees, depth)
+    if candidates is None:
+        trees, candidates = calibrate(fitted, _augment(vectors, norm), vectors, k, total, recall)
+    elif candidates >= total:  # one tree read whole is an exact search
+        trees, candidates = 1, total
+    forest = spark.sparkContext.broadcast(fitted.first(trees))
     pilot = spark.sparkContext.broadcast(vectors)
     routed = spool(entries.select("id", "v").mapInArrow(_route(forest, norm), "leaf long, id long, v binary"), "ann")
     sizes = np.zeros((trees, 1 << depth), np.int64)
@@ -247,9 +308,9 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     counts = spark.createDataFrame([((t << 32) + x, int(parts[t, x])) for t in range(trees) for x in range(1 << depth)], "leaf long, parts int")
     routed = routed.join(F.broadcast(counts), "leaf")  # trees x leaves rows
     stored = routed.select("leaf", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("floor"))
-    visits = asked.mapInArrow(_visit(forest, pilot, sizes, parts, search_share, total, PILOT * (k + 1)), "leaf long, part int, id long, v binary, floor double")
+    tasks = tasks_for(table)
+    visits = asked.repartition(tasks, "id").mapInArrow(_visit(forest, pilot, sizes, parts, candidates, PILOT * (k + 1)), "leaf long, part int, id long, v binary, floor double")
     both = stored.unionByName(visits.select("leaf", "part", F.lit(1).alias("kind"), "id", "v", "floor"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scored = both.repartition(tasks, "leaf", "part").sortWithinPartitions("leaf", "part", "kind", "id").mapInArrow(_rerank(k + 1), "query_id long, id long, score double")
     nearest = scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     nearest = nearest.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
