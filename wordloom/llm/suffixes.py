@@ -1,25 +1,24 @@
 """Repeated passages across documents: a depth-limited radix sort of suffixes.
 
 Every byte position starts a suffix, of which only the first ``depth`` bytes
-count; suffixes equal through that depth are the repeated windows.  The sort
-goes by digits, most significant first, and drops what a digit sets apart:
-
-1. The first digit of a suffix is the least hash among the ``SEED``-byte strings
-   inside its first ``depth`` bytes.  It is a function of those bytes, so equal
-   windows agree in it, and neighbouring suffixes of a text mostly share it: a
-   run of suffixes has one digit and is kept as one stretch of bytes.  Documents
-   go by id into groups of a few megabytes; a group sends each of its digits
-   once, and learns which of them another document has.  The other suffixes are
-   unique by their first digit and drop out.
-2. Runs under such a digit are cut out with their bytes and dealt by digit; of
+count; suffixes equal through that depth are the repeated windows.
+
+1. Suffixes are dealt.  The deal of a suffix is the least hash among the
+   ``SEED``-byte strings inside its first ``depth`` bytes.  It is a function of
+   those bytes, so equal windows are dealt alike, and neighbouring suffixes of a
+   text mostly share it: a run of suffixes is kept as one stretch of bytes.
+   Documents go by id into groups of a few megabytes; a group sends each of its
+   deals once, and learns which of them another document has.  The other
+   suffixes are unique and drop out.
+2. Runs under such a deal are cut out with their bytes and go to its bucket; of
    equal runs in a group only the document with the least id sends one, the
-   others are repetitions.  A digit that very many groups have is refined at
-   once: its suffixes are dealt one by one, by a hash of all ``depth`` bytes.
-3. Within a digit, suffixes are told apart by that hash and then by 8-byte
-   digits, pass by pass; a pass sorts anew only where tied suffixes differ, and
-   those that no other document shares drop out.  What is tied after the last
+   others are repetitions.  A deal that very many groups have is refined at
+   once: its suffixes go one by one, by a hash of all ``depth`` bytes.
+3. A bucket's suffixes are sorted by digits of eight bytes, most
+   significant first.  Each pass orders what the passes before left tied, and
+   drops the groups that lie in one document alone.  What is tied after the last
    pass is a group of equal windows; all but those in the document with the
-   least id are repetitions.  So equality is that of bytes, never of hashes.
+   least id are repetitions.  Hashes only deal: order and equality are of bytes.
 
 Defined results: a null text counts as empty and a text shorter than ``depth``
 keeps all its bytes; rows that share an id are texts that take nothing from each
@@ -37,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm._bytes import mix, sliding_min, text_buffers, window_hashes
+from wordloom.llm._shared import TASK_BYTES
 
 DEPTH, SEED = 50, 22
 #: Bytes of text in a group of documents, on average.
 GROUP_BYTES = 2 << 20
-#: Groups whose digits (or runs) one bucket takes, on average.
+#: Groups whose deals (or runs) one bucket takes, on average.
 BUCKET_GROUPS = 8
-#: A digit that more groups have is refined at once.
+#: A deal that more groups have is refined at once.
 HOT_GROUPS = 512
 #: Suffixes that the passes hold at a time, on average.
 MATCHED = 500_000
@@ -70,15 +70,15 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 class Runs:
-    """The runs of a group: first byte, suffixes, text and first digit of each."""
+    """The runs of a group: first byte, suffixes, text and first deal of each."""
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, depth: int, seed: int):
         least = sliding_min(window_hashes(data, seed), depth - seed + 1)
         ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
         at = np.flatnonzero(np.arange(len(least)) + depth <= ends)
-        digit = least[at]
+        deal = least[at]
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (digit[1:] != digit[:-1])
+        new[1:] = (at[1:] != at[:-1] + 1) | (deal[1:] != deal[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(at)))
         pieces = -(-size // RUN)
@@ -86,12 +86,12 @@ class Runs:
         k = np.arange(len(source)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         self.start = at[first][source] + k * RUN
         self.n = np.minimum(size[source] - k * RUN, RUN)
-        self.key = mix(digit[first][source] ^ np.uint64(0x5851F42D4C957F2D))
+        self.key = mix(deal[first][source] ^ np.uint64(0x5851F42D4C957F2D))
         self.text = np.searchsorted(offsets, self.start, "right") - 1
 
 
-def _digits(depth: int, seed: int, buckets: int) -> Callable:
-    """A group's digits, once each, by bucket; with a flag for those of several documents."""
+def _deals(depth: int, seed: int, buckets: int) -> Callable:
+    """A group's deals, once each, by bucket; with a flag for those of several documents."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, offsets, data, _ = _texts(table)
@@ -111,7 +111,7 @@ def _digits(depth: int, seed: int, buckets: int) -> Callable:
         rows = {
             "bucket": pa.array(some.astype(np.int32)),
             "source": pa.array(np.full(len(some), table.column("group")[0].as_py(), np.int64)),
-            "digits": pa.array([high[cuts[b] : cuts[b + 1]].T.tobytes() for b in some], pa.binary()),
+            "deals": pa.array([high[cuts[b] : cuts[b + 1]].T.tobytes() for b in some], pa.binary()),
             "several": pa.array([np.packbits(several[cuts[b] : cuts[b + 1]]).tobytes() for b in some], pa.binary()),
         }
         return pa.table(rows)
@@ -127,29 +127,29 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _shared(hot_groups: int) -> Callable:
-    """For each group, the digits of a bucket that other documents have too, and which of them are hot."""
+    """For each group, the deals of a bucket that other documents have too, and which of them are hot."""
 
     def run(table: pa.Table) -> pa.Table:
         sources = table.column("source").to_numpy()
-        blobs = [_unpack(x) for x in table.column("digits").to_pylist()]
+        blobs = [_unpack(x) for x in table.column("deals").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(b)) for x, b in zip(table.column("several").to_pylist(), blobs, strict=True)]
         sizes = np.array([len(b) for b in blobs])
-        digits, several = np.concatenate(blobs), np.concatenate(flags).astype(bool)
-        order = np.argsort(digits, kind="stable")
-        ordered = digits[order]
+        deals, several = np.concatenate(blobs), np.concatenate(flags).astype(bool)
+        order = np.argsort(deals, kind="stable")
+        ordered = deals[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(first, len(ordered)))
         both = (count > 1) | np.logical_or.reduceat(several[order], first)
-        keep, hot = np.zeros(len(digits), bool), np.zeros(len(digits), bool)
+        keep, hot = np.zeros(len(deals), bool), np.zeros(len(deals), bool)
         keep[order], hot[order] = np.repeat(both, count), np.repeat(count > hot_groups, count)
-        out_group, out_digits, out_hot = [], [], []
+        out_group, out_deals, out_hot = [], [], []
         bucket = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(40)
         for k, (a, b) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)):
             if keep[a:b].any():
                 out_group.append(int(sources[k]))
-                out_digits.append((digits[a:b][keep[a:b]] | bucket).tobytes())
+                out_deals.append((deals[a:b][keep[a:b]] | bucket).tobytes())
                 out_hot.append(np.packbits(hot[a:b][keep[a:b]]).tobytes())
-        return pa.table({"group": pa.array(out_group, pa.int64()), "digits": pa.array(out_digits, pa.binary()), "hot": pa.array(out_hot, pa.binary())})
+        return pa.table({"group": pa.array(out_group, pa.int64()), "deals": pa.array(out_deals, pa.binary()), "hot": pa.array(out_hot, pa.binary())})
 
     return run
 
@@ -159,7 +159,7 @@ _RUN_COLUMNS = "bucket int, source long, keys binary, ids binary, runs binary, b
 
 
 def _cut(depth: int, seed: int, buckets: int) -> Callable:
-    """The runs of a group under shared digits, by bucket; and what the group alone can tell to be repeated."""
+    """The runs of a group under shared deals, by bucket; and what the group alone can tell to be repeated."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows: dict[str, list] = {name: [] for name, _ in _RUN_FIELDS}
@@ -173,7 +173,7 @@ def _cut(depth: int, seed: int, buckets: int) -> Callable:
 def _cut_group(table: pa.Table, replies: pa.Table, depth: int, seed: int, buckets: int, rows: dict[str, list]) -> None:
     ids, offsets, data, _ = _texts(table)
     runs = Runs(offsets, data, depth, seed)
-    packed = [np.frombuffer(x, "<u8") for x in replies.column("digits").to_pylist()]
+    packed = [np.frombuffer(x, "<u8") for x in replies.column("deals").to_pylist()]
     known = np.concatenate(packed)
     hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(replies.column("hot").to_pylist(), packed, strict=True)]).astype(bool)
     order = np.argsort(known)
@@ -183,7 +183,7 @@ def _cut_group(table: pa.Table, replies: pa.Table, depth: int, seed: int, bucket
     mine = np.flatnonzero(known[at] == own)
     start, n, doc, key, is_hot = runs.start[mine], runs.n[mine], ids[runs.text[mine]], runs.key[mine], hot[at[mine]]
     bit = np.zeros(len(mine), np.int64)
-    if is_hot.any():  # suffixes one by one, under the next digit
+    if is_hot.any():  # suffixes one by one, under the next deal
         each = np.where(is_hot, n, 1)
         source = np.repeat(np.arange(len(mine)), each)
         bit = np.arange(len(source)) - np.repeat(np.cumsum(each) - each, each)
@@ -263,7 +263,7 @@ def _match_bucket(sent: list[dict], depth: int, out: dict[str, list]) -> None:
     size = n + depth - 1
     begin = np.cumsum(size) - size
     masks = np.zeros(len(n), np.uint64)
-    # digits in turn, so that the suffixes of a part of the bucket are held at a time
+    # deals in turn, so that the suffixes of a part of the bucket are held at a time
     parts = -(-int(n.sum()) // MATCHED) or 1
     part = mix(key) % np.uint64(parts)
     for k in range(parts):
@@ -272,7 +272,7 @@ def _match_bucket(sent: list[dict], depth: int, out: dict[str, list]) -> None:
         stretch = np.repeat(begin[x] - own, size[x]) + np.arange(int(size[x].sum()))
         run_of = np.repeat(np.arange(len(x)), n[x])
         offset = np.arange(len(run_of)) - np.repeat(np.cumsum(n[x]) - n[x], n[x])
-        repeated = radix_groups(data[stretch], own[run_of] + offset, doc[x][run_of], key[x][run_of], depth)
+        repeated = radix_groups(data[stretch], own[run_of] + offset, doc[x][run_of], depth)
         hit = run_of[repeated]
         np.bitwise_or.at(masks, x[hit], np.uint64(1) << (offset[repeated].astype(np.uint64) + bit[x[hit]].astype(np.uint64)))
     ends = np.cumsum([len(r["ids"]) // 8 for r in sent])
@@ -284,42 +284,38 @@ def _match_bucket(sent: list[dict], depth: int, out: dict[str, list]) -> None:
             out["masks"].append(masks[x].astype("<u8").tobytes())
 
 
-def radix_groups(data: np.ndarray, at: np.ndarray, doc: np.ndarray, digit: np.ndarray, depth: int) -> np.ndarray:
+def radix_groups(data: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
     """Indices of the suffixes at ``at`` whose first ``depth`` bytes some suffix of a lesser doc has.
 
-    Passes, most significant digit first: ``digit`` with a hash of the whole
-    window, then the window's bytes, eight at a time (the last pass overlaps the
-    one before).
+    Passes over digits of eight bytes, most significant first (the last one
+    overlaps the one before); groups of a single document drop out after each.
     """
-    if not len(at):
-        return at
     data = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    value = mix(digit ^ window_hashes(data, depth)[at])
-    alive = np.argsort(value)
-    value = value[alive]
-    tied = value[1:] == value[:-1]
-    for k in [-1, *(min(k, depth - 8) for k in range(0, depth, 8))]:
-        if k >= 0:
-            value = eight[at[alive] + k]
-            still = tied & (value[1:] == value[:-1])
-            if not np.array_equal(still, tied):  # somewhere tied suffixes differ: sort them, most significant byte first
-                group = np.cumsum(np.concatenate([[True], ~tied]))
-                order = np.lexsort((value.byteswap(), group))
-                alive, group, value = alive[order], group[order], value[order]
-                still = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
-            tied = still
-        if k in (-1, depth - 8):
-            first = np.flatnonzero(np.concatenate([[True], ~tied]))
-            count = np.diff(np.append(first, len(alive)))
-            docs = doc[alive]
-            low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
-            keep = np.repeat(low < high, count)
-            if k >= 0:
-                return alive[docs > np.repeat(low, count)]
-            alive, tied = alive[keep], np.concatenate([[False], tied])[keep][1:]
-            if not len(alive):
-                return alive
+    eight = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    alive, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    digits = [*range(0, depth - 8, 8), depth - 8]
+    for k in digits:
+        if not len(alive):
+            break
+        value = eight[at[alive] + k].astype(np.uint64)
+        same = group[1:] == group[:-1]
+        mixed = np.flatnonzero(same & (value[1:] != value[:-1]))
+        if len(mixed):  # order the groups in which the digit differs
+            unsettled = np.zeros(int(group[-1]) + 1, bool)
+            unsettled[group[mixed]] = True
+            part = np.flatnonzero(unsettled[group])
+            order = part[np.lexsort((value[part], group[part]))] if group[-1] else np.argsort(value)
+            alive[part], value[part] = alive[order], value[order]
+        new = np.concatenate([[True], ~same | (value[1:] != value[:-1])])
+        first = np.flatnonzero(new)
+        docs = doc[alive]
+        low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+        group = np.cumsum(new) - 1
+        if k == digits[-1]:
+            return alive[docs > low[group]]
+        keep = (low < high)[group]
+        alive, group = alive[keep], group[keep]
+        group = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]])) if len(group) else group
     return alive
 
 
@@ -365,10 +361,10 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, seed: int = SEED, group_
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-total // group_bytes) or 1
     buckets = -(-groups // BUCKET_GROUPS)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     grouped = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("group"), "doc_id", "text").repartition(tasks, "group")
-    digits = grouped.groupBy("group").applyInArrow(_digits(depth, seed, buckets), "bucket int, source long, digits binary, several binary")
-    replies = digits.groupBy("bucket").applyInArrow(_shared(hot_groups), "group long, digits binary, hot binary")
+    deals = grouped.groupBy("group").applyInArrow(_deals(depth, seed, buckets), "bucket int, source long, deals binary, several binary")
+    replies = deals.groupBy("bucket").applyInArrow(_shared(hot_groups), "group long, deals binary, hot binary")
     cut = grouped.groupBy("group").cogroup(replies.repartition(tasks, "group").groupBy("group")).applyInArrow(_cut(depth, seed, buckets), _RUN_COLUMNS)
     marks = cut.groupBy("bucket").applyInArrow(_match(depth), "group long, runs binary, masks binary")
     out = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
