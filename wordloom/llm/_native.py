@@ -29,17 +29,27 @@ def cut_at(text: Column, pattern: str) -> Column:
 
 
 def running_starts(lengths: Column) -> Column:
-    """Sum of the entries before each entry of an array of longs.
+    """Sum of the entries before each entry of an array of longs."""
+    return _running(lengths, lambda a, x: a + x)
 
-    Sums run within blocks, then over blocks, so that no step copies an array
+
+def running_tops(values: Column) -> Column:
+    """The greatest of the entries before each entry of an array of longs that are 0 or more."""
+    return _running(values, lambda a, x: F.greatest(a, x))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` over the entries before each entry, from 0.
+
+    It runs within blocks, then over blocks, so that no step copies an array
     that grows with the whole.
     """
 
     def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(xs, F.lit(0).cast("long"), op)
 
     def running(xs: Column) -> Column:
-        sums = F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        sums = F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
         return let(sums, lambda found: F.slice(found, 1, F.size(found) - 1))
 
     def cut(all_of: Column) -> Column:
@@ -48,6 +58,6 @@ def running_starts(lengths: Column) -> Column:
 
     def joined(blocks: Column) -> Column:
         bases = running(F.transform(blocks, total))
-        return F.flatten(F.zip_with(blocks, bases, lambda xs, b: F.transform(running(xs), lambda s: s + b)))
+        return F.flatten(F.zip_with(blocks, bases, lambda xs, b: F.transform(running(xs), lambda s: op(s, b))))
 
-    return let(lengths, lambda all_of: let(cut(all_of), joined))
+    return let(values, lambda all_of: let(cut(all_of), joined))

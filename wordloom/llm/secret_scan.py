@@ -1,22 +1,29 @@
 """Secret scan: base patterns, and a battery of randomness tests with false-discovery control.
 
-Tokens of 20 and more characters are candidates.  The encoding is inferred as
-the smallest alphabet that holds all characters of the token; under it three
-tests are made: chi-squared uniformity of the symbols, the runs test about the
-middle of the alphabet, and serial correlation at lag one.  Three times the
-smallest of their p-values is the token's p-value under "this is random".
-
-Benjamini-Hochberg over all candidates of the table, within strata of length,
-decides which tokens are structured (random is rejected) with a bounded share
-of false rejections; the others are reported.  p-values are rounded up to a
-grid of ``GRID`` steps a unit of the logarithm, so the procedure needs only a
-table of counts of bounded size, and no ordering of all candidates.  Every
-candidate is judged; on short ones the tests have little power, so a short
-token that is not random can be reported.
+Runs of 20 and more characters are candidates, and so are such runs between the
+slashes of one.  The encoding is inferred as the smallest alphabet that holds all
+characters of the candidate; under it three statistics are worked out:
+chi-squared uniformity of the symbols, runs about the middle of the alphabet, and
+serial correlation at lag one.
+
+A report says "this is random", so that is what must be proved: the hypothesis
+tested is that a candidate is structured, departing from a random string by at
+least ``MATCH``, ``RUN_SHIFT`` or ``CORRELATION``.  Each test is one of
+equivalence (the noncentral chi-squared distribution for uniformity, the normal
+one for the others), the candidate must pass all three, and so the greatest of
+their p-values is its p-value.  Benjamini-Hochberg over all candidates of the
+table, within strata of length, reports those below its threshold; so it is the
+reports of which at most ``rate`` are structured in expectation.  How short a
+string can be told is left to the tests' own power, no length or alphabet is
+passed over.
+
+p-values are rounded up to a grid of ``GRID`` steps a unit of the logarithm, so the
+procedure needs only a table of counts of bounded size, and no ordering of all
+candidates.  Everything is linear in the length of texts and candidates.
 
 Runs on Spark expressions only.  Defined results: a null text counts as empty;
-rows with repeated or null ids are scanned each by itself; an empty table gives
-an empty result.
+rows with repeated or null ids are scanned each by itself; texts and candidates
+of any length are scanned whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm._native import cut_at, let, running_starts, unmarked
+from wordloom.llm._native import cut_at, let, running_starts, running_tops, unmarked
 from wordloom.llm._shared import spool
 
 #: The base patterns in the order of kinds.
@@ -55,7 +62,11 @@ ENCODINGS = (
     ("[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "_-"),
     ("[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/_-"),
 )
-FALSE_DISCOVERY_RATE = 0.05
+#: What makes a string structured: two of its symbols match this often, or symbols vary that much more than
+#: random ones (alphabets of few symbols); changes between halves of the alphabet are off one in two by as
+#: much; neighbouring symbols correlate as much.
+MATCH, LEAST_EXCESS, RUN_SHIFT, CORRELATION = 0.05, 0.5, 0.35, 0.7
+LEAST_LENGTH, FALSE_DISCOVERY_RATE = 20, 0.05
 STRATA = (20, 32, 64)
 GRID, GRID_TOP = 16, 1023
 
@@ -77,56 +88,75 @@ def _plain(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
-def _upper_tail(z: Column) -> Column:
-    """1 - normal distribution function, by the formula 26.2.17 of Abramowitz and Stegun (fixed values)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+def _below(z: Column) -> Column:
+    """Normal distribution function, by the formula 26.2.17 of Abramowitz and Stegun (fixed values)."""
+
+    def tail(x: Column) -> Column:
+        t = 1 / (1 + 0.2316419 * x)
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
+
+    return let(z, lambda x: F.when(x < 0, tail(-x)).otherwise(1 - tail(x)))
 
 
 def _inferred(token: Column) -> Column:
     """The token without padding and the smallest alphabet that holds it."""
-    bare = F.regexp_replace(token, "=+$", "")
-    alphabet = F.lit(None).cast("string")
-    for pattern, symbols in reversed(ENCODINGS):
-        alphabet = F.when(bare.rlike(f"^{pattern}$"), F.lit(symbols)).otherwise(alphabet)
-    return F.struct(bare.alias("bare"), alphabet.alias("alphabet"))
+
+    def of(bare: Column) -> Column:
+        alphabet = F.lit(None).cast("string")
+        for pattern, symbols in reversed(ENCODINGS):
+            alphabet = F.when(bare.rlike(f"^{pattern}$"), F.lit(symbols)).otherwise(alphabet)
+        return F.struct(bare.alias("bare"), alphabet.alias("alphabet"))
+
+    return let(F.regexp_replace(token, "=+$", ""), of)
 
 
 def _sums(x: Column) -> Column:
     """What the tests need of a token, each in one pass over its symbols."""
     size = F.char_length(x["alphabet"])
-    codes = F.transform(F.filter(F.split(x["bare"], ""), lambda c: c != ""), lambda c: F.position(c, x["alphabet"]) - 1)
+    symbols = F.filter(F.split(x["bare"], ""), lambda c: c != "")
     counts = F.transform(
         F.sequence(F.lit(1), size),
         lambda i: (F.char_length(x["bare"]) - F.char_length(F.replace(x["bare"], x["alphabet"].substr(i, F.lit(1)), F.lit("")))).cast("double"),
     )
-    return F.struct(codes.alias("codes"), F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"), size.cast("double").alias("size"))
-
-
-def _p_value(x: Column) -> Column:
-    n = F.size(x["codes"]).cast("double")
-    size = x["size"]
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
-    nexts = F.slice(x["codes"], 2, F.size(x["codes"]))
-    # uniformity: Wilson-Hilferty transform of chi-squared
-    chi = size / n * x["squares"] - n
-    width = 2 / (9 * (size - 1))
-    uniform = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / (size - 1), F.lit(1 / 3)) - (1 - width)) / F.sqrt(width))
-    # runs about the middle of the alphabet
-    high = total(F.transform(x["codes"], lambda c: (c * 2 >= size).cast("double")))
-    changes = total(F.zip_with(x["codes"], nexts, lambda a, b: F.when(b.isNotNull() & ((a * 2 >= size) != (b * 2 >= size)), 1.0).otherwise(0.0)))
-    mean_runs = 2 * high * (n - high) / n + 1
-    spread = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    runs = F.when(spread > 0, 2 * _upper_tail(F.abs(changes + 1 - mean_runs) / F.sqrt(F.greatest(spread, F.lit(1e-9))))).otherwise(F.lit(0.0))
-    # serial correlation at lag one
-    mean = total(F.transform(x["codes"], lambda c: c.cast("double"))) / n
-    variance = total(F.transform(x["codes"], lambda c: (c - mean) * (c - mean)))
-    lagged = total(F.zip_with(x["codes"], nexts, lambda a, b: F.when(b.isNotNull(), (a - mean) * (b - mean)).otherwise(0.0)))
-    serial = F.when(variance > 0, 2 * _upper_tail(F.abs(lagged / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
+
+    def of(codes: Column) -> Column:
+        pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return let(
+            pairs,
+            lambda two: F.struct(
+                F.size(codes).cast("double").alias("n"),
+                size.cast("double").alias("size"),
+                F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"),
+                total(codes).alias("sum"),
+                F.aggregate(codes, F.lit(0.0), lambda a, c: a + c * c).alias("second"),
+                F.aggregate(two, F.lit(0.0), lambda a, p: a + p["a"] * p["b"]).alias("cross"),
+                F.aggregate(two, F.lit(0.0), lambda a, p: a + ((p["a"] * 2 >= size) != (p["b"] * 2 >= size)).cast("double")).alias("changes"),
+                (F.element_at(codes, 1) + F.element_at(codes, -1)).alias("ends"),
+            ),
+        )
+
+    return let(F.transform(symbols, lambda c: (F.position(c, x["alphabet"]) - 1).cast("double")), of)
+
+
+def _p_values(x: Column) -> list[Column]:
+    """Of the three tests; ``x`` is a struct of :func:`_sums`."""
+    n, size = x["n"], x["size"]
+    # uniformity: the noncentral chi-squared distribution at the least structure, by Abdel-Aty's cube root
+    chi, free = size / n * x["squares"] - n, size - 1
+    shift = n * F.greatest(F.lit(LEAST_EXCESS), MATCH * size - 1)
+    width = 2 * (free + 2 * shift) / (free + shift) / (9 * (free + shift))
+    uniform = _below((F.pow(F.greatest(chi, F.lit(0.0)) / (free + shift), F.lit(1 / 3)) - (1 - width)) / F.sqrt(width))
+    # runs about the middle of the alphabet: random neighbours lie in different halves one time in two
+    runs = _below((F.abs(x["changes"] / (n - 1) - 0.5) - RUN_SHIFT) / F.sqrt((0.25 - RUN_SHIFT**2) / (n - 1)))
+    # serial correlation at lag one, by Fisher's transform
+    mean = x["sum"] / n
+    variance = x["second"] - n * mean * mean
+    lagged = x["cross"] - mean * (2 * x["sum"] - x["ends"]) + (n - 1) * mean * mean
+    r = F.when(variance > 1e-9, F.least(F.abs(lagged / F.greatest(variance, F.lit(1e-9))), F.lit(0.999))).otherwise(F.lit(0.999))
+    serial = _below((F.atanh(r) - math.atanh(CORRELATION)) * F.sqrt(n - 3))
+    return [uniform, runs, serial]
 
 
 def _stratum(n: Column) -> Column:
@@ -136,20 +166,51 @@ def _stratum(n: Column) -> Column:
     return out
 
 
+def _judged(t: Column) -> Column:
+    """A candidate (start, end, p) with its p-value, step of the grid and stratum."""
+    p = let(_inferred(t["p"]), lambda x: let(_sums(x), lambda s: F.greatest(*_p_values(s))))
+    step = lambda v: F.least(F.floor(-F.log(F.greatest(v, F.lit(1e-300))) * GRID), F.lit(GRID_TOP)).cast("int")
+    return let(p, lambda v: F.struct(t["start"].alias("start"), t["end"].alias("end"), v.alias("p"), _stratum(t["end"] - t["start"]).alias("stratum"), step(v).alias("step")))
+
+
+def _parts(t: Column) -> Column:
+    """The runs of a token between slashes that are candidates too."""
+
+    def placed(pieces: Column) -> Column:
+        starts = running_starts(F.transform(pieces, lambda p: (F.char_length(p) + 1).cast("long")))
+        spans = F.zip_with(pieces, starts, lambda p, s: F.struct((t["start"] + s).alias("start"), (t["start"] + s + F.char_length(p)).alias("end"), p.alias("p")))
+        return F.filter(spans, lambda x: (F.char_length(x["p"]) >= LEAST_LENGTH) & x["p"].rlike(f"^[A-Za-z0-9+_-]{{{LEAST_LENGTH},}}"))
+
+    none = F.filter(F.array(F.struct(t["start"].alias("start"), t["end"].alias("end"), t["p"].alias("p"))), lambda x: F.lit(False))
+    return F.when(t["p"].contains("/"), let(F.split(t["p"], "/"), placed)).otherwise(none)
+
+
+def _outside(tokens: Column, base: Column) -> Column:
+    """The tokens that lie in no base span: no span that starts before one, or where it does, reaches its end."""
+    event = lambda x, kind, p: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), p.alias("p"))
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b, 0, F.lit(""))), F.transform(tokens, lambda t: event(t, 1, t["p"]))))
+
+    def marked(found: Column) -> Column:
+        tops = running_tops(F.transform(found, lambda e: F.when(e["kind"] == 0, e["end"]).otherwise(F.lit(0).cast("long"))))
+        return F.filter(F.zip_with(found, tops, lambda e, top: F.struct(e.alias("e"), (top >= e["end"]).alias("inside"))), lambda x: (x["e"]["kind"] == 1) & ~x["inside"])
+
+    free = F.transform(let(events, marked), lambda x: F.struct(x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["p"].alias("p")))
+    plain = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["p"].alias("p")))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), plain).otherwise(free)
+
+
 def _thresholds(found: DataFrame, rate: float) -> dict[int, int]:
-    """For each stratum the lowest grid step at which random is rejected (Benjamini-Hochberg)."""
-    counts = found.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.step").count()
+    """For each stratum the lowest grid step, so the greatest p-value, that is reported (Benjamini-Hochberg)."""
+    every = F.flatten(F.transform("tokens", lambda t: F.concat(F.array(t["whole"]), t["parts"])))
+    counts = found.where(F.size("tokens") > 0).select(F.explode(every).alias("t")).groupBy("t.stratum", "t.step").count()
     at_least = Window.partitionBy("stratum").orderBy(F.desc("step"))
-    rejected = F.exp(-F.col("step") / GRID) <= rate * F.sum("count").over(at_least) / F.sum("count").over(Window.partitionBy("stratum"))
-    steps = counts.withColumn("rejected", rejected).where("rejected").groupBy("stratum").agg(F.min("step").alias("step"))
+    reported = F.exp(-F.col("step") / GRID) <= rate * F.sum("count").over(at_least) / F.sum("count").over(Window.partitionBy("stratum"))
+    steps = counts.withColumn("reported", reported).where("reported").groupBy("stratum").agg(F.min("step").alias("step"))
     return {r["stratum"]: r["step"] for r in steps.collect()}  # a row for each stratum at most
 
 
-def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
-    """doc_id, base and found: arrays of struct<start, kind, end> in code points, end exclusive.
-
-    ``kind`` indexes ``KINDS``; ``found`` holds what the battery adds, outside base spans.
-    """
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, base and tokens: each candidate outside base spans (whole) and its parts, with p-value, grid step and stratum."""
     text = F.col("text")
     long_group = lambda p: F.char_length(F.regexp_extract(p, ASSIGN, 1)) >= LEAST_GROUP
     spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), unmarked(F.col("text").cast("string")).alias("text")).select(
@@ -157,22 +218,26 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
         _plain(F.concat(_matches(text, ASSIGN, 0, long_group), _matches(text, ACCESS, 1), _matches(text, HEX, 2))).alias("base"),
         _matches(text, TOKEN, 3).alias("tokens"),
     )
-    outside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
-    spans = spans.select("doc_id", "base", F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _inferred(t["p"]).alias("x"))).alias("tokens"))
-    spans = spans.select("doc_id", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _sums(t["x"]).alias("x"))).alias("tokens"))
-    spans = spans.select("doc_id", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _p_value(t["x"]).alias("p"))).alias("tokens"))
-    step = lambda p: F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * GRID), F.lit(GRID_TOP)).cast("int")
-    judged = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["p"].alias("p"), _stratum(t["end"] - t["start"]).alias("stratum"), step(t["p"]).alias("step")))
-    found = spool(spans.select("doc_id", "base", judged.alias("tokens")), "secrets")
+    spans = spans.select("doc_id", "base", _outside(F.col("tokens"), F.col("base")).alias("tokens"))
+    return spans.select("doc_id", "base", F.transform("tokens", lambda t: F.struct(_judged(t).alias("whole"), F.transform(_parts(t), _judged).alias("parts"))).alias("tokens"))
+
+
+def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
+    """doc_id, base and found: arrays of struct<start, kind, end> in code points, end exclusive.
+
+    ``kind`` indexes ``KINDS``; ``found`` holds what the battery adds, outside base
+    spans.  Parts of a candidate that is reported itself are not reported again.
+    """
+    found = spool(judge(docs), "secrets")
     limits = _thresholds(found, rate)
-    kept = F.filter("tokens", lambda t: _accepted(t, limits))
+    kept = F.flatten(F.transform("tokens", lambda t: F.when(_accepted(t["whole"], limits), F.array(t["whole"])).otherwise(F.filter(t["parts"], lambda x: _accepted(x, limits)))))
     return found.select("doc_id", F.array_sort("base").alias("base"), F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"))).alias("found"))
 
 
 def _accepted(t: Column, limits: dict[int, int]) -> Column:
     out = F.lit(False)
-    for k in range(len(STRATA)):
-        out = out | ((t["stratum"] == k) & (t["step"] < limits.get(k, GRID_TOP + 1)))
+    for k in limits:
+        out = out | ((t["stratum"] == k) & (t["step"] >= limits[k]))
     return out
 
 
