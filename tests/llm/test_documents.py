@@ -1,5 +1,6 @@
 """Operators on documents against plain Python, on small fixtures with odd rows."""
 
+import math
 import random
 import re
 
@@ -267,7 +268,7 @@ def test_pii(spark):
         "Call +1 (743) 555-3824 now, or +1 743 555 3824.", "from 227.5.221.1 and 227.5.221.1, not 1.2.3", "card 4539 1488 0343 6467 and 4539148803436467",
         "Mr. Adam Smith met Mrs. Eva Smith. Herr Müller came; Mr. Adam Smith left.", "Frau Иванова", "DE89 3704 0044 0532 0130 00", "123-45-6789", " a@b.org",
     ]
-    out = {r.doc_id: r for r in pii.surrogate(frame(spark, texts)).collect()}
+    out = {r.doc_id: r for r in pii.surrogate(frame(spark, texts), "secret").collect()}
     for k in (0, 1, 2):
         assert out[k].text == texts[k]
     for k in range(3, len(texts)):
@@ -282,16 +283,17 @@ def test_pii(spark):
     cards = re.findall(r"\d[\d ]{14,}\d", out[7].text)
     assert cards[0].replace(" ", "") == cards[1] and luhn([int(c) for c in cards[1]])
     men = re.findall(r"Mr\. (\w+) (\w+)", out[8].text)
-    assert men[0] == men[1] and men[0][0] in pii.FIRST_NAMES["m"] and re.search(r"Mrs\. (\w+)", out[8].text)[1] in pii.FIRST_NAMES["f"]
+    ends = {g: tuple(x.split()) for g, x in pii.SYLLABLES["latin"][2].items()}
+    assert men[0] == men[1] and men[0][0].endswith(ends["m"]) and re.search(r"Mrs\. (\w+)", out[8].text)[1].endswith(ends["f"])
     assert men[0][1][0].isupper() and len(men[0][1]) == 5
     assert re.fullmatch(r"Frau [А-Я][а-яё]{6}", out[9].text) and out[10].text.startswith("DE") and re.fullmatch(r"\d{3}-\d{2}-\d{4}", out[11].text)
-    assert out[0].copy_id == "z" and pii.surrogate(frame(spark, ["a"]).limit(0)).count() == 0
+    assert out[0].copy_id == "z" and pii.surrogate(frame(spark, ["a"]).limit(0), "secret").count() == 0
 
 
 def test_pii_surrogates_are_distinct(spark):
     """Short entities fill their space: surrogates must still differ, and differ from every original."""
     texts = [f"Mr. {a}{b}" for a in "ABCD" for b in "aeiou"] + [f"a{k}@b.org" for k in range(6)]
-    out = pii.surrogate(frame(spark, texts)).collect()
+    out = pii.surrogate(frame(spark, texts), "secret").collect()
     new = [r.text.lower() for r in out]
     assert len(set(new)) == len(new) and not set(new) & {t.lower() for t in texts}
 
@@ -354,17 +356,98 @@ def test_secrets_after_a_name_and_equals_sign(spark):
 
 
 def test_secrets_of_every_alphabet_are_judged(spark):
-    """Short keys of base64, base64url, base32 and letters, and keys that mix the signs of both base64 alphabets."""
-    keys = ["q+7Zk2/TdWm9XbA4sLr1Ug==", "Qp-7Zk2_TdWm9XbA4sLr1U", "MZXW6YTBOI2GK4DQNR5A", "kqzvbtwmxjfhgrpdlcnsyeua", "RkqTLwzbNMXcvhGjpdSf", "dir-x/q7Zk2+TdWm9_XbA4sLr1UgHe8"]
-    out = secret_scan.scan(frame(spark, [f"see {key} now" for key in keys])).collect()
-    assert {r.doc_id: [(x.start, x.end) for x in r.found] for r in out} == {k: [(4, 4 + len(key))] for k, key in enumerate(keys)}
-    plain = ["-" * 22, "/" * 24, "_" * 20 + "/+"]
+    """Keys of base64, base64url and base32, of letters alone, of both base64 alphabets' signs at once, and inside a path."""
+    keys = ["q+7Zk2/TdWm9XbA4sLr1Ug==", "Qp-7Zk2_TdWm9XbA4sLr1U", "MZXW6YTBOI2GK4DQNR5AQ7VHJC3TSKWE", "kqzvbtwmxjfhgrpdlcnsyeuaoiqwmzkxhbtvgrjdnp", "dir-x/q7Zk2+TdWm9_XbA4sLr1UgHe8"]
+    inside = "path/of/a/file/Zx81kQp0wJalrXUtnFEMI7K3MDENGbPx"
+    texts = [f"see {key} now" for key in keys] + [f"see https://host.example/{inside}?x"]
+    judged = {r.doc_id: r.tokens for r in secret_scan.judge(frame(spark, texts)).collect()}
+    for k, key in enumerate(keys):
+        assert [(t.whole.start, t.whole.end) for t in judged[k]] == [(4, 4 + len(key))] and judged[k][0].whole.p < 0.2, key
+    found = {r.doc_id: {texts[r.doc_id][x.start : x.end] for x in r.found} for r in secret_scan.scan(frame(spark, texts), rate=0.2).collect()}
+    for k in (0, 1, 4):
+        assert found[k] == {keys[k]}
+    assert any(x.endswith("Zx81kQp0wJalrXUtnFEMI7K3MDENGbPx") for x in found[5])
+    plain = ["-" * 22, "/" * 24, "_" * 20 + "/+", "abc" * 20, "internationalisation-and-localisation-of-software", "getElementsByTagNameAndClassInDocument"]
     assert not any(r.found for r in secret_scan.scan(frame(spark, plain)).collect())
 
 
+def normal(z):
+    """Normal distribution function by the operator's formula, which errs by less than 7.5e-8."""
+    t = 1 / (1 + 0.2316419 * abs(z))
+    tail = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    assert abs(tail - math.erfc(abs(z) / math.sqrt(2)) / 2) < 1e-7
+    return tail if z < 0 else 1 - tail
+
+
+def plain_p(token):
+    """The battery in plain Python: the greatest of three p-values of "structured"."""
+    token = token.rstrip("=")
+    alphabet = next(symbols for pattern, symbols in secret_scan.ENCODINGS if re.fullmatch(pattern, token))
+    k, n, codes = len(alphabet), len(token), [alphabet.index(c) for c in token]
+    chi = k / n * sum(token.count(c) ** 2 for c in alphabet) - n
+    shift = n * max(secret_scan.LEAST_EXCESS, secret_scan.MATCH * k - 1)
+    mean = k - 1 + shift
+    width = 2 * (k - 1 + 2 * shift) / mean / (9 * mean)
+    uniform = normal(((max(chi, 0) / mean) ** (1 / 3) - (1 - width)) / math.sqrt(width))
+    changes = sum((2 * a >= k) != (2 * b >= k) for a, b in zip(codes, codes[1:])) / (n - 1)
+    runs = normal((abs(changes - 0.5) - secret_scan.RUN_SHIFT) / math.sqrt((0.25 - secret_scan.RUN_SHIFT**2) / (n - 1)))
+    m = sum(codes) / n
+    spread = sum((c - m) ** 2 for c in codes)
+    r = min(abs(sum((a - m) * (b - m) for a, b in zip(codes, codes[1:])) / spread), 0.999) if spread else 0.999
+    return max(uniform, runs, normal((math.atanh(r) - math.atanh(secret_scan.CORRELATION)) * math.sqrt(n - 3)))
+
+
+def test_secrets_equal_a_plain_version(spark):
+    """p-values, strata, Benjamini-Hochberg and spans, on keys and names of many lengths and alphabets."""
+    rng = random.Random(12)
+    alphabets = [secret_scan.ENCODINGS[k][1] for k in (0, 4, 5, 6, 9, 10, 11, 12)]
+    words = []
+    for n in (20, 22, 27, 33, 40, 64, 90):
+        words += ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for _ in range(3)]
+        words += ["".join(rng.choice(["name", "Of", "value", "the_", "get", "set-", "Item", "index", "path/"]) for _ in range(n))[:n] for _ in range(12)]
+    words += ["token=" + "q1W2e3R4t5Y6u7I8o9P0a1S2", "AKIA" + "Q7" * 10, "password: aaaaaaaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef0123456789", "é" * 30]
+    rng.shuffle(words)
+    texts = [" ".join(words[k : k + 7]) for k in range(0, len(words), 7)] + [None, "", " ".join(words) * 3]
+    token = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+    assign = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    step = lambda p: min(math.floor(-math.log(max(p, 1e-300)) * secret_scan.GRID), secret_scan.GRID_TOP)
+    stratum = lambda n: sum(n >= x for x in secret_scan.STRATA) - 1
+    candidates = {}
+    for doc, text in enumerate(texts):
+        text = text or ""
+        base = [m.span() for m in assign.finditer(text) if len(m[1]) >= 6] + [m.span() for m in re.finditer(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", text)]
+        for m in token.finditer(text):
+            if not any(a <= m.start() and m.end() <= b for a, b in base):
+                parts = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[^/]+", m[0]) if "/" in m[0] and x.end() - x.start() >= 20]
+                candidates[doc, m.start(), m.end()] = [(a, b) for a, b in parts if re.match("[A-Za-z0-9+_-]{20}", text[a:b])]
+    every = [(doc, a, b) for (doc, *whole), parts in candidates.items() for a, b in [tuple(whole), *parts]]
+    steps = {x: step(plain_p(texts[x[0]][x[1] : x[2]])) for x in every}
+    limit = {}
+    for k in range(len(secret_scan.STRATA)):
+        own = sorted((steps[x] for x in every if stratum(x[2] - x[1]) == k), reverse=True)
+        passed = [s for i, s in enumerate(own, 1) if math.exp(-s / secret_scan.GRID) <= 0.05 * sum(t >= s for t in own) / len(own)]
+        limit[k] = min(passed, default=secret_scan.GRID_TOP + 1)
+    reported = lambda x: steps[x] >= limit[stratum(x[2] - x[1])]
+    expected = {d: [] for d in range(len(texts))}
+    for (doc, a, b), parts in candidates.items():
+        expected[doc] += [(a, b)] if reported((doc, a, b)) else [p for p in parts if reported((doc, *p))]
+    got = {r.doc_id: [(x.start, x.end) for x in r.found] for r in secret_scan.scan(frame(spark, texts)).collect()}
+    assert got == expected and sum(map(len, got.values())) > 40
+    names = [x for x in every if re.search("name|value|Item|index", texts[x[0]][x[1] : x[2]])]
+    assert sum(map(reported, names)) <= 0.05 * sum(map(len, got.values()))
+
+
+def test_secrets_in_long_texts_and_odd_rows(spark):
+    rng = random.Random(2)
+    key = "".join(rng.choice(secret_scan.ENCODINGS[9][1]) for _ in range(200_000))
+    texts = [f"see {key} now", f"see {key} now", ("deadbeef" * 4 + " and words ") * 2000, None]
+    out = secret_scan.scan(frame(spark, texts, [3, 3, None, None])).collect()
+    assert sorted((r.doc_id or -1, len(r.base), [(x.start, x.end) for x in r.found]) for r in out) == [(-1, 0, []), (-1, 2000, []), (3, 0, [(4, 200_004)]), (3, 0, [(4, 200_004)])]
+
+
 def test_pii_spellings_of_a_person_share_a_surrogate(spark):
     texts = [f"{a} {n}; {b} {n}" for a, b, n in (("Mr.", "Mr", "Adam Smith"), ("Dr", "Dr.", "Jane Roe"), ("Mrs.", "Mrs", "Smith"), ("Mr", "Mr.", "Boris Q'Neal"))] + ["Mr. D'Arcy Smith; Mr DArcy Smith"]
-    for r in pii.surrogate(frame(spark, texts)).collect():
+    for r in pii.surrogate(frame(spark, texts), "secret").collect():
         a, b = (x.split(" ", 1)[1] for x in r.text.split("; "))
         assert a == b and r.text != texts[r.doc_id]
 
@@ -378,7 +461,7 @@ def test_pii_forms(spark):
     texts = [(kind, f) for kind, fs in forms.items() for f in fs]
     clean = ["01.02.2024 03/04/2021 2024-01-02 10:30:45", "std::cout a::b 1.2.3", "12345678901 0.1234567890", "写信"]
     same = ["2001:db8::1 2001:0db8:0:0:0:0:0:1", "+1 743 555 3824 1-743-555-3824", "030 1234567 0301234567"]
-    out = {r.doc_id: r for r in pii.surrogate(frame(spark, [f"x {f} y" for _, f in texts] + clean + same)).collect()}
+    out = {r.doc_id: r for r in pii.surrogate(frame(spark, [f"x {f} y" for _, f in texts] + clean + same), "secret").collect()}
     for k, (kind, f) in enumerate(texts):
         assert {n: c for n, c in out[k].pii_counts.items() if c} == {kind: 1}, f
         new = out[k].text[2:-2]
@@ -392,3 +475,73 @@ def test_pii_forms(spark):
     for k in (1, 2):
         digits = re.sub(r"\D", "", out[len(texts) + len(clean) + k].text)
         assert digits[: len(digits) // 2] == digits[len(digits) // 2 :]
+
+
+def test_pii_people(spark):
+    """Surnames stand for themselves, first names keep gender, script and case, mentions without titles are found."""
+    texts = [
+        "Mr. Smith met Mr. Adam Smith, Dr. Adam Smith and Mrs. Eva Smith. Adam Smith left; SMITH stayed, Eva Smith too. Adam did not, nor a smith.",
+        "Frau Анна Иванова и Herr Пётр Иванов", "MR. ADAM SMITH", "My name is Jane Roe. Jane Roe, Roe!", "Κύριος; Mr. Νίκος Παππάς", "Dr. Eva Smith", "Mr. Adam Smith-Jones and Mr. Jean-Luc Roe",
+    ]
+    out = {r.doc_id: r.text for r in pii.surrogate(frame(spark, texts), "secret").collect()}
+    word = re.compile(r"[^\W\d_](?:[^\W\d_]|['-])*")
+    old, new = word.findall(texts[0]), word.findall(out[0])
+    at = {}
+    for a, b in zip(old, new, strict=True):
+        at.setdefault(a, set()).add(b)
+    assert at.pop("Adam") > {"Adam"} and all(len(x) == 1 for x in at.values()), at
+    (smith,), (shout,), (eva,) = at["Smith"], at["SMITH"], at["Eva"]
+    assert smith.upper() == shout and at["smith"] == {"smith"} and smith != "Smith" and len(smith) == 5
+    assert "Adam Smith" not in out[0] and "Eva" not in out[0] and re.search(r"too\. Adam did not, nor a smith\.$", out[0])
+    mens, womens, none = (tuple(pii.SYLLABLES["latin"][2][g].split()) for g in "mfx")
+    first = re.search(r"Mr\. (\w+) " + smith, out[0])[1]
+    assert first.endswith(mens) and f"Dr. {first} {smith}" in out[0] and f". {first} {smith} left" in out[0]
+    assert eva.endswith(womens) and out[5] == f"Dr. {eva} {smith}" and out[2] == f"MR. {first.upper()} {smith.upper()}"
+    woman, man = re.fullmatch(r"Frau ([А-Яа-я]+) [А-Яа-я]+ и Herr ([А-Яа-я]+) [А-Яа-яё]+", out[1]).groups()
+    assert woman.endswith(tuple(pii.SYLLABLES["cyrillic"][2]["f"].split())) and man.endswith(tuple(pii.SYLLABLES["cyrillic"][2]["m"].split()))
+    jane, roe = re.fullmatch(r"My name is (\w+) (\w+)\. \w+ \w+, \w+!", out[3]).groups()
+    assert out[3] == f"My name is {jane} {roe}. {jane} {roe}, {roe}!" and {jane, roe}.isdisjoint({"Jane", "Roe"})
+    assert re.fullmatch(r"Κύριος; Mr\. [Α-Ωα-ω]+ [Α-ΩΆ-Ώα-ωά-ώ]+", out[4]) and "Νίκος" not in out[4]
+    assert re.fullmatch(r"Mr\. \w+ \w{5}-\w{5} and Mr\. \w+-\w+ " + roe, out[6])
+    other = {r.doc_id: r.text for r in pii.surrogate(frame(spark, texts), "another secret").collect()}
+    assert other[0] != out[0]
+
+
+def test_pii_iban_check_digits(spark):
+    def valid(text):
+        bare = re.sub("[^A-Z0-9]", "", text)
+        return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+    good = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606"]
+    bad = ["DE88 3704 0044 0532 0130 01"]
+    out = {r.doc_id: r.text for r in pii.surrogate(frame(spark, good + bad), "secret").collect()}
+    for k, text in enumerate(good):
+        assert valid(text) and valid(out[k]) and out[k] != text and out[k][:2] == text[:2] and re.sub(r"\w", "w", out[k]) == re.sub(r"\w", "w", text)
+    assert not valid(bad[0]) and not valid(out[3])
+
+
+def test_pii_against_a_plain_version(spark):
+    """Distinctness, coreference and all other bytes, by patterns in plain Python, on odd characters and rows."""
+    rng = random.Random(4)
+    entity = {
+        "email": lambda: f"{rng.choice('abcd')}{rng.choice('xyz')}@mail{rng.randrange(3)}.org", "ssn": lambda: f"{rng.randrange(100, 103)}-45-678{rng.randrange(10)}",
+        "ip": lambda: f"10.0.{rng.randrange(3)}.{rng.randrange(256)}", "phone": lambda: f"+1 (743) 555-382{rng.randrange(10)}",
+    }
+    pattern = re.compile(r"[a-z]{2}@[a-z]+\d\.org|\d{3}-\d{2}-\d{4}(?!\d)|\d+\.\d+\.\d+\.\d+|\+1 \(\d{3}\) \d{3}-\d{4}")
+    filler = ["plain", "\ue000", "\ue001", "\ue001\ue002", "\ue000\ue003\ue001", "é中", "\n", "x", "\t", "Ünï"]
+    texts = [" ".join(rng.choice(filler) if rng.random() < 0.7 else rng.choice(list(entity.values()))() for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    texts += [None, "", texts[0], " ".join(rng.choice(filler) if k % 9 else entity["ssn"]() for k in range(30_000))]
+    ids = [None if k % 11 == 0 else k // 2 for k in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, pii_counts int")
+    out = {r.pii_counts: r for r in pii.surrogate(docs, "secret").collect()}
+    assert len(out) == len(texts)
+    pairs = {}
+    for k, text in enumerate(texts):
+        if text is None:
+            assert out[k].text is None
+            continue
+        old, new = pattern.findall(text), pattern.findall(out[k].text)
+        assert pattern.split(text) == pattern.split(out[k].text) and sum(out[k].wordloom_pii_counts.values()) == len(old)
+        for a, b in zip(old, new, strict=True):
+            assert pairs.setdefault(a, b) == b
+    assert len(set(pairs.values())) == len(pairs) > 60 and not set(pairs) & set(pairs.values())

@@ -5,10 +5,17 @@ has a canonical form (lower case, without separators of numbers), so that its
 spellings share a surrogate; the surrogate is laid out in the format found:
 separators, case and length stay, each symbol is replaced within its class
 (digits, vowels, consonants of the Latin script, accented Latin letters, Greek,
-Cyrillic; other letters become Latin consonants), a card number keeps a valid check digit, an address keeps valid
-octets, an IPv6 address is written in full, a country code, a trunk 0 and a mail
-suffix stay.  For people, the title stays and
-a first name is drawn from a pool of the gender that the title tells.
+Cyrillic; other letters become Latin consonants), card numbers and IBANs keep
+valid check digits, an address keeps valid octets, an IPv6 address is written in
+full, a country code, a trunk 0 and a mail suffix stay.
+
+People are found after a title or a phrase that introduces a name; then the
+words of these names are found wherever else they stand in the document, a
+surname by itself and a first name before a surname.  Surnames and first names
+are entities of their own, so a surname has one surrogate whatever stands before
+it.  Titles stay.  First names are built from syllables in the script of the
+original, with an ending of the gender that titles tell: of one found with
+several, the title that tells a gender counts, and of both genders neither.
 
 The symbols go through a four-round Feistel network whose round functions are
 keyed hashes.  It permutes the strings of one type and pattern, so different
@@ -22,19 +29,22 @@ Forms found: mail in Latin, Greek and Cyrillic letters; IBANs; phones with a plu
 sign, with an area code in brackets, as 3-3-4 digits (after a 1 or not), with a
 trunk 0 and groups, or as any ten digits in a row; SSNs with hyphens; IPv4, and
 IPv6 with a decimal digit in it; cards in fours, as 4-6-4 and 4-6-5 or in a row;
-people after a title.  Other forms are left as they are.
+people as said above.  Other forms are left as they are.
 
-Defined results: a null text stays null; texts without entities stay byte for
-byte; repeated rows get equal results; an empty table gives an empty result;
-extra columns are kept.
+Defined results: a null text stays null; all that is no entity stays byte for
+byte, private-use characters too; texts of any length are handled whole; rows
+with equal, repeated or null ids get equal results for equal texts; an empty
+table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._native import cut_at, let, unmarked
+from wordloom.llm._native import SENTINEL, STAND_IN, cut_at, let
 from wordloom.llm._shared import spool
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -52,16 +62,21 @@ _LOCAL_PHONE = "|".join((
     r"(?<![0-9A-Za-z.,+_-])(?:1[ .-])?[0-9]{10}(?![0-9A-Za-z_-]|[.,][0-9])",
 ))
 _NAME = r"\p{Lu}[\p{L}'-]+"
-#: Titles that tell a gender, fixed values: (pattern, pool).
-TITLES = (
-    (r"(?:Mr|Sir|Herr|Señor|Sr|Monsieur|Don)\.?", "m"),
-    (r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Doña)\.?", "f"),
-    (r"(?:Dr|Prof)\.?", "x"),
-)
-FIRST_NAMES = {
-    "m": "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karim Leon Marco Noah Oscar Paul Ruben Simon Tomas Viktor".split(),
-    "f": "Anna Berta Clara Diana Elena Frida Greta Helen Irene Julia Karla Laura Maria Nadia Olga Paula Rosa Sonia Tania Vera".split(),
-    "x": "Alex Andrea Billie Chris Dominique Eden Francis Jamie Jules Kim Lou Marian Nico Pat Robin Sacha Sam Sidney Toni Val".split(),
+#: Titles that tell a gender or none, and phrases that introduce a name (fixed values).
+TITLES = {
+    "m": "Mr Sir Herr Señor Sr Monsieur Don".split(),
+    "f": "Mrs Ms Miss Frau Señora Sra Madame Mme Doña".split(),
+    "x": "Dr Prof".split(),
+}
+CUES = "my name is|My name is|Name:|Signed,|Sincerely,|Regards,|Author:|Contact:|Attn:|Mein Name ist|mein Name ist|Ich heiße|ich heiße|Je m'appelle|je m'appelle|Me llamo|me llamo".split("|")
+_TITLE = {gender: rf"(?:{'|'.join([*titles, *(t.upper() for t in titles)])})\.?" for gender, titles in TITLES.items()}
+_ANY_TITLE = "|".join(_TITLE.values())
+_BEFORE_NAME = f"(?:{_ANY_TITLE}|{'|'.join(CUES)}) "
+#: First letters, vowels and endings by gender of first names, for each script (fixed values).
+SYLLABLES = {
+    "latin": ("bdfghjklmnprstvz", "aeiou", {"m": "n r s k l", "f": "na ra la ia sa", "x": "y e i o en"}),
+    "greek": ("βγδζθκλμνπρσστφχ", "αεηιο", {"m": "ς ν ρης νος μος", "f": "να ρα λα ια σα", "x": "ι ε ο ην ις"}),
+    "cyrillic": ("бвгдзклмнпрстфжх", "аеиоу", {"m": "н р с к л", "f": "на ра ла ия са", "x": "и е о ей ен"}),
 }
 #: (type, pattern), in order of precedence.
 TYPES = (
@@ -71,7 +86,7 @@ TYPES = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|{_IPV6}"),
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])"),
-    ("person", rf"(?<!\p{{L}})(?:{'|'.join(t for t, _ in TITLES)}) {_NAME}(?: {_NAME})?"),
+    ("person", rf"(?<!\p{{L}}){_BEFORE_NAME}(?!(?:{_ANY_TITLE}) ){_NAME}(?: {_NAME})?"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in TYPES)
 #: Classes of symbols; a symbol is replaced by one of its class.
@@ -81,11 +96,25 @@ OCTET, OTHER, NIBBLE = -1, -2, -3
 HEX = "0123456789abcdef"
 ROUNDS = 4
 #: Digits of a phone number that stay: those after its plus sign, up to a separator, a 1 before one, and a trunk 0.
-_KEPT_HEAD = {"phone": r"^(?:\+[0-9]{1,3}(?=[ .(-])|1(?=[ .-])|0)", "iban": r"^[A-Z]{2}"}
+_KEPT_HEAD = {"phone": r"^(?:\+[0-9]{1,3}(?=[ .(-])|1(?=[ .-])|0)", "iban": r"^[A-Z]{2}[0-9]{2}"}
+
+
+#: Every person has one of these; every other entity holds a digit or an at sign.
+_HINTS = tuple(dict.fromkeys([*(x for titles in TITLES.values() for t in titles for x in (t, t.upper())), *CUES]))
+#: Words that may be names that the document has elsewhere.
+_WORDS = rf"(?<![\p{{L}}\p{{N}}'-]){_NAME}(?: {_NAME})*"
+#: A sentinel in a text is written as two other characters while the text is cut.
+_MARK_B, _MARK_C = "\ue002", "\ue003"
+
 
+def _escaped(text: Column) -> Column:
+    safe = F.replace(F.replace(text, F.lit(STAND_IN), F.lit(STAND_IN + _MARK_B)), F.lit(SENTINEL), F.lit(STAND_IN + _MARK_C))
+    return F.when(text.contains(SENTINEL) | text.contains(STAND_IN), safe).otherwise(text)
 
-#: Every title holds one of these; every other entity holds a digit or an at sign.
-_HINTS = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Don", "Ms", "Miss", "Frau", "Sra", "Madame", "Mme", "Doña", "Dr", "Prof")
+
+def _restored(piece: Column) -> Column:
+    raw = F.replace(F.replace(piece, F.lit(STAND_IN + _MARK_C), F.lit(SENTINEL)), F.lit(STAND_IN + _MARK_B), F.lit(STAND_IN))
+    return F.when(piece.contains(STAND_IN), raw).otherwise(piece)
 
 
 def _cut(text: Column) -> Column:
@@ -97,7 +126,7 @@ def _cut(text: Column) -> Column:
             hint = hint | t.contains(word)
         return F.when(hint, cut_at(t, ANY)).otherwise(F.array(t))
 
-    return let(text, cut)
+    return let(_escaped(F.coalesce(text, F.lit(""))), cut)
 
 
 def _type(piece: Column) -> Column:
@@ -107,25 +136,99 @@ def _type(piece: Column) -> Column:
     return kind
 
 
+def _entity(kind: Column, head: Column, body: Column, tail: Column, gender: Column) -> Column:
+    return F.struct(kind.alias("kind"), head.alias("head"), body.alias("body"), tail.alias("tail"), gender.alias("gender"))
+
+
+def _name(kind: str, body: Column, gender: Column) -> Column:
+    return _entity(F.lit(kind), F.lit(""), body, F.lit(""), gender)
+
+
 def _frame(kind: Column, piece: Column) -> Column:
-    """struct<kind, head, body, tail>: what stays, what is replaced, what stays."""
+    """struct<kind, head, body, tail, gender>: what stays, what is replaced, what stays; not for names."""
     head = F.lit("")
     for name, pattern in _KEPT_HEAD.items():
         head = F.when(kind == name, F.regexp_extract(piece, pattern, 0)).otherwise(head)
-    titles = "|".join(t for t, _ in TITLES)
-    head = F.when(kind == "person", F.regexp_extract(piece, rf"^(?:{titles}) (?:{_NAME} (?={_NAME}))?", 0)).otherwise(head)
     tail = F.when(kind == "email", F.regexp_extract(piece, rf"\.[{_LETTER}]{{2,}}$", 0)).otherwise(F.lit(""))
 
     def split(x: Column) -> Column:
         size = F.char_length(piece) - F.char_length(x["head"]) - F.char_length(x["tail"])
-        body = piece.substr(F.char_length(x["head"]) + 1, size)
-        return F.struct(kind.alias("kind"), x["head"].alias("head"), body.alias("body"), x["tail"].alias("tail"))
+        return _entity(kind, x["head"], piece.substr(F.char_length(x["head"]) + 1, size), x["tail"], F.lit(None).cast("string"))
 
     return let(F.struct(head.alias("head"), tail.alias("tail")), split)
 
 
+def _found(title: Column, first: Column, entity: Column) -> Column:
+    """What a piece holds: a kept title, a first name (or null) and the entity proper."""
+    return F.struct(title.alias("title"), first.alias("first"), entity.alias("e"))
+
+
+_E = "struct<kind:string,head:string,body:string,tail:string,gender:string>"
+_FOUND = f"struct<title:string,first:{_E},e:{_E}>"
+_PIECE = f"struct<before:string,p:string,x:{_FOUND}>"
+
+
 def _framed(piece: Column) -> Column:
-    return let(_type(piece), lambda kind: _frame(kind, piece))
+    no_first = F.lit(None).cast(_E)
+
+    def person(x: Column) -> Column:
+        rest = piece.substr(F.char_length(x["title"]) + 1, F.char_length(piece))
+        gender = F.lit("x")
+        for key in ("m", "f"):
+            gender = F.when(x["title"].rlike(f"^{_TITLE[key]} $"), F.lit(key)).otherwise(gender)
+
+        def named(y: Column) -> Column:
+            words = F.split(y["rest"], " ")
+            first = F.when(F.size(words) > 1, _name("first", F.get(words, F.lit(0)), y["gender"]))
+            return _found(x["title"], first.cast(_E), _name("person", F.element_at(words, -1), F.lit(None).cast("string")))
+
+        return let(F.struct(rest.alias("rest"), gender.alias("gender")), named)
+
+    def of(kind: Column) -> Column:
+        title = F.regexp_extract(piece, f"^{_BEFORE_NAME}", 0)
+        return F.when(kind == "person", let(F.struct(title.alias("title")), person)).otherwise(_found(F.lit(""), no_first, _frame(kind, piece)))
+
+    return let(_type(piece), of).cast(_FOUND)
+
+
+def _piece(before: Column, p: Column, x: Column) -> Column:
+    return F.struct(before.alias("before"), p.alias("p"), x.cast(_FOUND).alias("x")).cast(_PIECE)
+
+
+def _pieces(text: Column) -> Column:
+    """array<struct<before, p, x>>: the text in order, x what is found in p or null."""
+    nothing = F.lit(None).cast(_FOUND)
+    cut = F.transform(_cut(text), lambda p, i: _piece(F.lit(""), p, F.when(i % 2 == 1, _framed(p)).otherwise(nothing)))
+
+    def with_names(pieces: Column) -> Column:
+        people = F.filter(pieces, lambda c: c["x"]["e"]["kind"] == "person")
+        key = lambda e: F.lower(e["body"])
+        surnames = F.array_distinct(F.transform(people, lambda c: key(c["x"]["e"])))
+        firsts = F.transform(F.filter(people, lambda c: c["x"]["first"].isNotNull()), lambda c: F.struct(key(c["x"]["first"]).alias("key"), c["x"]["first"]["gender"].alias("gender")))
+        firsts = F.array_distinct(firsts)
+
+        def again(names: Column) -> Column:
+            """Pieces without entities, cut anew at words that are such names."""
+
+            def word(words: Column, w: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.lit(" ")).otherwise(F.lit(""))
+                low = F.lower(w)
+                surname = F.array_contains(names["surnames"], low)
+                leads = F.coalesce(F.array_contains(names["surnames"], F.lower(F.get(words, i + 1))), F.lit(False))
+                own = F.when(leads, F.get(F.filter(names["firsts"], lambda f: f["key"] == low), F.lit(0)))
+                hit = lambda e: _found(F.lit(""), F.lit(None).cast(_E), e).cast(_FOUND)
+                return let(own, lambda f: _piece(before, w, F.when(f.isNotNull(), hit(_name("first", w, f["gender"]))).when(surname, hit(_name("person", w, F.lit(None).cast("string")))).otherwise(nothing)))
+
+            def run(q: Column, i: Column) -> Column:
+                each = let(F.split(q, " "), lambda words: F.transform(words, lambda w, k: word(words, w, k)))
+                return F.when(i % 2 == 1, each).otherwise(F.array(_piece(F.lit(""), q, nothing)))
+
+            plain = lambda c: F.flatten(F.transform(cut_at(c["p"], _WORDS), run))
+            return F.flatten(F.transform(pieces, lambda c: F.when(c["x"].isNull(), plain(c)).otherwise(F.array(c))))
+
+        return F.when(F.size(people) == 0, pieces).otherwise(let(F.struct(surnames.alias("surnames"), firsts.alias("firsts")), again))
+
+    return let(cut, with_names)
 
 
 def _class(c: Column) -> Column:
@@ -167,12 +270,12 @@ def _nibbles(body: Column) -> Column:
 
 def canonical(x: Column) -> Column:
     """The key of an entity: type, kept parts and symbols; case and separators do not count."""
-    return let(_symbols(x), lambda symbols: _key(x, symbols))
 
+    def key(symbols: Column) -> Column:
+        values = F.array_join(F.transform(symbols, lambda s: F.concat_ws(":", s["k"].cast("string"), s["v"].cast("string"))), ",")
+        return F.concat_ws("/", x["kind"], _bare(F.concat(x["head"], x["tail"])), values)
 
-def _key(x: Column, symbols: Column) -> Column:
-    values = F.array_join(F.transform(symbols, lambda s: F.concat_ws(":", s["k"].cast("string"), s["v"].cast("string"))), ",")
-    return F.concat_ws("/", x["kind"], _bare(F.concat(x["head"], x["tail"])), values)
+    return F.when(x["kind"] == "first", F.concat(F.lit("first/"), _bare(x["body"]))).otherwise(let(_symbols(x), key))
 
 
 def _bare(kept: Column) -> Column:
@@ -228,7 +331,7 @@ def _replaced(x: Column, secret: str, salt: Column) -> Column:
 
 
 def _laid_out(x: Column, secret: str, salt: Column) -> Column:
-    """The surrogate in the format of the entity."""
+    """The surrogate in the format of the entity, but for a first name."""
     names = F.array(*[F.lit(c) for c in CLASSES])
     symbol = lambda names_of, v: names_of.substr(v + 1, F.lit(1))
     written = F.transform(
@@ -251,94 +354,137 @@ def _laid_out(x: Column, secret: str, salt: Column) -> Column:
         quads = F.when(x["body"] != F.lower(x["body"]), F.upper(quads)).otherwise(quads)
         return F.when((x["kind"] == "ip") & x["body"].contains(":"), quads).when(x["kind"] == "ip", F.array_join(w, ".")).otherwise(F.aggregate(places, start, put)["out"])
 
-    return F.concat(_new_head(x, secret, salt), let(written, lay), x["tail"])
+    body = let(written, lay)
+    return F.when(x["kind"] == "iban", let(body, lambda new: F.concat(_iban_head(x, new), new))).otherwise(F.concat(x["head"], body, x["tail"]))
+
+
+def _mod_97(account: Column) -> Column:
+    """Of the number that digits, and letters as 10 to 35, make."""
+    step = lambda r, c: F.when(c.rlike("[0-9]"), F.pmod(r * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(r * 100 + F.ascii(c) - 55, F.lit(97)))
+    symbols = F.filter(F.split(F.regexp_replace(F.upper(account), "[^A-Z0-9]", ""), ""), lambda c: c != "")
+    return F.aggregate(symbols, F.lit(0), step)
 
 
-def _new_head(x: Column, secret: str, salt: Column) -> Column:
-    """A title and, if there was one, a first name of the gender that the title tells."""
-    titles = "|".join(t for t, _ in TITLES)
-    title = F.regexp_extract(x["head"], rf"^(?:{titles}) ", 0)
-    had_name = F.char_length(x["head"]) > F.char_length(title)
-    drawn = F.xxhash64(F.lit(secret), _bare(x["head"]), salt)
-    pool = F.lit("")
-    for pattern, gender in reversed(TITLES):
-        names = F.array(*[F.lit(n) for n in FIRST_NAMES[gender]])
-        pool = F.when(title.rlike(f"^{pattern} $"), F.get(names, F.pmod(drawn, F.lit(len(FIRST_NAMES[gender]))).cast("int"))).otherwise(pool)
-    return F.when(x["kind"] == "person", F.concat(title, F.when(had_name, F.concat(pool, F.lit(" "))).otherwise(F.lit("")))).otherwise(x["head"])
+def _iban_head(x: Column, body: Column) -> Column:
+    """Country and check digits of a new body: valid ones if the old ones were."""
+    country, check = x["head"].substr(1, 2), 98 - _mod_97(F.concat(body, x["head"].substr(1, 2), F.lit("00")))
+    valid = _mod_97(F.concat(x["body"], x["head"])) == 1
+    return F.concat(country, F.lpad(F.when(valid, check).otherwise(F.pmod(check + 1, F.lit(100))).cast("string"), 2, "0"))
 
 
-def _frames(text: Column) -> Column:
-    """array<struct<kind, head, body, tail>> of the entities of a text."""
-    pieces = F.filter(_cut(text), lambda p, i: i % 2 == 1)
-    return F.transform(pieces, _framed)
+def _first_name(x: Column, secret: str, salt: Column) -> Column:
+    """Syllables in the script of the name and an ending of its gender; later draws are longer, so there are always enough."""
+    scripts = {"greek": r"\p{IsGreek}", "cyrillic": r"\p{IsCyrillic}"}
+
+    def chosen(of: Callable[[str], Column]) -> Column:
+        out = of("latin")
+        for script, pattern in scripts.items():
+            out = F.when(x["body"].rlike(pattern), of(script)).otherwise(out)
+        return out
+
+    def ending(script: str) -> Column:
+        out = F.lit(SYLLABLES[script][2]["x"])
+        for gender in ("m", "f"):
+            out = F.when(x["gender"] == gender, F.lit(SYLLABLES[script][2][gender])).otherwise(out)
+        return out
+
+    kit = F.struct(chosen(lambda s: F.lit(SYLLABLES[s][0])).alias("onsets"), chosen(lambda s: F.lit(SYLLABLES[s][1])).alias("vowels"), chosen(ending).alias("endings"))
+
+    def part(k: Column, name: Column) -> Column:
+        digest = F.sha2(F.concat_ws("/", F.lit(secret), F.lit("first"), _bare(name), salt.cast("string")), 256)
+
+        def built(h: Column) -> Column:
+            digit = lambda place, size: F.pmod(F.floor(h / place), F.lit(size)).cast("int")
+            syllable = lambda i: F.concat(k["onsets"].substr(digit(80**i, 16) + 1, F.lit(1)), k["vowels"].substr(digit(80**i * 16, 5) + 1, F.lit(1)))
+            more = [F.when(salt >= least, syllable(i)).otherwise(F.lit("")) for i, least in ((2, 3), (3, 8))]
+            name_of = F.initcap(F.concat(syllable(0), syllable(1), *more, F.get(F.split(k["endings"], " "), digit(80**4, 5))))
+            return F.when((F.char_length(name) > 1) & (name == F.upper(name)), F.upper(name_of)).otherwise(name_of)
+
+        return let(F.conv(digest.substr(1, 13), 16, 10).cast("long"), built)
+
+    return let(kit, lambda k: F.array_join(F.transform(F.split(x["body"], "-"), lambda name: part(k, name)), "-"))
+
+
+def _surrogate_of(x: Column, secret: str, salt: Column) -> Column:
+    return F.when(x["kind"] == "first", _first_name(x, secret, salt)).otherwise(_laid_out(x, secret, salt))
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and one struct<kind, head, body, tail, id> for each entity found, one row each.
+    """doc_id and one struct<kind, head, body, tail, gender> with its id for each entity found, one row each.
 
     The arrays are written before they are exploded: Spark would otherwise work
     them out again for the filters it derives from the explosion.
     """
-    found = spool(docs.select(F.col("doc_id"), _frames(unmarked(F.col(text).cast("string"))).alias("e")), "pii-found")
+    hits = F.filter(_pieces(F.col(text).cast("string")), lambda c: c["x"].isNotNull())
+    both = lambda c: F.filter(F.array(c["x"]["e"], c["x"]["first"]), lambda e: e.isNotNull())
+    found = spool(docs.select(F.col("doc_id"), F.flatten(F.transform(hits, both)).alias("e")), "pii-found")
     return found.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e", canonical(F.col("e")).alias("id"))
 
 
 def salts(found: DataFrame, secret: str, most_rounds: int = 32) -> DataFrame:
-    """id, salt of the entities that need another draw (salt > 0).
+    """id, salt, gender of the entities that need another draw (salt > 0) or are found with several genders.
 
     ``found``: rows of :func:`entities`.  Distinct entities are small beside the
     texts.  A surrogate collides if it is an entity of the corpus or if another
     entity has it; of several, the least id keeps it.
     """
-    distinct = spool(found.groupBy("id").agg(F.min("e").alias("e")), "pii-entities")
-    drawn = distinct.select("id", "e", F.lit(0).alias("salt"))
+    seen = found.groupBy("id").agg(F.min("e").alias("e"), F.max(F.when(F.col("e.gender") == "m", 1).otherwise(0)).alias("m"), F.max(F.when(F.col("e.gender") == "f", 1).otherwise(0)).alias("f"), F.max(F.when(F.col("e.gender") == "x", 1).otherwise(0)).alias("x"))
+    gender = F.when(F.col("e.kind") == "first", F.when(F.expr("m > f"), "m").when(F.expr("f > m"), "f").otherwise("x"))
+    distinct = spool(seen.select("id", F.col("e").withField("gender", gender).alias("e"), (F.expr("m + f + x") > 1).alias("mixed")), "pii-entities")
+    drawn = distinct.select("id", "e", "mixed", F.lit(0).alias("salt"))
     for _ in range(most_rounds):
-        surrogate = _laid_out(F.col("e"), secret, F.col("salt"))
-        drawn = spool(drawn.withColumn("new", surrogate).withColumn("new_id", canonical(_frame(F.col("e.kind"), F.col("new")))), "pii-draws")
+        surrogate = _surrogate_of(F.col("e"), secret, F.col("salt"))
+        named = F.col("e.kind").isin("first", "person")
+        again = F.when(named, F.col("e").withField("body", F.col("new"))).otherwise(_frame(F.col("e.kind"), F.col("new")))
+        drawn = spool(drawn.withColumn("new", surrogate).withColumn("new_id", canonical(again)), "pii-draws")
         firsts = drawn.groupBy("new_id").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = drawn.join(firsts, "new_id").where("id <> first").select("id")
         known = drawn.join(distinct.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("id")
         bad = spool(shared.union(known).distinct(), "pii-collisions")
         if bad.isEmpty():
-            return drawn.where("salt > 0").select("id", "salt")
-        again = bad.withColumn("again", F.lit(1))
-        drawn = drawn.join(again, "id", "left").select("id", "e", (F.col("salt") + F.coalesce("again", F.lit(0))).alias("salt"))
+            return drawn.where("salt > 0 or mixed").select("id", "salt", F.col("e.gender").alias("gender"))
+        redrawn = bad.withColumn("again", F.lit(1))
+        drawn = drawn.join(redrawn, "id", "left").select("id", "e", "mixed", (F.col("salt") + F.coalesce("again", F.lit(0))).alias("salt"))
     raise RuntimeError(f"surrogates still collide after {most_rounds} draws")
 
 
-def surrogate(docs: DataFrame, secret: str = "wordloom") -> DataFrame:
+def surrogate(docs: DataFrame, secret: str) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and pii_counts map<type, count>.
 
+    ``secret`` keys the surrogates: who knows it can test guesses of what stood there.
     If ``docs`` has a column pii_counts, it stays and the new one is called wordloom_pii_counts.
     """
     found = spool(entities(docs), "pii")
     exceptions = salts(found, secret)
-    by_doc = spool(found.join(exceptions, "id").groupBy("doc_id").agg(F.collect_set(F.struct("id", "salt")).alias("wordloom_salts")), "pii-salts")
+    by_doc = spool(found.join(exceptions, "id").groupBy("doc_id").agg(F.collect_set(F.struct("id", "salt", "gender")).alias("wordloom_salts")), "pii-salts")
     # a written table of exceptions: broadcast only if Spark finds it under its threshold
     by_doc = by_doc.withColumnRenamed("doc_id", "wordloom_doc")
     joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["wordloom_doc"]), "left").drop("wordloom_doc")
-    clean = unmarked(F.col("text").cast("string"))
-    known = F.coalesce(F.col("wordloom_salts"), F.array().cast("array<struct<id:string,salt:int>>"))
-    cut = joined.withColumn("wordloom_cut", _cut(clean))
+    known = F.coalesce(F.col("wordloom_salts"), F.array().cast("array<struct<id:string,salt:int,gender:string>>"))
+    cut = joined.withColumn("wordloom_cut", _pieces(F.col("text").cast("string")))
+
+    def written(e: Column) -> Column:
+        """An entity's surrogate, drawn as its exception says if there is one."""
+
+        def drawn(hit: Column) -> Column:
+            gendered = F.when(hit.isNotNull() & (e["kind"] == "first"), e.withField("gender", hit["gender"])).otherwise(e)
+            return let(F.struct(gendered.alias("e"), F.coalesce(hit["salt"], F.lit(0)).alias("salt")), lambda y: _surrogate_of(y["e"], secret, y["salt"]))
 
-    def salt_of(x: Column) -> Column:
-        hit = let(canonical(x), lambda own: F.get(F.filter(known, lambda s: s["id"] == own), F.lit(0))["salt"])
-        return F.when(F.size(known) == 0, F.lit(0)).otherwise(F.coalesce(hit, F.lit(0)))
+        exception = F.when(F.size(known) > 0, let(canonical(e), lambda own: F.get(F.filter(known, lambda s: s["id"] == own), F.lit(0))))
+        return let(exception, drawn)
 
-    framed = F.transform("wordloom_cut", lambda p, i: F.struct(p.alias("p"), F.when(i % 2 == 1, _framed(p)).alias("x")))
-    framed = cut.withColumn("wordloom_cut", framed)
-    salted = F.transform("wordloom_cut", lambda c: F.struct(c["p"].alias("p"), c["x"].alias("x"), F.when(c["x"].isNotNull(), salt_of(c["x"])).alias("salt")))
-    written = F.transform("wordloom_out", lambda c: F.when(c["x"].isNull(), c["p"]).otherwise(_laid_out(c["x"], secret, c["salt"])))
-    out = framed.withColumn("wordloom_out", salted)
-    changed = F.size("wordloom_cut") > 1
-    kinds = F.transform(F.filter("wordloom_cut", lambda c: c["x"].isNotNull()), lambda c: c["x"]["kind"])
+    def put(c: Column) -> Column:
+        x = c["x"]
+        first = F.when(x["first"].isNull(), F.lit("")).otherwise(F.concat(written(x["first"]), F.lit(" ")))
+        return F.concat(c["before"], F.when(x.isNull(), _restored(c["p"])).otherwise(F.concat(x["title"], first, written(x["e"]))))
 
+    kinds = F.transform(F.filter("wordloom_cut", lambda c: c["x"].isNotNull()), lambda c: c["x"]["e"]["kind"])
 
     def count(name: str) -> Column:
         return F.size(F.filter(kinds, lambda k: k == name)).cast("long")
 
     counts = F.map_from_arrays(F.array(*[F.lit(n) for n, _ in TYPES]), F.array(*[count(n) for n, _ in TYPES]))
     name = "wordloom_pii_counts" if "pii_counts" in docs.columns else "pii_counts"
-    text = F.when(changed, F.array_join(written, "")).otherwise(F.col("text"))
+    text = F.when(F.size("wordloom_cut") > 1, F.array_join(F.transform("wordloom_cut", put), "")).otherwise(F.col("text"))
     kept = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*kept, counts.alias(name))
+    return cut.select(*kept, counts.alias(name))

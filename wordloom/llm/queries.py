@@ -49,8 +49,9 @@ def op5_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = chat.format_chats(turns)
     return chat.read_back(chats).select(
@@ -85,8 +86,12 @@ def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Keys the surrogates of this query alone; a real corpus needs a secret of its own.
+PII_SECRET = "of the registered query"
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    safe = pii.surrogate(_table(spark, sf_dir, "documents"))
+    safe = pii.surrogate(_table(spark, sf_dir, "documents"), PII_SECRET)
     counts = [F.element_at("pii_counts", F.lit(kind)).alias(f"n_{kind}") for kind, _ in pii.TYPES]
     return safe.select("doc_id", *counts, "lang", "source", "text")
 
