@@ -17,6 +17,8 @@ from wordloom.llm._shared import spool
 
 #: Target weights of the mixing stage; other sources have weight 1.
 WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 0.5}
+#: Keys the surrogates; to be replaced by a secret of the corpus's owner.
+PII_SECRET = "of the example pipeline"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    safe = pii.surrogate(docs)
+    safe = pii.surrogate(docs, PII_SECRET)
     if "n_chars" in docs.columns:
         safe = safe.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return safe.select(*[F.col(f"`{c}`") for c in docs.columns])
