@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm._bytes import IS_SPACE, LOWER, binary_array, numbered, text_slices, window_codes, word_bounds, words_of
+from wordloom.llm._native import let
 from wordloom.llm._shared import small_batches, spool
 
 #: Common function words of the four languages.
@@ -168,9 +169,9 @@ def references(measured: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame
 
 
 def shares(counts: Column) -> Column:
-    """Each count over their sum; nulls if that is 0."""
+    """Each count over their sum, which is worked out once; nulls if that is 0."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, v: s + v)
-    return F.transform(counts, lambda v: F.try_divide(v, total))
+    return let(F.struct(counts.alias("counts"), total.alias("total")), lambda x: F.transform(x["counts"], lambda v: F.try_divide(v, x["total"])))
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -180,7 +181,7 @@ def distance(counts: Column, reference: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(p * 0)
 
     def term(p: Column, q: Column) -> Column:
-        return half(p, (p + q) / 2) + half(q, (p + q) / 2)
+        return let(F.struct(p.alias("p"), q.alias("q"), ((p + q) / 2).alias("m")), lambda x: half(x["p"], x["m"]) + half(x["q"], x["m"]))
 
     total = F.aggregate(F.zip_with(shares(counts), reference, term), F.lit(0.0), lambda s, v: s + v)
     return F.sqrt(F.greatest(total / 2, total * 0))
