@@ -17,11 +17,11 @@ extra columns are kept, with names as they are.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._shared import spool
+from wordloom.llm._native import let
+from wordloom.llm._shared import spool, tasks_for
 
 #: Largest mean that one inversion handles, and the terms it looks at.
 PART_MEAN, TERMS = 8.0, 48
@@ -35,12 +35,16 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def poisson(u: Column, mean: Column) -> Column:
-    """The least k with P(X <= k) > u for X ~ Poisson(mean), mean <= PART_MEAN."""
-    start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("k"))
-    step = lambda s, i: F.when(s["sum"] > u, s).otherwise(
-        F.struct((s["term"] * mean / i).alias("term"), (s["sum"] + s["term"] * mean / i).alias("sum"), i.alias("k"))
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["k"]
+    """The least k with P(X <= k) > u for X ~ Poisson(mean), mean <= PART_MEAN; ``u`` is worked out once."""
+
+    def inverted(x: Column) -> Column:
+        start = F.struct(x["none"].alias("term"), x["none"].alias("sum"), F.lit(0).alias("k"))
+        step = lambda s, i: F.when(s["sum"] > x["u"], s).otherwise(
+            F.struct((s["term"] * x["mean"] / i).alias("term"), (s["sum"] + s["term"] * x["mean"] / i).alias("sum"), i.alias("k"))
+        )
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["k"]
+
+    return let(F.struct(u.alias("u"), mean.alias("mean"), F.exp(-mean).alias("none")), inverted)
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, default_weight: float, budget: float) -> DataFrame:
@@ -75,11 +79,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default
     parts = F.greatest(F.ceil(F.col(PREFIX + "source_rate") / PART_MEAN).cast("int"), F.lit(1))
     draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(uniform(seed, F.col("doc_id"), F.col(PREFIX + "mark"), j), F.col(PREFIX + "source_rate") / parts))
     copies = F.aggregate(draws, F.lit(0), lambda a, k: a + k)
-    counted = rated.withColumn(PREFIX + "mark", mark).withColumn(PREFIX + "copies", copies).where(F.col(PREFIX + "copies") > 0)
-    spread = counted.withColumn(PREFIX + "copy_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col(PREFIX + "copies").cast("long") - 1)))
+    counted = rated.withColumn(PREFIX + "mark", mark)
+    # an outer explosion: Spark would work out the copies again for the filter it derives from an inner one
+    spread = counted.select("*", F.posexplode_outer(F.array_repeat(F.lit(0), copies)).alias(PREFIX + "copy", PREFIX + "one"))
+    spread = spread.where(F.col(PREFIX + "copy").isNotNull()).withColumn(PREFIX + "copy_id", F.col(PREFIX + "copy").cast("long"))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(PREFIX + "mark"), F.col(PREFIX + "copy_id"))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = tasks_for(docs)
     shuffled = spread.withColumn(PREFIX + "place", place).repartition(tasks, PREFIX + "place").sortWithinPartitions(PREFIX + "place")
     added = [F.col(PREFIX + c).alias(PREFIX + c if c in docs.columns else c) for c in ("copy_id", "source_rate")]
     return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
-
