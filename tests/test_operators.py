@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import phones as ph
 from wordloom.functions.vectors import pair_of_index
-from wordloom.operators import clustering, communities, evaluate, features, intervals, pairwise, quantise
+from wordloom.operators import clustering, communities, evaluate, features, intervals, lookup, pairwise, quantise
 
 
 def one(spark, column):
@@ -245,3 +245,79 @@ def test_first_appearance_codes_of_a_text_of_over_a_million_tokens(spark, tmp_pa
     spark.createDataFrame([(0, "a " * 1_000_001 + "late"), (1, "early a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     codes = {r.token: r.code for r in registry.QUERIES["first_appearance_codes"](spark, str(tmp_path)).collect()}
     assert codes == {"a": 0, "late": 1, "early": 2}
+
+
+def test_dtw_tiles_are_resumed(spark, tmp_path):
+    from wordloom.sources.catalog import Catalog, RunKey
+
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=(int(rng.integers(1, 4)), 3)).tolist()) for k in range(20)]
+    words = spark.createDataFrame(rows, "node_id long, frames array<array<double>>")
+    whole = {(r.i, r.j): r.dist for r in pairwise.dtw_pairs(words, 6).collect()}
+    store = Catalog(spark, str(tmp_path / "cat")).tiles(RunKey("pairs", "", "x", "", ""))
+    made = []
+
+    def broken(batch):
+        made.append(batch.count())
+        if len(made) == 2:
+            raise RuntimeError("stopped")
+        return pairwise.dtw_pairs(words, 6, tiles=batch)
+
+    side = spark.range(4)
+    tiles = side.selectExpr("id AS tile_a", "explode(sequence(id, 3L)) AS tile_b")
+    with pytest.raises(RuntimeError):
+        store.fill(tiles, broken, tiles_a_round=4)
+    assert store.finished().count() == 4 and made == [4, 4]
+    got = {(r.i, r.j): r.dist for r in pairwise.kept_dtw_pairs(store, words, 6, tiles_a_round=4).collect()}
+    assert got == whole and store.finished().count() == 10 and store.finished().where("seconds > 0").count() == 10
+
+
+def test_units_and_labels_beyond_the_basic_plane(spark):
+    from wordloom.functions.phones import UNITS, units_as_text
+
+    rows = [(0, [0, 35328, 45568, UNITS - 1]), (1, [0, 35329, 45568, UNITS - 1]), (2, [0, 35328, 45569, 5])]
+    table = spark.createDataFrame(rows, "node_id long, units array<int>")
+    got = {(r.i, r.j): round(r.w, 6) for r in pairwise.edit_graph(table, 0.9).collect()}
+    assert got == {(0, 1): 0.75, (0, 2): 0.5, (1, 2): 0.25}
+    with pytest.raises(Exception, match="units must lie"):
+        table.select(units_as_text(F.array(F.lit(UNITS)))).collect()
+    many = spark.createDataFrame([(0, [f"p{k}" for k in range(7000)])], "cluster int, phones array<string>")
+    coded = evaluate.phone_codes(many).first().coded
+    assert len(set(coded)) == 7000
+
+
+def test_codebook_by_batches(spark):
+    rng = np.random.default_rng(2)
+    means = np.eye(3) * 20
+    rows = [(f"f{k}", t, (means[(k + t) % 3] + rng.normal(size=3) * 0.1).tolist()) for k in range(30) for t in range(3)]
+    frames = spark.createDataFrame(rows, "node string, frame int, vec array<double>")
+    book = np.array([r.vec for r in quantise.train_codebook_by_batches(frames, 12, batch_files=8).collect()])
+    assert len(book) == 12 and all(np.abs(means[:, None] - book[None]).max(axis=2).min(axis=1) < 1)
+    near = quantise.nearest_codes(frames, quantise.train_codebook_by_batches(frames, 12, batch_files=100), 2).collect()
+    assert all(len(r.codes) == 2 and r.codes[0].d <= r.codes[1].d for r in near)
+
+
+def test_resample_keeps_a_tone():
+    from wordloom.sources.features import resample
+
+    for rate in (8000, 22050, 44100, 48000):
+        tone = np.sin(np.arange(rate) * 2 * np.pi * 440 / rate)
+        out = resample(tone, rate)
+        assert len(out) == 16000 and np.abs(out - np.sin(np.arange(16000) * 2 * np.pi * 440 / 16000))[200:-200].max() < 0.01
+    high = np.sin(np.arange(48000) * 2 * np.pi * 15000 / 48000)
+    assert np.abs(resample(high, 48000))[200:-200].max() < 0.05
+
+
+def test_idealised_flows(spark):
+    """Communities that start from the types, and of replicas, are no worse than the types; replicas of a type stay together."""
+    from wordloom import registry
+
+    folder = "/root/testdata/sf0.001"
+    units = lookup.node_ids(registry._typed_units(spark, folder))
+    typed = units.select("node_id", F.hash("text").alias("label"))
+    for labels, own in ((registry.hacked_graph_clusters(spark, folder), units), (registry.hacked_representation_graph(spark, folder), lookup.node_ids(lookup.replicate_sample(units.drop("node_id"))))):
+        assert labels.count() == own.count() and labels.select("node_id").distinct().count() == own.count()
+        edges = pairwise.edit_graph(own.select("node_id", "units"), registry.EDIT).cache()
+        at = lambda x: communities.cpm_objective(edges, x, 0.3).first().objective
+        assert at(labels) >= at(typed) - 1e-9
+    assert labels.join(own, "node_id").groupBy("text").agg(F.countDistinct("label").alias("n")).where("n > 1").isEmpty()

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Labels that mark silence.
 SILENCES = ("sp", "sil", "spn", "")
-#: First code point that stands for an integer unit in an encoded sequence.
-UNIT_BASE = 0x4E00
+#: First code point that stands for an integer unit in an encoded sequence, and how many there are.
+UNIT_BASE, UNITS = 0x10000, 0x100000
 
 
 def _sounding(phones: Column) -> Column:
@@ -30,9 +30,15 @@ def clean_phones_stripped(phones: Column) -> Column:
     return F.transform(_sounding(stripped), lambda p: F.lower(F.trim(F.regexp_replace(p, r"\d+", ""))))
 
 
+def code_point(number: Column) -> Column:
+    """The character of a code point of U+10000 and up; none of these is a surrogate."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+
 def units_as_text(units: Column) -> Column:
     """Integers as code points, so that the built-in edit distance counts units."""
-    return F.array_join(F.transform(units, lambda u: F.decode(F.unhex(F.lpad(F.hex(u + UNIT_BASE), 4, "0")), "UTF-16BE")), "")
+    wrong = F.raise_error(F.lit(f"units must lie in 0..{UNITS - 1}")).cast("string")
+    return F.array_join(F.transform(units, lambda u: F.when((u >= 0) & (u < UNITS), code_point(u.cast("long") + UNIT_BASE)).otherwise(wrong)), "")
 
 
 def normalised_edit(a: Column, b: Column, both_empty: float = 0.0) -> Column:

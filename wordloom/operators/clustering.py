@@ -11,22 +11,50 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wordloom.functions.vectors import squared_distance
 from wordloom.sources.catalog import materialise
 
 KMEANS_ROUNDS, KMEANS_RUNS = 15, 3
 BIRCH_THRESHOLD = 0.25
 #: Sub-clusters that one task merges; the distance threshold grows until they fit.
 BIRCH_LEAVES = 4096
+#: Rows whose distances to all centres are held at a time.
+ROWS = 256
+
+
+def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product; rounding may be off in the last places."""
+    return (points**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T
+
+
+def candidates(far: np.ndarray, rank: int) -> list[np.ndarray]:
+    """For each row the entries that may be among its ``rank`` least, whatever the rounding."""
+    rank = min(rank, far.shape[1])
+    limit = np.partition(far, rank - 1, axis=1)[:, rank - 1] if far.shape[1] else np.zeros(len(far))
+    slack = 1e-9 * (1 + np.abs(far).max(axis=1, initial=0))
+    return [np.flatnonzero(row <= most) for row, most in zip(far, limit + slack, strict=True)]
 
 
 def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """``points`` (emb) with label, the nearest centre (ties to the first), and its squared distance."""
-    book = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-    far = F.transform(book, lambda c, i: F.struct(squared_distance(F.col("emb"), c).alias("d"), i.alias("label")))
-    best = F.array_min(far)
-    return points.withColumn("label", best["label"].cast("long")).withColumn("d", best["d"])
+    """``points`` (emb) with label, the nearest centre (ties to the first), and its squared distance.
+
+    The centres go to the workers as one matrix; products of blocks choose, exact differences decide.
+    """
+    book = np.array(centres, float)
+    schema = T.StructType([*points.schema.fields, T.StructField("label", T.LongType()), T.StructField("d", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label, d = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            x = np.array(b.column("emb").to_pylist(), float).reshape(b.num_rows, -1)
+            for first in range(0, b.num_rows, ROWS):
+                for k, near in enumerate(candidates(distances(x[first : first + ROWS], book), 1), first):
+                    exact = ((book[near] - x[k]) ** 2).sum(axis=1)
+                    label[k], d[k] = near[exact.argmin()], exact.min()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label), pa.array(d)], names=[*b.schema.names, "label", "d"])
+
+    return points.mapInArrow(run, schema)
 
 
 def lloyd(points: DataFrame, centres: list[list[float]], rounds: int = KMEANS_ROUNDS) -> tuple[DataFrame, list[list[float]], float]:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.phones import either_empty_is_one
+from wordloom.functions.phones import code_point, either_empty_is_one
+
+#: First code point, of private use, that stands for a label of several characters, and how many there are.
+LABEL_BASE, LABELS = 0xF0000, 0x20000
 
 
 def phone_codes(sequences: DataFrame, phones: str = "phones") -> DataFrame:
@@ -17,7 +20,8 @@ def phone_codes(sequences: DataFrame, phones: str = "phones") -> DataFrame:
     exploded = sequences.select(F.col(phones).alias("key")).distinct().select("key", F.posexplode("key").alias("pos", "label"))
     kinds = exploded.where(F.char_length("label") != 1).select("label").distinct()
     numbered = kinds.withColumn("code", F.row_number().over(Window.orderBy("label")))
-    symbol = F.decode(F.unhex(F.lpad(F.hex(F.col("code") + 0xE000), 4, "0")), "UTF-16BE")
+    wrong = F.raise_error(F.lit(f"more than {LABELS} labels")).cast("string")
+    symbol = F.when(F.col("code") < LABELS, code_point(F.col("code").cast("long") + LABEL_BASE)).when(F.col("code") >= LABELS, wrong)
     named = exploded.join(numbered, "label", "left").withColumn("symbol", F.coalesce(symbol, F.col("label")))
     coded = named.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "symbol"))), lambda x: x["symbol"]), "").alias("coded"))
     return sequences.join(coded, sequences[phones] == coded["key"], "left").drop("key").withColumn("coded", F.coalesce("coded", F.lit("")))

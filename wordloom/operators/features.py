@@ -59,8 +59,9 @@ def type_centroids(pooled: DataFrame, types: DataFrame, column: str = "text") ->
 
 
 def _uniform(*parts: Column) -> Column:
-    """In (0, 1], from a hash of the parts."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 1) / float(1 << 52)
+    """In (0, 1], from 52 bits of the md5 digest of the parts."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
 
 
 def noisy_type_means(nodes: DataFrame, centroids: DataFrame, column: str = "text", seed: int = 42) -> DataFrame:

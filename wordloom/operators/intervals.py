@@ -56,6 +56,21 @@ def overlap_join(words: DataFrame, phones: DataFrame) -> DataFrame:
     return words.drop("phones").join(found, ["filename", "word_id"])
 
 
+def merge_overlap(words: DataFrame, phones: DataFrame) -> DataFrame:
+    """The analysis variant of :func:`overlap_join`: words without a text or with <unk> are left out, phones go by start.
+
+    Phones need no pos.  Phone labels are cleaned as for the other joins.
+    """
+    spoken = words.where(F.col("text").isNotNull() & ~F.col("text").isin("", "<unk>"))
+    return overlap_join(spoken, phones.drop("pos").withColumn("pos", F.struct("start", "end")))
+
+
+def gold_intervals(words: DataFrame) -> tuple[DataFrame, int]:
+    """The words that have phones, as gold intervals, and how many they are."""
+    kept = words.where(F.col("phones").isNotNull()).select("filename", "word_id", "word_start", "word_end", "text", "phones")
+    return kept, kept.count()
+
+
 def containment_join(words: DataFrame, phones: DataFrame) -> DataFrame:
     """Words with the phones that lie within them, cleaned as mandarin; words without phones stay, with none."""
     within = lambda: (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end"))

@@ -6,19 +6,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wordloom.functions.vectors import squared_distance
+from wordloom.operators import clustering
+
+
+#: The split whose frames train the codebook of a language.
+TRAIN_SPLIT = {"english": "train", "mandarin": "dev"}
+
+
+def train_split(language: str) -> str:
+    if language not in TRAIN_SPLIT:
+        raise ValueError(f"no codebook split for language {language!r}")
+    return TRAIN_SPLIT[language]
 
 
 def train_codebook(frames: DataFrame, k: int, seed: int = 42, rounds: int = 100) -> DataFrame:
     """code, vec: k-means centres of all frames."""
     model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="v").fit(frames.select(array_to_vector("vec").alias("v")))
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return frames.sparkSession.createDataFrame(rows, "code int, vec array<double>")
+    return _book(frames, [[float(x) for x in c] for c in model.clusterCenters()])
+
+
+def train_codebook_by_batches(frames: DataFrame, k: int, batch_files: int = 10_000, seed: int = 42) -> DataFrame:
+    """code, vec: mini-batch k-means over batches of ``batch_files`` files of frames (node, frame, vec), in order of a hash.
+
+    It starts from k frames of the first batch, those whose hash is least; then
+    each batch moves a centre to the mean of all frames that it has had so far.
+    What comes back from a batch is k sums at most.
+    """
+    files = frames.select("node").distinct().count()
+    batches = -(-files // batch_files) or 1
+    dealt = frames.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(batches)))
+    drawn = dealt.where("batch = 0").orderBy(F.xxhash64(F.lit(seed), "node", "frame"), "node", "frame").limit(k)
+    centres = np.array([r["vec"] for r in drawn.select("vec").collect()], float)
+    counts = np.zeros(len(centres))
+    for number in range(batches if len(centres) else 0):
+        own = clustering.assign(dealt.where(F.col("batch") == number).select(F.col("vec").alias("emb")), centres.tolist())
+        sums = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(array_to_vector("emb"))).alias("sum")).collect()
+        for r in sums:
+            at, n = r["label"], r["n"]
+            centres[at] = (centres[at] * counts[at] + np.array(r["sum"])) / (counts[at] + n)
+            counts[at] += n
+    return _book(frames, centres.tolist())
+
+
+def _book(frames: DataFrame, centres: list[list[float]]) -> DataFrame:
+    return frames.sparkSession.createDataFrame(list(enumerate(centres)), "code int, vec array<double>")
 
 
 def codebook_rows(codebook: DataFrame) -> list[tuple[int, list[float]]]:
@@ -27,10 +66,28 @@ def codebook_rows(codebook: DataFrame) -> list[tuple[int, list[float]]]:
 
 
 def nearest_codes(frames: DataFrame, codebook: DataFrame, n: int | None = None) -> DataFrame:
-    """``frames`` with codes array<struct<d, code>>: the n nearest codes (all if None), nearest first, ties to the lesser code."""
-    book = F.array(*[F.struct(F.lit(c).alias("code"), F.array(*map(F.lit, v)).alias("vec")) for c, v in codebook_rows(codebook)])
-    far = F.array_sort(F.transform(book, lambda b: F.struct(squared_distance(F.col("vec"), b["vec"]).alias("d"), b["code"].alias("code"))))
-    return frames.withColumn("codes", F.slice(far, 1, n) if n else far)
+    """``frames`` with codes array<struct<d, code>>: the n nearest codes (all if None), nearest first, ties to the lesser code.
+
+    The codebook goes to the workers as one matrix; products of blocks choose, exact differences decide.
+    """
+    rows = codebook_rows(codebook)
+    codes, book = np.array([c for c, _ in rows]), np.array([v for _, v in rows], float)
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("code", pa.int32())]))
+    schema = T.StructType([*frames.schema.fields, *T.StructType.fromDDL("codes array<struct<d:double,code:int>>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[list[dict]] = []
+            x = np.array(b.column("vec").to_pylist(), float).reshape(b.num_rows, -1)
+            for first in range(0, b.num_rows, clustering.ROWS):
+                far = clustering.distances(x[first : first + clustering.ROWS], book)
+                for k, near in enumerate(clustering.candidates(far, n or len(book)), first):
+                    d = ((book[near] - x[k]) ** 2).sum(axis=1)
+                    order = np.lexsort((codes[near], d))[:n]
+                    found.append([{"d": y, "code": c} for y, c in zip(d[order].tolist(), codes[near][order].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "codes"])
+
+    return frames.mapInArrow(run, schema)
 
 
 def viterbi(frames: np.ndarray, book: np.ndarray, codes: np.ndarray, lmbda: float, neighbours: int | None) -> list[int]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 from wordloom.operators import evaluate, features, intervals, lookup, pairwise, quantise
 from wordloom.plans import flows
 from wordloom.sources import alignments, partitions
-from wordloom.sources.catalog import Catalog, RunKey
-from wordloom.sources.features import as_frames, read_npy
+from wordloom.sources.catalog import Catalog, RunKey, exists
+from wordloom.sources.features import MODELS, as_frames, extract, read_features
+from wordloom.sources.units import units_or_make
 
 
 def make_boundaries(spark: SparkSession, language: str, folder: str, out: str) -> DataFrame:
-    """Alignments to a table of words with phones."""
+    """Alignments to a table of words with phones; one that is there is read and left as it is."""
+    if exists(spark, out):
+        return alignments.read_boundaries(spark, out)
     if language == "english":
         tiers = alignments.read_textgrids(spark, folder)
         words = intervals.overlap_join(alignments.textgrid_words(tiers), alignments.textgrid_phones(tiers))
@@ -36,19 +40,29 @@ def make_boundaries(spark: SparkSession, language: str, folder: str, out: str) -
 
 
 def make_segments(spark: SparkSession, boundaries: str, out: str) -> DataFrame:
+    """Speech segments; a table that is there is read and left as it is."""
+    if exists(spark, out):
+        return alignments.read_segments(spark, out)
     alignments.write_segments(intervals.speech_segments(alignments.read_boundaries(spark, boundaries)), out)
     return alignments.read_segments(spark, out)
 
 
 def cut(spark: SparkSession, feature_folder: str, boundaries: str, out: str, segments: str | None = None) -> DataFrame:
-    """Word frames of utterance features; of segment features ({filename}_{seg_id}) if ``segments`` is given."""
-    frames, words = as_frames(read_npy(spark, feature_folder)), alignments.read_boundaries(spark, boundaries)
+    """Word frames of utterance features; of segment features ({filename}_{seg_id}) if ``segments`` is given.
+
+    A table that is there is read if it has as many words as the boundaries, else
+    made again; it is not counted once more, as words without frames have no rows.
+    """
+    words = alignments.read_boundaries(spark, boundaries)
+    if exists(spark, out) and spark.read.parquet(out).select("node").distinct().count() == words.count():
+        return spark.read.parquet(out)
+    frames = as_frames(read_features(spark, feature_folder))
     if segments is None:
         found = intervals.cut_frames(words, frames.withColumnRenamed("node", "filename"))
     else:
         kept = frames.withColumn("filename", F.regexp_extract("node", "^(.*)_[^_]*$", 1)).withColumn("seg_id", F.regexp_extract("node", "_([0-9]+)$", 1).cast("int"))
         found = intervals.cut_segment_frames(words, alignments.read_segments(spark, segments), kept)
-    found.select(F.concat_ws("_", "filename", "word_id").alias("node"), "filename", "word_id", "frame", "vec").write.mode("errorifexists").parquet(out)
+    found.select(F.concat_ws("_", "filename", "word_id").alias("node"), "filename", "word_id", "frame", "vec").write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
@@ -61,28 +75,107 @@ def _members(nodes: DataFrame, labels: DataFrame, frames: DataFrame) -> DataFram
     return labels.join(nodes.select("node_id", "node"), "node_id").join(keys, "node").select("filename", "word_id", F.col("label").alias("cluster"))
 
 
-def graph(spark: SparkSession, frames_path: str, boundaries: str, out: str, distance: str, threshold: float, k: int | None, lmbda: float | None, resolution: float, catalog: str | None) -> DataFrame:
-    """Similarity graph, communities as many as there are word types, partition file and scores."""
-    began = time.time()
-    frames, words = spark.read.parquet(frames_path), alignments.read_boundaries(spark, boundaries)
-    nodes = lookup.node_ids(frames.select("node").distinct())
-    if distance == "cos":
-        made = features.pool(features.project(frames.select("node", "vec")))
-        edges = pairwise.build_graph("cos", threshold, embeddings=made.join(nodes, "node").select("node_id", "emb"))
-    elif distance == "dtw":
-        made = _nested(features.project(frames.select("node", "frame", "vec")))
-        edges = pairwise.build_graph("dtw", threshold, words=made.join(nodes, "node").select("node_id", "frames"))
-    elif distance == "ed":
-        if k is None or lmbda is None:
+class Corpus:
+    """Frames and words of one run, and where its results are kept (nowhere without a catalog)."""
+
+    def __init__(self, spark: SparkSession, a: argparse.Namespace):
+        self.spark, self.a = spark, a
+        self.frames, self.words = spark.read.parquet(a.frames), alignments.read_boundaries(spark, a.boundaries)
+        self.nodes = lookup.node_ids(self.frames.select("node").distinct())
+        self.store = Catalog(spark, a.catalog) if a.catalog else None
+
+    def key(self, kind: str, **settings: object) -> RunKey:
+        return RunKey(kind, self.a.language, self.a.dataset or self.a.frames, self.a.model, self.a.layer, **settings)
+
+    def kept(self, key: RunKey, make: Callable[[], DataFrame]) -> DataFrame:
+        return self.store.get_or_make(key, make) if self.store else make()
+
+    def codebook(self, k: int) -> DataFrame:
+        """Centres of the training split's frames, which are those at hand unless --train_frames names others."""
+        dataset = quantise.train_split(self.a.language) if self.a.language else self.a.train_frames or self.a.frames
+        key = RunKey("codebook", self.a.language, dataset, self.a.model, self.a.layer, k=k)
+        train = self.spark.read.parquet(self.a.train_frames) if self.a.train_frames else self.frames
+        if self.a.batch_files:
+            return self.kept(key, lambda: quantise.train_codebook_by_batches(train.select("node", "frame", "vec"), k, self.a.batch_files))
+        return self.kept(key, lambda: quantise.train_codebook(train.select("vec"), k))
+
+    def units(self, k: int, lmbda: float) -> DataFrame:
+        def make() -> DataFrame:
+            return quantise.quantise(_nested(self.frames), self.codebook(k), lmbda, 10)
+
+        if self.a.units:
+            return units_or_make(self.spark, self.a.units, self.nodes.count(), make)
+        return self.kept(self.key("units", k=k, lmbda=lmbda), make)
+
+    def edges(self, distance: str, threshold: float, k: int | None, lmbda: float | None) -> DataFrame:
+        key = self.key("edges", distance=distance, threshold=threshold, k=k, lmbda=lmbda)
+        if distance == "ed" and (k is None or lmbda is None):
             raise ValueError("ed needs --k and --lmbda")
-        units = quantise.quantise(_nested(frames), quantise.train_codebook(frames.select("vec"), k), lmbda, 10)
-        edges = pairwise.build_graph("ed", threshold, units=units.join(nodes, "node").select("node_id", "units"))
+        makers = {"cos": self._cosine, "dtw": self._warped, "ed": lambda x: self._edits(x, k, lmbda)}
+        if distance not in makers:
+            raise ValueError(f"unknown distance {distance!r}")
+        return self.kept(key, lambda: makers[distance](threshold))
+
+    def _cosine(self, threshold: float) -> DataFrame:
+        made = features.pool(features.project(self.frames.select("node", "vec")))
+        return pairwise.build_graph("cos", threshold, embeddings=made.join(self.nodes, "node").select("node_id", "emb"))
+
+    def _warped(self, threshold: float) -> DataFrame:
+        made = _nested(features.project(self.frames.select("node", "frame", "vec"))).join(self.nodes, "node").select("node_id", "frames")
+        if self.store is None:
+            return pairwise.build_graph("dtw", threshold, words=made)
+        pairs = pairwise.kept_dtw_pairs(self.store.tiles(self.key("pairs", distance="dtw", threshold=threshold)), made, below=threshold)
+        return pairwise.dtw_graph(pairs, threshold)
+
+    def _edits(self, threshold: float, k: int, lmbda: float) -> DataFrame:
+        return pairwise.build_graph("ed", threshold, units=self.units(k, lmbda).join(self.nodes, "node").select("node_id", "units"))
+
+    def typed(self, phone_level: bool = False) -> DataFrame:
+        """node, filename, word_id, text of the words with frames."""
+        return flows.with_types(self.frames.select("node", "filename", "word_id").distinct(), self.words, phone_level)
+
+
+def graph(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Similarity graph, communities as many as there are word types, partition file and scores.
+
+    With a catalog, codebook, units, edges, DTW tiles and communities that an earlier run made are read.
+    """
+    began, c = time.time(), Corpus(spark, a)
+    edges = c.edges(a.distance, a.threshold, a.k, a.lmbda)
+    key = c.key("graph", distance=a.distance, threshold=a.threshold, k=a.k, lmbda=a.lmbda, resolution=a.res)
+    labels = flows.graph_clusters(c.nodes, edges, lookup.type_count(c.words).first()[0], a.res, catalog=c.store, key=key)
+    return _finish(spark, _members(c.nodes, labels, c.frames), c.words, a.out, began)
+
+
+def oracle_types(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Clustering that starts from the true types: communities or k-means."""
+    began, c = time.time(), Corpus(spark, a)
+    typed = c.typed(a.phone_level)
+    if a.kind == "graph":
+        units = c.units(a.k, a.lmbda).join(typed.select("node", "text"), "node")
+        placed, labels = lookup.node_ids(units.select("node")), flows.graph_from_types(units, a.threshold)
+    else:
+        pooled = flows.pooled_by_word(c.frames.select("node", "vec"), 350)
+        placed = lookup.node_ids(pooled.select("node"))
+        labels = flows.kmeans_from_types(pooled, typed).join(placed, "node").select("node_id", "label")
+    partitions.write_partition(_members(placed, labels, c.frames), c.words, a.out)
+    return score(spark, a.out, c.words, a.phone_level).withColumn("seconds", F.lit(round(time.time() - began)))
+
+
+def oracle_means(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Clustering of idealised representations; with --res, the partition that is there is only scored."""
+    began, c = time.time(), Corpus(spark, a)
+    if a.res is not None:
+        return score(spark, a.out, c.words)
+    typed = c.typed()
+    if a.kind == "graph":
+        units = c.units(a.k, a.lmbda).join(typed.select("node", "text"), "node")
+        placed, labels = lookup.node_ids(units.select("node")), flows.graph_of_replicas(units, a.threshold)
     else:
-        raise ValueError(f"unknown distance {distance!r}")
-    key = RunKey("graph", "", frames_path, "", "", distance, threshold, k, lmbda, resolution)
-    store = Catalog(spark, catalog) if catalog else None
-    labels = flows.graph_clusters(nodes, edges, lookup.type_count(words).first()[0], resolution, catalog=store, key=key)
-    return _finish(spark, _members(nodes, labels, frames), words, out, began)
+        placed = lookup.node_ids(typed.select("node"))
+        pooled = flows.pooled_by_word(c.frames.select("node", "vec"))
+        labels = flows.kmeans_of_noise(pooled, typed.select("node", "text")).join(placed, "node").select("node_id", "label")
+    return _finish(spark, _members(placed, labels, c.frames), c.words, a.out, began)
 
 
 def centroid(spark: SparkSession, frames_path: str, boundaries: str, out: str, kind: str, no_pca: bool) -> DataFrame:
@@ -104,7 +197,8 @@ def _finish(spark: SparkSession, members: DataFrame, words: DataFrame, out: str,
 def score(spark: SparkSession, partition: str, words: DataFrame, phone_level: bool = False) -> DataFrame:
     found = partitions.read_partition(spark, partition)
     fragments = found.select(F.concat_ws("|", "cluster", "filename", "start", "end").alias("frag_id"), "filename", "start", "end", "cluster").dropDuplicates(["frag_id"])
-    matched = intervals.match_fragments(fragments, words.where("phones is not null"))
+    gold, _ = intervals.gold_intervals(words)
+    matched = intervals.match_fragments(fragments, gold)
     return evaluate.report(matched, words, phone_level)
 
 
@@ -118,22 +212,43 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(x)
         return p
 
+    def add_corpus(name: str, kinds: str, choices: list[str], **defaults: object) -> argparse.ArgumentParser:
+        p = add(name, "frames", "boundaries", "out")
+        p.add_argument(kinds, choices=choices)
+        p.add_argument("--k", type=int, default=defaults.get("k"))
+        p.add_argument("--lmbda", type=float, default=defaults.get("lmbda"))
+        p.add_argument("--catalog", help="folder of results that later runs read")
+        p.add_argument("--units", help="folder of unit sequences, made if they are not there")
+        p.add_argument("--train_frames", help="frames of the split that trains the codebook")
+        p.add_argument("--batch_files", type=int, help="train the codebook by batches of so many files")
+        for key in ("language", "dataset", "model", "layer"):
+            p.add_argument(f"--{key}", default="")
+        return p
+
     add("boundaries", "language", "folder", "out")
     add("vad", "boundaries", "out")
+    e = add("extract", "language", "audio", "out")
+    e.add_argument("model", choices=MODELS)
+    e.add_argument("layer", type=int)
+    e.add_argument("--encoder", required=True, help="module:function that loads a model by its name")
+    e.add_argument("--segments")
+    e.add_argument("--suffix")
+    e.add_argument("--for_kmeans", action="store_true", help="only so many hours as train a codebook")
     add("cut", "features", "boundaries", "out").add_argument("--segments")
-    g = add("graph", "frames", "boundaries", "out")
-    g.add_argument("distance", choices=["ed", "cos", "dtw"])
+    g = add_corpus("graph", "distance", ["ed", "cos", "dtw"])
     g.add_argument("threshold", type=float)
-    g.add_argument("--k", type=int)
-    g.add_argument("--lmbda", type=float)
     g.add_argument("--res", type=float, default=0.3)
-    g.add_argument("--catalog")
     c = add("avg", "frames", "boundaries", "out")
     c.add_argument("kind", choices=["kmeans", "agg", "birch"])
     c.add_argument("--no_pca", action="store_true")
     add("evaluate", "partition", "boundaries").add_argument("--phone_level", action="store_true")
-    add("oracle_types", "folder").add_argument("kind", choices=["graph", "kmeans"])
-    add("oracle_means", "folder").add_argument("kind", choices=["graph", "kmeans"])
+    for name in ("oracle_types", "oracle_means"):
+        o = add_corpus(name, "kind", ["graph", "kmeans"], k=500, lmbda=100.0)
+        o.add_argument("--threshold", type=float, default=0.65)
+        if name == "oracle_types":
+            o.add_argument("--phone_level", action="store_true", help="types are phone sequences")
+        else:
+            o.add_argument("--res", type=float, help="score the partition that is there")
     return top
 
 
@@ -143,17 +258,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
         return make_boundaries(spark, a.language, a.folder, a.out)
     if a.command == "vad":
         return make_segments(spark, a.boundaries, a.out)
+    if a.command == "extract":
+        segments = alignments.read_segments(spark, a.segments) if a.segments else None
+        return extract(spark, a.language, a.audio, a.out, a.encoder, a.model, a.layer, segments, a.for_kmeans, suffix=a.suffix)
     if a.command == "cut":
         return cut(spark, a.features, a.boundaries, a.out, a.segments)
-    if a.command == "graph":
-        return graph(spark, a.frames, a.boundaries, a.out, a.distance, a.threshold, a.k, a.lmbda, a.res, a.catalog)
     if a.command == "avg":
         return centroid(spark, a.frames, a.boundaries, a.out, a.kind, a.no_pca)
     if a.command == "evaluate":
         return score(spark, a.partition, alignments.read_boundaries(spark, a.boundaries), a.phone_level)
-    if a.command == "oracle_types":
-        return flows.graph_from_types(spark, a.folder, 0.65, 1.0, 10) if a.kind == "graph" else flows.kmeans_from_types(spark, a.folder)
-    return flows.graph_of_replicas(spark, a.folder, 0.65, 1.0, 10) if a.kind == "graph" else flows.kmeans_of_noise(spark, a.folder)
+    return {"graph": graph, "oracle_types": oracle_types, "oracle_means": oracle_means}[a.command](spark, a)
 
 
 if __name__ == "__main__":

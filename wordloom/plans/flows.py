@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom import fixtures as fx
 from wordloom.functions.vectors import unit
-from wordloom.operators import clustering, communities, evaluate, features, lookup, pairwise, quantise
+from wordloom.operators import clustering, communities, evaluate, features, lookup, pairwise
 from wordloom.sources.catalog import Catalog, RunKey
 
 
@@ -46,44 +46,42 @@ def centroid_clusters(emb: DataFrame, kind: str, k: int) -> DataFrame:
     return makers[kind](emb, k)
 
 
-def _typed_units(spark: SparkSession, sf_dir: str, lmbda: float, neighbours: int) -> DataFrame:
-    frames = fx.word_frames(fx.frames(spark, sf_dir))
-    book = features.pool(fx.frames(spark, sf_dir).select("label", "vec"), by="label", normalise=False)
-    units = quantise.quantise(fx.nested(frames), book.select(F.col("label").cast("int").alias("code"), F.col("emb").alias("vec")), lmbda, neighbours)
-    return units.withColumn("text", F.split("node", "_")[0])
+def with_types(nodes: DataFrame, words: DataFrame, phone_level: bool = False) -> DataFrame:
+    """``nodes`` (filename, word_id) with text, the type of their word: its text, or its phones joined."""
+    kind = F.array_join("phones", "-") if phone_level else F.col("text")
+    return nodes.drop("text").join(words.select("filename", "word_id", kind.alias("text")), ["filename", "word_id"])
 
 
-def graph_from_types(spark: SparkSession, sf_dir: str, threshold: float, lmbda: float, neighbours: int) -> DataFrame:
-    """Edit graph, communities started from the true types."""
-    units = lookup.node_ids(_typed_units(spark, sf_dir, lmbda, neighbours))
-    codes = lookup.first_appearance_codes(units, "text", "node_id")
-    start = units.join(codes, "text").select("node_id", F.col("code").alias("label"))
-    edges = pairwise.edit_graph(units.select("node_id", "units"), threshold)
-    return communities.cpm_partition(units.select("node_id"), edges, codes.count(), 0.3144, start)
+def graph_from_types(units: DataFrame, threshold: float, resolution: float = 0.3144) -> DataFrame:
+    """node_id, label: edit graph of (node, text, units), communities started from the true types."""
+    placed = lookup.node_ids(units)
+    codes = lookup.first_appearance_codes(placed, "text", "node_id")
+    start = placed.join(codes, "text").select("node_id", F.col("code").alias("label"))
+    edges = pairwise.edit_graph(placed.select("node_id", "units"), threshold)
+    return communities.cpm_partition(placed.select("node_id"), edges, codes.count(), resolution, start)
 
 
-def graph_of_replicas(spark: SparkSession, sf_dir: str, threshold: float, lmbda: float, neighbours: int) -> DataFrame:
-    """Edit graph of one drawn unit sequence a type, and its communities."""
-    units = lookup.node_ids(lookup.replicate_sample(_typed_units(spark, sf_dir, lmbda, neighbours)))
-    edges = pairwise.edit_graph(units.select("node_id", "units"), threshold)
-    return communities.cpm_partition(units.select("node_id"), edges, lookup.type_count(units).first()[0])
+def graph_of_replicas(units: DataFrame, threshold: float, resolution: float = communities.RESOLUTION) -> DataFrame:
+    """node_id, label: edit graph of one drawn unit sequence a type of (node, text, units), and its communities."""
+    placed = lookup.node_ids(lookup.replicate_sample(units))
+    edges = pairwise.edit_graph(placed.select("node_id", "units"), threshold)
+    return communities.cpm_partition(placed.select("node_id"), edges, lookup.type_count(placed).first()[0], resolution)
 
 
-def _typed_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    frames = fx.word_frames(fx.frames(spark, sf_dir))
-    types = frames.select("node", F.col("filename").alias("text")).distinct()
-    pooled = features.pool(features.standardise(frames.select("node", "vec")), normalise=False)
-    return pooled, types, features.type_centroids(pooled, types)
+def pooled_by_word(frames: DataFrame, components: int | None = None) -> DataFrame:
+    """node, emb: the mean of a word's standardised (and projected) frames, not normalised."""
+    made = features.standardise(frames) if components is None else features.project(frames, components)
+    return features.pool(made, normalise=False)
 
 
-def kmeans_from_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means of unit vectors from the types' means, which are not normalised."""
-    pooled, _, centroids = _typed_means(spark, sf_dir)
+def kmeans_from_types(pooled: DataFrame, types: DataFrame) -> DataFrame:
+    """node, label: k-means of unit vectors from the types' means (node, text), which are not normalised."""
+    centroids = features.type_centroids(pooled, types)
     centres = [r["centroid"] for r in centroids.orderBy("text").collect()]  # one row a type: the number of clusters asked for
     return clustering.kmeans(pooled.withColumn("emb", unit(F.col("emb"))), len(centres), centres)
 
 
-def kmeans_of_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means of the types' means with noise."""
-    _, types, centroids = _typed_means(spark, sf_dir)
-    return clustering.kmeans(features.noisy_type_means(types, centroids), lookup.type_count(types).first()[0])
+def kmeans_of_noise(pooled: DataFrame, types: DataFrame) -> DataFrame:
+    """node, label: k-means of the types' means with noise."""
+    noisy = features.noisy_type_means(types, features.type_centroids(pooled, types))
+    return clustering.kmeans(noisy, lookup.type_count(types).first()[0])

@@ -141,6 +141,21 @@ def overlap_join_words_phones(spark, sf_dir):
     return joined.select("filename", "word_id", F.array_join("phones", ",").alias("phones"))
 
 
+@register(f"SELECT * FROM ({ORACLES['overlap_join_words_phones']}) WHERE word_id % 7 <> 0 AND word_id % 11 <> 0")
+def merge_overlap_words_phones(spark, sf_dir):
+    w = fx.words(spark, sf_dir)
+    text = F.when(F.col("word_id") % 7 == 0, "<unk>").when(F.col("word_id") % 11 == 0, "").otherwise(F.col("text"))
+    joined = intervals.merge_overlap(w.withColumn("text", text), fx.phones(w))
+    return joined.select("filename", "word_id", F.array_join("phones", ",").alias("phones"))
+
+
+@register(f"WITH {W} SELECT filename, count(*) AS n, (SELECT count(*) FROM w WHERE word_id % 5 <> 0) AS kept FROM w WHERE word_id % 5 <> 0 GROUP BY filename")
+def gold_intervals(spark, sf_dir):
+    w = fx.words(spark, sf_dir)
+    gold, kept = intervals.gold_intervals(w.withColumn("phones", F.when(F.col("word_id") % 5 != 0, F.col("phones"))))
+    return gold.groupBy("filename").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(kept).cast("long"))
+
+
 @register(f"""WITH {W}, {P}, j AS (SELECT w.filename, word_id, list(phone ORDER BY pos) FILTER (phone IS NOT NULL) AS raw FROM w LEFT JOIN p ON p.filename = w.filename AND p_start >= word_start AND p_end <= word_end GROUP BY ALL)
   SELECT filename, word_id, coalesce(array_to_string(list_filter(raw, lambda x: x NOT IN ('sp', 'sil', 'spn', '')), ','), '') AS phones FROM j""")
 def containment_join_words_phones(spark, sf_dir):
@@ -320,12 +335,13 @@ def type_centroids(spark, sf_dir):
     return rows.select("text", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("x"))
 
 
-@register()
+@register(f"""WITH {STD}, nx AS (SELECT a.node, a.frame, a.x * b.x AS p FROM sx a JOIN sx b ON a.node = b.node AND a.frame + 1 = b.frame AND a.i = b.i)
+  SELECT node, CAST(frame + 1 AS INT) AS frame, round(sum(p), 5) + 0.0 AS gram FROM nx GROUP BY node, frame""")
 def pca_gram(spark, sf_dir):
-    """Inner products of neighbouring frames on 16 components: free of the sign of components."""
-    p = features.project(_frames(spark, sf_dir).select("node", "frame", "vec"), 16)
-    nxt = p.select("node", (F.col("frame") - 1).alias("frame"), F.col("vec").alias("next"))
-    return p.join(nxt, ["node", "frame"]).select("node", "frame", F.round(dot(F.col("vec"), F.col("next")), 6).alias("gram"))
+    """Inner products of neighbouring frames on all components, which a rotation of standardised frames leaves as they are."""
+    p = features.project(_frames(spark, sf_dir).select("node", "frame", "vec"), 64)
+    nxt = p.select("node", (F.col("frame") + 1).alias("frame"), F.col("vec").alias("last"))
+    return p.join(nxt, ["node", "frame"]).select("node", F.col("frame").cast("int").alias("frame"), (F.round(dot(F.col("vec"), F.col("last")), 5) + 0.0).alias("gram"))
 
 
 def _book(spark, sf_dir):
@@ -362,17 +378,38 @@ def sample_and_replicate(spark, sf_dir):
     return lookup.replicate_sample(u).select("node", "text", F.array_join("units", ",").alias("units"))
 
 
-@register()
+def _drawn(*parts: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '42', node, {', '.join(parts)})), 1, 13) AS BIGINT) + 1) / 4503599627370496.0"
+
+
+@register(f"""WITH {STD}, means AS (SELECT split_part(node, '_', 1) AS text, i, avg(x) AS x FROM po GROUP BY ALL),
+  z AS (SELECT node, means.i, x, 0.005 + 0.01 * ({_drawn("'sigma'")}) AS sigma, {_drawn("'radius'", "CAST(means.i AS VARCHAR)")} AS u, {_drawn("'angle'", "CAST(means.i AS VARCHAR)")} AS v FROM ids JOIN means ON split_part(node, '_', 1) = text)
+  SELECT node, CAST(i AS INT) AS i, round(x + sigma * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 6) AS x FROM z""")
 def noisy_type_means(spark, sf_dir):
-    f = _frames(spark, sf_dir)
-    types = f.select("node", F.col("filename").alias("text")).distinct()
-    centroids = features.type_centroids(features.pool(features.standardise(f.select("node", "vec")), normalise=False), types)
-    return features.noisy_type_means(types, centroids).select("node", F.posexplode("emb").alias("i", "x"))
+    types = _types(spark, sf_dir)
+    pooled = flows.pooled_by_word(_frames(spark, sf_dir).select("node", "vec"))
+    noisy = features.noisy_type_means(types, features.type_centroids(pooled, types))
+    return noisy.select("node", F.posexplode("emb").alias("i", "x")).select("node", "i", F.round("x", 6).alias("x"))
 
 
-@register()
+def _apart(table, label, vector):
+    """Vectors with ten more dimensions that set labels far apart, so that clusters are known."""
+    marks = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == label, 50.0).otherwise(0.0))
+    return table.withColumn(vector, F.concat(vector, marks))
+
+
+def _label(node="node"):
+    return F.expr(f"CAST(substring(split({node}, '_')[0], 2) AS INT)")
+
+
+@register(f"""WITH {WF}, ex AS (SELECT CAST(substr(split_part(node, '_', 1), 2) AS INT) AS label, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM wf)
+  SELECT label, CAST(i AS INT) AS i, round(avg(x), 6) AS x FROM ex GROUP BY ALL""")
 def trained_codebook(spark, sf_dir):
-    return quantise.train_codebook(_frames(spark, sf_dir).select("vec"), 16).select("code", F.posexplode("vec").alias("i", "x"))
+    """Centres of frames whose labels lie far apart: the labels' means."""
+    book = quantise.train_codebook(_apart(_frames(spark, sf_dir), _label(), "vec").select("vec"), 10)
+    size = F.size("vec") - 10
+    mark = F.array_position(F.transform(F.slice("vec", size + 1, 10), lambda x: x > 25), True) - 1
+    return book.select(mark.cast("int").alias("label"), F.posexplode(F.slice("vec", F.lit(1), size)).alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
 
 
 # --- graphs --------------------------------------------------------------------------
@@ -434,10 +471,20 @@ def cpm_objective(spark, sf_dir):
     return communities.cpm_objective(edges, labels, 0.3).select("clusters", F.round("objective", 6).alias("objective"))
 
 
-@register()
+#: Cliques of weight 1, joined in a row by edges of weight 0.1: at a resolution between, the cliques are the optimum.
+CLIQUES = f"{STD}, g AS (SELECT node_id, split_part(node, '_', 1) || '.' || CAST(split_part(node, '_', 2) AS INT) // 4 AS clique FROM ids)"
+
+
+@register(f"WITH {CLIQUES} SELECT node_id, min(node_id) OVER (PARTITION BY clique) AS label FROM g")
 def cpm_partition(spark, sf_dir):
-    emb, edges = _cos(spark, sf_dir)
-    return communities.cpm_partition(emb.select("node_id"), edges, max(1, emb.count() // 3))
+    emb = _embeddings(spark, sf_dir)
+    part = F.split("node", "_")
+    nodes = emb.select("node_id", F.concat_ws(".", part[0], F.floor(part[1].cast("int") / 4)).alias("clique"))
+    a, b = nodes.select(F.col("node_id").alias("i"), F.col("clique").alias("c")), nodes.select(F.col("node_id").alias("j"), F.col("clique").alias("d"))
+    weight = F.when(F.col("c") == F.col("d"), 1.0).otherwise(0.1)
+    edges = a.join(b, ((F.col("c") == F.col("d")) & (F.col("i") < F.col("j")))).union(a.join(b, (F.col("i") + 1 == F.col("j")) & (F.col("c") != F.col("d"))))
+    found = communities.cpm_partition(nodes.select("node_id"), edges.select("i", "j", weight.alias("w")), nodes.select("clique").distinct().count())
+    return _by_least(found, "node_id").select("node_id", F.col("cluster").alias("label"))
 
 
 # --- centroid clustering -----------------------------------------------------------
@@ -467,19 +514,23 @@ def kmeans_assign(spark, sf_dir):
     return clustering.assign(emb, _first_centres(emb)).select("node", "label")
 
 
-@register()
+#: Clusters of vectors whose labels lie far apart.
+APART = f"WITH {WF} SELECT node, min(node) OVER (PARTITION BY split_part(node, '_', 1)) AS cluster FROM (SELECT DISTINCT node FROM wf)"
+
+
+@register(APART)
 def kmeans_clusters(spark, sf_dir):
-    return clustering.kmeans(_pooled(spark, sf_dir), 10)
+    return _by_least(clustering.kmeans(_apart(_pooled(spark, sf_dir), _label(), "emb"), 10))
 
 
-@register()
+@register(APART)
 def ward_clusters(spark, sf_dir):
-    return clustering.ward(_pooled(spark, sf_dir), 10)
+    return _by_least(clustering.ward(_apart(_pooled(spark, sf_dir), _label(), "emb"), 10))
 
 
-@register()
+@register(APART)
 def birch_clusters(spark, sf_dir):
-    return clustering.birch(_pooled(spark, sf_dir), 10)
+    return _by_least(clustering.birch(_apart(_pooled(spark, sf_dir), _label(), "emb"), 10))
 
 
 # --- scores ----------------------------------------------------------------------
@@ -583,22 +634,48 @@ def graph_flow_cos(spark, sf_dir):
     return flows.flagship(spark, sf_dir, COSINE)
 
 
+def _typed_units(spark, sf_dir):
+    return _unit_table(spark, sf_dir).withColumn("text", F.split("node", "_")[0])
+
+
+def _types(spark, sf_dir):
+    return _frames(spark, sf_dir).select("node", F.col("filename").alias("text")).distinct()
+
+
+def _by_least(labels, name="node"):
+    """Clusters named by their least member, so that numbering does not count."""
+    least = labels.groupBy("label").agg(F.min(name).alias("cluster"))
+    return labels.join(least, "label").select(name, "cluster")
+
+
 @register()
 def hacked_graph_clusters(spark, sf_dir):
-    return flows.graph_from_types(spark, sf_dir, EDIT, LAMBDA, NEIGHBOURS)
+    return flows.graph_from_types(_typed_units(spark, sf_dir), EDIT)
 
 
-@register()
+#: K-means from the types' means, round by round until nothing can move any more.
+def _from_types_sql(rounds: int) -> str:
+    ctes = [STD, "raw AS (SELECT node, split_part(node, '_', 1) AS text, i, x FROM po)"]
+    ctes.append("k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY text) - 1 AS label, c FROM (SELECT text, list(x ORDER BY i) AS c FROM (SELECT text, i, avg(x) AS x FROM raw GROUP BY ALL) GROUP BY text))")
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT node, emb, arg_min(label, d) AS label FROM (SELECT node, emb, label, list_sum(list_transform(list_zip(emb, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM emb CROSS JOIN k{r}) GROUP BY ALL)")
+        ctes.append(f"k{r + 1} AS MATERIALIZED (SELECT label, coalesce(m, c) AS c FROM k{r} LEFT JOIN (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(len(emb))) AS i, unnest(emb) AS x FROM a{r}) GROUP BY ALL) GROUP BY label) USING (label))")
+    return f"WITH {', '.join(ctes)} SELECT node, label FROM a{rounds}"
+
+
+@register(_from_types_sql(clustering.KMEANS_ROUNDS))
 def hacked_kmeans_clusters(spark, sf_dir):
-    return flows.kmeans_from_types(spark, sf_dir)
+    pooled = flows.pooled_by_word(_frames(spark, sf_dir).select("node", "vec"))
+    return flows.kmeans_from_types(pooled, _types(spark, sf_dir))
 
 
 @register()
 def hacked_representation_graph(spark, sf_dir):
-    return flows.graph_of_replicas(spark, sf_dir, EDIT, LAMBDA, NEIGHBOURS)
+    return flows.graph_of_replicas(_typed_units(spark, sf_dir), EDIT)
 
 
-@register()
+@register(f"WITH {WF} SELECT node, min(node) OVER (PARTITION BY split_part(node, '_', 1)) AS cluster FROM (SELECT DISTINCT node FROM wf)")
 def hacked_representation_kmeans(spark, sf_dir):
-    return flows.kmeans_of_noise(spark, sf_dir)
-
+    """The noise is small beside the distances of means, so the clusters must be the types."""
+    pooled = flows.pooled_by_word(_frames(spark, sf_dir).select("node", "vec"))
+    return _by_least(flows.kmeans_of_noise(pooled, _types(spark, sf_dir)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -31,6 +33,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 @dataclass(frozen=True)
 class RunKey:
     """What a result depends on; the resolution is part of it."""
@@ -57,8 +65,7 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _index(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/index")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        if not exists(self.spark, f"{self.root}/index"):
             return None
         return self.spark.read.schema("key string, folder string, seconds double, made timestamp").parquet(f"{self.root}/index")
 
@@ -70,10 +77,11 @@ class Catalog:
         row = index.where(F.col("key") == key.text()).agg(F.max_by(F.struct("folder", "seconds"), "made").alias("x")).first()["x"]
         return None if row is None else (self.spark.read.parquet(row["folder"]), row["seconds"])
 
-    def put(self, key: RunKey, df: DataFrame, seconds: float = 0.0) -> DataFrame:
-        folder = f"{self.root}/runs/{uuid.uuid4().hex}"
+    def put(self, key: RunKey, df: DataFrame) -> DataFrame:
+        """Write a result; its seconds are those of the plan that the write runs."""
+        folder, began = f"{self.root}/runs/{uuid.uuid4().hex}", time.time()
         df.write.parquet(folder)
-        row = self.spark.createDataFrame([(key.text(), folder, float(seconds))], "key string, folder string, seconds double")
+        row = self.spark.createDataFrame([(key.text(), folder, time.time() - began)], "key string, folder string, seconds double")
         row.withColumn("made", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/index")
         return self.spark.read.parquet(folder)
 
@@ -81,6 +89,45 @@ class Catalog:
         found = self.find(key)
         return found[0] if found else self.put(key, make())
 
+    def tiles(self, key: RunKey) -> TileStore:
+        """The store of rows that are made for ``key`` tile by tile."""
+        return TileStore(self.spark, f"{self.root}/tiles/{hashlib.sha256(key.text().encode()).hexdigest()[:32]}")
+
+
+class TileStore:
+    """Rows made tile by tile, so that a run that was stopped goes on where it was.
+
+    Each round writes its rows to a folder of its own, then enters its tiles, with
+    round and seconds, into an index; rows of a round that is not entered do not count.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def finished(self) -> DataFrame | None:
+        """The tiles made so far, with round and seconds."""
+        return self.spark.read.parquet(f"{self.folder}/index") if exists(self.spark, f"{self.folder}/index") else None
+
+    def rows(self) -> DataFrame | None:
+        done = self.finished()
+        if done is None:
+            return None
+        rows = self.spark.read.option("basePath", f"{self.folder}/rounds").parquet(f"{self.folder}/rounds")
+        return rows.join(done.select("round").distinct(), "round", "left_semi").drop("round")
+
+    def fill(self, tiles: DataFrame, make: Callable[[DataFrame], DataFrame], tiles_a_round: int = 4096) -> DataFrame:
+        """All rows of ``tiles``; ``make`` gives those of the tiles that are not there yet."""
+        by = tiles.columns
+        while True:
+            batch = materialise(append_missing(self.finished(), tiles, by).orderBy(*by).limit(tiles_a_round), "tiles")
+            if batch.isEmpty():
+                break
+            name, began = uuid.uuid4().hex, time.time()
+            make(batch).write.parquet(f"{self.folder}/rounds/round={name}")
+            entered = batch.withColumn("round", F.lit(name)).withColumn("seconds", F.lit(time.time() - began))
+            entered.coalesce(1).write.mode("append").parquet(f"{self.folder}/index")
+        return self.rows()
+
 
 def append_missing(done: DataFrame | None, tiles: DataFrame, by: list[str]) -> DataFrame:
     """The tiles that a resumed run still has to make."""
