@@ -94,6 +94,36 @@ def test_warc_audit(spark):
     assert warc.audit(empty, empty).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_files(spark, tmp_path, compression):
+    """An index of stored bytes is that of the archive; damage to bytes is found where it is."""
+    import gzip
+
+    rows = [(k, f"http://h{k % 3}/p{k}", "x" * (k % 50) + f"é\r\n\r\nWARC/1.1 {k}") for k in range(200)] + [(None, None, None), (7, "u", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("value", F.lit("clash"))
+    warc.write_warc(pages, f"file://{tmp_path}/a", 40, compression)
+    index = warc.archive(pages, 40).select("file_id", "offset", "length", "digest")
+    kept = warc.read_index(spark, f"file://{tmp_path}/a")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, index.collect())) and warc.audit(index, kept).count() == 0
+    warc.write_warc(pages, f"file://{tmp_path}/b", 40, compression)
+    path = next((tmp_path / "b" / "file_id=0").glob("part-*"))
+    stored = path.read_bytes()
+    content = bytearray(gzip.decompress(stored) if compression == "gzip" else stored)
+    first, second = sorted(index.where("file_id = 0").collect(), key=lambda r: r.offset)[1:3]
+    content[first.offset + first.length - 6] ^= 1
+    content[second.offset : second.offset + 4] = b"????"  # no longer a record
+    path.with_name(".part.crc").unlink(missing_ok=True)
+    for crc in path.parent.glob(".*.crc"):
+        crc.unlink()
+    path.write_bytes(gzip.compress(bytes(content)) if compression == "gzip" else bytes(content))
+    found = warc.audit(index, warc.read_index(spark, f"file://{tmp_path}/b")).collect()
+    # a damaged head makes its payload's own "WARC/" look like the next record, within the bytes of the damaged one
+    extra = [r for r in found if r.status == "extra"]
+    assert {(r.file_id, r.offset): r.status for r in found if r not in extra} == {(0, first.offset): "altered", (0, second.offset): "altered"}
+    assert all(r.file_id == 0 and second.offset < r.offset < second.offset + second.length for r in extra)
+    warc.write_warc(pages.limit(0), f"file://{tmp_path}/c", 40, compression)
+
+
 def test_chat_round_trip(spark):
     odd = ["</block><block user>", "&lt;", "<next>", "&", "", None, "a\nb", "中文 <chat>", "\\### Assistant: </turn> ok"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["user", "user", "assistant", "assistant", "assistant", None, "user", "a<b>&", "assistant"], odd, strict=True))]
@@ -135,3 +165,47 @@ def test_pipeline(spark):
     e = packing.encoder("word_bpe_49k.json")
     assert tokens == sum(len(e.tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
     assert pipeline.run(spark, FOLDER).agg(F.sum("length")).first()[0] == tokens
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, columns with clashing names; and no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_documents import SCHEMA, corpus
+
+    words = "the of and to in is that it for was on are as with he be at by this from river stone cloud paper".split()
+    rng = np.random.default_rng(9)
+    plain = [" ".join(words[i] for i in rng.integers(0, len(words), 60)) for _ in range(12)]
+    texts = [*corpus(7)[:20], *plain, plain[0], None, "", " ".join(words[i] for i in rng.integers(0, len(words), 30_000))]
+    rows = [(None if k % 9 == 8 else k, t, None if k % 4 == 3 else "en", None if k % 5 == 4 else "src1", None if t is None else len(t), None, "c", "0", "k", "r") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, *rows[20:23]], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert name == "packing" or (now.columns == docs.columns and now.schema.simpleString() == docs.schema.simpleString())
+    assert now.count() > 0 and pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == now.agg(F.sum("length")).first()[0]
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_long_and_repeated_rows(spark):
+    """op2: long vectors and repeated ids; op7: a long text; op10: repeated and null ids."""
+    from tests.llm.test_documents import frame
+    from wordloom.llm import mixing
+
+    rng = np.random.default_rng(1)
+    rows = [(k % 30, rng.normal(size=5000).tolist()) for k in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id % 20 = 0")).collect()
+    assert {r.query_id for r in got} == {0, 20} and len(got) == 40 and len({(r.query_id, r.vec_id) for r in got}) == 40
+    long = "word " * 400_000
+    mixed = mixing.mix(frame(spark, [long, long, "x"], [1, 1, None]), {"s0": 1.0}, budget=3.0).collect()
+    assert all(r.text in (long, "x") for r in mixed) and sum(r.doc_id == 1 and r.wordloom_mix_copy_id == 0 for r in mixed) in (0, 1, 2)
+    texts, ids = ["a b c", "a b c", "d e", None, long], [4, 4, None, None, 9]
+    pieces = packing.pack(frame(spark, texts, ids), capacity=64).collect()
+    assert sum(p.length for p in pieces) == 4 + 4 + 3 + 1 + 400_001 and {p.doc_id for p in pieces} == {4, None, 9}
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for spans in by.values():
+        assert [a for a, _ in sorted(spans)] == np.cumsum([0, *[n for _, n in sorted(spans)]])[:-1].tolist()

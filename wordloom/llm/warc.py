@@ -1,5 +1,8 @@
 """WARC records and a Merkle fixity audit of replicas, in Spark expressions.
 
+``write_warc`` keeps pages as WARC/1.1 files and ``read_index`` makes an index of
+the bytes that such files, or others (plain or gzipped), hold.
+
 ``archive`` turns pages into WARC/1.1 resource records and places them in
 files: a file is chosen by a digest of page id and URL, records follow each
 other by page id, and offsets are running byte counts.
@@ -20,10 +23,15 @@ gives an empty tree, and two empty trees agree; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm._shared import spool
+from wordloom.llm._shared import small_batches, spool, tasks_for
 
 RECORDS_PER_FILE = 1000
 RANGE_BYTES, FANOUT = 1 << 16, 16
@@ -77,6 +85,62 @@ def archive(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE) -> DataF
     return hashed.select("file_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"), "length", "digest", "page_id", "url")
 
 
+def write_warc(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "none") -> None:
+    """Keep ``pages`` as WARC files, ``folder``/file_id=N/, in the order and at the offsets of :func:`archive`.
+
+    Each file is a text file whose lines are records: a record ends with a line
+    break, so their concatenation is WARC, byte for byte.
+    """
+    files = -(-pages.count() // records_per_file) or 1
+    rows = records(pages).select(bucket(files, F.col("page_id"), F.col("url")).alias("file_id"), "page_id", "url", "record")
+    line = F.expr("substring(record, 1, char_length(record) - 1)").alias("value")
+    dealt = rows.withColumn("digest", F.sha2("record", 256)).repartition(tasks_for(pages), "file_id").sortWithinPartitions("file_id", "page_id", "url", "digest")
+    dealt.select("file_id", line).write.mode("errorifexists").partitionBy("file_id").option("compression", compression).option("lineSep", "\n").text(folder)
+
+
+def _records_of(content: bytes) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each record; a part that is no record goes on to the next record's first line."""
+    at = 0
+    while at < len(content):
+        head = content.find(b"\r\n\r\n", at) if content.startswith(b"WARC/", at) else -1
+        end = -1
+        if head >= 0:
+            fields = dict(line.split(b":", 1) for line in content[at:head].split(b"\r\n")[1:] if b":" in line)
+            size = {k.strip().lower(): v.strip() for k, v in fields.items()}.get(b"content-length", b"")
+            if size.isdigit() and content.startswith(b"\r\n\r\n", head + 4 + int(size)):
+                end = head + 8 + int(size)
+        if end < 0:
+            found = content.find(b"\r\n\r\nWARC/", at + 1)
+            end = found + 4 if found >= 0 else len(content)
+        yield at, end - at
+        at = end
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """file_id, offset, length, digest of the records that the WARC files below ``folder`` hold, from their bytes.
+
+    Offsets are those of the unpacked file; where a file is damaged, the bytes up
+    to the next record are one entry.  A task holds one file at a time; files of
+    other origin are numbered by the hash of their path.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                content = batch.column("content")[k].as_py()
+                content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                spans = list(_records_of(content))
+                digests = [hashlib.sha256(content[a : a + n]).hexdigest() for a, n in spans]
+                columns = [pa.array([batch.column("file_id")[k].as_py()] * len(spans), pa.int64()), *(pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1)), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["file_id", "offset", "length", "digest"])
+
+    own = F.regexp_extract("path", "/file_id=([0-9]+)/", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("length > 0")
+    named = files.select(F.when(own != "", own.cast("long")).otherwise(F.xxhash64("path")).alias("file_id"), "content")
+    with small_batches(spark, rows=4):
+        return spool(named.mapInArrow(run, "file_id long, offset long, length long, digest string"), "warc-read")
+
+
 def shape(*indexes: DataFrame) -> list[tuple[str, int]]:
     """The steps from records to the root that trees of all ``indexes`` share."""
     ends = [x.agg(F.max("offset").alias("offset"), F.max("file_id").alias("file")).first() for x in indexes]
