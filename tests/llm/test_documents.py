@@ -335,6 +335,21 @@ def test_words_on_which_polynomial_hashes_agree(spark, n):
     assert got == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_byte_table_tells_equal_hashes_apart():
+    from wordloom.llm._bytes import ByteTable, binary_array, text_buffers
+
+    rng = random.Random(3)
+    words = list(dict.fromkeys(bytes(rng.randrange(97, 100) for _ in range(rng.randrange(1, 9))) for _ in range(900)))
+    rng.shuffle(words)
+    buffers = lambda ws: text_buffers(binary_array(np.frombuffer(b"".join(ws), np.uint8), np.array([len(w) for w in ws])))
+    for hashes in (lambda ws: np.zeros(len(ws), np.uint64), lambda ws: np.array([hash(w) & 7 for w in ws], np.uint64), lambda ws: np.array([hash(w) & (2**63 - 1) for w in ws], np.uint64)):
+        table = ByteTable(1000)
+        offsets, data = buffers(words[:300])
+        assert table.add(data, offsets, hashes(words[:300])).tolist() == list(range(300))
+        offsets, data = buffers(words)
+        assert table.find(data, offsets, hashes(words)).tolist() == [k if k < 300 else -1 for k in range(len(words))]
+
+
 def test_other_tokenizers_get_whole_texts():
     e = packing.ChunkEncoder("byte_bpe_50k.json")
     texts = ["Hello  there, world's\n\nend", "", "a<|endoftext|>b"]

@@ -159,3 +159,66 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - have], out[have:])
         have *= 2
     return np.minimum(out[:n], out[width - have : width - have + n]) if have < width else out
+
+
+def piece_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``data`` between neighbouring offsets; it only chooses places in a table."""
+    sums = np.empty(len(data) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=sums[1:])
+    starts, ends = offsets[:-1], offsets[1:]
+    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
+
+
+class ByteTable:
+    """Numbers of byte strings, in the order in which they are added: an open hash table of arrays.
+
+    Hashes choose slots; a string has a number only if all its bytes agree.
+    """
+
+    def __init__(self, most: int):
+        self.slots = np.full(1 << max(int(2 * most - 1).bit_length(), 4), -1, np.int32)
+        self.hashes, self.n = np.zeros(most, np.uint64), 0
+        self.offsets, self.data = np.zeros(most + 1, np.int64), np.zeros(1 << 16, np.uint8)
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Whether the strings at ``starts`` equal the ``known`` ones, which have their lengths."""
+        ends = np.cumsum(lengths)
+        step = np.arange(int(ends[-1]) if len(ends) else 0)
+        own = step + np.repeat(starts - (ends - lengths), lengths)
+        other = step + np.repeat(self.offsets[known] - (ends - lengths), lengths)
+        wrong = np.concatenate([[0], np.cumsum(data[own] != self.data[other])])
+        return wrong[ends] == wrong[ends - lengths]
+
+    def find(self, data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each string, or -1."""
+        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        slot, mask = hashes.astype(np.int64) & (len(self.slots) - 1), len(self.slots) - 1
+        starts, lengths = offsets[:-1], np.diff(offsets)
+        while len(left):
+            number = self.slots[slot].astype(np.int64)
+            left, slot, number = left[number >= 0], slot[number >= 0], number[number >= 0]
+            like = (self.hashes[number] == hashes[left]) & (self.offsets[number + 1] - self.offsets[number] == lengths[left])
+            hit = np.flatnonzero(like)
+            like[hit] = self._same(data, starts[left[hit]], lengths[left[hit]], number[hit])
+            out[left[like]] = number[like]
+            left, slot = left[~like], (slot[~like] + 1) & mask
+        return out
+
+    def add(self, data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of strings that are not there yet, all different."""
+        first, size = self.n, int(offsets[-1] - offsets[0])
+        used = int(self.offsets[first])
+        while used + size > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[used : used + size] = data[offsets[0] : offsets[-1]]
+        self.n = first + len(hashes)
+        self.offsets[first + 1 : self.n + 1] = used + offsets[1:] - offsets[0]
+        self.hashes[first : self.n] = hashes
+        left, slot, mask = np.arange(first, self.n), hashes.astype(np.int64) & (len(self.slots) - 1), len(self.slots) - 1
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & mask
+        return np.arange(first, self.n)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._bytes import IS_SPACE, LOWER, binary_array, numbered, text_slices, word_bounds
+from wordloom.llm._bytes import IS_SPACE, LOWER, ByteTable, binary_array, numbered, piece_hashes, text_buffers, text_slices, word_bounds
 from wordloom.llm._shared import small_batches, spool
 
 CAPACITY = 2048
@@ -116,9 +116,9 @@ class ChunkEncoder:
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, least: int = 0) -> None:
         """``known`` numbers the pieces; their ids stand in ``flat`` from ``at``, ``n`` of them."""
-        self.known: dict[bytes, int] = {}
+        self.known = ByteTable(max(KNOWN_PIECES, least))
         self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
 
@@ -135,13 +135,7 @@ class ChunkEncoder:
             return [b""] * rows
         first, end, word = _cut_marks(data, starts, ends)
         inverse, distinct = numbered(binary_array(LOWER[data[~IS_SPACE[data]]], end - first))
-        pieces = distinct.to_pylist()
-        if len(self.known) + len(pieces) > KNOWN_PIECES:
-            self.forget()
-        number = np.array([self.known.get(p, -1) for p in pieces], np.int64)
-        fresh = np.flatnonzero(number < 0)
-        if len(fresh):
-            number[fresh] = self._learn([pieces[k] for k in fresh.tolist()])
+        number = self._numbers(distinct)
         n = self.n[number][inverse]
         before = np.cumsum(n) - n
         ids = self.flat[np.repeat(self.at[number][inverse] - before, n) + np.arange(int(n.sum()))].tobytes()
@@ -152,8 +146,24 @@ class ChunkEncoder:
             out[row] = self.whole([data[offsets[row] : offsets[row + 1]].tobytes().decode()])[0]
         return out
 
-    def _learn(self, words: list[bytes]) -> np.ndarray:
-        """The numbers of new pieces."""
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are encoded."""
+        offsets, data = text_buffers(distinct)
+        if self.known.n + len(distinct) > len(self.known.hashes):
+            self.forget(len(distinct))
+        with np.errstate(over="ignore"):
+            hashes = piece_hashes(data, offsets)
+        number = self.known.find(data, offsets, hashes)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            new = distinct.take(pa.array(fresh))
+            new_offsets, new_data = text_buffers(new)
+            number[fresh] = self.known.add(new_data, new_offsets, hashes[fresh])
+            self._learn(new.to_pylist(), number[fresh])
+        return number
+
+    def _learn(self, words: list[bytes], numbers: np.ndarray) -> None:
+        """Encode new pieces."""
         plain = [k for k, w in enumerate(words) if _PLAIN_WORD.fullmatch(w)]
         other = sorted(set(range(len(words))).difference(plain))
         lengths, found = np.zeros(len(words), np.int64), []
@@ -173,11 +183,8 @@ class ChunkEncoder:
         place = np.empty(len(words), np.int64)
         place[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
         self.used += len(new)
-        first = len(self.known)
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
-        self.at, self.n = _room(self.at, len(self.known)), _room(self.n, len(self.known))
-        self.at[first : len(self.known)], self.n[first : len(self.known)] = place, lengths
-        return np.arange(first, len(self.known))
+        self.at, self.n = _room(self.at, self.known.n), _room(self.n, self.known.n)
+        self.at[numbers], self.n[numbers] = place, lengths
 
 
 def _room(values: np.ndarray, n: int) -> np.ndarray:
