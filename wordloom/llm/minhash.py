@@ -380,7 +380,7 @@ def _tiles(buckets: DataFrame, joined: DataFrame, sketches: DataFrame) -> DataFr
     labelled = spool(labelled, "minhash")
     hubs = labelled.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
     hubs = hubs.where("low <> high").select("key", F.col("top.component").alias("hub"))
-    around = labelled.join(hubs, "key").select("hub", "rep", "component").distinct()
+    around = labelled.join(_checked(spool(hubs, "minhash")), "key").select("hub", "rep", "component").distinct()
     held = spool(around.join(sketches, "rep"), "minhash")
     member = F.col("component") == F.col("hub")
     of = lambda mine, x: F.coalesce(F.sum(F.when(mine, x)), F.lit(0))
