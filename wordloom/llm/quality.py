@@ -223,11 +223,15 @@ def quality_rules(
 def filter_documents(docs: DataFrame, guard_words: int = GUARD_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`quality_rules` keeps; each row is judged by itself.
 
-    The texts are read twice, for the references and for the verdict, and not shuffled.
+    The rows are written once with their counts, which serve the references and
+    the verdict; they are not shuffled.
     """
-    with small_batches(docs.sparkSession):
-        refs = spool(references(spool(measure(docs), "quality"), guard_words), "quality")
+    names = [c.split()[0] for c in _COUNTS.split(", ")]
     counts = ", ".join(PREFIX + c for c in _COUNTS.split(", "))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(counts).fields])
-    judged = _judged(docs.mapInArrow(_measure(PREFIX, True), schema), refs, guard_words, (MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_CHANCE), PREFIX)
+    with small_batches(docs.sparkSession):
+        measured = spool(docs.mapInArrow(_measure(PREFIX, True), schema), "quality", "snappy")
+    plain = measured.select("lang", *[F.col(PREFIX + c).alias(c) for c in names]).withColumn("base_failed", _base_failed())
+    refs = spool(references(plain, guard_words), "quality")
+    judged = _judged(measured, refs, guard_words, (MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_CHANCE), PREFIX)
     return judged.where(PREFIX + "kept").select(*[F.col(f"`{c}`") for c in docs.columns])
