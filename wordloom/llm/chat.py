@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm._native import running_starts
+from wordloom.llm._native import let, running_starts
 
 ASSISTANT = "assistant"
 OPEN, NEXT, CLOSE, HEAD, TAIL = "<block ", "<next>", "</block>", "<chat>", "</chat>"
@@ -103,13 +103,14 @@ def read_back(chats: DataFrame, page: int = 4096) -> DataFrame:
         texts = F.split(F.regexp_replace(block, "^<block [^>]*>", ""), NEXT)
         return F.transform(texts, lambda text: F.struct(role.alias("role"), unescape(text).alias("text")))
 
-    def under(span: Column) -> Column:
+    def under(span: Column, pages: Column) -> Column:
         first = F.floor(span["start"] / page).cast("int")
         last = F.floor((span["start"] + span["length"] - 1) / page).cast("int")
-        text = F.array_join(F.slice("pages", first + 1, last - first + 1), "")
+        text = F.array_join(F.slice(pages, first + 1, last - first + 1), "")
         return text.substr((span["start"] - first.cast("long") * page + 1).cast("int"), span["length"].cast("int"))
 
+    # bound once: an expression that a lambda mentions is worked out for each element
     pages = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{page}}}"), F.lit(0))
-    return chats.select("conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), "loss_spans", pages.alias("pages"), F.char_length("formatted").cast("long").alias("formatted_chars"), "n_blocks").select(
-        "conv_id", "turns", "formatted_chars", "n_blocks", unescape(F.array_join(F.transform("loss_spans", under), "")).alias("loss_text")
-    )
+    loss = let(pages, lambda cut: F.array_join(F.transform("loss_spans", lambda span: under(span, cut)), ""))
+    turns = let(blocks, lambda found: F.flatten(F.transform(found, turns_of)))
+    return chats.select("conv_id", turns.alias("turns"), F.char_length("formatted").cast("long").alias("formatted_chars"), "n_blocks", unescape(loss).alias("loss_text"))
