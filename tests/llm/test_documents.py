@@ -522,6 +522,22 @@ def test_pii_people(spark):
     assert other[0] != out[0]
 
 
+def test_pii_keeps_rows_and_columns_as_they_are(spark):
+    texts = [None, "", "plain \ue000 words \ue001", "Mr. Adam Smith \ue000 wrote", "x" * 200_000 + " ann@mail.org " + "y" * 200_000]
+    docs = frame(spark, texts).unionByName(frame(spark, texts)).withColumn("nothing", F.lit(None)).withColumn("many", F.array(F.lit(1), F.lit(None)))
+    out = pii.surrogate(docs, "secret")
+    assert out.columns == [*docs.columns, "pii_counts"] and out.count() == 2 * len(texts)
+    rows = {r.doc_id: r for r in out.collect()}
+    ids = sorted(rows)
+    assert [rows[i].text for i in ids[:3]] == texts[:3] and all(r.nothing is None and r.many == [1, None] for r in rows.values())
+    assert rows[ids[3]].text.startswith("Mr. ") and rows[ids[3]].text.endswith(" \ue000 wrote") and "Smith" not in rows[ids[3]].text
+    long = rows[ids[4]].text
+    assert long.startswith("x" * 200_000 + " ") and long.endswith(" " + "y" * 200_000) and "ann@mail" not in long
+    assert [sum(rows[i].pii_counts.values()) for i in ids] == [0, 0, 0, 1, 1]
+    void = docs.limit(2).withColumn("text", F.lit(None))
+    assert [r.text for r in pii.surrogate(void, "secret").collect()] == [None, None]
+
+
 def test_pii_iban_check_digits(spark):
     def valid(text):
         bare = re.sub("[^A-Z0-9]", "", text)

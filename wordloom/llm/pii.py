@@ -34,7 +34,8 @@ people as said above.  Other forms are left as they are.
 Defined results: a null text stays null; all that is no entity stays byte for
 byte, private-use characters too; texts of any length are handled whole; rows
 with equal, repeated or null ids get equal results for equal texts; an empty
-table gives an empty result; extra columns are kept.
+table gives an empty result; extra columns are kept.  They are written as
+Parquet on the way, so their types must be ones that it holds, or void.
 """
 
 from __future__ import annotations
@@ -409,16 +410,26 @@ def _surrogate_of(x: Column, secret: str, salt: Column) -> Column:
     return F.when(x["kind"] == "first", _first_name(x, secret, salt)).otherwise(_laid_out(x, secret, salt))
 
 
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and one struct<kind, head, body, tail, gender> with its id for each entity found, one row each.
+def cut_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs``, written, with wordloom_cut: the pieces of a text that holds an entity, which is then null itself; null for all others.
 
-    The arrays are written before they are exploded: Spark would otherwise work
-    them out again for the filters it derives from the explosion.
+    The long patterns run here and nowhere else; neither the pieces of a text nor
+    the text are stored twice.  Columns of type void, which Parquet lacks, are left out.
     """
-    hits = F.filter(_pieces(F.col(text).cast("string")), lambda c: c["x"].isNotNull())
+    held = lambda pieces: F.when(F.exists(pieces, lambda c: c["x"].isNotNull()), pieces)
+    cut = docs.withColumn("wordloom_cut", let(_pieces(F.col(text).cast("string")), held))
+    void = [f.name for f in docs.schema if f.dataType.typeName() == "void"]
+    plain = F.when(F.col("wordloom_cut").isNull(), F.col(text).cast("string") if text in void else F.col(text)).alias(text)
+    columns = [c for c in docs.columns if c not in void or c == text]
+    return spool(cut.select(*[plain if c == text else F.col(f"`{c}`") for c in columns], "wordloom_cut"), "pii-cut", "snappy")
+
+
+def entities(cut: DataFrame) -> DataFrame:
+    """doc_id and one struct<kind, head, body, tail, gender> with its id for each entity, one row each; ``cut``: of :func:`cut_documents`."""
+    hits = F.filter("wordloom_cut", lambda c: c["x"].isNotNull())
     both = lambda c: F.filter(F.array(c["x"]["e"], c["x"]["first"]), lambda e: e.isNotNull())
-    found = spool(docs.select(F.col("doc_id"), F.flatten(F.transform(hits, both)).alias("e")), "pii-found")
-    return found.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e", canonical(F.col("e")).alias("id"))
+    found = cut.where("wordloom_cut is not null").select("doc_id", F.explode(F.flatten(F.transform(hits, both))).alias("e"))
+    return found.select("doc_id", "e", canonical(F.col("e")).alias("id"))
 
 
 def salts(found: DataFrame, secret: str, most_rounds: int = 32) -> DataFrame:
@@ -454,14 +465,14 @@ def surrogate(docs: DataFrame, secret: str) -> DataFrame:
     ``secret`` keys the surrogates: who knows it can test guesses of what stood there.
     If ``docs`` has a column pii_counts, it stays and the new one is called wordloom_pii_counts.
     """
-    found = spool(entities(docs), "pii")
+    docs_cut = cut_documents(docs)
+    found = spool(entities(docs_cut), "pii")
     exceptions = salts(found, secret)
     by_doc = spool(found.join(exceptions, "id").groupBy("doc_id").agg(F.collect_set(F.struct("id", "salt", "gender")).alias("wordloom_salts")), "pii-salts")
     # a written table of exceptions: broadcast only if Spark finds it under its threshold
     by_doc = by_doc.withColumnRenamed("doc_id", "wordloom_doc")
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["wordloom_doc"]), "left").drop("wordloom_doc")
+    cut = docs_cut.join(by_doc, docs_cut["doc_id"].eqNullSafe(by_doc["wordloom_doc"]), "left").drop("wordloom_doc")
     known = F.coalesce(F.col("wordloom_salts"), F.array().cast("array<struct<id:string,salt:int,gender:string>>"))
-    cut = joined.withColumn("wordloom_cut", _pieces(F.col("text").cast("string")))
 
     def written(e: Column) -> Column:
         """An entity's surrogate, drawn as its exception says if there is one."""
@@ -481,10 +492,11 @@ def surrogate(docs: DataFrame, secret: str) -> DataFrame:
     kinds = F.transform(F.filter("wordloom_cut", lambda c: c["x"].isNotNull()), lambda c: c["x"]["e"]["kind"])
 
     def count(name: str) -> Column:
-        return F.size(F.filter(kinds, lambda k: k == name)).cast("long")
+        return F.coalesce(F.size(F.filter(kinds, lambda k: k == name)), F.lit(0)).cast("long")
 
     counts = F.map_from_arrays(F.array(*[F.lit(n) for n, _ in TYPES]), F.array(*[count(n) for n, _ in TYPES]))
     name = "wordloom_pii_counts" if "pii_counts" in docs.columns else "pii_counts"
-    text = F.when(F.size("wordloom_cut") > 1, F.array_join(F.transform("wordloom_cut", put), "")).otherwise(F.col("text"))
-    kept = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    text = F.when(F.col("wordloom_cut").isNotNull(), F.array_join(F.transform("wordloom_cut", put), "")).otherwise(F.col("text"))
+    here = {c: F.col(f"`{c}`") if c in docs_cut.columns else F.lit(None).alias(c) for c in docs.columns}
+    kept = [text.alias(c) if c == "text" else here[c] for c in docs.columns]
     return cut.select(*kept, counts.alias(name))
