@@ -134,7 +134,12 @@ class ChunkEncoder:
         if not len(starts):
             return [b""] * rows
         first, end, word = _cut_marks(data, starts, ends)
-        inverse, distinct = numbered(binary_array(LOWER[data[~IS_SPACE[data]]], end - first))
+        # a letter before a byte of another script keeps its case: with a combining mark, the small letter may have a
+        # composed form (U+01F0) that the capital lacks, and texts are composed before they are folded
+        folded = LOWER[data]
+        kept = np.flatnonzero(data[1:] >= 0x80)
+        folded[kept] = data[kept]
+        inverse, distinct = numbered(binary_array(folded[~IS_SPACE[data]], end - first))
         number = self._numbers(distinct)
         n = self.n[number][inverse]
         before = np.cumsum(n) - n
@@ -164,27 +169,27 @@ class ChunkEncoder:
 
     def _learn(self, words: list[bytes], numbers: np.ndarray) -> None:
         """Encode new pieces."""
+        lengths, new = self.encode_pieces(words)
+        self.flat = _room(self.flat, self.used + len(new))
+        self.flat[self.used : self.used + len(new)] = new
+        self.at, self.n = _room(self.at, self.known.n), _room(self.n, self.known.n)
+        self.at[numbers], self.n[numbers] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(new)
+
+    def encode_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids one after another)."""
         plain = [k for k, w in enumerate(words) if _PLAIN_WORD.fullmatch(w)]
         other = sorted(set(range(len(words))).difference(plain))
-        lengths, found = np.zeros(len(words), np.int64), []
+        found: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
         for k in range(0, len(plain), JOINED_WORDS):
             part = plain[k : k + JOINED_WORDS]
             joined = b" ".join([words[i] for i in part]).decode()
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            lengths[part] = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
-            found.append(ids)
+            for i, own in zip(part, np.split(ids, np.flatnonzero(self.ends_word[ids])[:-1] + 1), strict=True):
+                found[i] = own
         for i, e in zip(other, self.tokenizer.encode_batch_fast([words[i].decode() for i in other], add_special_tokens=False), strict=True):
-            lengths[i] = len(e.ids)
-            found.append(np.array(e.ids, dtype="<u4"))
-        new = np.concatenate(found)
-        self.flat = _room(self.flat, self.used + len(new))
-        self.flat[self.used : self.used + len(new)] = new
-        order = np.array(plain + other)
-        place = np.empty(len(words), np.int64)
-        place[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
-        self.used += len(new)
-        self.at, self.n = _room(self.at, self.known.n), _room(self.n, self.known.n)
-        self.at[numbers], self.n[numbers] = place, lengths
+            found[i] = np.array(e.ids, dtype="<u4")
+        return np.array([len(x) for x in found], np.int64), np.concatenate(found)
 
 
 def _room(values: np.ndarray, n: int) -> np.ndarray:

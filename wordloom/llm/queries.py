@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, chat, minhash, mixing, oracles, packing, pii, quality, secret_scan, suffixes, warc
+from wordloom.llm import ann, bpe, chat, minhash, mixing, oracles, packing, pii, quality, secret_scan, suffixes, warc
 from wordloom.llm._shared import spool
 
 
@@ -101,8 +101,13 @@ def op10_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_bpe_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op5_suffix_radix, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online)}
+    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op5_suffix_radix, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online, op11_bpe_backtrack)}
 
 
 def oracle_sql() -> dict[str, str]:
