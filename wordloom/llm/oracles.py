@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import mixing, quality, warc
+from wordloom.llm import mixing, phrases, quality, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -102,6 +102,20 @@ def _op7(weights: dict[str, float], seed: int = 7) -> str:
   SELECT doc_id, unnest(range(copies)) AS copy_id, source, lang, n_chars, text FROM c"""
 
 
+OP12 = rf"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({FOLD.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+  g AS (SELECT lang, ws[i:i + m - 1] AS g FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS m))),
+  f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+  c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= {phrases.LEAST}),
+  cuts AS (SELECT c.lang, c.g, a, k, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * a) // (CAST(l.f AS HUGEINT) + r.f) AS score
+    FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:len(c.g)]),
+  best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+  inside AS (SELECT lang, s AS g, max(a) AS longer FROM (SELECT lang, a, g[i:i + m - 1] AS s FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(g))) AS m FROM c))) GROUP BY ALL),
+  kept AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST({phrases.PERCENT} AS HUGEINT) * a),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+  SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= {phrases.TOP}"""
+
+
 def oracles(mix_weights: dict[str, float], altered: int, lost: int) -> dict[str, str]:
     return {
         "op1_minhash_odd_sketch": OP1,
@@ -110,4 +124,5 @@ def oracles(mix_weights: dict[str, float], altered: int, lost: int) -> dict[str,
         "op5_suffix_radix": OP5,
         "op6_chat_format": OP6,
         "op7_mix_poisson": _op7(mix_weights),
+        "op12_phrase_pivots": OP12,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, bpe, chat, minhash, mixing, oracles, packing, pii, quality, secret_scan, suffixes, warc
+from wordloom.llm import ann, bpe, chat, minhash, mixing, oracles, packing, phrases, pii, quality, secret_scan, suffixes, warc
 from wordloom.llm._shared import spool
 
 
@@ -106,8 +106,12 @@ def op11_bpe_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_phrase_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op5_suffix_radix, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online, op11_bpe_backtrack)}
+    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op5_suffix_radix, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online, op11_bpe_backtrack, op12_phrase_pivots)}
 
 
 def oracle_sql() -> dict[str, str]:
