@@ -14,15 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); our own only if unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset under a local master (as in tests), one temporary folder
+    for each application; a cluster run is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.gettempdir()}/wordloom"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='wordloom-')}"
+    return _own_folders[context.applicationId]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
