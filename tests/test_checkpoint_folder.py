@@ -16,8 +16,8 @@ print(sorted(r.node_id for r in node_ids(spark.createDataFrame([("b",), ("a",)],
 """
 
 
-def test_a_local_session_gets_a_folder_of_its_own():
+def test_a_local_session_gets_a_folder_of_its_own(tmp_path):
     root = str(Path(__file__).resolve().parents[1])
-    done = subprocess.run([sys.executable, "-c", SCRIPT], capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": root}, cwd=root)
+    done = subprocess.run([sys.executable, "-c", SCRIPT], capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path)}, cwd=root)
     assert done.returncode == 0, done.stderr
     assert done.stdout.strip().endswith("[0, 1]")
