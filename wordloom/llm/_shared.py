@@ -2,37 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordloom.sources.catalog import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where unset (as in tests) one of our own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = f"file://{tempfile.gettempdir()}/wordloom-shared"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return shared_folder(spark)
 
 
-def spool(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+def spool(df: DataFrame, name: str, compression: str = "none", by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a replicated file, so later branches neither
     recompute it nor depend on executors that may be lost.  Hashes and small
     tables gain nothing from a codec, whose buffers outside the heap stay until
-    it is collected; tables with texts ask for one.
+    it is collected; tables with texts ask for one.  ``by`` names a column of few
+    values; rows of each stand in a folder of their own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, bpe, chat, minhash, mixing, oracles, packing, phrases, pii, quality, secret_scan, suffixes, warc
+from wordloom.llm import ann, bpe, chat, minhash, mixing, oracles, packing, phrases, pii, quality, secret_scan, suffixes, trie, warc
 from wordloom.llm._shared import spool
 
 
@@ -110,8 +110,12 @@ def op12_phrase_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes_of(*trie.branched(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op5_suffix_radix, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online, op11_bpe_backtrack, op12_phrase_pivots)}
+    return {f.__name__: f for f in (op1_minhash_odd_sketch, op2_ann_forest, op3_quality_divergence, op4_warc_fixity, op5_suffix_radix, op6_chat_format, op7_mix_poisson, op8_secret_randomness, op9_pii_surrogates, op10_pack_online, op11_bpe_backtrack, op12_phrase_pivots, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
