@@ -72,6 +72,7 @@ def test_split_pivots_and_small_chunks(spark, monkeypatch):
 
 def test_dictionary_joined_by_key(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SENT_WORDS", 0)
+    monkeypatch.setattr(phrases, "SENT_ROWS", 0)
     monkeypatch.setattr(phrases, "BUCKET_WORDS", 100)
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 3000)
     check(spark, 3)
@@ -88,7 +89,8 @@ def test_fragments_hold_each_phrase_once():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 5, 4000)
     want = Counter(tuple(g) for m in (2, 3, 4) for g in np.lib.stride_tricks.sliding_window_view(ids, m).tolist() if min(g) > 0)
-    rows, counts = phrases.fragments_of(ids)
+    rows, counts = phrases.fragments_of(ids.astype("<u4"))
+    rows, counts = [c.astype(np.uint64) for c in rows], counts.astype(np.uint64)
     for split in (0, 2, 9):
         got = Counter()
         for words, sums, whole in phrases.mine(rows, counts, 1, split):

@@ -39,16 +39,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm._bytes import GOLDEN, LOWER, binary_array, mix, numbered, text_slices
-from wordloom.llm._shared import spool
+from wordloom.llm._shared import small_batches, spool
 from wordloom.operators.lookup import node_ids
 
 LEAST, PERCENT, TOP, LONGEST = 30, 80, 2000, 4
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Word occurrences for a task of the exchange, and for one of the buckets it mines one by one.
 TASK_WORDS, BUCKET_WORDS = 1 << 20, 1 << 17
 #: A dictionary of at most so many words and bytes is sent to all tasks.
 SENT_WORDS, SENT_BYTES = 1_000_000, 64 << 20
+#: A table of at most so many rows is sent to all tasks of a join.
+SENT_ROWS = 100_000
 #: Parts of the ranking of a language before the last one.
 RANK_PARTS = 64
 
@@ -119,7 +121,7 @@ def _chunks() -> Callable:
 def fragments_of(ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Seven columns (three words before, the pivot, three after; 0 is none) of the different
     fragments of a sequence of word numbers, and how often each occurs."""
-    padded = np.concatenate([np.zeros(3, np.uint64), ids.astype(np.uint64), np.zeros(3, np.uint64)])
+    padded = np.pad(ids, 3)
     n = len(ids)
     pivot = padded[3 : 3 + n]
     columns: dict[int, np.ndarray] = {0: pivot}
@@ -128,24 +130,25 @@ def fragments_of(ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         for step in (1, 2, 3):
             near = padded[3 + side * step : 3 + side * step + n]
             open_ = open_ & (near > 0) & ((near < pivot) if side < 0 else (near <= pivot))
-            columns[side * step] = np.where(open_, near, np.uint64(0))
+            columns[side * step] = np.where(open_, near, near.dtype.type(0))
     used = np.flatnonzero((pivot > 0) & ((columns[-1] > 0) | (columns[1] > 0)))
-    rows = [columns[k][used] for k in range(-3, 4)]
+    rows = [columns.pop(k)[used] for k in range(-3, 4)]
     order = np.argsort(fragment_hashes(rows), kind="stable")
-    rows = [c[order] for c in rows]
+    for k in range(7):
+        rows[k] = rows[k][order]
     # equal hashes only bring equal fragments together; all seven words decide
     fresh = np.ones(len(order), bool)
     if len(order):
         fresh[1:] = np.any([c[1:] != c[:-1] for c in rows], axis=0)
     at = np.flatnonzero(fresh)
-    return [c[at] for c in rows], np.diff(np.append(at, len(order))).astype(np.uint64)
+    return [c[at] for c in rows], np.diff(np.append(at, len(order))).astype(ids.dtype)
 
 
 def fragment_hashes(rows: list[np.ndarray]) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.zeros(len(rows[0]), np.uint64)
         for c in rows:
-            h = mix((h ^ c) * GOLDEN + np.uint64(1))
+            h = mix((h ^ c.astype(np.uint64)) * GOLDEN + np.uint64(1))
     return h
 
 
@@ -165,8 +168,8 @@ def _deal(buckets: int, split: list[int], width: str, sent=None) -> Callable:
         for batch in batches:
             for row in range(batch.num_rows):
                 codes = np.frombuffer(batch.column("codes")[row].as_py(), "<u4")
-                rows, count = fragments_of(numbers(batch, row)[codes])
-                pivot = rows[3]
+                rows, count = fragments_of(numbers(batch, row).astype(width)[codes])
+                pivot = rows[3].astype(np.uint64)
                 with np.errstate(over="ignore"):
                     shares = np.zeros(len(pivot), np.uint64)
                     for top in split:
@@ -174,7 +177,7 @@ def _deal(buckets: int, split: list[int], width: str, sent=None) -> Callable:
                     part = fragment_hashes(rows) & ((np.uint64(1) << shares) - np.uint64(1))
                     bucket = (mix(pivot * GOLDEN + part) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                table = np.stack([*rows, count])[:, order].astype(width)
+                table = np.stack([c[order] for c in (*rows, count)])
                 at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 borders = [*at.tolist(), len(order)]
                 blobs = [table[:, a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
@@ -295,7 +298,8 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, to
     occurrences are left out.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    chunks = spool(rows.mapInArrow(_chunks(), CHUNKS), "phrase-chunks", "zstd")
+    with small_batches(docs.sparkSession, 10_000, CHUNK_BYTES):
+        chunks = spool(rows.mapInArrow(_chunks(), CHUNKS), "phrase-chunks", "zstd")
     totals = chunks.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
     counted = chunks.select(F.inline(F.arrays_zip("langs", "words", "counts"))).groupBy(F.col("langs").alias("lang"), F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
     frequent = counted.where(F.col("f") >= least).withColumn("node", F.struct((-F.col("f")).alias("f"), "lang", "word"))
@@ -304,7 +308,7 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, to
     n_all = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     phrases = frequent_phrases(chunks, dictionary, size[0], n_all, size[1], least)
     n_phrases = phrases.count()
-    near = lambda df, n: F.broadcast(df) if n <= SENT_WORDS else df
+    near = lambda df, n: F.broadcast(df) if n <= SENT_ROWS else df
 
     words = [F.col(k) for k in KEY]
     n = F.when(F.col("w4") > 0, 4).when(F.col("w3") > 0, 3).otherwise(2)
