@@ -45,26 +45,56 @@ def test_ann_odd_vectors(spark):
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
-def test_ann_calibration():
-    """Clustered vectors take few rows; vectors without structure never more than an exact search."""
-    rng = np.random.default_rng(3)
+def clustered(rng, n, lengths):
     centres = rng.normal(size=(60, 32))
-    clustered = centres[rng.integers(0, 60, 6000)] + 0.2 * rng.normal(size=(6000, 32))
-    for points, most in ((clustered, 0.2), (rng.normal(size=(6000, 32)), 1.0)):
-        points /= np.linalg.norm(points, axis=1, keepdims=True)
-        forest = ann.Forest(ann._augment(points, 1.0), 10, 5)
-        trees, rows = ann.calibrate(forest, ann._augment(points, 1.0), points, 20, 6000, 0.95)
+    points = centres[rng.integers(0, 60, n)] + 0.2 * rng.normal(size=(n, 32))
+    return points / np.linalg.norm(points, axis=1, keepdims=True) * lengths(n)[:, None]
+
+
+@pytest.mark.parametrize("case", ["unit", "unequal", "foreign", "shapeless"])
+def test_ann_of_every_kind(spark, case):
+    """Recall and whole answers where the sample is a part of the table, for any lengths and queries not drawn from it."""
+    rng = np.random.default_rng(5)
+    lengths = (lambda n: rng.uniform(3.6, 7.1, n)) if case == "unequal" else np.ones
+    points = rng.normal(size=(6000, 32)) if case == "shapeless" else clustered(rng, 6000, lengths)
+    asked = rng.normal(size=(100, 32)) * 9 if case == "foreign" else points[::60]
+    ids = [10**6 + k for k in range(100)] if case == "foreign" else list(range(0, 6000, 60))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(points)], "vec_id long, embedding array<double>")
+    queries_ = spark.createDataFrame([(k, v.tolist()) for k, v in zip(ids, asked, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(table, queries_, sample=2000).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hits = 0
+    for q, v in zip(ids, asked, strict=True):
+        scores = points @ v
+        if q < 6000:
+            scores[q] = -np.inf
+        assert sorted(k for k, _ in got[q]) == list(range(1, 21))
+        hits += len({i for _, i in got[q]} & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / 2000 >= 0.95
+
+
+@pytest.mark.parametrize("unequal", [False, True])
+def test_ann_calibration(unequal):
+    """Clustered vectors take few rows, whatever their lengths; vectors without structure never more than an exact search."""
+    rng = np.random.default_rng(3)
+    lengths = (lambda n: rng.uniform(3.6, 7.1, n)) if unequal else np.ones
+    for points, most in ((clustered(rng, 6000, lengths), 0.2), (rng.normal(size=(6000, 32)), 1.0)):
+        norm = float(np.linalg.norm(points, axis=1).max())
+        forest = ann.Forest(ann._augment(points, norm), 10, 5)
+        chosen = np.arange(0, 6000, 30)
+        trees, rows = ann.calibrate(forest, points, points[chosen], chosen, norm, 20, 6000, 0.95)
         assert rows <= most * 6000
         own = forest.first(trees)
-        leaves = own.leaves(ann._augment(points, 1.0))
+        leaves = own.leaves(ann._augment(points, norm))
         sizes = np.stack([np.bincount(x, minlength=32) for x in leaves])
         hits = 0
         for q in range(7, 6000, 100):
-            taken = own.search(own.heights(ann._augment(points[q : q + 1], 0.0))[0], sizes, rows)
+            taken = own.search(own.heights(ann._query_points(points[q : q + 1], norm))[0], sizes, rows)
             found = set(np.concatenate([np.flatnonzero(leaves[t] == x) for t, x in taken]).tolist())
             assert sum(sizes[t, x] for t, x in taken) <= max(rows + sizes.max(), 6000)
             scores = points @ points[q]
-            scores[q] = -9
+            scores[q] = -np.inf
             hits += len(found & set(np.argsort(-scores)[:20].tolist()))
         assert hits / (60 * 20) >= 0.9
 
