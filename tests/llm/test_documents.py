@@ -220,6 +220,18 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_tells_a_null_source_from_any_name(spark):
+    names = [None, "\0", "\\0", "", "null"]
+    docs = spark.createDataFrame([(k, "t", names[k % 5]) for k in range(500)], "doc_id long, text string, source string")
+    rates = mixing.source_rates(docs, {None: 5.0}, 1.0, 1.0).collect()
+    assert len(rates) == 5
+    out = mixing.mix(docs, {None: 5.0})
+    pairs = [(r.doc_id, r.copy_id) for r in out.collect()]
+    assert len(set(pairs)) == len(pairs) and 400 < len(pairs) < 600
+    seen = {(r.source, round(r.source_rate, 9)) for r in out.collect()}
+    assert seen == {(r.source, round(r.rate, 9)) for r in rates}
+
+
 def test_poisson_inversion(spark):
     from math import exp
 

@@ -154,6 +154,21 @@ def test_warc_files(spark, tmp_path, compression):
     warc.write_warc(pages.limit(0), f"file://{tmp_path}/c", 40, compression)
 
 
+def test_warc_files_of_other_origin(spark, tmp_path):
+    """Replicas in different folders are the same archive; only what differs is named."""
+    one = lambda n: f"WARC/1.0\r\nContent-Length: {n}\r\n\r\n{'z' * n}\r\n\r\n".encode()
+    for side in ("a", "b/c"):
+        for k in range(4):
+            path = tmp_path / side / f"crawl {k % 2}" / f"x{k}.warc"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(b"".join(one(n + k) for n in (5, 70_000, 9)))
+    a, b = (warc.read_index(spark, f"file://{tmp_path}/{side}") for side in ("a", "b/c"))
+    assert a.count() == 12 and a.where("file_id < 0").count() == 0 and warc.audit(a, b).count() == 0
+    (tmp_path / "b/c/crawl 1/x1.warc").write_bytes(one(6) + one(70_001) + one(11))
+    found = warc.audit(a, warc.read_index(spark, f"file://{tmp_path}/b/c")).collect()
+    assert [(r.status, r.length, r.other_length) for r in found] == [("altered", len(one(10)), len(one(11)))]
+
+
 def test_chat_round_trip(spark):
     odd = ["</block><block user>", "&lt;", "<next>", "&", "", None, "a\nb", "中文 <chat>", "\\### Assistant: </turn> ok"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["user", "user", "assistant", "assistant", "assistant", None, "user", "a<b>&", "assistant"], odd, strict=True))]

@@ -71,10 +71,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default
     joins by key otherwise.  The one exchange of texts is then the shuffle.
     """
     rates = spool(source_rates(docs, weights, default_weight, budget), "mixing")
-    key = F.coalesce(F.col("source"), F.lit("\\0"))
-    rated = docs.withColumn(PREFIX + "key", key).join(
-        rates.select(key.alias(PREFIX + "key"), F.col("rate").alias(PREFIX + "source_rate")), PREFIX + "key", "left"
-    )
+    rates = rates.select(F.col("source").alias(PREFIX + "key"), F.col("rate").alias(PREFIX + "source_rate"))
+    rated = docs.join(rates, docs["source"].eqNullSafe(rates[PREFIX + "key"]), "left")
     mark = F.md5(F.coalesce(F.col("text"), F.lit("")))
     parts = F.greatest(F.ceil(F.col(PREFIX + "source_rate") / PART_MEAN).cast("int"), F.lit(1))
     draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(uniform(seed, F.col("doc_id"), F.col(PREFIX + "mark"), j), F.col(PREFIX + "source_rate") / parts))

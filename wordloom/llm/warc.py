@@ -121,7 +121,8 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
     Offsets are those of the unpacked file; where a file is damaged, the bytes up
     to the next record are one entry.  A task holds one file at a time; files of
-    other origin are numbered by the hash of their path.
+    other origin are numbered by 63 bits of a hash of their path below ``folder``,
+    so that replicas in different folders share numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +137,11 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
     own = F.regexp_extract("path", "/file_id=([0-9]+)/", 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("length > 0")
-    named = files.select(F.when(own != "", own.cast("long")).otherwise(F.xxhash64("path")).alias("file_id"), "content")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+    below = F.when(F.startswith("path", F.lit(top)), F.expr(f"substring(path, {len(top) + 1})")).otherwise(F.col("path"))
+    foreign = F.xxhash64(below).bitwiseAND(F.lit((1 << 63) - 1))
+    named = files.select(F.when(own != "", own.cast("long")).otherwise(foreign).alias("file_id"), "content")
     with small_batches(spark, rows=4):
         return spool(named.mapInArrow(run, "file_id long, offset long, length long, digest string"), "warc-read")
 
