@@ -534,6 +534,36 @@ def test_pii_people(spark):
     assert other[0] != out[0]
 
 
+def test_pii_names_of_every_shape(spark):
+    """Initials, several given names, particles, apostrophes, marks, possessives; ordinary words stay."""
+    texts = [
+        "Mr. Robert F. Kennedy spoke; Kennedy left. Robert F. Kennedy too.", "Dr. Mary Jane Watson came. Mary Jane Watson, Watson's dog.", "Mr. J. Smith and Mr. J.R.R. Tolkien", "Dr. O’Brien and O’Brien’s car; Mr. D'Arcy",
+        "Herr von Braun und Herr Ludwig van der Rohe", "Herr Mu\u0308ller, Mu\u0308ller!", "Mr. Smith's car, MR SMITH, Mr. Smith; SMITH'S HAT", "Mr. White painted the White House in a white hall.", "Mr. Will Brown left. Will you? You will go. Brown stays; brown it is, as a brown one. Brown paper.",
+        "Mr. X" + "x" * 50_000 + "-y" * 20_000 + " ran", "SMITH STAYED. MR. SMITH", "My name is Ann Lee Moe Roe",
+    ]
+    out = {r.doc_id: r.text for r in pii.surrogate(frame(spark, texts), "secret").collect()}
+    word = r"([^\W\d_][^\W\d_-]*)"
+    rf, k = re.fullmatch(rf"Mr\. {word} F\. {word} spoke; \2 left\. \1 F\. \2 too\.", out[0]).groups()
+    assert {rf, k}.isdisjoint({"Robert", "Kennedy"})
+    mary, jane, watson = re.fullmatch(rf"Dr\. {word} {word} {word} came\. \1 \2 \3, \3's dog\.", out[1]).groups()
+    assert {mary, jane, watson}.isdisjoint({"Mary", "Jane", "Watson"}) and mary != jane
+    smith, tolkien = re.fullmatch(rf"Mr\. J\. {word} and Mr\. J\.R\.R\. {word}", out[2]).groups()
+    assert smith != "Smith" and tolkien != "Tolkien"
+    a, b = re.fullmatch(rf"Dr\. {word}’{word} and \1’\2’s car; Mr\. \w'\w+", out[3]).groups()
+    assert (a, b) != ("O", "Brien") and "Arcy" not in out[3]
+    braun, ludwig, rohe = re.fullmatch(rf"Herr von {word} und Herr {word} van der {word}", out[4]).groups()
+    assert braun != "Braun" and ludwig != "Ludwig" and rohe != "Rohe"
+    muller = re.fullmatch(r"Herr (\w+\u0308\w+), \1!", out[5])[1]
+    assert len(muller) == 7 and not muller.endswith("ller")
+    assert out[6] == f"Mr. {smith}'s car, MR {smith.upper()}, Mr. {smith}; {smith.upper()}'S HAT"
+    assert re.fullmatch(r"Mr\. (?!White)\w+ painted the White House in a white hall\.", out[7])
+    brown = re.fullmatch(rf"Mr\. {word} {word} left\. Will you\? You will go\. Brown stays; brown it is, as a brown one\. Brown paper\.", out[8])
+    assert brown and brown[1] != "Will" and brown[2] != "Brown"
+    assert len(out[9]) == len(texts[9]) and "xxxx" not in out[9] and out[9].startswith("Mr. ") and out[9].endswith(" ran")
+    assert out[10] == f"{smith.upper()} STAYED. MR. {smith.upper()}"
+    assert set(out[11].removeprefix("My name is ").split()).isdisjoint({"Ann", "Lee", "Moe", "Roe"})
+
+
 def test_pii_keeps_rows_and_columns_as_they_are(spark):
     texts = [None, "", "plain \ue000 words \ue001", "Mr. Adam Smith \ue000 wrote", "x" * 200_000 + " ann@mail.org " + "y" * 200_000]
     docs = frame(spark, texts).unionByName(frame(spark, texts)).withColumn("nothing", F.lit(None)).withColumn("many", F.array(F.lit(1), F.lit(None)))

@@ -9,11 +9,16 @@ Cyrillic; other letters become Latin consonants), card numbers and IBANs keep
 valid check digits, an address keeps valid octets, an IPv6 address is written in
 full, a country code, a trunk 0 and a mail suffix stay.
 
-People are found after a title or a phrase that introduces a name; then the
-words of these names are found wherever else they stand in the document, a
-surname by itself and a first name before a surname.  Surnames and first names
-are entities of their own, so a surname has one surrogate whatever stands before
-it.  Titles stay.  First names are built from syllables in the script of the
+People are found after a title or a phrase that introduces a name: up to three
+given names or initials, particles (von, de la, ...) and the last word, which is the
+surname.  Then the words of these names are found wherever else they stand in the
+document: a first name where other given names or initials lead on to a surname,
+and a surname by itself, but where it is an ordinary word: before a capitalised
+word that is no such name (White House), and at the start of a sentence if the
+document has it in lower case too.  Surnames and first names are entities of their
+own, so a surname has one surrogate whatever stands before it.  Titles, initials,
+particles and a possessive 's stay; apostrophes of both kinds and combining marks
+belong to a name and stay in their places.  First names are built from syllables in the script of the
 original, with an ending of the gender that titles tell: of one found with
 several, the title that tells a gender counts, and of both genders neither.
 
@@ -62,7 +67,12 @@ _LOCAL_PHONE = "|".join((
     r"(?<![0-9A-Za-z.+/-])0(?:[0-9]{1,4}[ /-][0-9]{5,8}|[0-9]{2,4}[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}|[0-9](?:[ .-][0-9]{2}){4})(?![0-9-])",
     r"(?<![0-9A-Za-z.,+_-])(?:1[ .-])?[0-9]{10}(?![0-9A-Za-z_-]|[.,][0-9])",
 ))
-_NAME = r"\p{Lu}[\p{L}'-]+"
+#: A capital and more letters with their marks; a hyphen or an apostrophe goes on to a letter, but for a possessive s.
+_NAME = r"\p{Lu}(?=[\p{L}\p{M}]|['’-]\p{Lu})[\p{L}\p{M}]*+(?:(?:-|['’](?![sS](?![\p{L}\p{M}])))[\p{L}\p{M}]++)*+"
+_INITIAL = r"(?:\p{Lu}\p{M}*\.-?)++"
+#: What stands between given names and a surname (fixed values).
+PARTICLES = "von van vom zu zum zur der den dem de du des da do dos di del della la le el al bin ibn ben ter ten af av".split()
+_PARTICLE = f"(?:{'|'.join(PARTICLES)})"
 #: Titles that tell a gender or none, and phrases that introduce a name (fixed values).
 TITLES = {
     "m": "Mr Sir Herr Señor Sr Monsieur Don".split(),
@@ -87,7 +97,7 @@ TYPES = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|{_IPV6}"),
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])"),
-    ("person", rf"(?<!\p{{L}}){_BEFORE_NAME}(?!(?:{_ANY_TITLE}) ){_NAME}(?: {_NAME})?"),
+    ("person", rf"(?<!\p{{L}}){_BEFORE_NAME}(?!(?:{_ANY_TITLE}) )(?:(?:{_NAME}|{_INITIAL}) ){{0,3}}(?:{_PARTICLE} ){{0,3}}{_NAME}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in TYPES)
 #: Classes of symbols; a symbol is replaced by one of its class.
@@ -103,7 +113,7 @@ _KEPT_HEAD = {"phone": r"^(?:\+[0-9]{1,3}(?=[ .(-])|1(?=[ .-])|0)", "iban": r"^[
 #: Every person has one of these; every other entity holds a digit or an at sign.
 _HINTS = tuple(dict.fromkeys([*(x for titles in TITLES.values() for t in titles for x in (t, t.upper())), *CUES]))
 #: Words that may be names that the document has elsewhere.
-_WORDS = rf"(?<![\p{{L}}\p{{N}}'-]){_NAME}(?: {_NAME})*"
+_WORDS = rf"(?<![\p{{L}}\p{{M}}\p{{N}}'’-]){_NAME}(?: (?:{_NAME}|{_INITIAL}))*+"
 #: A sentinel in a text is written as two other characters while the text is cut.
 _MARK_B, _MARK_C = "\ue002", "\ue003"
 
@@ -159,18 +169,19 @@ def _frame(kind: Column, piece: Column) -> Column:
     return let(F.struct(head.alias("head"), tail.alias("tail")), split)
 
 
-def _found(title: Column, first: Column, entity: Column) -> Column:
-    """What a piece holds: a kept title, a first name (or null) and the entity proper."""
-    return F.struct(title.alias("title"), first.alias("first"), entity.alias("e"))
+def _found(title: Column, given: Column, entity: Column) -> Column:
+    """What a piece holds: a kept title, the words before a surname (first names, and with a null e what stays) and the entity proper."""
+    return F.struct(title.alias("title"), given.alias("given"), entity.alias("e"))
 
 
 _E = "struct<kind:string,head:string,body:string,tail:string,gender:string>"
-_FOUND = f"struct<title:string,first:{_E},e:{_E}>"
+_GIVEN = f"array<struct<w:string,e:{_E}>>"
+_FOUND = f"struct<title:string,given:{_GIVEN},e:{_E}>"
 _PIECE = f"struct<before:string,p:string,x:{_FOUND}>"
 
 
 def _framed(piece: Column) -> Column:
-    no_first = F.lit(None).cast(_E)
+    none = F.array().cast(_GIVEN)
 
     def person(x: Column) -> Column:
         rest = piece.substr(F.char_length(x["title"]) + 1, F.char_length(piece))
@@ -180,14 +191,14 @@ def _framed(piece: Column) -> Column:
 
         def named(y: Column) -> Column:
             words = F.split(y["rest"], " ")
-            first = F.when(F.size(words) > 1, _name("first", F.get(words, F.lit(0)), y["gender"]))
-            return _found(x["title"], first.cast(_E), _name("person", F.element_at(words, -1), F.lit(None).cast("string")))
+            given = lambda w: F.struct(w.alias("w"), F.when(w.rlike(f"^{_NAME}$"), _name("first", w, y["gender"])).cast(_E).alias("e"))
+            return _found(x["title"], F.transform(F.slice(words, 1, F.size(words) - 1), given).cast(_GIVEN), _name("person", F.element_at(words, -1), F.lit(None).cast("string")))
 
         return let(F.struct(rest.alias("rest"), gender.alias("gender")), named)
 
     def of(kind: Column) -> Column:
         title = F.regexp_extract(piece, f"^{_BEFORE_NAME}", 0)
-        return F.when(kind == "person", let(F.struct(title.alias("title")), person)).otherwise(_found(F.lit(""), no_first, _frame(kind, piece)))
+        return F.when(kind == "person", let(F.struct(title.alias("title")), person)).otherwise(_found(F.lit(""), none, _frame(kind, piece)))
 
     return let(_type(piece), of).cast(_FOUND)
 
@@ -205,29 +216,41 @@ def _pieces(text: Column) -> Column:
         people = F.filter(pieces, lambda c: c["x"]["e"]["kind"] == "person")
         key = lambda e: F.lower(e["body"])
         surnames = F.array_distinct(F.transform(people, lambda c: key(c["x"]["e"])))
-        firsts = F.transform(F.filter(people, lambda c: c["x"]["first"].isNotNull()), lambda c: F.struct(key(c["x"]["first"]).alias("key"), c["x"]["first"]["gender"].alias("gender")))
-        firsts = F.array_distinct(firsts)
+        given = F.flatten(F.transform(people, lambda c: F.filter(c["x"]["given"], lambda g: g["e"].isNotNull())))
+        firsts = F.array_distinct(F.transform(given, lambda g: F.struct(key(g["e"]).alias("key"), g["e"]["gender"].alias("gender"))))
+        # surnames that the document also has as ordinary words
+        common = F.filter(surnames, lambda n: F.exists(pieces, lambda c: c["x"].isNull() & F.contains(c["p"], F.concat(F.lit(" "), n, F.lit(" ")))))
 
         def again(names: Column) -> Column:
             """Pieces without entities, cut anew at words that are such names."""
 
-            def word(words: Column, w: Column, i: Column) -> Column:
+            def word(words: Column, w: Column, i: Column, opens: Column) -> Column:
                 before = F.when(i > 0, F.lit(" ")).otherwise(F.lit(""))
                 low = F.lower(w)
-                surname = F.array_contains(names["surnames"], low)
-                leads = F.coalesce(F.array_contains(names["surnames"], F.lower(F.get(words, i + 1))), F.lit(False))
+                at = lambda k: F.lower(F.get(words, i + k))
+                is_surname = lambda x: F.coalesce(F.array_contains(names["surnames"], x), F.lit(False))
+                is_first = lambda x: F.exists(names["firsts"], lambda f: f["key"] == x)
+                goes_on = lambda k: F.coalesce(is_first(at(k)) | F.get(words, i + k).rlike(f"^{_INITIAL}$"), F.lit(False))
+                leads = is_surname(at(1)) | (goes_on(1) & (is_surname(at(2)) | (goes_on(2) & is_surname(at(3)))))
                 own = F.when(leads, F.get(F.filter(names["firsts"], lambda f: f["key"] == low), F.lit(0)))
-                hit = lambda e: _found(F.lit(""), F.lit(None).cast(_E), e).cast(_FOUND)
+                after_first = (i > 0) & F.coalesce(is_first(F.lower(F.get(words, F.greatest(i - 1, F.lit(0))))), F.lit(False))
+                before_noun = F.get(words, i + 1).isNotNull() & ~is_surname(at(1)) & ~goes_on(1) & (w != F.upper(w))
+                ordinary = (before_noun | (opens & (i == 0) & F.array_contains(names["common"], low))) & ~after_first
+                hit = lambda e: _found(F.lit(""), F.array().cast(_GIVEN), e).cast(_FOUND)
+                surname = is_surname(low) & ~ordinary
                 return let(own, lambda f: _piece(before, w, F.when(f.isNotNull(), hit(_name("first", w, f["gender"]))).when(surname, hit(_name("person", w, F.lit(None).cast("string")))).otherwise(nothing)))
 
-            def run(q: Column, i: Column) -> Column:
-                each = let(F.split(q, " "), lambda words: F.transform(words, lambda w, k: word(words, w, k)))
+            def run(parts: Column, q: Column, i: Column, start: Column) -> Column:
+                left = F.get(parts, F.greatest(i - 1, F.lit(0)))
+                opens = left.rlike("[.!?]['\"”’)]*\\s*$") | (start & (i == 1) & (F.trim(left) == ""))
+                each = let(F.struct(F.split(q, " ").alias("words"), opens.alias("opens")), lambda y: F.transform(y["words"], lambda w, k: word(y["words"], w, k, y["opens"])))
                 return F.when(i % 2 == 1, each).otherwise(F.array(_piece(F.lit(""), q, nothing)))
 
-            plain = lambda c: F.flatten(F.transform(cut_at(c["p"], _WORDS), run))
-            return F.flatten(F.transform(pieces, lambda c: F.when(c["x"].isNull(), plain(c)).otherwise(F.array(c))))
+            plain = lambda c, n: let(cut_at(c["p"], _WORDS), lambda parts: F.flatten(F.transform(parts, lambda q, i: run(parts, q, i, n == 0))))
+            return F.flatten(F.transform(pieces, lambda c, n: F.when(c["x"].isNull(), plain(c, n)).otherwise(F.array(c))))
 
-        return F.when(F.size(people) == 0, pieces).otherwise(let(F.struct(surnames.alias("surnames"), firsts.alias("firsts")), again))
+        kept = F.struct(surnames.alias("surnames"), firsts.alias("firsts"), common.alias("common"))
+        return F.when(F.size(people) == 0, pieces).otherwise(let(kept, again))
 
     return let(cut, with_names)
 
@@ -427,7 +450,7 @@ def cut_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 def entities(cut: DataFrame) -> DataFrame:
     """doc_id and one struct<kind, head, body, tail, gender> with its id for each entity, one row each; ``cut``: of :func:`cut_documents`."""
     hits = F.filter("wordloom_cut", lambda c: c["x"].isNotNull())
-    both = lambda c: F.filter(F.array(c["x"]["e"], c["x"]["first"]), lambda e: e.isNotNull())
+    both = lambda c: F.filter(F.concat(F.array(c["x"]["e"]), F.transform(c["x"]["given"], lambda g: g["e"])), lambda e: e.isNotNull())
     found = cut.where("wordloom_cut is not null").select("doc_id", F.explode(F.flatten(F.transform(hits, both))).alias("e"))
     return found.select("doc_id", "e", canonical(F.col("e")).alias("id"))
 
@@ -469,9 +492,11 @@ def surrogate(docs: DataFrame, secret: str) -> DataFrame:
     found = spool(entities(docs_cut), "pii")
     exceptions = salts(found, secret)
     by_doc = spool(found.join(exceptions, "id").groupBy("doc_id").agg(F.collect_set(F.struct("id", "salt", "gender")).alias("wordloom_salts")), "pii-salts")
-    # a written table of exceptions: broadcast only if Spark finds it under its threshold
+    # a written table of exceptions: broadcast only if Spark finds it under its threshold; texts without entities stay where they are
     by_doc = by_doc.withColumnRenamed("doc_id", "wordloom_doc")
-    cut = docs_cut.join(by_doc, docs_cut["doc_id"].eqNullSafe(by_doc["wordloom_doc"]), "left").drop("wordloom_doc")
+    held, plain = docs_cut.where("wordloom_cut is not null"), docs_cut.where("wordloom_cut is null")
+    held = held.join(by_doc, held["doc_id"].eqNullSafe(by_doc["wordloom_doc"]), "left").drop("wordloom_doc")
+    cut = held.unionByName(plain.withColumn("wordloom_salts", F.lit(None).cast(by_doc.schema["wordloom_salts"].dataType)))
     known = F.coalesce(F.col("wordloom_salts"), F.array().cast("array<struct<id:string,salt:int,gender:string>>"))
 
     def written(e: Column) -> Column:
@@ -486,8 +511,8 @@ def surrogate(docs: DataFrame, secret: str) -> DataFrame:
 
     def put(c: Column) -> Column:
         x = c["x"]
-        first = F.when(x["first"].isNull(), F.lit("")).otherwise(F.concat(written(x["first"]), F.lit(" ")))
-        return F.concat(c["before"], F.when(x.isNull(), _restored(c["p"])).otherwise(F.concat(x["title"], first, written(x["e"]))))
+        given = F.transform(x["given"], lambda g: F.concat(F.when(g["e"].isNull(), g["w"]).otherwise(written(g["e"])), F.lit(" ")))
+        return F.concat(c["before"], F.when(x.isNull(), _restored(c["p"])).otherwise(F.concat(x["title"], F.array_join(given, ""), written(x["e"]))))
 
     kinds = F.transform(F.filter("wordloom_cut", lambda c: c["x"].isNotNull()), lambda c: c["x"]["e"]["kind"])
 
