@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import phones as ph
 from wordloom.functions.vectors import pair_of_index
 from wordloom.operators import clustering, communities, evaluate, features, intervals, lookup, pairwise, quantise
+from wordloom.operators.leiden import leiden
 
 
 def one(spark, column):
@@ -179,7 +180,7 @@ def test_leiden_never_falls_below_its_start():
     i, j, w = (np.array(x) for x in zip(*edges))
     for gamma in (0.05, 0.3, 0.7):
         start = rng.integers(0, 5, 30)
-        got = communities.leiden(30, i, j, w, gamma, start)
+        got = leiden(30, i, j, w, gamma, start)
         assert objective(got, edges, gamma) >= objective(np.unique(start, return_inverse=True)[1], edges, gamma) - 1e-9
         assert objective(got, edges, gamma) >= objective(np.arange(30), edges, gamma) - 1e-9
 
