@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.operators import hierarchy
+from wordloom.operators.hierarchy import merges_of
+from wordloom.operators.lookup import node_ids
 from wordloom.sources.catalog import materialise
 
 KMEANS_ROUNDS, KMEANS_RUNS = 15, 3
@@ -96,34 +99,7 @@ def ward_labels(points: np.ndarray, k: int, weights: np.ndarray | None = None) -
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    size = np.ones(n) if weights is None else np.asarray(weights, float).copy()
-    squares = (points**2).sum(axis=1)
-    far = np.maximum(squares[:, None] + squares[None, :] - 2 * points @ points.T, 0) * (size[:, None] * size[None, :] / (size[:, None] + size[None, :]))
-    np.fill_diagonal(far, np.inf)
-    alive = np.ones(n, bool)
-    merges: list[tuple[float, int, int]] = []
-    chain: list[int] = []
-    for _ in range(n - 1):
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        while True:
-            x = chain[-1]
-            row = np.where(alive, far[x], np.inf)
-            y = int(row.argmin())
-            if len(chain) > 1 and row[chain[-2]] <= row[y]:
-                y = chain[-2]
-                break
-            chain.append(y)
-        chain = chain[:-2]
-        a, b = min(x, y), max(x, y)
-        height = far[a, b]
-        merges.append((height, a, b))
-        total = size[a] + size[b] + size
-        new = ((size[a] + size) * far[a] + (size[b] + size) * far[b] - size * height) / total
-        far[a], far[:, a] = new, new
-        far[a, a] = np.inf
-        alive[b] = False
-        size[a] += size[b]
+    merges = merges_of(points, np.ones(n) if weights is None else np.asarray(weights, float))
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -139,18 +115,16 @@ def ward_labels(points: np.ndarray, k: int, weights: np.ndarray | None = None) -
     return np.array([number[r] for r in roots], np.int64)
 
 
-def ward(points: DataFrame, k: int) -> DataFrame:
-    """node, label by agglomerative clustering with Ward linkage.
+def ward(points: DataFrame, k: int, block: int = hierarchy.BLOCK, most: int = hierarchy.MOST) -> DataFrame:
+    """node, label by agglomerative clustering with Ward linkage, exact for any number of points.
 
-    One task holds the matrix of distances: exact Ward linkage needs all of
-    them.  For more points than that allows, use :func:`birch`.
+    Up to ``most`` clusters are merged by one task, more in rounds (see
+    :mod:`wordloom.operators.hierarchy`).  Labels count from 0 by first member.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        return pa.table({"node": table.column("node"), "label": ward_labels(np.array(table.column("emb").to_pylist()), k)})
-
-    return points.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "node string, label long")
+    numbered = materialise(node_ids(points.select("node", "emb"), "node").withColumnRenamed("node_id", "id"), "ward-points")
+    found = hierarchy.ward_cut(numbered.select("id", "emb"), k, block, most)
+    named = node_ids(found.select("label").distinct(), "label").select("label", F.col("node_id").alias("cluster"))
+    return numbered.select("node", "id").join(found, "id").join(named, "label").select("node", F.col("cluster").alias("label"))
 
 
 class Leaves:
