@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.operators import hierarchy
+from wordloom.operators.cftree import BRANCHING, Tree
 from wordloom.operators.hierarchy import merges_of
 from wordloom.operators.lookup import node_ids
 from wordloom.sources.catalog import materialise
@@ -127,78 +128,46 @@ def ward(points: DataFrame, k: int, block: int = hierarchy.BLOCK, most: int = hi
     return numbered.select("node", "id").join(found, "id").join(named, "label").select("node", F.col("cluster").alias("label"))
 
 
-class Leaves:
-    """Clustering features (count, linear sum, sum of squares) whose radius stays within a threshold."""
-
-    def __init__(self, threshold: float):
-        self.threshold, self.n, self.sums, self.squares, self.used = threshold, np.zeros(64), np.zeros((64, 0)), np.zeros(64), 0
-
-    def add(self, n: float, total: np.ndarray, squares: float) -> None:
-        if self.sums.shape[1] != len(total):
-            self.sums = np.zeros((len(self.n), len(total)))
-        u = self.used
-        if u:
-            near = int((((self.sums[:u] / self.n[:u, None]) - total / n) ** 2).sum(axis=1).argmin())
-            m, s, q = self.n[near] + n, self.sums[near] + total, self.squares[near] + squares
-            if q / m - ((s / m) ** 2).sum() <= self.threshold**2:
-                self.n[near], self.sums[near], self.squares[near] = m, s, q
-                return
-        if u == len(self.n):
-            self.n, self.squares = np.concatenate([self.n, np.zeros(u)]), np.concatenate([self.squares, np.zeros(u)])
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.n[u], self.sums[u], self.squares[u] = n, total, squares
-        self.used += 1
-
-    def shrunk(self, most: int) -> Leaves:
-        """Merged again under growing thresholds until at most ``most`` are left."""
-        now = self
-        while now.used > most:
-            wider = Leaves(now.threshold * 1.5)
-            for i in range(now.used):
-                wider.add(now.n[i], now.sums[i], now.squares[i])
-            now = wider
-        return now
-
-    def table(self) -> pa.RecordBatch:
-        u = self.used
-        return pa.RecordBatch.from_arrays([pa.array(self.n[:u]), pa.array(list(self.sums[:u]), pa.list_(pa.float64())), pa.array(self.squares[:u])], names=["n", "sums", "squares"])
+def birch_leaves(points: DataFrame, threshold: float = BIRCH_THRESHOLD, leaves: int = BIRCH_LEAVES, branching: int = BRANCHING) -> DataFrame:
+    """n, sums, squares of the sub-clusters of ``points`` (node, emb): one tree a partition, then trees of eight tasks' sub-clusters.
 
-
-def birch(points: DataFrame, k: int, threshold: float = BIRCH_THRESHOLD, leaves: int = BIRCH_LEAVES) -> DataFrame:
-    """node, label: sub-clusters within partitions, merged in rounds of tasks, then Ward linkage of their centres.
-
-    Each task keeps at most ``leaves`` sub-clusters, widening the threshold as
-    needed; rounds merge eight tasks' worth until one is left.  A point gets the
-    label of its nearest sub-cluster.
+    A task keeps at most twice ``leaves`` sub-clusters, widening the threshold as
+    needed; rounds go on until one table of at most ``leaves`` is left.
     """
     fields = "n double, sums array<double>, squares double"
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Leaves(threshold)
-        for b in batches:
-            for v in b.column("emb").to_pylist():
-                x = np.array(v)
-                own.add(1.0, x, float((x**2).sum()))
-                if own.used > 2 * leaves:
+    def gather(rows: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Tree(threshold, branching)
+            for b in batches:
+                if b.num_rows:
+                    own.add(*rows(b))
+                if own.leaves > 2 * leaves:
                     own = own.shrunk(leaves)
-        yield own.shrunk(leaves).table()
+            yield own.shrunk(leaves).table()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Leaves(threshold)
-        for b in batches:
-            for r in b.to_pylist():
-                own.add(r["n"], np.array(r["sums"]), r["squares"])
-                if own.used > 2 * leaves:
-                    own = own.shrunk(leaves)
-        yield own.shrunk(leaves).table()
+        return run
 
-    found = materialise(points.orderBy("node").select("emb").mapInArrow(summarise, fields).withColumn("part", F.spark_partition_id()), "birch")
+    def of_points(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.array(b.column("emb").to_pylist(), float)
+        return np.ones(len(x)), x, (x**2).sum(axis=1)
+
+    def of_features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return b.column("n").to_numpy(), np.array(b.column("sums").to_pylist(), float), b.column("squares").to_numpy()
+
+    found = materialise(points.orderBy("node").select("emb").mapInArrow(gather(of_points), fields).withColumn("part", F.spark_partition_id()), "birch")
     parts = (found.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         parts = -(-parts // 8)
-        grouped = found.repartition(parts, F.floor(F.col("part") / 8)).sortWithinPartitions("part", "n", "squares").drop("part")
-        found = materialise(grouped.mapInArrow(merge, fields).withColumn("part", F.spark_partition_id()), "birch")
-    rows = found.where("n > 0").orderBy(F.desc("n"), "squares").collect()  # ``leaves`` rows at most
+        grouped = found.where("n > 0").repartition(parts, F.floor(F.col("part") / 8)).sortWithinPartitions("part", "n", "squares").drop("part")
+        found = materialise(grouped.mapInArrow(gather(of_features), fields).withColumn("part", F.spark_partition_id()), "birch")
+    return found.where("n > 0").select("n", "sums", "squares")
+
+
+def birch(points: DataFrame, k: int, threshold: float = BIRCH_THRESHOLD, leaves: int = BIRCH_LEAVES) -> DataFrame:
+    """node, label: Ward linkage of the centres of :func:`birch_leaves`; a point gets the label of its nearest sub-cluster."""
+    found = birch_leaves(points, threshold, leaves)
+    rows = found.orderBy(F.desc("n"), "squares").collect()  # ``leaves`` rows at most
     if not rows:
         return points.select("node", F.lit(0).cast("long").alias("label"))
     centres = np.array([np.array(r["sums"]) / r["n"] for r in rows])

@@ -90,26 +90,41 @@ def nearest_codes(frames: DataFrame, codebook: DataFrame, n: int | None = None)
     return frames.mapInArrow(run, schema)
 
 
+def kept_codes(frames: np.ndarray, book: np.ndarray, codes: np.ndarray, neighbours: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each frame the places of its ``neighbours`` nearest codes, rising, and their squared distances.
+
+    Products of blocks choose, exact differences decide; no more than a block of
+    frames x codes, or a frame's codes x dimensions, is held.
+    """
+    keep, found = min(neighbours or len(book), len(book)), []
+    for first in range(0, len(frames), clustering.ROWS):
+        block = frames[first : first + clustering.ROWS]
+        for x, near in zip(block, clustering.candidates(clustering.distances(block, book), keep), strict=True):
+            d = ((x - book[near]) ** 2).sum(axis=1)
+            chosen = np.sort(np.lexsort((codes[near], d))[:keep])
+            found.append((near[chosen], d[chosen]))
+    return found
+
+
 def viterbi(frames: np.ndarray, book: np.ndarray, codes: np.ndarray, lmbda: float, neighbours: int | None) -> list[int]:
     """The code sequence of least  sum of squared distances - lmbda * number of repeats.
 
-    Each frame may take one of its ``neighbours`` nearest codes; lmbda >= 0.
+    Each frame may take one of its ``neighbours`` nearest codes; lmbda >= 0.  Only
+    the kept codes of a frame and of the one before it meet.
     """
-    far = ((frames[:, None, :] - book[None, :, :]) ** 2).sum(axis=2)
-    keep = min(neighbours or len(book), len(book))
-    order = np.lexsort((np.broadcast_to(codes, far.shape), far), axis=1)[:, :keep]
-    allowed = np.full(far.shape, np.inf)
-    np.put_along_axis(allowed, order, np.take_along_axis(far, order, 1), 1)
-    cost, back = allowed[0], []
-    for t in range(1, len(far)):
+    kept = kept_codes(frames, book, codes, neighbours)
+    (places, cost), back = kept[0], []
+    for now, d in kept[1:]:
         best = int(cost.argmin())
-        stay = cost - lmbda <= cost[best]  # a repeat, or the best way from another code
-        back.append(np.where(stay, np.arange(len(cost)), best))
-        cost = np.where(stay, cost - lmbda, cost[best]) + allowed[t]
+        at = np.minimum(np.searchsorted(places, now), len(places) - 1)
+        repeat = np.where(places[at] == now, cost[at] - lmbda, np.inf)
+        stay = repeat <= cost[best]  # a repeat, or the best way from another code
+        back.append(np.where(stay, at, best))
+        places, cost = now, np.where(stay, repeat, cost[best]) + d
     path = [int(cost.argmin())]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
-    return [int(codes[i]) for i in reversed(path)]
+    return [int(codes[p[i]]) for (p, _), i in zip(kept, reversed(path), strict=True)]
 
 
 def quantise(words: DataFrame, codebook: DataFrame, lmbda: float, neighbours: int | None = None, deduplicate: bool = False) -> DataFrame:

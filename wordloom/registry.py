@@ -528,6 +528,31 @@ def ward_clusters(spark, sf_dir):
     return _by_least(clustering.ward(_apart(_pooled(spark, sf_dir), _label(), "emb"), 10))
 
 
+#: Ward linkage step by step: the two clusters whose union costs least are joined until WARD_K are left.
+WARD_K = 10
+
+
+@register(f"""WITH RECURSIVE {STD}, c AS (SELECT CAST(0 AS BIGINT) AS step, node_id AS id, [node] AS members, CAST(1 AS DOUBLE) AS size, emb AS mean FROM emb
+  UNION ALL SELECT * FROM (WITH pairs AS (SELECT x.id AS a, y.id AS b, x.size * y.size / (x.size + y.size) * list_sum(list_transform(list_zip(x.mean, y.mean), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM c x JOIN c y ON x.id < y.id),
+    best AS (SELECT arg_min(a, d) AS a, arg_min(b, d) AS b FROM pairs)
+    SELECT step + 1, c.id, c.members, c.size, c.mean FROM c, best WHERE c.id NOT IN (best.a, best.b) AND (SELECT count(*) FROM c) > {WARD_K}
+    UNION ALL SELECT x.step + 1, x.id, list_concat(x.members, y.members), x.size + y.size, list_transform(list_zip(x.mean, y.mean), lambda z: (z[1] * x.size + z[2] * y.size) / (x.size + y.size))
+    FROM best JOIN c x ON x.id = best.a JOIN c y ON y.id = best.b WHERE (SELECT count(*) FROM c) > {WARD_K}))
+  SELECT m AS node, min(m) OVER (PARTITION BY id) AS cluster FROM (SELECT id, unnest(members) AS m FROM c WHERE step = (SELECT max(step) FROM c))""")
+def ward_real_vectors(spark, sf_dir):
+    """Rounds of mutual nearest neighbours in tiles of 64 until 32 clusters are left, on the pooled vectors as they are."""
+    return _by_least(clustering.ward(_pooled(spark, sf_dir), WARD_K, block=64, most=32))
+
+
+@register(f"WITH {STD} SELECT i, count(*) AS n, round(sum(x), 5) + 0.0 AS total, (SELECT round(sum(x * x), 5) FROM un) AS squares FROM un GROUP BY i")
+def birch_leaf_totals(spark, sf_dir):
+    """Counts, sums and squares of all sub-clusters of the tree add up to those of the vectors."""
+    leaves = clustering.birch_leaves(_pooled(spark, sf_dir), 0.6, 64, 8)
+    whole = leaves.agg(F.sum("n").cast("long").alias("n"), F.round(F.sum("squares"), 5).alias("squares")).first()
+    sums = leaves.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg((F.round(F.sum("x"), 5) + 0.0).alias("total"))
+    return sums.select(F.col("i").cast("long").alias("i"), F.lit(whole["n"]).alias("n"), "total", F.lit(whole["squares"]).alias("squares"))
+
+
 @register(APART)
 def birch_clusters(spark, sf_dir):
     return _by_least(clustering.birch(_apart(_pooled(spark, sf_dir), _label(), "emb"), 10))
