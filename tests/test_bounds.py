@@ -6,8 +6,9 @@ import random
 import numpy as np
 import pytest
 
-from wordloom.operators import cftree, clustering, pairwise, quantise
 from wordloom.functions.phones import units_as_text
+from wordloom.operators import cftree, clustering, evaluate, pairwise, quantise
+from wordloom.sources.catalog import Catalog, RunKey
 
 
 def edits(a, b):
@@ -117,3 +118,54 @@ def test_leaves_on_spark(spark):
         assert len(rows) <= most and sum(r.n for r in rows) == 500
         assert np.allclose(np.sum([r.sums for r in rows], axis=0), x.sum(axis=0)) and sum(r.squares for r in rows) == pytest.approx((x**2).sum())
     assert clustering.birch_leaves(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.5, 1.5])
+def test_cosine_graph_skips_tiles(spark, threshold):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 16))[rng.integers(0, 12, 400)] + 0.1 * rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7], x[8] = 0, x[8] * 3  # not of unit length: never skipped
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node_id long, emb array<double>").repartition(3)
+    sims = x @ x.T
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if sims[i, j] > 1 - threshold}
+    rows = pairwise.cosine_graph(table, threshold, block=40, pivots=24).collect()
+    assert {(r.i, r.j) for r in rows} == want and len(rows) == len(want) and all(abs(r.w - sims[r.i, r.j]) < 1e-12 for r in rows)
+    tiles = pairwise.cosine_tiles(table, threshold, block=40, pivots=24)[1]
+    if threshold < 0.1:
+        assert tiles.where("skipped").count() > 0.6 * tiles.count()
+
+
+@pytest.mark.parametrize("tile", [2, 2048])
+def test_distances_in_a_giant_cluster(spark, tile):
+    rng = random.Random(3)
+    rows = [(k % 2 * (k % 7 == 0), [rng.choice("abcd") for _ in range(rng.randint(0, 5))]) for k in range(120)]
+    kinds = evaluate._kinds(spark.createDataFrame(rows, "cluster int, phones array<string>"))
+    got = sorted((r.cluster, min(r.n_a, r.n_b), max(r.n_a, r.n_b), round(r.d, 9)) for r in evaluate._distances(kinds, tile).collect())
+    want, counts = [], {}
+    for c, p in rows:
+        counts[c, tuple(p)] = counts.get((c, tuple(p)), 0) + 1
+    for ((c, a), m), ((d, b), n) in itertools.combinations(counts.items(), 2):
+        if c == d:
+            want.append((c, min(m, n), max(m, n), round(edits(a, b) / max(len(a), len(b)), 9) if a and b else 1.0))
+    assert got == sorted(want)
+
+
+def test_tiles_of_a_changed_word_alone_are_made_again(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = {f"w{k:02}": rng.normal(size=(rng.integers(1, 4), 3)).tolist() for k in range(35)}
+    store = Catalog(spark, str(tmp_path)).tiles(RunKey("pairs", "", "x", "", ""))
+
+    def kept(words):
+        table = spark.createDataFrame([(k, n, f) for k, (n, f) in enumerate(sorted(words.items()))], "node_id long, node string, frames array<array<double>>")
+        got = {(r.i, r.j): r.dist for r in pairwise.kept_dtw_pairs(store, table, 10).collect()}
+        want = {(r.i, r.j): r.dist for r in pairwise.dtw_pairs(table, 10).collect()}
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in got)
+        return store.finished().count()
+
+    first = kept(words)
+    assert kept(words) == first
+    changed = kept(words | {"w07": [[1.0, 2.0, 3.0]]})
+    assert 0 < changed - first <= 4  # the tiles of one of four blocks
+    added = kept(words | {"a_new": [[1.0, 0.0, 0.0]]})  # comes first and moves every number
+    assert 0 < added - changed <= 4 and kept(words) == added

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.plans import cli
 
@@ -70,6 +71,26 @@ def test_second_run_makes_nothing_again(spark, corpus, monkeypatch):
         cli.run(spark, ["cut", at("npy"), at("b"), at("f2")])
 
 
+def test_results_are_known_by_what_they_are_made_from(spark, corpus, monkeypatch):
+    """Changed frames, words or training frames, or batches, under the same names, are other results; tiles of other words stay."""
+    from wordloom.operators import pairwise, quantise
+
+    at = lambda name: str(corpus / name)
+    cli.run(spark, ["boundaries", "mandarin", at("ali"), at("b")])
+    cli.run(spark, ["cut", at("npy"), at("b"), at("f")])
+    made = []
+    for module, name in ((quantise, "train_codebook"), (quantise, "train_codebook_by_batches"), (pairwise, "edit_graph")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **k: made.append(n) or f(*a, **k))
+    common = ["--catalog", at("cat"), "--k", "3", "--lmbda", "1", "--language", "mandarin", "--dataset", "dev"]
+    run = lambda out, *more, frames="f": made.clear() or cli.run(spark, ["graph", at(frames), at("b"), at(out), "ed", "0.4", *common, *more]) and list(made)
+    assert run("a") == ["train_codebook", "edit_graph"] and run("b") == []
+    assert run("c", "--batch_files", "5") == ["train_codebook_by_batches", "edit_graph"]
+    frames = spark.read.parquet(at("f"))
+    frames.withColumn("vec", F.when(F.col("node") == "a_0", F.transform("vec", lambda x: x + 1)).otherwise(F.col("vec"))).write.parquet(at("g"))
+    assert run("d", frames="g") == ["train_codebook", "edit_graph"] and run("e") == []
+    assert run("h", "--train_frames", at("g")) == ["train_codebook", "edit_graph"]
+
+
 def test_units_folder_and_batches(spark, corpus):
     at = lambda name: str(corpus / name)
     cli.run(spark, ["boundaries", "mandarin", at("ali"), at("b")])

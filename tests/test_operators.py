@@ -269,7 +269,7 @@ def test_dtw_tiles_are_resumed(spark, tmp_path):
     with pytest.raises(RuntimeError):
         store.fill(tiles, broken, tiles_a_round=4)
     assert store.finished().count() == 4 and made == [4, 4]
-    got = {(r.i, r.j): r.dist for r in pairwise.kept_dtw_pairs(store, words, 6, tiles_a_round=4).collect()}
+    got = {(r.i, r.j): r.dist for r in store.fill(tiles, lambda batch: pairwise.dtw_pairs(words, 6, tiles=batch), 4).collect()}
     assert got == whole and store.finished().count() == 10 and store.finished().where("seconds > 0").count() == 10
 
 

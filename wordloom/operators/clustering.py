@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from wordloom.operators.lookup import node_ids
 from wordloom.sources.catalog import materialise
 
 KMEANS_ROUNDS, KMEANS_RUNS = 15, 3
+#: Centres that k-means++ draws one by one, at most.
+PLUS_PLUS = 512
 BIRCH_THRESHOLD = 0.25
 #: Sub-clusters that one task merges; the distance threshold grows until they fit.
 BIRCH_LEAVES = 4096
@@ -82,12 +84,65 @@ def lloyd(points: DataFrame, centres: list[list[float]], rounds: int = KMEANS_RO
     return labelled, centres, inertia
 
 
-def kmeans(points: DataFrame, k: int, centres: list[list[float]] | None = None, seed: int = 0) -> DataFrame:
-    """node, label.  With ``centres``, Lloyd rounds from them; else the best of three seeded runs."""
+def draw(seed: int, run: int | Column, step: int, name: str = "node") -> Column:
+    """A number in (0, 1] for each row, run and step: 48 bits of an MD5 digest."""
+    parts = [F.lit(str(seed)), (F.lit(run) if isinstance(run, int) else run).cast("string"), F.lit(str(step)), F.col(name)]
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+
+
+def first_centres(points: DataFrame, k: int, seed: int = 0, runs: int = KMEANS_RUNS) -> list[list[list[float]]]:
+    """Centres by k-means++ for each of ``runs`` runs: rows drawn one after another with a chance
+    in proportion to the squared distance from the nearest centre so far.
+
+    The row of the least -ln(u) / distance, u being its own keyed draw, is such a
+    draw; so a step is one pass for all runs, in which partitions keep their least
+    rows, and it is repeatable whatever the partitioning.  Rows at distance 0 are
+    never drawn; where no others are left, a run has fewer centres.
+    """
+    chosen: list[list[list[float]]] = [[] for _ in range(runs)]
+    every = F.array(*[F.lit(1.0)] * runs)
+    for step in range(k):
+        far = points.select("node", "emb", every.alias("far")) if step == 0 else _least_distances(points.select("node", "emb"), chosen)
+        each = far.select("node", "emb", F.posexplode("far").alias("run", "far")).where("far > 0")
+        wait = -F.log(draw(seed, F.col("run"), step)) / F.col("far")
+        best = each.groupBy("run").agg(F.min_by("emb", F.struct(wait, "node")).alias("emb")).collect()  # a row for each run
+        for r in best:
+            chosen[r["run"]].append([float(x) for x in r["emb"]])
+    return chosen
+
+
+def _least_distances(points: DataFrame, books: list[list[list[float]]]) -> DataFrame:
+    """``points`` with far array<double>: the squared distance from the nearest centre of each list."""
+    tables = [np.array(book, float) for book in books]
+    schema = T.StructType([*points.schema.fields, *T.StructType.fromDDL("far array<double>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column("emb").to_pylist(), float).reshape(b.num_rows, -1)
+            far = np.full((b.num_rows, len(tables)), np.inf)
+            for k, table in enumerate(tables):
+                for c in table:  # exact differences: a centre's own row must be at distance 0
+                    far[:, k] = np.minimum(far[:, k], ((x - c) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(far), pa.list_(pa.float64()))], names=[*b.schema.names, "far"])
+
+    return points.mapInArrow(run, schema)
+
+
+def kmeans(points: DataFrame, k: int, centres: list[list[float]] | None = None, seed: int = 0, rounds: int = KMEANS_ROUNDS) -> DataFrame:
+    """node, label.  With ``centres``, Lloyd rounds from them; else the run of least inertia of three from k-means++.
+
+    K-means++ takes a pass for each centre; beyond ``PLUS_PLUS`` centres Spark's
+    k-means|| draws them in a few passes.
+    """
     if centres is not None:
-        return lloyd(points, centres)[0].select("node", "label")
+        return lloyd(points, centres, rounds)[0].select("node", "label")
+    if k <= PLUS_PLUS:
+        runs = [lloyd(points, book, rounds) for book in first_centres(points, k, seed) if book]
+        if not runs:
+            return points.select("node", F.lit(0).cast("long").alias("label"))
+        return min(runs, key=lambda run: run[2])[0].select("node", "label")
     data = points.withColumn("features", array_to_vector("emb"))
-    models = [KMeans(k=k, seed=seed + r, maxIter=KMEANS_ROUNDS).fit(data) for r in range(KMEANS_RUNS)]
+    models = [KMeans(k=k, seed=seed + r, maxIter=rounds).fit(data) for r in range(KMEANS_RUNS)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("node", F.col("prediction").cast("long").alias("label"))
 

@@ -9,6 +9,8 @@ from wordloom.functions.phones import code_point, either_empty_is_one
 
 #: First code point, of private use, that stands for a label of several characters, and how many there are.
 LABEL_BASE, LABELS = 0xF0000, 0x20000
+#: Distinct sequences of a cluster in a block; two blocks are what one key of the pairs' join holds.
+TILE = 2048
 
 
 def phone_codes(sequences: DataFrame, phones: str = "phones") -> DataFrame:
@@ -31,11 +33,19 @@ def _kinds(matched: DataFrame) -> DataFrame:
     return phone_codes(matched.groupBy("cluster", "phones").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _distances(kinds: DataFrame) -> DataFrame:
-    """cluster, n_a, n_b, d of the pairs of distinct sequences of a cluster."""
-    a = kinds.select("cluster", F.col("coded").alias("a"), F.col("n").alias("n_a"))
-    b = kinds.select("cluster", F.col("coded").alias("b"), F.col("n").alias("n_b"))
-    return a.join(b, "cluster").where("a < b").select("cluster", "n_a", "n_b", either_empty_is_one(F.col("a"), F.col("b")).alias("d"))
+def _distances(kinds: DataFrame, tile: int = TILE) -> DataFrame:
+    """cluster, n_a, n_b, d of the pairs of distinct sequences of a cluster.
+
+    A cluster's sequences are dealt into blocks of about ``tile``; a pair of blocks
+    is a key of the join, so a cluster of any size is many tasks.
+    """
+    sizes = kinds.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("coded"), F.col("blocks")).cast("int")
+    dealt = kinds.select("cluster", "coded", "n").join(sizes, "cluster").withColumn("own", own)
+    a = dealt.select("cluster", F.col("coded").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("tile_a"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("tile_b"))
+    b = dealt.select("cluster", F.col("coded").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("tile_b"), F.explode(F.sequence(F.lit(0), "own")).alias("tile_a"))
+    pairs = a.join(b, ["cluster", "tile_a", "tile_b"]).where((F.col("tile_a") < F.col("tile_b")) | (F.col("a") < F.col("b")))
+    return pairs.select("cluster", "n_a", "n_b", either_empty_is_one(F.col("a"), F.col("b")).alias("d"))
 
 
 def ned(matched: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import time
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from wordloom.operators import evaluate, features, intervals, lookup, pairwise, quantise
 from wordloom.plans import flows
 from wordloom.sources import alignments, partitions
-from wordloom.sources.catalog import Catalog, RunKey, exists
+from wordloom.sources.catalog import Catalog, RunKey, exists, fingerprint
 from wordloom.sources.features import MODELS, as_frames, extract, read_features
 from wordloom.sources.units import units_or_make
 
@@ -84,8 +85,18 @@ class Corpus:
         self.nodes = lookup.node_ids(self.frames.select("node").distinct())
         self.store = Catalog(spark, a.catalog) if a.catalog else None
 
-    def key(self, kind: str, **settings: object) -> RunKey:
-        return RunKey(kind, self.a.language, self.a.dataset or self.a.frames, self.a.model, self.a.layer, **settings)
+    def key(self, kind: str, *inputs: str, **settings: object) -> RunKey:
+        """The key of what is made from the frames and from tables with the fingerprints ``inputs``."""
+        return RunKey(kind, self.a.language, self.a.dataset or self.a.frames, self.a.model, self.a.layer, inputs="/".join((self.prints["frames"], *inputs)), **settings)
+
+    @cached_property
+    def prints(self) -> dict[str, str]:
+        """Fingerprints of the inputs; nothing is read where nothing is kept."""
+        tables = {"frames": self.frames, "words": self.words, "train": self.spark.read.parquet(self.a.train_frames) if self.a.train_frames else None}
+        if self.a.units and exists(self.spark, self.a.units):
+            tables["units"] = self.spark.read.parquet(self.a.units)
+        found = {name: fingerprint(t) if self.store and t is not None else "" for name, t in tables.items()}
+        return {"units": "", **found, "train": found["train"] or found["frames"]}
 
     def kept(self, key: RunKey, make: Callable[[], DataFrame]) -> DataFrame:
         return self.store.get_or_make(key, make) if self.store else make()
@@ -93,7 +104,7 @@ class Corpus:
     def codebook(self, k: int) -> DataFrame:
         """Centres of the training split's frames, which are those at hand unless --train_frames names others."""
         dataset = quantise.train_split(self.a.language) if self.a.language else self.a.train_frames or self.a.frames
-        key = RunKey("codebook", self.a.language, dataset, self.a.model, self.a.layer, k=k)
+        key = RunKey("codebook", self.a.language, dataset, self.a.model, self.a.layer, k=k, inputs=f"{self.prints['train']}/{self.a.batch_files or 'all'}")
         train = self.spark.read.parquet(self.a.train_frames) if self.a.train_frames else self.frames
         if self.a.batch_files:
             return self.kept(key, lambda: quantise.train_codebook_by_batches(train.select("node", "frame", "vec"), k, self.a.batch_files))
@@ -105,10 +116,14 @@ class Corpus:
 
         if self.a.units:
             return units_or_make(self.spark, self.a.units, self.nodes.count(), make)
-        return self.kept(self.key("units", k=k, lmbda=lmbda), make)
+        return self.kept(self.key("units", *self._trained(), k=k, lmbda=lmbda), make)
+
+    def _trained(self) -> tuple[str, ...]:
+        """What units depend on besides the frames."""
+        return self.prints["train"], str(self.a.batch_files or "all"), self.prints["units"]
 
     def edges(self, distance: str, threshold: float, k: int | None, lmbda: float | None) -> DataFrame:
-        key = self.key("edges", distance=distance, threshold=threshold, k=k, lmbda=lmbda)
+        key = self.key("edges", *(self._trained() if distance == "ed" else ()), distance=distance, threshold=threshold, k=k, lmbda=lmbda)
         if distance == "ed" and (k is None or lmbda is None):
             raise ValueError("ed needs --k and --lmbda")
         makers = {"cos": self._cosine, "dtw": self._warped, "ed": lambda x: self._edits(x, k, lmbda)}
@@ -121,10 +136,10 @@ class Corpus:
         return pairwise.build_graph("cos", threshold, embeddings=made.join(self.nodes, "node").select("node_id", "emb"))
 
     def _warped(self, threshold: float) -> DataFrame:
-        made = _nested(features.project(self.frames.select("node", "frame", "vec"))).join(self.nodes, "node").select("node_id", "frames")
+        made = _nested(features.project(self.frames.select("node", "frame", "vec"))).join(self.nodes, "node").select("node_id", "node", "frames")
         if self.store is None:
             return pairwise.build_graph("dtw", threshold, words=made)
-        pairs = pairwise.kept_dtw_pairs(self.store.tiles(self.key("pairs", distance="dtw", threshold=threshold)), made, below=threshold)
+        pairs = pairwise.kept_dtw_pairs(self.store.tiles(RunKey("pairs", self.a.language, "", self.a.model, self.a.layer, "dtw", threshold)), made, below=threshold)
         return pairwise.dtw_graph(pairs, threshold)
 
     def _edits(self, threshold: float, k: int, lmbda: float) -> DataFrame:
@@ -142,7 +157,7 @@ def graph(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """
     began, c = time.time(), Corpus(spark, a)
     edges = c.edges(a.distance, a.threshold, a.k, a.lmbda)
-    key = c.key("graph", distance=a.distance, threshold=a.threshold, k=a.k, lmbda=a.lmbda, resolution=a.res)
+    key = c.key("graph", c.prints["words"], *(c._trained() if a.distance == "ed" else ()), distance=a.distance, threshold=a.threshold, k=a.k, lmbda=a.lmbda, resolution=a.res)
     labels = flows.graph_clusters(c.nodes, edges, lookup.type_count(c.words).first()[0], a.res, catalog=c.store, key=key)
     return _finish(spark, _members(c.nodes, labels, c.frames), c.words, a.out, began)
 

@@ -528,6 +528,32 @@ def ward_clusters(spark, sf_dir):
     return _by_least(clustering.ward(_apart(_pooled(spark, sf_dir), _label(), "emb"), 10))
 
 
+#: K-means++ with three runs: centres, rounds of Lloyd.
+PLUS_K, PLUS_ROUNDS = 4, 2
+
+
+def _plus_plus_sql() -> str:
+    square = "list_sum(list_transform(list_zip({0}.emb, {1}.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes, ends = [STD], []
+    for run in range(clustering.KMEANS_RUNS):
+        for step in range(PLUS_K):
+            u = f"((CAST('0x' || substr(md5('0|{run}|{step}|' || emb.node), 1, 12) AS BIGINT) + 1) / 281474976710656.0)"
+            far = "1.0" if step == 0 else f"(SELECT min({square.format('emb', 'q')}) FROM ({' UNION ALL '.join(f'SELECT c FROM p{run}_{s}' for s in range(step))}) q)"
+            ctes.append(f"p{run}_{step} AS MATERIALIZED (SELECT {step} AS label, emb AS c FROM (SELECT emb, node, -ln(u) / far AS wait FROM (SELECT emb.emb, emb.node, {u} AS u, {far} AS far FROM emb) WHERE far > 0) ORDER BY wait, node LIMIT 1)")
+        ctes.append(f"k{run}_0 AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM p{run}_{s}' for s in range(PLUS_K))})")
+        for r in range(PLUS_ROUNDS + 1):
+            ctes.append(f"a{run}_{r} AS MATERIALIZED (SELECT node, emb, arg_min(label, d) AS label, min(d) AS d FROM (SELECT node, emb, label, {square.format('x', 'k')} AS d FROM emb x CROSS JOIN k{run}_{r} k) GROUP BY ALL)")
+            ctes.append(f"k{run}_{r + 1} AS MATERIALIZED (SELECT label, coalesce(m, c) AS c FROM k{run}_{r} LEFT JOIN (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(len(emb))) AS i, unnest(emb) AS x FROM a{run}_{r}) GROUP BY ALL) GROUP BY label) USING (label))")
+        ends.append(f"SELECT {run} AS run, node, label, sum(d) OVER () AS inertia FROM a{run}_{PLUS_ROUNDS}")
+    return f"WITH {', '.join(ctes)}, e AS ({' UNION ALL '.join(ends)}) SELECT node, min(node) OVER (PARTITION BY label) AS cluster FROM e WHERE run = (SELECT arg_min(run, inertia) FROM e)"
+
+
+@register(_plus_plus_sql())
+def kmeans_plus_plus(spark, sf_dir):
+    """The best of three runs from k-means++ on the pooled vectors as they are."""
+    return _by_least(clustering.kmeans(_pooled(spark, sf_dir), PLUS_K, rounds=PLUS_ROUNDS))
+
+
 #: Ward linkage step by step: the two clusters whose union costs least are joined until WARD_K are left.
 WARD_K = 10
 

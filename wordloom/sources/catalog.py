@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,9 +48,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def print_of(*columns: str) -> Column:
+    """An aggregate: a fingerprint of a group's rows, in whatever order they come."""
+    sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).cast("string") for seed in ("a", "b")]
+    return F.sha2(F.concat_ws("/", F.count(F.lit(1)).cast("string"), *[F.coalesce(x, F.lit("0")) for x in sums]), 256)
+
+
+def fingerprint(table: DataFrame) -> str:
+    """Of all rows and columns of a table, whatever their order."""
+    return table.agg(print_of(*sorted(table.columns)).alias("print")).first()["print"]
+
+
 @dataclass(frozen=True)
 class RunKey:
-    """What a result depends on; the resolution is part of it."""
+    """What a result depends on: settings, the resolution among them, and a fingerprint of what it is made from."""
 
     kind: str
     language: str
@@ -62,6 +73,7 @@ class RunKey:
     k: int | None = None
     lmbda: float | None = None
     resolution: float | None = None
+    inputs: str = ""
 
     def text(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)

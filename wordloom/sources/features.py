@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.sources.catalog import exists
+from wordloom.sources.flac import read_flac
 
 #: The audio suffix of each language.
 SUFFIX = {"english": "flac", "mandarin": "wav"}
@@ -83,6 +84,11 @@ def read_wave(content: bytes) -> tuple[np.ndarray, int]:
         return x.reshape(-1, f.getnchannels()).mean(axis=1).astype(np.float32), f.getframerate()
 
 
+def read_audio(content: bytes) -> tuple[np.ndarray, int]:
+    """:func:`read_wave`, or for FLAC files :func:`~wordloom.sources.flac.read_flac`, as the first bytes tell."""
+    return read_wave(content) if content[:4] == b"RIFF" else read_flac(content)
+
+
 def resample(samples: np.ndarray, rate: int, wanted: int = SAMPLE_RATE, lobes: int = 16) -> np.ndarray:
     """Samples at another rate, by a sinc under a Hann window of ``lobes`` zero crossings a side."""
     if rate == wanted or not len(samples):
@@ -118,13 +124,13 @@ def _hidden(encoder: Encoder, samples: np.ndarray, model: str, layer: int) -> np
     return np.asarray(out if model == UNIT_MODEL else out[int(layer) - 1], np.float64)
 
 
-def encode(audio: DataFrame, spec: str, model: str, layer: int, decode: Callable[[bytes], tuple[np.ndarray, int]] = read_wave) -> DataFrame:
+def encode(audio: DataFrame, spec: str, model: str, layer: int, decode: Callable[[bytes], tuple[np.ndarray, int]] = read_audio) -> DataFrame:
     """node, frames of audio (node, content): decoded, brought to SAMPLE_RATE, encoded; one layer kept.
 
     If ``audio`` has spans (array<struct<seg_id, start, end>> in seconds), each is
     a row of its own, called ``{node}_{seg_id}``; an empty one is left out.  The
     speech models are not part of this package: ``spec`` names a function that
-    loads one.  FLAC needs a ``decode`` of the caller's.
+    loads one.  WAV and FLAC are decoded; others need a ``decode`` of the caller's.
     """
     if model not in MODELS:
         raise ValueError(f"no model {model!r}; there are {', '.join(MODELS)}")
@@ -147,7 +153,7 @@ def encode(audio: DataFrame, spec: str, model: str, layer: int, decode: Callable
     return audio.select(*columns).mapInPandas(run, "node string, frames array<array<double>>")
 
 
-def hours_of(audio: DataFrame, decode: Callable[[bytes], tuple[np.ndarray, int]] = read_wave) -> DataFrame:
+def hours_of(audio: DataFrame, decode: Callable[[bytes], tuple[np.ndarray, int]] = read_audio) -> DataFrame:
     """name, hours of audio (node, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +166,7 @@ def hours_of(audio: DataFrame, decode: Callable[[bytes], tuple[np.ndarray, int]]
 
 def extract(
     spark: SparkSession, language: str, folder: str, out: str, spec: str, model: str, layer: int, segments: DataFrame | None = None, for_kmeans: bool = False,
-    decode: Callable[[bytes], tuple[np.ndarray, int]] = read_wave, suffix: str | None = None,
+    decode: Callable[[bytes], tuple[np.ndarray, int]] = read_audio, suffix: str | None = None,
 ) -> DataFrame:
     """Features of all audio files of a folder, kept in ``out``: of whole utterances of english, of speech segments of mandarin.
 
