@@ -83,12 +83,12 @@ def test_results_are_known_by_what_they_are_made_from(spark, corpus, monkeypatch
         monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **k: made.append(n) or f(*a, **k))
     common = ["--catalog", at("cat"), "--k", "3", "--lmbda", "1", "--language", "mandarin", "--dataset", "dev"]
     run = lambda out, *more, frames="f": made.clear() or cli.run(spark, ["graph", at(frames), at("b"), at(out), "ed", "0.4", *common, *more]) and list(made)
-    assert run("a") == ["train_codebook", "edit_graph"] and run("b") == []
-    assert run("c", "--batch_files", "5") == ["train_codebook_by_batches", "edit_graph"]
+    assert run("o1") == ["train_codebook", "edit_graph"] and run("o2") == []
+    assert run("o3", "--batch_files", "5") == ["train_codebook_by_batches", "edit_graph"]
     frames = spark.read.parquet(at("f"))
     frames.withColumn("vec", F.when(F.col("node") == "a_0", F.transform("vec", lambda x: x + 1)).otherwise(F.col("vec"))).write.parquet(at("g"))
-    assert run("d", frames="g") == ["train_codebook", "edit_graph"] and run("e") == []
-    assert run("h", "--train_frames", at("g")) == ["train_codebook", "edit_graph"]
+    assert run("o4", frames="g") == ["train_codebook", "edit_graph"]
+    assert run("o6", "--train_frames", at("g")) == ["edit_graph"]  # by the codebook of the changed frames, which is there
 
 
 def test_units_folder_and_batches(spark, corpus):

@@ -104,7 +104,7 @@ def test_channels_and_depths(layout, depth):
 def test_constant_wasted_bits_and_many_frames():
     data, want = file([[np.full(64, -5)], [np.full(32, 0)]], 16, 8000, 0, ["constant"])
     assert (flac.decode_flac(data)[0] == want).all()
-    data, want = file([[tone(64, 16, 1) << 3]], 16, 8000, 0, ["fixed1"], wasted=3, partitions=1)
+    data, want = file([[tone(64, 12, 1) << 3]], 16, 8000, 0, ["fixed1"], wasted=3, partitions=1)
     assert (flac.decode_flac(data)[0] == want).all()
     data, want = file([[tone(16, 16, k)] for k in range(300)], 16, 8000, 0, ["fixed1"], partitions=0)
     assert len(want) == 4800 and (flac.decode_flac(data)[0] == want).all()
