@@ -71,6 +71,16 @@ def test_second_run_makes_nothing_again(spark, corpus, monkeypatch):
         cli.run(spark, ["cut", at("npy"), at("b"), at("f2")])
 
 
+def test_words_without_frames_are_cut_once(spark, corpus, monkeypatch):
+    at = lambda name: str(corpus / name)
+    cli.run(spark, ["boundaries", "mandarin", at("ali"), at("b")])
+    longer = spark.read.csv(at("b"), header=True).limit(1).withColumn("word_id", F.lit("99")).withColumn("word_start", F.lit("900.0")).withColumn("word_end", F.lit("901.0"))
+    spark.read.csv(at("b"), header=True).unionByName(longer).write.csv(at("b2"), header=True)
+    assert cli.run(spark, ["cut", at("npy"), at("b2"), at("f")]).select("node").distinct().count() == 12
+    monkeypatch.setattr(cli.intervals, "cut_frames", lambda *_: 1 / 0)
+    assert cli.run(spark, ["cut", at("npy"), at("b2"), at("f")]).select("node").distinct().count() == 12
+
+
 def test_results_are_known_by_what_they_are_made_from(spark, corpus, monkeypatch):
     """Changed frames, words or training frames, or batches, under the same names, are other results; tiles of other words stay."""
     from wordloom.operators import pairwise, quantise
@@ -137,6 +147,8 @@ def test_extract(spark, tmp_path):
     args = ["extract", "mandarin", at("audio"), at("o2"), "hubert-soft", "7", *base, "--segments", at("vad")]
     parts = {r.node: len(r.frames) for r in cli.run(spark, args).collect()}
     assert parts == {"x_0": 25, "x_1": 25, "y_0": 10}
+    # a segment without samples has no features, which is no reason to make all again
+    assert {r.node for r in cli.run(spark, [*args[:6], "--encoder", "tests.encoders:missing", "--segments", at("vad")]).collect()} == set(parts)
     capped = cli.run(spark, ["extract", "english", at("audio"), at("o3"), "mhubert", "1", *base, "--suffix", "wav", "--for_kmeans"])
     assert capped.count() == 2
     with pytest.raises(ValueError):

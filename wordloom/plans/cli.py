@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wordloom.operators import evaluate, features, intervals, lookup, pairwise, quantise
 from wordloom.plans import flows
 from wordloom.sources import alignments, partitions
-from wordloom.sources.catalog import Catalog, RunKey, exists, fingerprint
+from wordloom.sources.catalog import Catalog, RunKey, exists, fingerprint, made_from, note_made
 from wordloom.sources.features import MODELS, as_frames, extract, read_features
 from wordloom.sources.units import units_or_make
 
@@ -51,11 +51,13 @@ def make_segments(spark: SparkSession, boundaries: str, out: str) -> DataFrame:
 def cut(spark: SparkSession, feature_folder: str, boundaries: str, out: str, segments: str | None = None) -> DataFrame:
     """Word frames of utterance features; of segment features ({filename}_{seg_id}) if ``segments`` is given.
 
-    A table that is there is read if it has as many words as the boundaries, else
-    made again; it is not counted once more, as words without frames have no rows.
+    A table that is there is read if it was made from as many words as the
+    boundaries have, or has as many, else made again.  Words without frames have no
+    rows, so the number is noted beside the table.
     """
     words = alignments.read_boundaries(spark, boundaries)
-    if exists(spark, out) and spark.read.parquet(out).select("node").distinct().count() == words.count():
+    n = words.count()
+    if made_from(spark, out, n) or (exists(spark, out) and spark.read.parquet(out).select("node").distinct().count() == n):
         return spark.read.parquet(out)
     frames = as_frames(read_features(spark, feature_folder))
     if segments is None:
@@ -64,6 +66,7 @@ def cut(spark: SparkSession, feature_folder: str, boundaries: str, out: str, seg
         kept = frames.withColumn("filename", F.regexp_extract("node", "^(.*)_[^_]*$", 1)).withColumn("seg_id", F.regexp_extract("node", "_([0-9]+)$", 1).cast("int"))
         found = intervals.cut_segment_frames(words, alignments.read_segments(spark, segments), kept)
     found.select(F.concat_ws("_", "filename", "word_id").alias("node"), "filename", "word_id", "frame", "vec").write.mode("overwrite").parquet(out)
+    note_made(spark, out, n)
     return spark.read.parquet(out)
 
 

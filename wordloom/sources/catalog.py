@@ -48,6 +48,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def made_from(spark: SparkSession, path: str, n: int) -> bool:
+    """Whether the table at ``path`` is noted as made from ``n`` rows."""
+    note = f"{path}.made"
+    return exists(spark, path) and exists(spark, note) and spark.read.schema("n long").json(note).first()["n"] == n
+
+
+def note_made(spark: SparkSession, path: str, n: int) -> None:
+    """Note beside a table from how many rows it was made; some of them may have no rows there."""
+    spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("overwrite").json(f"{path}.made")
+
+
 def print_of(*columns: str) -> Column:
     """An aggregate: a fingerprint of a group's rows, in whatever order they come."""
     sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).cast("string") for seed in ("a", "b")]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.sources.catalog import exists
+from wordloom.sources.catalog import exists, made_from, note_made
 from wordloom.sources.flac import read_flac
 
 #: The audio suffix of each language.
@@ -63,9 +63,13 @@ def write_features(features: DataFrame, folder: str) -> None:
 
 
 def features_or_make(spark: SparkSession, folder: str, expected: int, make: Callable[[], None]) -> DataFrame:
-    """Features of a folder; made first, once, if there are fewer than ``expected``."""
-    if not exists(spark, folder) or read_features(spark, folder).count() < expected:
+    """Features of a folder; made first if there are fewer than ``expected`` and it is not noted that they were made from so many.
+
+    Utterances or segments without samples have no features, so these may stay fewer.
+    """
+    if not made_from(spark, folder, expected) and (not exists(spark, folder) or read_features(spark, folder).count() < expected):
         make()
+        note_made(spark, folder, expected)
     return read_features(spark, folder)
 
 
