@@ -566,8 +566,8 @@ WARD_K = 10
     FROM best JOIN c x ON x.id = best.a JOIN c y ON y.id = best.b WHERE (SELECT count(*) FROM c) > {WARD_K}))
   SELECT m AS node, min(m) OVER (PARTITION BY id) AS cluster FROM (SELECT id, unnest(members) AS m FROM c WHERE step = (SELECT max(step) FROM c))""")
 def ward_real_vectors(spark, sf_dir):
-    """Rounds of mutual nearest neighbours in tiles of 64 until 32 clusters are left, on the pooled vectors as they are."""
-    return _by_least(clustering.ward(_pooled(spark, sf_dir), WARD_K, block=64, most=32))
+    """Rounds of mutual nearest neighbours in tiles of 64 until 100 clusters are left, on the pooled vectors as they are."""
+    return _by_least(clustering.ward(_pooled(spark, sf_dir), WARD_K, block=64, most=100))
 
 
 @register(f"WITH {STD} SELECT i, count(*) AS n, round(sum(x), 5) + 0.0 AS total, (SELECT round(sum(x * x), 5) FROM un) AS squares FROM un GROUP BY i")
