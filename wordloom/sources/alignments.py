@@ -14,7 +14,8 @@ from wordloom import schema
 #: Names that a tier may have, in order of preference.
 WORD_TIERS = ("words", "word", "Words", "Word")
 PHONE_TIERS = ("phones", "phone", "Phones", "Phone")
-_TIERS = "filename string, tier string, pos int, xmin double, xmax double, label string, corrupt string"
+#: The schema of the intervals of TextGrids.
+TIERS = "filename string, tier string, pos int, xmin double, xmax double, label string, corrupt string"
 
 
 def parse_textgrid(text: str) -> dict[str, list[tuple[float, float, str]]]:
@@ -43,21 +44,24 @@ def parse_textgrid(text: str) -> dict[str, list[tuple[float, float, str]]]:
     return tiers
 
 
+def tiers_of(name: str, content: bytes) -> list[tuple]:
+    """Rows of TIERS of one file; a broken file is one row with ``corrupt`` set, not the end of a scan."""
+    try:
+        tiers, rows = parse_textgrid(content.decode("utf-8")), []
+        for kind, names in (("words", WORD_TIERS), ("phones", PHONE_TIERS)):
+            tier = next((tiers[n] for n in names if n in tiers), None)
+            if not tier:
+                raise ValueError(f"no tier of {kind}")
+            rows += [(name, kind, k, a, b, label, None) for k, (a, b, label) in enumerate(tier)]
+        return rows
+    except Exception as e:
+        return [(name, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["filename", "tier", "pos", "xmin", "xmax", "label", "corrupt"]
     for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            try:
-                tiers = parse_textgrid(bytes(content).decode("utf-8"))
-                for kind, names in (("words", WORD_TIERS), ("phones", PHONE_TIERS)):
-                    tier = next((tiers[n] for n in names if n in tiers), None)
-                    if not tier:
-                        raise ValueError(f"no tier of {kind}")
-                    rows += [(name, kind, k, a, b, label, None) for k, (a, b, label) in enumerate(tier)]
-            except Exception as e:  # a broken file is a row of its own, not the end of the scan
-                rows = [r for r in rows if r[0] != name] + [(name, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+        rows = [r for path, content in zip(batch["path"], batch["content"], strict=True) for r in tiers_of(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], bytes(content))]
         yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32"})
 
 
@@ -67,7 +71,7 @@ def read_textgrids(spark: SparkSession, folder: str) -> DataFrame:
     A file that cannot be parsed or lacks a tier gives one row with ``corrupt`` set.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").load(folder)
-    return files.select("path", "content").mapInPandas(_scan, _TIERS)
+    return files.select("path", "content").mapInPandas(_scan, TIERS)
 
 
 def textgrid_words(tiers: DataFrame) -> DataFrame:
