@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from wordloom.functions import phones as ph
 from wordloom.functions.vectors import dot, pair_of_index
 from wordloom.operators import clustering, communities, evaluate, features, intervals, lookup, pairwise, quantise
 from wordloom.plans import flows
+from wordloom.sources import datasource
+from wordloom.sources.catalog import shared_folder
 from wordloom.sources.features import within_budget
 from wordloom.sources.partitions import parse_partition, partition_lines
 from wordloom.streaming.segments import session_segments
@@ -344,6 +347,35 @@ def pca_gram(spark, sf_dir):
     return p.join(nxt, ["node", "frame"]).select("node", F.col("frame").cast("int").alias("frame"), (F.round(dot(F.col("vec"), F.col("last")), 5) + 0.0).alias("gram"))
 
 
+#: As many components as the query keeps; the twin finds them one after another by squaring the covariance until one direction is left.
+PCA_KEPT, PCA_SQUARINGS = 16, 16
+_SQUARED = "list_transform(list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))), lambda r: list_transform(r, lambda x: x / t))"
+
+
+def _pca_sql() -> str:
+    return f"""WITH RECURSIVE {STD},
+  cv AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM wf) AS x FROM sx a JOIN sx b ON a.node = b.node AND a.frame = b.frame GROUP BY ALL),
+  mat AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(x ORDER BY j) AS r FROM cv GROUP BY i)),
+  pw AS (
+    SELECT 1 AS k, 0 AS s, c, c AS m, CAST(NULL AS DOUBLE) AS v FROM mat
+    UNION ALL
+    SELECT k + CAST(s = {PCA_SQUARINGS} AS INT), CASE WHEN s = {PCA_SQUARINGS} THEN 0 ELSE s + 1 END, CASE WHEN s = {PCA_SQUARINGS} THEN d ELSE c END, CASE WHEN s = {PCA_SQUARINGS} THEN d ELSE q END,
+      CASE WHEN s = {PCA_SQUARINGS} THEN lam END
+    FROM (SELECT *, list_transform(list_zip(c, m), lambda z: list_transform(list_zip(z[1], z[2]), lambda y: y[1] - lam * y[2])) AS d
+          FROM (SELECT *, list_sum(list_transform(list_zip(c, m), lambda z: list_dot_product(z[1], z[2]))) AS lam, {_SQUARED} AS q
+                FROM (SELECT *, list_sum(list_transform(m, lambda a: list_dot_product(a, a))) AS t FROM pw WHERE k <= {PCA_KEPT})))
+  )
+  SELECT CAST(k - 1 AS BIGINT) AS component, round(v, 6) AS variance FROM pw WHERE v IS NOT NULL"""
+
+
+@register(_pca_sql())
+def pca_variances(spark, sf_dir):
+    """The variance of the frames along each of the first components, greatest first."""
+    p = features.project(_frames(spark, sf_dir).select("node", "frame", "vec"), PCA_KEPT)
+    rows = p.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v"))
+    return rows.select((F.col("i") + 1).cast("long").alias("component"), F.round("v", 6).alias("variance"))
+
+
 def _book(spark, sf_dir):
     f = fx.frames(spark, sf_dir)
     return features.pool(f.select("label", "vec"), by="label", normalise=False).select(F.col("label").cast("int").alias("code"), F.col("emb").alias("vec"))
@@ -679,6 +711,42 @@ def partition_roundtrip(spark, sf_dir):
     return parse_partition(blocks.select(F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("value"))).drop("rest")
 
 
+# --- files through data sources ---------------------------------------------------
+
+
+def _through_files(spark, name, write, rows):
+    """What ``rows`` are after they were written to a folder of their own and read by the data source."""
+    folder = f"{shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"
+    write(rows, folder)
+    return spark.read.format(f"wordloom_{name}").load(folder)
+
+
+@register(f"""WITH {W}, {P} SELECT filename, 'words' AS tier, CAST(row_number() OVER (PARTITION BY filename ORDER BY word_id) - 1 AS INT) AS pos, word_start AS xmin, word_end AS xmax, text AS label FROM w
+  UNION ALL SELECT filename, 'phones', CAST(row_number() OVER (PARTITION BY filename ORDER BY pos) - 1 AS INT), p_start, p_end, phone FROM p""")
+def textgrid_files(spark, sf_dir):
+    """Words and phones as TextGrids, one a file of speech, and all intervals read back."""
+    w = fx.words(spark, sf_dir)
+    spoken = w.select("filename", F.lit("words").alias("tier"), F.col("word_id").cast("int").alias("pos"), F.col("word_start").alias("xmin"), F.col("word_end").alias("xmax"), F.col("text").alias("label"))
+    phones = fx.phones(w).select("filename", F.lit("phones").alias("tier"), "pos", F.col("start").alias("xmin"), F.col("end").alias("xmax"), F.col("phone").alias("label"))
+    return _through_files(spark, "textgrid", datasource.write_textgrids, spoken.unionByName(phones)).drop("corrupt")
+
+
+@register(f"WITH {WF} SELECT node, CAST(frame AS INT) AS frame, i, round(x, 6) + 0.0 AS x FROM (SELECT node, frame, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM wf)")
+def npy_files(spark, sf_dir):
+    """Frames of words as .npy files, one a word, read back frame by frame."""
+    words = fx.nested(_frames(spark, sf_dir))
+    read = _through_files(spark, "npy", datasource.write_npy, words)
+    return read.select("node", "frame", F.posexplode("vec").alias("i", "x")).select("node", "frame", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@register(f"WITH {W} SELECT (word_id % 3) * 10 + length(text) AS cluster, filename, word_start AS \"start\", word_end AS \"end\", text || ' ' || array_to_string(regexp_extract_all(text, '.'), ',') AS rest FROM w")
+def partition_files(spark, sf_dir):
+    """A partition as files of blocks, read back."""
+    w = fx.words(spark, sf_dir)
+    lines = partition_lines(_members(w), w, decimals=2)
+    return _through_files(spark, "partition", datasource.write_partitions, lines)
+
+
 @register(f"""WITH RECURSIVE {COS}, {COMPONENTS}, tc AS (SELECT split_part(node, '_', 1) AS t, c, count(*) AS n FROM (SELECT a AS node_id, min(b) AS c FROM reach GROUP BY a) JOIN ids USING (node_id) GROUP BY ALL),
   {ENT} SELECT * FROM ({PURITY.format('purity', 'c')}), ({PURITY.format('completeness_star', 't')}), ({VM}), ({COUNTS})""")
 def graph_flow_cos(spark, sf_dir):
