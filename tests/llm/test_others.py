@@ -1,12 +1,18 @@
 """Nearest neighbours, WARC audits, chats and the pipeline against plain Python."""
 
+import gzip
+import hashlib
+import io
+import random
+import tempfile
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare
-from wordloom.llm import ann, chat, packing, quality, queries, warc
+from wordloom.llm import _warcfile, ann, chat, packing, quality, queries, warc
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -127,8 +133,6 @@ def test_warc_audit(spark):
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc_files(spark, tmp_path, compression):
     """An index of stored bytes is that of the archive; damage to bytes is found where it is."""
-    import gzip
-
     rows = [(k, f"http://h{k % 3}/p{k}", "x" * (k % 50) + f"é\r\n\r\nWARC/1.1 {k}") for k in range(200)] + [(None, None, None), (7, "u", "y" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("value", F.lit("clash"))
     warc.write_warc(pages, f"file://{tmp_path}/a", 40, compression)
@@ -254,3 +258,70 @@ def test_long_and_repeated_rows(spark):
         by.setdefault(p.sequence_id, []).append((p.offset, p.length))
     for spans in by.values():
         assert [a for a, _ in sorted(spans)] == np.cumsum([0, *[n for _, n in sorted(spans)]])[:-1].tolist()
+
+
+def _entries_of(content: bytes):
+    """(offset, length, digest) of records and of what lies between, from all bytes at once."""
+    at = 0
+    while at < len(content):
+        end = -1
+        head = content.find(b"\r\n\r\n", at) if content.startswith(b"WARC/", at) else -1
+        if head >= 0:
+            fields = [line.split(b":", 1) for line in content[at:head].split(b"\r\n")[1:] if b":" in line]
+            size = {k.strip().lower(): v.strip() for k, v in fields}.get(b"content-length", b"")
+            if size.isdigit() and content.startswith(b"\r\n\r\n", head + 4 + int(size)):
+                end = head + 8 + int(size)
+        if end < 0:
+            found = content.find(b"\r\n\r\nWARC/", at + 1)
+            end = found + 4 if found >= 0 else len(content)
+        yield at, end - at, hashlib.sha256(content[at:end]).hexdigest()
+        at = end
+
+
+def _warc(size, claim=None):
+    body = bytes(97 + k % 23 for k in range(size))
+    return b"WARC/1.1\r\nWARC-Type: resource\r\ncontent-length : %d\r\n\r\n" % (size if claim is None else claim) + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", ["plain", "gzip", "members"])
+def test_warc_streams(monkeypatch, packed):
+    """Pieces of a few bytes give what all bytes at once give, whatever is damaged and whatever heads claim."""
+    monkeypatch.setattr(_warcfile, "PIECE", 16)
+    monkeypatch.setattr(_warcfile, "HELD", 120)
+    rng = random.Random(3)
+    parts = [_warc(0), _warc(5), _warc(90), _warc(700), _warc(60, 10**12), _warc(60, 10**40), _warc(300, 900), _warc(300, 20), b"WARC/1.0\r\n\r\n", b"WARC/", b"\r\n\r\n", b"stray", b"\r\n\r\nWAR", b"WARC/1.1\r\nContent-Length: x\r\n\r\n"]
+    for _ in range(300):
+        chosen = [rng.choice(parts) for _ in range(rng.randrange(9))]
+        if packed == "members":
+            stored = b"".join(gzip.compress(p) + rng.choice([b"", b"\0" * 40]) for p in chosen)
+        else:
+            stored = gzip.compress(b"".join(chosen)) if packed == "gzip" else b"".join(chosen)
+        assert list(_warcfile.entries(io.BytesIO(stored))) == list(_entries_of(b"".join(chosen)))
+
+
+def test_warc_streams_that_break_off():
+    """A cut or spoiled gzip stream gives its records up to there; what is held stays small beside the file."""
+    one, long = _warc(50), _warc(30 << 20)
+    stored = gzip.compress(one) + gzip.compress(one + one)
+    assert list(_warcfile.entries(io.BytesIO(stored[:-12])))[:2] == list(_entries_of(one * 2))
+    spoiled = gzip.compress(one) + b"\x1f\x8b\x08" + b"?" * 500
+    assert list(_warcfile.entries(io.BytesIO(spoiled))) == list(_entries_of(one))
+    assert list(_warcfile.entries(io.BytesIO(b""))) == []
+    with tempfile.TemporaryFile() as file:  # outside Python's own memory, as stored files are
+        file.write(gzip.compress(long + long[:-1] + b"?" + one, 1))
+        file.seek(0)
+        tracemalloc.start()
+        found = list(_warcfile.entries(file))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert [n for _, n, _ in found] == [len(long), len(long) + len(one)] and peak < 16 << 20
+    assert found[0][2] == hashlib.sha256(long).hexdigest()
+
+
+def test_warc_lengths_that_are_no_numbers(spark, tmp_path):
+    """Extra files, empty ones and heads without a length do not stop a reading of the others."""
+    nameless = b"WARC/1.1\r\nContent-Length: \xc2\xb2\r\n\r\n"
+    for name, content in {"a.warc": _warc(3) + b"??", "b.warc": b"", "c.warc": nameless, "d é %20.warc": gzip.compress(_warc(4))}.items():
+        (tmp_path / name).write_bytes(content)
+    rows = warc.read_index(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.length for r in rows) == sorted([len(_warc(3)), 2, len(nameless), len(_warc(4))])

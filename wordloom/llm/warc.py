@@ -23,18 +23,23 @@ gives an empty tree, and two empty trees agree; extra columns are ignored.
 
 from __future__ import annotations
 
-import gzip
-import hashlib
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm._shared import small_batches, spool, tasks_for
+from wordloom.llm._shared import spool, tasks_for
+from wordloom.llm._warcfile import entries
 
 RECORDS_PER_FILE = 1000
 RANGE_BYTES, FANOUT = 1 << 16, 16
+#: Rows of a stored file's index in a batch.
+ENTRIES = 8192
+INDEX = pa.schema([("file_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())])
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -98,42 +103,36 @@ def write_warc(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PE
     dealt.select("file_id", line).write.mode("errorifexists").partitionBy("file_id").option("compression", compression).option("lineSep", "\n").text(folder)
 
 
-def _records_of(content: bytes) -> Iterator[tuple[int, int]]:
-    """(offset, length) of each record; a part that is no record goes on to the next record's first line."""
-    at = 0
-    while at < len(content):
-        head = content.find(b"\r\n\r\n", at) if content.startswith(b"WARC/", at) else -1
-        end = -1
-        if head >= 0:
-            fields = dict(line.split(b":", 1) for line in content[at:head].split(b"\r\n")[1:] if b":" in line)
-            size = {k.strip().lower(): v.strip() for k, v in fields.items()}.get(b"content-length", b"")
-            if size.isdigit() and content.startswith(b"\r\n\r\n", head + 4 + int(size)):
-                end = head + 8 + int(size)
-        if end < 0:
-            found = content.find(b"\r\n\r\nWARC/", at + 1)
-            end = found + 4 if found >= 0 else len(content)
-        yield at, end - at
-        at = end
+def _opened(path: str) -> pa.NativeFile:
+    """A stored file that can seek, by the path that Spark lists."""
+    scheme, rest = re.fullmatch(r"(?:([a-z][a-z0-9]*):)?(.*)", path, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    host, _, below = rest.removeprefix("//").partition("/")
+    if scheme in ("s3", "s3a", "s3n"):
+        return fs.S3FileSystem().open_input_file(f"{host}/{below}")
+    return fs.FileSystem.from_uri(f"{scheme}://{host}/")[0].open_input_file(f"/{below}")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """file_id, offset, length, digest of the records that the WARC files below ``folder`` hold, from their bytes.
 
     Offsets are those of the unpacked file; where a file is damaged, the bytes up
-    to the next record are one entry.  A task holds one file at a time; files of
-    other origin are numbered by 63 bits of a hash of their path below ``folder``,
-    so that replicas in different folders share numbers.
+    to the next record are one entry (:mod:`wordloom.llm._warcfile`).  Spark lists
+    the files and deals them to tasks by their bytes, without their contents; a
+    task reads its files one after the other as streams, so neither files nor
+    records need to fit in memory.  Files of other origin are numbered by 63 bits
+    of a hash of their path below ``folder``, so that replicas in different
+    folders share numbers.  Paths are those of a file system that pyarrow opens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                content = batch.column("content")[k].as_py()
-                content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                spans = list(_records_of(content))
-                digests = [hashlib.sha256(content[a : a + n]).hexdigest() for a, n in spans]
-                columns = [pa.array([batch.column("file_id")[k].as_py()] * len(spans), pa.int64()), *(pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1)), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["file_id", "offset", "length", "digest"])
+            for path, number in zip(batch.column("path").to_pylist(), batch.column("file_id").to_pylist(), strict=True):
+                with _opened(path) as file:
+                    found = entries(file)
+                    while some := list(islice(found, ENTRIES)):
+                        yield pa.RecordBatch.from_pydict({"file_id": [number] * len(some), **dict(zip(("offset", "length", "digest"), zip(*some, strict=True), strict=True))}, INDEX)
 
     own = F.regexp_extract("path", "/file_id=([0-9]+)/", 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("length > 0")
@@ -141,9 +140,8 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     top = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
     below = F.when(F.startswith("path", F.lit(top)), F.expr(f"substring(path, {len(top) + 1})")).otherwise(F.col("path"))
     foreign = F.xxhash64(below).bitwiseAND(F.lit((1 << 63) - 1))
-    named = files.select(F.when(own != "", own.cast("long")).otherwise(foreign).alias("file_id"), "content")
-    with small_batches(spark, rows=4):
-        return spool(named.mapInArrow(run, "file_id long, offset long, length long, digest string"), "warc-read")
+    named = files.select(F.when(own != "", own.cast("long")).otherwise(foreign).alias("file_id"), "path")
+    return spool(named.mapInArrow(run, "file_id long, offset long, length long, digest string"), "warc-read")
 
 
 def shape(*indexes: DataFrame) -> list[tuple[str, int]]:
