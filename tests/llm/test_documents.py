@@ -111,8 +111,8 @@ def test_sketch_limit_keeps_similar_pairs():
     assert far == 0
 
 
-@pytest.mark.parametrize("group_bytes,hot", [(1 << 20, 512), (3000, 2), (500, 0)])
-def test_suffixes(spark, group_bytes, hot):
+@pytest.mark.parametrize("group_bytes,hot,fan_in", [(1 << 20, 512, 1 << 14), (3000, 2, 1 << 14), (500, 0, 1 << 14), (500, 512, 3), (500, 2, 8)])
+def test_suffixes(spark, group_bytes, hot, fan_in):
     texts = [*corpus(1), "p" * 200, "p" * 120, "é" * 80, "xé" + "é" * 79]
     ids = list(range(len(texts)))
     ids[3] = ids[4]
@@ -128,10 +128,29 @@ def test_suffixes(spark, group_bytes, hot):
             if first[b[p : p + 50]] < i:
                 gone[p : p + 50] = [True] * 50
         expected.append((i, len(b), sum(gone), bytes(c for c, g in zip(b, gone, strict=True) if not g)))
-    got = [(r.doc_id, r.n_bytes, sum(e - s for s, e in zip(r.starts, r.ends)), bytes(r.kept)) for r in suffixes.remove_repeats(frame(spark, texts, ids), group_bytes=group_bytes, hot_groups=hot).collect()]
+    got = [(r.doc_id, r.n_bytes, sum(e - s for s, e in zip(r.starts, r.ends)), bytes(r.kept)) for r in suffixes.remove_repeats(frame(spark, texts, ids), group_bytes=group_bytes, hot_groups=hot, fan_in=fan_in).collect()]
     assert sorted(got) == sorted(expected)
 
 
+def test_suffixes_of_a_passage_that_all_groups_have(spark):
+    """No step of a bucket meets more rows than its share: shards send one copy of the passage each."""
+    passage = "A passage, longer than fifty bytes, that stands in every document of all."
+    texts = [f"{k} own words of text {k * k} {passage} and {k * 7} more" for k in range(400)]
+    found = suffixes.remove_repeats(frame(spark, texts), group_bytes=500, hot_groups=8, fan_in=20)
+    got = {r.doc_id: bytes(r.kept).decode() for r in found.collect()}
+    assert got[0] == texts[0] and all(got[k].count(passage[:40]) == 0 for k in range(1, 400))
+    assert found.agg(F.sum("n_bytes")).first()[0] == sum(map(len, texts))
+    rows = [
+        {"bucket": 0, "source": k, "keys": np.uint64(5).tobytes(), "ids": np.int64(k).tobytes(), "runs": np.array([0], "<u4").tobytes(), "bits": b"\0", "sizes": bytes([len(passage) - 49]), "bytes": passage.encode(), "masks": None}
+        for k in range(40)
+    ]
+    later = {name: [] for name, _ in suffixes._RUN_FIELDS}
+    out = {"group": [], "runs": [], "masks": []}
+    suffixes._match_bucket(rows, 50, out, later)
+    assert later["source"] == [0] and sorted(out["group"]) == list(range(1, 40))
+    assert bytes(later["bytes"][0]).decode() == passage and later["keys"] == [np.uint64(5).tobytes()]
+
+
 def test_suffixes_of_nothing_and_of_null_ids(spark):
     assert suffixes.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
     got = {r.doc_id: len(r.kept) for r in suffixes.remove_repeats(frame(spark, ["q" * 60, "q" * 60, None], [None, 4, 5])).collect()}

@@ -20,6 +20,13 @@ count; suffixes equal through that depth are the repeated windows.
    pass is a group of equal windows; all but those in the document with the
    least id are repetitions.  Hashes only deal: order and equality are of bytes.
 
+A passage that every group has would put a row of every group into one bucket.
+So a bucket takes ``FAN_IN`` groups at most at once: of more, shards of so many
+are worked through first.  A shard sends on each of its deals once, with the
+number of groups that have it; later it settles the repetitions that it can see
+and sends on only runs of which something is not repeated in it, so one copy of
+such a passage for a shard.
+
 Defined results: a null text counts as empty and a text shorter than ``depth``
 keeps all its bytes; rows that share an id are texts that take nothing from each
 other; a null id counts as greater than all others; an empty table gives an
@@ -45,6 +52,8 @@ GROUP_BYTES = 2 << 20
 BUCKET_GROUPS = 8
 #: A deal that more groups have is refined at once.
 HOT_GROUPS = 512
+#: Groups whose rows a bucket takes in one step.
+FAN_IN = 1 << 14
 #: Suffixes that the passes hold at a time, on average.
 MATCHED = 500_000
 #: Suffixes in a run at most: one bit of a mask each.
@@ -154,6 +163,63 @@ def _shared(hot_groups: int) -> Callable:
     return run
 
 
+def _held(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(deals, flags of deals, number of each row's deals) of rows of packed deals."""
+    blobs = [_unpack(x) for x in table.column("deals").to_pylist()]
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(b)) for x, b in zip(table.column("several").to_pylist(), blobs, strict=True)]
+    return np.concatenate(blobs), np.concatenate(flags).astype(bool), np.array([len(b) for b in blobs])
+
+
+def _pack(deals: np.ndarray) -> bytes:
+    return deals.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The deals of a shard of a bucket, once each, with the number of groups that have them."""
+    deals, several, _ = _held(table)
+    known, at, groups = np.unique(deals, return_inverse=True, return_counts=True)
+    flag = np.zeros(len(known), bool)
+    flag[at[several]] = True
+    row = {name: table.column(name).slice(0, 1).combine_chunks() for name in ("bucket", "shard")}
+    blobs = {"deals": _pack(known), "several": np.packbits(flag).tobytes(), "groups": groups.astype("<u4").tobytes()}
+    return pa.table({**row, **{name: pa.array([x], pa.binary()) for name, x in blobs.items()}})
+
+
+def _told(hot_groups: int) -> Callable:
+    """For each shard of a bucket, its deals that more than one document has, and which of them are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        deals, several, sizes = _held(table)
+        groups = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("groups").to_pylist()])
+        _, at = np.unique(deals, return_inverse=True)
+        total = np.bincount(at, weights=groups)  # whole numbers
+        both = total > 1
+        both[at[several]] = True
+        ends = np.cumsum(sizes)
+        parts = [np.arange(a, b)[both[at[a:b]]] for a, b in zip(ends - sizes, ends, strict=True)]
+        hot = [np.packbits(total[at[x]] > hot_groups).tobytes() for x in parts]
+        return pa.table({"bucket": table.column("bucket"), "shard": table.column("shard"), "deals": pa.array([_pack(deals[x]) for x in parts], pa.binary()), "hot": pa.array(hot, pa.binary())})
+
+    return run
+
+
+def _answered(table: pa.Table, reply: pa.Table) -> pa.Table:
+    """What a shard was told, for each of its groups."""
+    out: dict[str, list] = {"group": [], "deals": [], "hot": []}
+    for blob, hot in zip(reply.column("deals").to_pylist(), reply.column("hot").to_pylist(), strict=True):
+        known = _unpack(blob)  # in order, as merged
+        flags = np.unpackbits(np.frombuffer(hot, np.uint8), count=len(known))
+        for source, packed, bucket in zip(table.column("source").to_pylist(), table.column("deals").to_pylist(), table.column("bucket").to_pylist(), strict=True):
+            own = _unpack(packed)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            found = np.flatnonzero(known[at] == own) if len(known) else at[:0]
+            if len(found):
+                out["group"].append(source)
+                out["deals"].append((own[found] | (np.uint64(bucket) << np.uint64(40))).tobytes())
+                out["hot"].append(np.packbits(flags[at[found]]).tobytes())
+    return pa.table({"group": pa.array(out["group"], pa.int64()), "deals": pa.array(out["deals"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
+
+
 _RUN_FIELDS = [("bucket", pa.int32()), ("source", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary()), ("bits", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("masks", pa.binary())]
 _RUN_COLUMNS = "bucket int, source long, keys binary, ids binary, runs binary, bits binary, sizes binary, bytes binary, masks binary"
 
@@ -256,7 +322,28 @@ def _match(depth: int) -> Callable:
     return run
 
 
-def _match_bucket(sent: list[dict], depth: int, out: dict[str, list]) -> None:
+def _settle(depth: int) -> Callable:
+    """What a shard of a bucket can tell to be repeated, as masks, and the runs that its bucket has still to see."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"group": [], "runs": [], "masks": []}
+        rows: dict[str, list] = {name: [] for name, _ in _RUN_FIELDS}
+        sent = []
+        for r in table.to_pylist():
+            if r["masks"] is not None:
+                _put(rows, **{name: r[name] for name, _ in _RUN_FIELDS})
+            else:
+                sent.append(r)
+        if sent:
+            _match_bucket(sent, depth, out, rows)
+        for group, runs, masks in zip(out["group"], out["runs"], out["masks"], strict=True):
+            _put(rows, bucket=sent[0]["bucket"], source=group, runs=runs, masks=masks)
+        return pa.table({name: pa.array(rows[name], kind) for name, kind in _RUN_FIELDS})
+
+    return run
+
+
+def _match_bucket(sent: list[dict], depth: int, out: dict[str, list], later: dict[str, list] | None = None) -> None:
     join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in sent])
     key, doc, runs, bit, n = join("keys", np.uint64), join("ids", np.int64), join("runs", "<u4"), join("bits", np.uint8), join("sizes", np.uint8).astype(np.int64)
     data = np.frombuffer(b"".join(r.pop("bytes") for r in sent), np.uint8)
@@ -282,6 +369,15 @@ def _match_bucket(sent: list[dict], depth: int, out: dict[str, list]) -> None:
             out["group"].append(r["source"])
             out["runs"].append(runs[x].astype("<u4").tobytes())
             out["masks"].append(masks[x].astype("<u8").tobytes())
+        if later is not None:
+            full = ((np.uint64(1) << n[a:b].astype(np.uint64)) - np.uint64(1)) << bit[a:b].astype(np.uint64)
+            x = np.flatnonzero(masks[a:b] != full) + a
+            if len(x):
+                stretch = np.repeat(begin[x] - (np.cumsum(size[x]) - size[x]), size[x]) + np.arange(int(size[x].sum()))
+                _put(
+                    later, bucket=r["bucket"], source=r["source"], keys=key[x].tobytes(), ids=doc[x].tobytes(), runs=runs[x].tobytes(),
+                    bits=bit[x].tobytes(), sizes=n[x].astype(np.uint8).tobytes(), bytes=data[stretch].tobytes(),
+                )
 
 
 def radix_groups(data: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
@@ -349,13 +445,14 @@ def _remove(depth: int, seed: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, seed: int = SEED, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, seed: int = SEED, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, n_bytes, starts, ends (byte spans removed, ends exclusive), kept (the other bytes).
 
     Removed is each byte covered by a ``depth``-byte string that also starts in
     a document with a lesser id.  The texts are shuffled once, by group; all
     three uses read that exchange.  Groups and buckets hold a fixed amount each,
-    so their number grows with the corpus and the memory of a task does not.
+    so their number grows with the corpus and the memory of a task does not; one
+    that more than ``fan_in`` groups meet in is taken in two steps.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -364,8 +461,18 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, seed: int = SEED, group_
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     grouped = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("group"), "doc_id", "text").repartition(tasks, "group")
     deals = grouped.groupBy("group").applyInArrow(_deals(depth, seed, buckets), "bucket int, source long, deals binary, several binary")
-    replies = deals.groupBy("bucket").applyInArrow(_shared(hot_groups), "group long, deals binary, hot binary")
+    shards = -(-groups // fan_in)
+    reply = "group long, deals binary, hot binary"
+    if shards > 1:
+        deals = deals.withColumn("shard", F.pmod("source", F.lit(shards)).cast("int"))
+        merged = deals.groupBy("bucket", "shard").applyInArrow(_merged, "bucket int, shard int, deals binary, several binary, groups binary")
+        told = merged.groupBy("bucket").applyInArrow(_told(hot_groups), "bucket int, shard int, deals binary, hot binary")
+        replies = deals.groupBy("bucket", "shard").cogroup(told.groupBy("bucket", "shard")).applyInArrow(_answered, reply)
+    else:
+        replies = deals.groupBy("bucket").applyInArrow(_shared(hot_groups), reply)
     cut = grouped.groupBy("group").cogroup(replies.repartition(tasks, "group").groupBy("group")).applyInArrow(_cut(depth, seed, buckets), _RUN_COLUMNS)
+    if shards > 1:
+        cut = cut.groupBy("bucket", F.pmod("source", F.lit(shards)).alias("shard")).applyInArrow(_settle(depth), _RUN_COLUMNS)
     marks = cut.groupBy("bucket").applyInArrow(_match(depth), "group long, runs binary, masks binary")
     out = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
     return grouped.groupBy("group").cogroup(marks.repartition(tasks, "group").groupBy("group")).applyInArrow(_remove(depth, seed), out)
