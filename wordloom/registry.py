@@ -14,7 +14,7 @@ from wordloom.functions.vectors import dot, pair_of_index
 from wordloom.operators import clustering, communities, evaluate, features, intervals, lookup, pairwise, quantise
 from wordloom.plans import flows
 from wordloom.sources import datasource
-from wordloom.sources.catalog import shared_folder
+from wordloom.sources.catalog import materialise, shared_folder
 from wordloom.sources.features import within_budget
 from wordloom.sources.partitions import parse_partition, partition_lines
 from wordloom.streaming.segments import session_segments
@@ -519,6 +519,20 @@ def cpm_partition(spark, sf_dir):
     return _by_least(found, "node_id").select("node_id", F.col("cluster").alias("label"))
 
 
+@register(f"WITH {COS} SELECT node_id, count(n) AS degree, round(coalesce(sum(w), 0), 6) AS strength, CAST(0 AS BIGINT) AS improving, CAST(1 AS BIGINT) AS pieces FROM ids LEFT JOIN (SELECT i AS n, w FROM edges UNION ALL SELECT j, w FROM edges) ON node_id = n GROUP BY node_id")
+def communities_real_graph(spark, sf_dir):
+    """Communities of the real cosine graph: whether a node would gain by moving, and into how many pieces its community falls.
+
+    The partition is not unique; what its optimality asks of each node is.
+    """
+    emb, edges = _cos(spark, sf_dir)
+    nodes, edges = materialise(emb.select("node_id"), "nodes"), materialise(edges.select("i", "j", "w"), "edges")
+    found = materialise(communities.communities(communities.component_graph(nodes, edges), communities.RESOLUTION, stable=True).select("node_id", "label"), "communities")
+    ends = edges.select(F.col("i").alias("node_id"), "w").unionAll(edges.select("j", "w")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
+    judged = communities.best_gains(edges, found, communities.RESOLUTION).join(communities.pieces(edges, found), "label").join(ends, "node_id", "left")
+    return judged.select("node_id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), F.round(F.coalesce("strength", F.lit(0.0)), 6).alias("strength"), (F.col("gain") > 1e-9).cast("long").alias("improving"), "pieces")
+
+
 # --- centroid clustering -----------------------------------------------------------
 
 
