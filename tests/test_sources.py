@@ -1,13 +1,14 @@
 """Round trips through files."""
 
 import datetime
+import time
 
 import numpy as np
 
 from wordloom.operators import intervals
 from wordloom.sources import alignments, features, partitions
 from wordloom.sources.catalog import Catalog, RunKey
-from wordloom.streaming.segments import stream_segments
+from wordloom.streaming.segments import session_segments, stream_segments
 
 LONG = """File type = "ooTextFile"
 Object class = "TextGrid"
@@ -90,6 +91,28 @@ def test_partition_files(spark, tmp_path):
     assert got == [(7, "f", 0.1, 0.2, "go g,ow"), (8, "f", 0.1, 0.2, "go g,ow")]
 
 
+def test_large_block_is_parsed_once(spark):
+    """A block is not split again for each of its lines (20,000 lines would take minutes)."""
+    n = 20_000
+    text = "Class 7\n" + "\n".join(f"f{k} {k}.0 {k}.5 go g,ow" for k in range(n)) + "\n\nClass x\nf 1 2 a b\nClass 8\n\nf 1 2\nf 3"
+    began = time.monotonic()
+    got = partitions.parse_partition(spark.createDataFrame([(text,)], "value string")).collect()
+    assert time.monotonic() - began < 30
+    assert len(got) == n + 1 and {r.cluster for r in got} == {7, 8}
+
+
+def test_partition_texts_are_pieces(spark):
+    words = spark.createDataFrame([("f", k, k / 10, k / 10 + 0.1, "go", ["g", "ow"]) for k in range(1, 24)], "filename string, word_id int, word_start double, word_end double, text string, phones array<string>")
+    members = words.select("filename", "word_id", (words["word_id"] % 2).cast("long").alias("cluster"))
+    lines = partitions.partition_lines(members, words, decimals=1)
+    for c in (0, 1):
+        assert [r.position for r in lines.where(f"cluster = {c}").orderBy("position").collect()] == list(range(len([k for k in range(1, 24) if k % 2 == c]) + 1))
+    texts = partitions.partition_texts(lines, piece=5)
+    assert texts.count() == 6 and max(r.value.count("\n") for r in texts.collect()) == 5
+    got = sorted((r.cluster, r.start) for r in partitions.parse_partition(texts).collect())
+    assert got == sorted((k % 2, k / 10) for k in range(1, 24))
+
+
 def test_catalog(spark, tmp_path):
     catalog = Catalog(spark, f"file://{tmp_path}/c")
     key = RunKey("graph", "english", "test", "m", "1", "cos", 0.4, resolution=0.3)
@@ -105,6 +128,14 @@ def test_hours_budget(spark):
     assert sorted(r.name for r in features.within_budget(files).collect()) == ["a1", "a2"]
 
 
+def test_words_without_length_do_not_open_sessions(spark):
+    """A word of length 0 and the next one start together; whichever row comes first, the pause counts from the longer one's end."""
+    rows = [("f", 100, 60), ("f", 100, 0), ("f", 160, 10)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
+        got = session_segments(spark.createDataFrame(order, "filename string, start_cs long, dur long").coalesce(1)).collect()
+        assert [(r.start, r.end, r.n_words) for r in got] == [(1.0, 1.7, 3)]
+
+
 def test_stream(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
     rows = [("a", t + datetime.timedelta(hours=h)) for h in (0, 1, 9, 30)] + [("a", t + datetime.timedelta(days=9))]
