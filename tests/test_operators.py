@@ -309,6 +309,14 @@ def test_resample_keeps_a_tone():
     assert np.abs(resample(high, 48000))[200:-200].max() < 0.05
 
 
+def test_merge_keeps_pos_of_phones_at_one_time(spark):
+    """Phones without length have equal starts and ends; their pos decides, not their label."""
+    words = spark.createDataFrame([("f", 1, 0.0, 0.02, "chase")], "filename string, word_id int, word_start double, word_end double, text string")
+    phones = spark.createDataFrame([("f", 0.0, 0.01, "c", 0), ("f", 0.01, 0.01, "h", 1), ("f", 0.01, 0.01, "a", 2), ("f", 0.01, 0.02, "s", 3)], "filename string, start double, end double, phone string, pos int")
+    assert intervals.merge_overlap(words, phones).first().phones == ["c", "h", "a", "s"]
+    assert intervals.merge_overlap(words, phones.where("pos <> 2").drop("pos")).first().phones == ["c", "h", "s"]
+
+
 def test_idealised_flows(spark):
     """Communities that start from the types, and of replicas, are no worse than the types; replicas of a type stay together."""
     from wordloom import registry

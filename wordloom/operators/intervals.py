@@ -59,10 +59,12 @@ def overlap_join(words: DataFrame, phones: DataFrame) -> DataFrame:
 def merge_overlap(words: DataFrame, phones: DataFrame) -> DataFrame:
     """The analysis variant of :func:`overlap_join`: words without a text or with <unk> are left out, phones go by start.
 
-    Phones need no pos.  Phone labels are cleaned as for the other joins.
+    Phones need no pos; where there is one, it orders phones of equal start and
+    end.  Phone labels are cleaned as for the other joins.
     """
     spoken = words.where(F.col("text").isNotNull() & ~F.col("text").isin("", "<unk>"))
-    return overlap_join(spoken, phones.drop("pos").withColumn("pos", F.struct("start", "end")))
+    order = [c for c in ("start", "end", "pos") if c in phones.columns]
+    return overlap_join(spoken, phones.withColumn("pos", F.struct(*order)))
 
 
 def gold_intervals(words: DataFrame) -> tuple[DataFrame, int]:
