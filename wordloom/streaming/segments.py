@@ -9,8 +9,11 @@ PAUSE_CS = 50
 
 
 def session_segments(words: DataFrame, pause_cs: int = PAUSE_CS) -> DataFrame:
-    """filename, start, end, n_words: words less than a pause apart, by whole hundredths of seconds."""
-    order = Window.partitionBy("filename").orderBy("start_cs")
+    """filename, start, end, n_words: words less than a pause apart, by whole hundredths of seconds.
+
+    A word without length comes before one that starts with it.
+    """
+    order = Window.partitionBy("filename").orderBy("start_cs", "dur")
     gap = F.col("start_cs") - F.lag(F.col("start_cs") + F.col("dur")).over(order)
     runs = words.withColumn("new", F.coalesce((gap >= pause_cs).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(order))
     grouped = runs.groupBy("filename", "run").agg(F.min("start_cs").alias("a"), F.max(F.col("start_cs") + F.col("dur")).alias("b"), F.count(F.lit(1)).alias("n_words"))
