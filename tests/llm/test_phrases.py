@@ -97,3 +97,24 @@ def test_fragments_hold_each_phrase_once():
             assert (whole == (np.max(np.stack(words), axis=0) > split)).all()
             got.update({tuple(int(c[k]) for c in words): int(sums[k]) for k in range(len(sums))})
         assert got == want
+
+
+def test_wide_rows_end_row_groups(spark):
+    """A row group of chunks ends at its bytes, not at 100 rows; reader and writer hold one whole."""
+    import pyarrow.dataset as ds
+
+    from wordloom.llm._shared import spool
+
+    wide = spark.range(0, 20, 1, 1).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 8192).alias("text"))
+    made = spool(wide, "wide", "zstd", group_bytes=16 << 10)
+    files = [f.removeprefix("file://") for f in made.inputFiles()]
+    assert made.count() == 20 and sum(f.count_rows() and len(f.row_groups) for f in ds.dataset(files).get_fragments()) > 1
+
+
+def test_chunks_are_dealt_in_small_batches(spark, monkeypatch):
+    seen = []
+    inner = phrases.spool
+    monkeypatch.setattr(phrases, "spool", lambda df, name, *a, **k: seen.append((name, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) or inner(df, name, *a, **k))
+    docs = spark.createDataFrame([("en", "red fox runs. " * 40)], "lang string, text string")
+    assert phrases.collocations(docs).count() == 1
+    assert [size for name, size in seen if name == "phrases"][0] == str(phrases.CHUNK_BYTES)

@@ -16,18 +16,21 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def spool(df: DataFrame, name: str, compression: str = "none", by: str | None = None) -> DataFrame:
+def spool(df: DataFrame, name: str, compression: str = "none", by: str | None = None, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a replicated file, so later branches neither
     recompute it nor depend on executors that may be lost.  Hashes and small
     tables gain nothing from a codec, whose buffers outside the heap stay until
     it is collected; tables with texts ask for one.  ``by`` names a column of few
-    values; rows of each stand in a folder of their own.
+    values; rows of each stand in a folder of their own.  A row group, which a
+    task holds whole when it writes or reads, has 100 rows at least; for rows of
+    megabytes ``group_bytes`` ends it as soon as it has so many.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", compression).parquet(path, partitionBy=by)
+    options = {} if group_bytes is None else {"parquet.block.size": group_bytes, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    df.write.mode("overwrite").option("compression", compression).options(**options).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

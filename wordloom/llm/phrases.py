@@ -275,7 +275,8 @@ def frequent_phrases(chunks: DataFrame, dictionary: DataFrame, n_words: int, n_a
         rows = rows.select("codes", "n_words", F.col("x.place").alias("places"), F.col("x.id").alias("ids"))
         dealt = rows.mapInArrow(_deal(buckets, split, width), "bucket long, n long, fragments binary")
     mined = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").select("bucket", "fragments")
-    parts = spool(mined.mapInArrow(_mine(least, split[0] if split else 0, width), "w1 long, w2 long, w3 long, w4 long, a long, whole boolean"), "phrases")
+    with small_batches(spark, 10_000, CHUNK_BYTES):  # chunks and fragments are as wide as texts
+        parts = spool(mined.mapInArrow(_mine(least, split[0] if split else 0, width), "w1 long, w2 long, w3 long, w4 long, a long, whole boolean"), "phrases")
     added = parts.where(~F.col("whole")).groupBy(*KEY).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return spool(parts.where("whole").drop("whole").unionByName(added), "phrases")
 
@@ -299,7 +300,7 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, to
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession, 10_000, CHUNK_BYTES):
-        chunks = spool(rows.mapInArrow(_chunks(), CHUNKS), "phrase-chunks", "zstd")
+        chunks = spool(rows.mapInArrow(_chunks(), CHUNKS), "phrase-chunks", "zstd", group_bytes=2 * CHUNK_BYTES)
     totals = chunks.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
     counted = chunks.select(F.inline(F.arrays_zip("langs", "words", "counts"))).groupBy(F.col("langs").alias("lang"), F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
     frequent = counted.where(F.col("f") >= least).withColumn("node", F.struct((-F.col("f")).alias("f"), "lang", "word"))
