@@ -22,6 +22,10 @@ from wordloom.sources.catalog import materialise
 BLOCK = 2048
 #: Clusters whose matrix of distances one task holds (n x n doubles).
 MOST = 4096
+#: Blocks of clusters, at most; beyond, blocks grow up to ``WIDE`` clusters, so that what tiles shuffle grows as the input does.
+TILES, WIDE = 16, 16_384
+#: Rows of a tile whose distances are held at a time.
+ROWS = 256
 
 
 def ward_matrix(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -58,9 +62,14 @@ def merges_of(points: np.ndarray, size: np.ndarray) -> list[tuple[float, int, in
     return merges
 
 
+def blocks_of(n: int, block: int) -> int:
+    """Blocks of ``n`` clusters: of ``block`` each, or of more where these would be many."""
+    return max(min(-(-n // block), max(TILES, -(-n // WIDE))), 1)
+
+
 def _nearest(stale: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
     """id, other, height: the nearest of ``clusters`` (id, size, mean) for each of ``stale``; ties to the least id."""
-    tiles = max(-(-clusters.count() // block), 1)
+    tiles = blocks_of(clusters.count(), block)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(tiles))
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     asked = stale.select(of("id").alias("qa"), every.alias("qb"), F.lit(0).alias("side"), "id", "size", "mean")
@@ -74,10 +83,13 @@ def _nearest(stale: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
         side, ids = side[order], ids[order]
         means = table.column("mean").combine_chunks().flatten().to_numpy().reshape(len(side), -1)[order]
         size, q, c = table.column("size").to_numpy()[order].astype(float), side == 0, side == 1
-        far = ward_matrix(means[q], size[q], means[c], size[c])
-        far[ids[q][:, None] == ids[c][None, :]] = np.inf
-        best = far.argmin(axis=1)
-        found = far[np.arange(len(best)), best]
+        best, found = np.zeros(int(q.sum()), np.int64), np.zeros(int(q.sum()))
+        for first in range(0, len(best), ROWS):
+            rows = np.flatnonzero(q)[first : first + ROWS]
+            far = ward_matrix(means[rows], size[rows], means[c], size[c])
+            far[ids[rows][:, None] == ids[c][None, :]] = np.inf
+            best[first : first + ROWS] = far.argmin(axis=1)
+            found[first : first + ROWS] = far.min(axis=1)
         real = np.isfinite(found)
         return pa.table({"id": ids[q][real], "other": ids[c][best][real], "height": found[real]})
 
