@@ -317,6 +317,56 @@ def test_merge_keeps_pos_of_phones_at_one_time(spark):
     assert intervals.merge_overlap(words, phones.where("pos <> 2").drop("pos")).first().phones == ["c", "h", "s"]
 
 
+def test_kmeans_makes_its_points_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    points = spark.createDataFrame([(f"n{k:02d}", [float(k // 10 * 50 + k % 10), 0.0]) for k in range(40)], "node string, emb array<double>")
+    labels = clustering.kmeans(points.mapInPandas(run, points.schema), 4)
+    assert labels.groupBy("label").count().count() == 4 and made.value == 40
+    clustering.lloyd(points.mapInPandas(run, points.schema), [[0.0, 0.0], [60.0, 0.0]], 5)[0].count()
+    assert made.value == 80
+
+
+def test_swaps_leave_a_local_optimum(spark):
+    """Two centres in one group and one for two groups: Lloyd rounds stay there, a swap does not."""
+    points = spark.createDataFrame([(f"n{g}{k}", [g * 10.0 + k * 0.1, 0.0]) for g in range(4) for k in range(6)], "node string, emb array<double>").cache()
+    stuck = clustering._lloyd(points, [[0.0, 0.0], [0.4, 0.0], [10.0, 0.0], [25.0, 0.0]], 10)
+    groups = lambda run: run[0].groupBy("label").agg(F.countDistinct(F.substring("node", 2, 1)).alias("n")).where("n > 1").count()
+    assert groups(stuck) == 1 and groups(clustering._swapped(points, stuck, 0, 10)) == 0
+
+
+def test_tiles_of_large_tables_are_few():
+    from wordloom.operators import hierarchy
+
+    assert [hierarchy.blocks_of(n, 64) for n in (0, 64, 139, 150_000, 1 << 20)] == [1, 1, 3, 16, 64]
+    assert [pairwise.dtw_block(n, 256) for n in (0, 537, 32_000, 1 << 20)] == [256, 256, 1000, 2048]
+
+
+def test_equal_sequences_are_one_node(spark, monkeypatch):
+    """Communities of unit sequences get no edge for each pair of copies, and are no worse than the types."""
+    from wordloom.plans import flows
+
+    kinds = [[1, 1, 1], [1, 1, 2], [5, 6, 7], [5, 6, 8], [9, 9, 9, 9]]
+    rows = [(f"n{k:03d}", "abcde"[k % 5], kinds[k % 5]) for k in range(150)]
+    units = spark.createDataFrame(rows, "node string, text string, units array<int>")
+    seen, inner = [], communities.cpm_partition
+    monkeypatch.setattr(communities, "cpm_partition", lambda nodes, edges, *a, **k: seen.append(edges.count()) or inner(nodes, edges, *a, **k))
+    own = lookup.node_ids(units)
+    edges = pairwise.edit_graph(own.select("node_id", "units"), 0.4).cache()
+    at = lambda x, gamma: communities.cpm_objective(edges, x, gamma).first().objective
+    typed = own.select("node_id", F.hash("text").alias("label"))
+    for found in (flows.graph_from_types(units, 0.4), flows.graph_of_replicas(units, 0.4)):
+        assert found.select("node_id").distinct().count() == 150 and at(found, 0.3) >= at(typed, 0.3)
+        assert found.select("label").distinct().count() == 3
+    whole = inner(own.select("node_id"), edges, 5, 0.3)
+    assert abs(at(whole, 0.3) - at(found, 0.3)) < 1e-6 and seen == [2, 2]
+
+
 def test_idealised_flows(spark):
     """Communities that start from the types, and of replicas, are no worse than the types; replicas of a type stay together."""
     from wordloom import registry
