@@ -119,3 +119,18 @@ def test_failed_write_leaves_old_files(spark, formats, tmp_path):
     with pytest.raises(Exception, match="without filename or tier"):
         datasource.write_textgrids(bad, str(tmp_path / "t"), "overwrite")
     assert [p.name for p in (tmp_path / "t").iterdir() if p.suffix == ".TextGrid"] == ["a.TextGrid"]
+
+
+def test_textgrids_go_through_batches(spark, formats, tmp_path):
+    """Neither way makes a row object of an interval: tiers go on from batch to batch, small files share one."""
+    want = [(f"f{k}", t, p, p / 3, (p + 1) / 3, f"{k}", None) for k in range(9) for t in ("phones", "words") for p in range(50)]
+    made = spark.createDataFrame(want, alignments.TIERS).coalesce(1).toArrow()
+    options = {"path": str(tmp_path / "t")}
+    source = datasource.TextGridSource(options)
+    writer = source.writer(spark.createDataFrame([], alignments.TIERS).schema, False)
+    writer.commit([writer.write(iter(made.to_batches(max_chunksize=7)))])
+    reader = source.reader(None)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) == 1 and sorted(tuple(r.values()) for r in batches[0].to_pylist()) == sorted(want)
+    spoken = formats.format("wordloom_textgrid").load(str(tmp_path / "t"))
+    assert rows(spoken) == sorted(want, key=repr)

@@ -44,18 +44,27 @@ def parse_textgrid(text: str) -> dict[str, list[tuple[float, float, str]]]:
     return tiers
 
 
-def tiers_of(name: str, content: bytes) -> list[tuple]:
-    """Rows of TIERS of one file; a broken file is one row with ``corrupt`` set, not the end of a scan."""
+def columns_of(content: bytes) -> list[tuple]:
+    """tier, lists of xmin, xmax and label, corrupt (null) of the words and phones of one file.
+
+    A broken file is one row with ``corrupt`` set, not the end of a scan.
+    """
     try:
-        tiers, rows = parse_textgrid(content.decode("utf-8")), []
+        tiers, found = parse_textgrid(content.decode("utf-8")), []
         for kind, names in (("words", WORD_TIERS), ("phones", PHONE_TIERS)):
             tier = next((tiers[n] for n in names if n in tiers), None)
             if not tier:
                 raise ValueError(f"no tier of {kind}")
-            rows += [(name, kind, k, a, b, label, None) for k, (a, b, label) in enumerate(tier)]
-        return rows
+            found.append((kind, *map(list, zip(*tier, strict=True)), None))
+        return found
     except Exception as e:
-        return [(name, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+        return [(None, [None], [None], [None], f"{type(e).__name__}: {e}")]
+
+
+def tiers_of(name: str, content: bytes) -> list[tuple]:
+    """Rows of TIERS of one file."""
+    found = columns_of(content)
+    return [(name, tier, k if corrupt is None else None, a, b, label, corrupt) for tier, starts, ends, labels, corrupt in found for k, (a, b, label) in enumerate(zip(starts, ends, labels, strict=True))]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -36,15 +36,16 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from wordloom.sources.alignments import TIERS, tiers_of
+from wordloom.sources.alignments import TIERS, columns_of
 
-#: Bytes of files in a scan's partition, and of vectors in a batch.
-SCAN_BYTES, BATCH_BYTES = 128 << 20, 8 << 20
+#: Bytes of files in a scan's partition, and of vectors in a batch; intervals in a batch, at least.
+SCAN_BYTES, BATCH_BYTES, BATCH_ROWS = 128 << 20, 8 << 20, 1 << 14
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -122,8 +123,26 @@ class _Reader(DataSourceReader):
 class TextGridReader(_Reader):
     SUFFIX, KEYS, BY_FILE = ".TextGrid", ("filename", "tier"), True
 
+    def read(self, partition):
+        """Batches of several small files' intervals."""
+        held, n = [], 0
+        for batch in super().read(partition):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BATCH_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     def rows(self, f, stem, first, end):
-        return (r for r in tiers_of(stem, f.read()) if self._is_wanted("tier", r[1]))
+        for tier, starts, ends, labels, corrupt in columns_of(f.read()):
+            if self._is_wanted("tier", tier):
+                n = len(labels)
+                ordinal = pa.array(np.arange(n), pa.int32()) if corrupt is None else pa.nulls(n, pa.int32())
+                columns = [pa.repeat(pa.scalar(stem, pa.string()), n), pa.repeat(pa.scalar(tier, pa.string()), n), ordinal]
+                columns += [pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), pa.array(labels, pa.string()), pa.repeat(pa.scalar(corrupt, pa.string()), n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["filename", "tier", "pos", "xmin", "xmax", "label", "corrupt"])
 
 
 class NpyReader(_Reader):
@@ -205,7 +224,7 @@ class _Writer(DataSourceWriter):
         there = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
         self.before = [f.base_name for f in there if f.is_file and not f.base_name.startswith(("_", "."))]
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[Row] | Iterator[pa.RecordBatch]) -> Written:
         store, top = _store(self.path)
         store.create_dir(top, recursive=True)
         names: set[str] = set()
@@ -224,7 +243,7 @@ class _Writer(DataSourceWriter):
         self.fill(iterator, put)
         return Written(sorted(names))
 
-    def fill(self, rows: Iterator[Row], put: Callable[[str, Callable[[pa.NativeFile], None]], None]) -> None:
+    def fill(self, rows: Iterator[Row] | Iterator[pa.RecordBatch], put: Callable[[str, Callable[[pa.NativeFile], None]], None]) -> None:
         raise NotImplementedError
 
     def _names(self, messages: list[Written | None]) -> set[str]:
@@ -243,27 +262,47 @@ class _Writer(DataSourceWriter):
             store.delete_file(f"{top}/{name}")
 
 
-class TextGridWriter(_Writer):
+class TextGridWriter(_Writer, DataSourceArrowWriter):
     """A file for each filename, whose rows follow each other in order of tier and pos."""
 
     COLUMNS = ("filename", "tier", "pos", "xmin", "xmax", "label")
 
     def fill(self, rows, put):
-        for name, of_file in groupby(rows, key=lambda r: r["filename"]):
-            tiers = [(tier, list(of_tier)) for tier, of_tier in groupby(of_file, key=lambda r: r["tier"])]
-            if name is None or any(t is None for t, _ in tiers):
+        for name, of_file in groupby(_runs(rows), key=lambda r: r[0]):
+            tiers: list[tuple[str, list, list, list]] = []
+            for _, tier, *columns in of_file:
+                if tiers and tiers[-1][0] == tier:  # a tier that goes on in the next batch
+                    for held, more in zip(tiers[-1][1:], columns, strict=True):
+                        held += more
+                else:
+                    tiers.append((tier, *columns))
+            if name is None or any(t[0] is None for t in tiers):
                 raise ValueError("a row without filename or tier")
             put(f"{name}.TextGrid", lambda f, tiers=tiers: f.write(_textgrid(tiers).encode()))
 
 
-def _textgrid(tiers: list[tuple[str, list[Row]]]) -> str:
+def _listed(column: pa.Array) -> list:
+    """Values of a column; numbers with nulls among them would become NaN in numpy."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, str | None, list, list, list]]:
+    """filename, tier and lists of xmin, xmax, label of rows that follow each other in a batch."""
+    for batch in batches:
+        names, tiers, starts, ends, labels = (batch.column(c) for c in ("filename", "tier", "xmin", "xmax", "label"))
+        bounds = np.union1d(*(pc.run_end_encode(x).run_ends.to_numpy() for x in (names, tiers))).tolist()
+        starts, ends, labels = _listed(starts), _listed(ends), _listed(labels)
+        for first, end in zip([0, *bounds], bounds, strict=False):
+            yield names[first].as_py(), tiers[first].as_py(), starts[first:end], ends[first:end], labels[first:end]
+
+
+def _textgrid(tiers: list[tuple[str, list, list, list]]) -> str:
     quoted = lambda s: '"' + (s or "").replace('"', '""') + '"'
-    low, high = min(r["xmin"] for _, x in tiers for r in x), max(r["xmax"] for _, x in tiers for r in x)
+    low, high = min(min(starts) for _, starts, _, _ in tiers), max(max(ends) for _, _, ends, _ in tiers)
     lines = ['File type = "ooTextFile"', 'Object class = "TextGrid"', "", f"xmin = {low!r}", f"xmax = {high!r}", "tiers? <exists>", f"size = {len(tiers)}", "item []:"]
-    for k, (name, intervals) in enumerate(tiers, 1):
-        lines += [f"    item [{k}]:", '        class = "IntervalTier"', f"        name = {quoted(name)}", f"        xmin = {low!r}", f"        xmax = {high!r}", f"        intervals: size = {len(intervals)}"]
-        for n, r in enumerate(intervals, 1):
-            lines += [f"        intervals [{n}]:", f"            xmin = {r['xmin']!r}", f"            xmax = {r['xmax']!r}", f"            text = {quoted(r['label'])}"]
+    for k, (name, starts, ends, labels) in enumerate(tiers, 1):
+        lines += [f"    item [{k}]:", '        class = "IntervalTier"', f"        name = {quoted(name)}", f"        xmin = {low!r}", f"        xmax = {high!r}", f"        intervals: size = {len(labels)}"]
+        lines += [f"        intervals [{n}]:\n            xmin = {a!r}\n            xmax = {b!r}\n            text = {quoted(t)}" for n, (a, b, t) in enumerate(zip(starts, ends, labels, strict=True), 1)]
     return "\n".join(lines) + "\n"
 
 
