@@ -380,3 +380,16 @@ def test_idealised_flows(spark):
         at = lambda x: communities.cpm_objective(edges, x, 0.3).first().objective
         assert at(labels) >= at(typed) - 1e-9
     assert labels.join(own, "node_id").groupBy("text").agg(F.countDistinct("label").alias("n")).where("n > 1").isEmpty()
+
+
+def test_swaps_do_not_hang_on_one_draw(spark):
+    """Groups of rows of unlike noise, so that a centre drawn among the noisy ones may gather these alone."""
+    rng = np.random.default_rng(3)
+    means = rng.normal(scale=0.0137, size=(3, 64))
+    x = np.concatenate([m + (0.005 + 0.01 * rng.random((300, 1))) * rng.normal(size=(300, 64)) for m in means])
+    points = spark.createDataFrame([(f"{'abc'[k // 300]}{k}", row.tolist()) for k, row in enumerate(x)], "node string, emb array<double>").coalesce(2).cache()
+    middle, side = (means[0] + means[1]) / 2, rng.normal(scale=0.001, size=64)
+    stuck = clustering._lloyd(points, [middle.tolist(), (means[2] + side).tolist(), (means[2] - side).tolist()], 15)
+    for seed in range(3):
+        labels = clustering._swapped(points, stuck, seed, 15)[0]
+        assert labels.select(F.substring("node", 1, 1).alias("g"), "label").distinct().count() == 3, seed
