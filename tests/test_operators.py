@@ -393,3 +393,13 @@ def test_swaps_do_not_hang_on_one_draw(spark):
     for seed in range(3):
         labels = clustering._swapped(points, stuck, seed, 15)[0]
         assert labels.select(F.substring("node", 1, 1).alias("g"), "label").distinct().count() == 3, seed
+
+
+@pytest.mark.parametrize("n", [1, 40, 47])
+def test_dtw_blocks_meet_without_copies(spark, n):
+    """Each pair once, for odd and even numbers of blocks, and no shuffle of a block for each of its tiles."""
+    rng = np.random.default_rng(n)
+    words = spark.createDataFrame([(k, rng.normal(size=(1 + k % 3, 4)).tolist()) for k in range(n)], "node_id long, frames array<array<double>>")
+    pairs = pairwise.dtw_pairs(words, 10)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.i, r.j) for r in pairs.collect()) == list(itertools.combinations(range(n), 2))
